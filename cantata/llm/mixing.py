@@ -93,7 +93,7 @@ def mix(docs: DataFrame, domain: Column | None = None, id_col: str = "doc_id", t
         F.col(id_col).alias("doc_id"), F.coalesce(domain if domain is not None else domain_of(F.col(source_col)), F.lit("web")).alias("domain"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"),
         F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("n_tokens"),
     )
-    base = staged(base.where("n_tokens > 0"))  # ids, names and counts: no text
+    base = staged(base).where("n_tokens > 0")  # ids, names and counts: no text
     leaves = base.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens"))
     leaves = staged(leaves.select("*", weight_of(F.col("domain"), weights).alias("w_domain"), weight_of(F.col("lang"), lang_weights).alias("w_lang"), F.lit(1).cast("long").alias("w_source")))
     budgets = leaf_budgets(leaves, share, max_epochs)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cantata.llm import decontaminate, exact_dedup, mixing, quality_crf, simhash, url_templates
+from cantata.llm import decontaminate, exact_dedup, licenses, mixing, pii, quality_crf, simhash, url_templates
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -39,6 +39,16 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.licenses_of(_read(spark, sf_dir, "documents"))
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.personal_data(_read(spark, sf_dir, "documents"))
+    counts = [F.expr(f"size(filter(found, x -> x.kind = '{k}'))").cast("long").alias(f"n_{k}") for k in pii.BASE]
+    return found.select("doc_id", *counts, F.sha2(pii.listed(F.filter("found", lambda x: x["base"])), 256).alias("base_sha256"), pii.listed(F.col("found")).alias("spans"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
