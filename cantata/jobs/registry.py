@@ -1,11 +1,15 @@
-"""The queries of the score operators and their SQL oracles."""
+"""The queries of the score operators and their SQL oracles, gathered from the modules beside."""
 
 from __future__ import annotations
 
+from cantata.jobs import score_queries, text_queries
+
+MODULES = (text_queries, score_queries)
+
 
 def queries() -> dict:
-    return {}
+    return {name: f for m in MODULES for name, f in m.QUERIES.items()}
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
