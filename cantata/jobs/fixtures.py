@@ -34,7 +34,7 @@ VIEWS = {
         SELECT score_id, part, 1 AS kind, start, CASE WHEN nxt IS NOT NULL AND nxt < start + dur THEN nxt - start ELSE dur END AS duration, midi, volume FROM one
         UNION ALL SELECT score_id, part, 0, gap_from, start - gap_from, NULL, NULL FROM one WHERE start > gap_from) u""",
     "one": """SELECT score_id, part, start, dur, midi, volume, lead(start) OVER w AS nxt,
-        coalesce(CASE WHEN lag(start + dur) OVER w < start THEN lag(start + dur) OVER w ELSE start END, 0) AS gap_from FROM (
+        CASE WHEN lag(start) OVER w IS NULL THEN 0 WHEN lag(start + dur) OVER w < start THEN lag(start + dur) OVER w ELSE start END AS gap_from FROM (
         SELECT score_id, track AS part, (start_tick // 30) * 16 AS start, CASE WHEN (end_tick - start_tick) // 30 < 1 THEN 16 ELSE ((end_tick - start_tick) // 30) * 16 END AS dur, midi, CAST(velocity % 16 AS INT) AS volume,
         row_number() OVER (PARTITION BY score_id, track, start_tick // 30 ORDER BY note_key) AS rn FROM notes) n
         WHERE rn = 1 WINDOW w AS (PARTITION BY score_id, part ORDER BY start)""",
@@ -57,7 +57,7 @@ def _needs(text: str) -> list[str]:
 
 def duck_sql(text: str) -> str:
     text = re.sub(r"DAYS\((\w+)\)", r"date_diff('day', DATE '1995-01-01', CAST(\1 AS DATE))", text)
-    text = re.sub(r"SECS\((\w+)\)", r"(CAST(epoch(\1) AS BIGINT) - 1704067200)", text)
+    text = re.sub(r"SECS\((\w+)\)", r"(CAST(floor(epoch(\1)) AS BIGINT) - 1704067200)", text)
     text = re.sub(r"LISTAGG\((\w+) \|(.?)\| ([^)]*)\)", lambda m: f"string_agg({m[1]}, '{m[2].strip()}' ORDER BY {m[3]})", text)
     return text.replace("POSEXPLODE(SPLIT(text))", "unnest(range(0, len(string_split(text, ',')))) AS part, unnest(string_split(text, ',')) AS part_text")
 
