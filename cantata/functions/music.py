@@ -38,6 +38,12 @@ def half_up(x: Column) -> Column:
     return F.floor(x + F.lit(0.5))
 
 
+def fixed(x: Column | str, digits: int) -> Column:
+    """Rounds for comparison: half up, with so much room that the last bit of a sum does not decide a tie."""
+    column = F.col(x) if isinstance(x, str) else x
+    return F.floor(column * float(10**digits) + 0.500001) / float(10**digits)
+
+
 def clamp(x: Column, low: int, high: int) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), x))
 

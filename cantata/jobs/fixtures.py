@@ -69,8 +69,22 @@ def spark_sql(text: str) -> str:
     return text.replace("//", "div").replace("POSEXPLODE(SPLIT(text))", "posexplode(split(text, ',')) AS (part, part_text)")
 
 
+def _fixed(sql: str) -> str:
+    """round(x, k) as music.fixed rounds."""
+    while (at := sql.find("round(")) >= 0:
+        depth, end = 1, at + 6
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[end], 0)
+            end += 1
+        inner, digits = sql[at + 6 : end - 1].rsplit(",", 1)
+        ten = f"1e{int(digits)}"
+        sql = f"{sql[:at]}(floor(({inner}) * {ten} + 0.500001::DOUBLE) / {ten}){sql[end:]}"
+    return sql
+
+
 def oracle(sql: str) -> str:
     """DuckDB SQL with the views that it reads in front."""
+    sql = _fixed(sql)
     order: list[str] = []
 
     def visit(text: str) -> None:

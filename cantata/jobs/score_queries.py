@@ -115,7 +115,7 @@ SEC = "{s}.since + ({p} - {s}.pos) / 256.0::DOUBLE * 60 / {s}.bpm"
 register("tempo_map", tmap, f"WITH {MAPS} SELECT * FROM tm")
 register("tempo_map_parser", lambda v: tmap(v, "parser"), "WITH per AS (SELECT score_id, pos, arg_max(bpm, ord * 10 + part) AS bpm FROM tempo_events GROUP BY score_id, pos) SELECT * FROM per UNION ALL SELECT score_id, 0, 120 FROM per GROUP BY score_id HAVING min(pos) > 0")
 register("tempo_at", lambda v: tempo.tempo_at(starts(v), tmap(v)), f"WITH {MAPS} SELECT note_key, n.score_id, start_tick AS pos, coalesce(bpm, 120) AS bpm FROM notes n ASOF LEFT JOIN tm ON n.score_id = tm.score_id AND n.start_tick >= tm.pos")
-register("position_to_seconds", lambda v: tempo.position_to_seconds(starts(v), tmap(v)).withColumn("sec", F.round("sec", 4)), f"WITH {MAPS} SELECT note_key, n.score_id, start_tick AS pos, round({SEC.format(s='seg', p='start_tick')}, 4) AS sec FROM notes n ASOF JOIN seg ON n.score_id = seg.score_id AND n.start_tick >= seg.pos")
+register("position_to_seconds", lambda v: tempo.position_to_seconds(starts(v), tmap(v)).withColumn("sec", music.fixed("sec", 4)), f"WITH {MAPS} SELECT note_key, n.score_id, start_tick AS pos, round({SEC.format(s='seg', p='start_tick')}, 4) AS sec FROM notes n ASOF JOIN seg ON n.score_id = seg.score_id AND n.start_tick >= seg.pos")
 register("tempo_count", lambda v: tempo.tempo_count(tmap(v)), f"WITH {MAPS} SELECT score_id, count(*) AS n FROM tm GROUP BY score_id")
 register("file_summary", lambda v: stats.file_summary(v("headers"), v("notes"), tmap(v), choices(v)), f"WITH {CHOICES}, {MAPS} SELECT h.score_id, track_count, ppq, coalesce(n, 0) AS note_count, coalesce(t, 0) AS tempo_count, coalesce(b, false) AS has_beat FROM headers h LEFT JOIN (SELECT score_id, count(*) AS n FROM notes GROUP BY 1) a ON a.score_id = h.score_id LEFT JOIN (SELECT score_id, count(*) AS t FROM tm GROUP BY 1) c ON c.score_id = h.score_id LEFT JOIN (SELECT score_id, bool_or(is_beat) AS b FROM choices GROUP BY 1) d ON d.score_id = h.score_id")
 
@@ -126,7 +126,7 @@ def durations(v) -> DataFrame:
 
 MARKERS = MAPS + """, ch AS (SELECT *, lag(bpm) OVER (PARTITION BY score_id ORDER BY pos) AS b FROM seg),
 mk AS (SELECT ch.score_id, pos, CASE WHEN b IS NULL THEN 0 ELSE least(since, 300.0 + ch.score_id % 50) END AS time, bpm FROM ch JOIN headers h ON ch.score_id = h.score_id WHERE b IS NULL OR (b <> bpm AND since <= 300.0 + ch.score_id % 50))"""
-register("tempo_markers", lambda v: tempo.tempo_markers(tmap(v), durations(v)).withColumn("time", F.round("time", 4)), f"WITH {MARKERS} SELECT score_id, pos, round(time, 4) AS time, bpm FROM mk")
+register("tempo_markers", lambda v: tempo.tempo_markers(tmap(v), durations(v)).withColumn("time", music.fixed("time", 4)), f"WITH {MARKERS} SELECT score_id, pos, round(time, 4) AS time, bpm FROM mk")
 register("marker_dedupe", lambda v: tempo.marker_dedupe(tempo.tempo_markers(tmap(v), durations(v)), durations(v)).select("score_id", "pos", "bpm"), f"WITH {MARKERS} SELECT score_id, pos, bpm FROM (SELECT *, row_number() OVER (PARTITION BY score_id, floor(time / (300.0 + score_id % 50) * 1000 + 0.5), bpm ORDER BY time, pos) AS rn FROM mk) x WHERE rn = 1")
 register("active_marker", lambda v: tempo.active_marker(v("notes").select("note_key", "score_id", (F.col("start_tick") / 1000.0).alias("time")), tempo.tempo_markers(tmap(v), durations(v))).select("note_key", "bpm"), f"WITH {MARKERS} SELECT note_key, bpm FROM (SELECT note_key, score_id, start_tick / 1000.0::DOUBLE + 0.02 AS t FROM notes) n ASOF LEFT JOIN mk ON n.score_id = mk.score_id AND n.t >= mk.time")
 INSIDE = "e.score_id = tm.score_id AND tm.pos > e.start AND tm.pos < e.start + e.duration"
@@ -188,7 +188,7 @@ def safe(v) -> DataFrame:
 
 register("safe_channels", safe, f"WITH {SAFE} SELECT * FROM sf")
 register("boundary_rank", lambda v: intervals.boundary_rank(safe(v)), f"WITH {SAFE} SELECT score_id, pos, safe FROM (SELECT *, row_number() OVER (PARTITION BY score_id ORDER BY safe DESC, pos DESC) AS rn FROM sf) x WHERE rn = 1")
-register("page_length_estimate", lambda v: intervals.page_length_estimate(v("part_events"), ranges(v)), f"WITH {NOTES}, g AS (SELECT score_id, part, CASE WHEN start - 50000 > coalesce(max(least(fin, 120000) - 50000) OVER (PARTITION BY score_id, part ORDER BY start, fin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) THEN 1 ELSE 0 END AS gap FROM nt WHERE start >= 50000 AND start < 120000) SELECT g.score_id, max(est) AS est FROM (SELECT score_id, part, round(10 + count(*) * 1.35::DOUBLE + sum(gap) * 2.4::DOUBLE, 6) AS est FROM g GROUP BY score_id, part) g GROUP BY g.score_id")
+register("page_length_estimate", lambda v: intervals.page_length_estimate(v("part_events"), ranges(v)).select("score_id", music.fixed("est", 6).alias("est")), f"WITH {NOTES}, g AS (SELECT score_id, part, CASE WHEN start - 50000 > coalesce(max(least(fin, 120000) - 50000) OVER (PARTITION BY score_id, part ORDER BY start, fin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) THEN 1 ELSE 0 END AS gap FROM nt WHERE start >= 50000 AND start < 120000) SELECT g.score_id, max(est) AS est FROM (SELECT score_id, part, round(10 + count(*) * 1.35::DOUBLE + sum(gap) * 2.4::DOUBLE, 6) AS est FROM g GROUP BY score_id, part) g GROUP BY g.score_id")
 CLIP = NOTES + """, cp AS (SELECT score_id, part, start - 50000 AS start, least(fin, 120000) - start AS duration, midi, volume FROM nt WHERE start >= 50000 AND start < 120000), rs AS (SELECT *, coalesce(lag(start + duration) OVER (PARTITION BY score_id, part ORDER BY start), 0) AS reach FROM cp)"""
 register("segment_events", lambda v: intervals.segment_events(v("part_events"), ranges(v)), f"WITH {CLIP} SELECT score_id, part, 'note' AS type, start, duration, midi, volume FROM cp UNION ALL SELECT score_id, part, 'rest', reach, start - reach, NULL, NULL FROM rs WHERE start > reach")
 register("fill_rests", lambda v: intervals.fill_rests(v("part_events").where("type = 'note'").drop("idx", "type")), "SELECT score_id, part, type, start, duration, midi, volume FROM part_events")
@@ -245,10 +245,10 @@ def schedule(v) -> DataFrame:
 
 SCHED = MAPS + """, sa AS (SELECT e.*, since + (start - pos) / 256.0::DOUBLE * 60 / bpm AS t0 FROM (SELECT * FROM part_events WHERE type = 'note') e ASOF JOIN seg ON e.score_id = seg.score_id AND e.start >= seg.pos),
 sc AS (SELECT sa.*, since + (start + duration - pos) / 256.0::DOUBLE * 60 / bpm AS t1 FROM sa ASOF JOIN seg ON sa.score_id = seg.score_id AND sa.start + sa.duration >= seg.pos)"""
-register("build_schedule", lambda v: schedule(v).select("score_id", "part", "idx", F.round("start_sec", 4).alias("start_sec"), F.round("duration_sec", 4).alias("duration_sec")), f"WITH {SCHED} SELECT score_id, part, idx, round(t0, 4) AS start_sec, round(greatest(0.02, t1 - t0), 4) AS duration_sec FROM sc")
+register("build_schedule", lambda v: schedule(v).select("score_id", "part", "idx", music.fixed("start_sec", 4).alias("start_sec"), music.fixed("duration_sec", 4).alias("duration_sec")), f"WITH {SCHED} SELECT score_id, part, idx, round(t0, 4) AS start_sec, round(greatest(0.02, t1 - t0), 4) AS duration_sec FROM sc")
 OPEN = "st AS (SELECT score_id, start_tick AS t, 1 AS d FROM notes UNION ALL SELECT score_id, end_tick, -1 FROM notes), pk AS (SELECT score_id, CAST(max(c) AS BIGINT) AS peak FROM (SELECT score_id, sum(d) OVER (PARTITION BY score_id ORDER BY t, d ROWS UNBOUNDED PRECEDING) AS c FROM st) x GROUP BY score_id)"
 register("peak_polyphony", lambda v: stats.peak_polyphony(v("notes"), "start_tick", "end_tick"), f"WITH {OPEN} SELECT * FROM pk")
-register("auto_gain", lambda v: stats.auto_gain(stats.peak_polyphony(v("notes"), "start_tick", "end_tick")), f"WITH {OPEN} SELECT score_id, round(CASE WHEN peak <= 3 THEN 1.0 ELSE greatest(0.35, least(1.0, sqrt(3.0 / peak))) END, 6) AS gain_scale FROM pk")
+register("auto_gain", lambda v: stats.auto_gain(stats.peak_polyphony(v("notes"), "start_tick", "end_tick")).select("score_id", music.fixed("gain_scale", 6).alias("gain_scale")), f"WITH {OPEN} SELECT score_id, round(CASE WHEN peak <= 3 THEN 1.0 ELSE greatest(0.35, least(1.0, sqrt(3.0 / peak))) END, 6) AS gain_scale FROM pk")
 register("score_duration", lambda v: stats.score_duration(v("notes"), "start_tick", "end_tick"), "SELECT score_id, max(end_tick) AS duration FROM notes GROUP BY score_id")
 register("preset_catalog", lambda v: playback.preset_catalog(v("regions")), "SELECT concat(bank, ':', preset) AS key, bank, preset, count(*) AS n_regions FROM regions GROUP BY bank, preset")
 register("preset_range", lambda v: playback.preset_range(v("regions")), "SELECT bank, preset, min(key_lo) AS lo, max(key_hi) AS hi FROM regions GROUP BY bank, preset")
@@ -263,8 +263,8 @@ def matched(v) -> DataFrame:
 
 
 register("match_region", lambda v: matched(v).select("note_key", "region_idx"), f"WITH {BEST} SELECT note_key, region_idx FROM ma WHERE rn = 1")
-register("note_gain_rate", lambda v: playback.note_gain_rate(matched(v)).select("note_key", "rate", "gain"), f"WITH {BEST} SELECT note_key, round(pow(2.0, (midi - 60) * 100 / 1200.0), 6) AS rate, round(pow(volume / 15.0, 1.6) * pow(10.0, -attenuation / 200.0), 6) AS gain FROM ma WHERE rn = 1 AND volume > 0")
-register("note_envelope", lambda v: playback.note_envelope(v("notes").select("note_key", (F.col("start_tick") / 960.0).alias("start_sec"), ((F.col("end_tick") - F.col("start_tick")) / 9600.0).alias("duration_sec"))).select("note_key", *[F.round(c, 6).alias(c) for c in ("play_dur", "attack", "release", "hold_end")]),
+register("note_gain_rate", lambda v: playback.note_gain_rate(matched(v)).select("note_key", music.fixed("rate", 6).alias("rate"), music.fixed("gain", 6).alias("gain")), f"WITH {BEST} SELECT note_key, round(pow(2.0, (midi - 60) * 100 / 1200.0), 6) AS rate, round(pow(volume / 15.0, 1.6) * pow(10.0, -attenuation / 200.0), 6) AS gain FROM ma WHERE rn = 1 AND volume > 0")
+register("note_envelope", lambda v: playback.note_envelope(v("notes").select("note_key", (F.col("start_tick") / 960.0).alias("start_sec"), ((F.col("end_tick") - F.col("start_tick")) / 9600.0).alias("duration_sec"))).select("note_key", *[music.fixed(c, 6).alias(c) for c in ("play_dur", "attack", "release", "hold_end")]),
     "SELECT note_key, round(p, 6) AS play_dur, round(least(0.008, p * 0.25), 6) AS attack, round(least(0.04, greatest(0.004, p * 0.55)), 6) AS release, round(greatest(s + least(0.008, p * 0.25), s + p - least(0.04, greatest(0.004, p * 0.55))), 6) AS hold_end FROM (SELECT note_key, start_tick / 960.0::DOUBLE AS s, greatest(0.006, (end_tick - start_tick) / 9600.0::DOUBLE) AS p FROM notes) x")
 register("mute_filter", lambda v: playback.mute_filter(v("part_events"), v("headers").select("score_id", (F.col("score_id") % 6).cast("int").alias("part"))).select(*COLS.split(", ")), f"SELECT {COLS} FROM part_events WHERE part <> score_id % 6")
 
@@ -274,6 +274,6 @@ def clock(v) -> DataFrame:
 
 
 CLOCK = "ck AS (SELECT note_key, score_id, start_tick / 960.0::DOUBLE AS s, (end_tick - start_tick) / 960.0::DOUBLE AS d FROM notes)"
-register("window_batch", lambda v: playback.window_batch(clock(v), v("headers").select("score_id", F.explode(F.array(*[F.struct(F.lit(i).alias("w"), F.lit(100.0 + 1.6 * i).alias("t0"), F.lit(101.6 + 1.6 * i).alias("t1")) for i in range(5)])).alias("x")).select("score_id", "x.*"), ["note_key"]).select("note_key", "w", F.round("audible_start", 4).alias("audible_start"), F.round("remaining", 4).alias("remaining")),
+register("window_batch", lambda v: playback.window_batch(clock(v), v("headers").select("score_id", F.explode(F.array(*[F.struct(F.lit(i).alias("w"), F.lit(100.0 + 1.6 * i).alias("t0"), F.lit(101.6 + 1.6 * i).alias("t1")) for i in range(5)])).alias("x")).select("score_id", "x.*"), ["note_key"]).select("note_key", "w", music.fixed("audible_start", 4).alias("audible_start"), music.fixed("remaining", 4).alias("remaining")),
     f"WITH {CLOCK}, wi AS (SELECT score_id, CAST(i AS INT) AS w, 100.0 + 1.6::DOUBLE * i AS t0, 101.6 + 1.6::DOUBLE * i AS t1 FROM headers, range(5) r(i)) SELECT note_key, w, round(greatest(s, t0), 4) AS audible_start, round(s + d - greatest(s, t0), 4) AS remaining FROM (SELECT *, row_number() OVER (PARTITION BY note_key ORDER BY w) AS rn FROM ck JOIN wi ON ck.score_id = wi.score_id AND s < t1 AND s + d > t0 WHERE s + d - greatest(s, t0) > 0.002) x WHERE rn = 1")
-register("preview_clip", lambda v: playback.preview_clip(clock(v)).select("note_key", F.round("start_sec", 4).alias("start_sec"), F.round("duration_sec", 4).alias("duration_sec")), f"WITH {CLOCK} SELECT note_key, round(r, 4) AS start_sec, round(least(d, 8.5 - r), 4) AS duration_sec FROM (SELECT *, s - min(s) OVER (PARTITION BY score_id) AS r FROM ck) x WHERE r < 8 AND least(d, 8.5 - r) > 0.01")
+register("preview_clip", lambda v: playback.preview_clip(clock(v)).select("note_key", music.fixed("start_sec", 4).alias("start_sec"), music.fixed("duration_sec", 4).alias("duration_sec")), f"WITH {CLOCK} SELECT note_key, round(r, 4) AS start_sec, round(least(d, 8.5 - r), 4) AS duration_sec FROM (SELECT *, s - min(s) OVER (PARTITION BY score_id) AS r FROM ck) x WHERE r < 8 AND least(d, 8.5 - r) > 0.01")

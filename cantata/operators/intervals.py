@@ -56,7 +56,7 @@ def page_length_estimate(events: DataFrame, ranges: DataFrame) -> DataFrame:
     before = Window.partitionBy("score_id", "part").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
     reach = F.coalesce(F.max(F.least("end", "hi") - F.col("lo")).over(before), F.lit(0))
     per = n.withColumn("gap", (F.col("start") - F.col("lo") > reach).cast("int")).groupBy("score_id", "part").agg((10 + F.count("*") * 1.35 + F.sum("gap") * 2.4).alias("est"))
-    return per.groupBy("score_id").agg(F.round(F.max("est"), 6).alias("est"))
+    return per.groupBy("score_id").agg(F.max("est").alias("est"))
 
 
 def segment_events(events: DataFrame, ranges: DataFrame) -> DataFrame:

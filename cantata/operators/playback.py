@@ -90,7 +90,7 @@ def note_gain_rate(matched: DataFrame, volume: str = "volume") -> DataFrame:
     """Adds rate and gain; silent notes go."""
     cents = (F.col("midi") - F.coalesce("root_key", F.lit(60)) + F.col("coarse_tune")) * 100 + F.col("fine_tune")
     gain = F.pow(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(volume) / 15)), F.lit(1.6)) * F.pow(F.lit(10.0), -F.col("attenuation") / 200)
-    return matched.where(F.col(volume) > 0).withColumns({"rate": F.round(F.pow(F.lit(2.0), cents / 1200), 6), "gain": F.round(gain, 6)})
+    return matched.where(F.col(volume) > 0).withColumns({"rate": F.pow(F.lit(2.0), cents / 1200), "gain": gain})
 
 
 def note_velocity(volume: Column) -> Column:

@@ -14,7 +14,10 @@ from cantata.operators.intervals import fill_rests
 GRID_LENGTHS = [(64, "1"), (48, "2."), (32, "2"), (24, "4."), (16, "4"), (12, "8."), (8, "8"), (6, "16."), (4, "16"), (3, "32."), (2, "32"), (1, "64")]
 NOTE_NAMES = ["c", "c+", "d", "d+", "e", "f", "f+", "g", "g+", "a", "a+", "b"]
 LENGTHS = [1, 2, 4, 8, 16, 32, 64]
-ORDER = Window.partitionBy("score_id", "part").orderBy("start", "type")
+
+
+def _order():
+    return Window.partitionBy("score_id", "part").orderBy("start", "type")
 
 
 def grid_tokens(grids, tie: bool, prefix):
@@ -42,29 +45,24 @@ def grid_duration_tokens(events: DataFrame) -> DataFrame:
     return events.withColumn("text", text)
 
 
-def _shortest(units: int, default: int, repeat: int) -> str | None:
-    """The shortest list of length suffixes that sum to units, then the smallest; repeat: characters between two."""
+def _shortest(top: int, default: int, repeat: int) -> list[tuple[int, tuple[str, ...]] | None]:
+    """For each number of units up to top: the shortest list of length suffixes, then the smallest; repeat: characters between two."""
     sizes: dict[int, str] = {}
     for n in LENGTHS:
-        size, add = 1024 // n, 1024 // n
+        size = add = 1024 // n
         text = "" if n == default else str(n)
-        for dots in range(4):
+        for _ in range(4):
             if size not in sizes or (len(text), text) < (len(sizes[size]), sizes[size]):
                 sizes[size] = text
             if add % 2:
                 break
             add //= 2
-            size += add
-            text += "."
-    best: list[tuple[int, tuple[str, ...]] | None] = [(0, ())] + [None] * units
-    for u in range(1, units + 1):
-        for size, text in sizes.items():
-            if size <= u and (b := best[u - size]) is not None:
-                cost = b[0] + len(text) + repeat
-                found = (cost, (*b[1], text))
-                if best[u] is None or found < best[u]:
-                    best[u] = found
-    return None if best[units] is None else "|".join(best[units][1])
+            size, text = size + add, text + "."
+    best: list[tuple[int, tuple[str, ...]] | None] = [(0, ())] + [None] * top
+    for u in range(1, top + 1):
+        found = [(b[0] + len(text) + repeat, (*b[1], text)) for size, text in sizes.items() if size <= u and (b := best[u - size]) is not None]
+        best[u] = min(found, default=None)
+    return best
 
 
 def shortest_duration_table(lengths: DataFrame) -> DataFrame:
@@ -77,14 +75,15 @@ def shortest_duration_table(lengths: DataFrame) -> DataFrame:
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for units in b["units"]:
-                spare = max(0, units // 1024 - 1) if units >= 2048 else 0
-                for default in LENGTHS:
-                    for kind, repeat in (("note", 2), ("rest", 1)):
-                        text = _shortest(int(units - 1024 * spare), default, repeat)
-                        if text is not None:
-                            text = "|".join(["" if default == 1 else "1"] * spare + [text])
-                            rows.append((units, default, kind, text, len(text.replace("|", "")) + repeat * (text.count("|") + 1)))
+            spare = (b["units"] // 1024 - 1).clip(lower=0)
+            rest = b["units"] - 1024 * spare  # under 2048
+            for default in LENGTHS:
+                for kind, repeat in (("note", 2), ("rest", 1)):
+                    best = _shortest(int(rest.max()) if len(rest) else 0, default, repeat)
+                    for units, whole, left in zip(b["units"], spare, rest, strict=True):
+                        if best[left] is not None:
+                            words = ["" if default == 1 else "1"] * int(whole) + list(best[left][1])
+                            rows.append((units, default, kind, "|".join(words), sum(map(len, words)) + repeat * len(words)))
             yield pd.DataFrame(rows, columns=["units", "L", "kind", "text", "n_chars"])
 
     return lengths.select(F.col("units").cast("long")).where("units > 0").distinct().mapInPandas(solve, "units bigint, L int, kind string, text string, n_chars int")
@@ -101,7 +100,7 @@ def choose_default_length(events: DataFrame, table: DataFrame) -> DataFrame:
 def pitch_commands(events: DataFrame) -> DataFrame:
     """Adds prefix of notes: the octave change as < or > or On, whichever is shorter (then < and >), and Vn when it differs."""
     n = events.where("type = 'note'").withColumn("octave", (F.floor(F.col("midi") / 12) - 1).cast("int"))
-    last, loud = F.lag("octave").over(ORDER), F.lag("volume").over(ORDER)
+    last, loud = F.lag("octave").over(_order()), F.lag("volume").over(_order())
     step = F.col("octave") - last
     shift = F.when(last.isNull() | (step == 0), "").when(F.abs(step) <= 2, F.when(step > 0, F.repeat(F.lit(">"), step.cast("int"))).otherwise(F.repeat(F.lit("<"), (-step).cast("int")))).otherwise(F.concat(F.lit("O"), F.col("octave")))
     volume = F.when(loud.isNull() | (loud == F.col("volume")), "").otherwise(F.concat(F.lit("V"), F.col("volume")))
@@ -126,7 +125,8 @@ def render_parts(events: DataFrame, tempo_map: DataFrame, table: DataFrame) -> D
     words = timed.join(table.select(F.col("units").alias("t_units"), F.col("L").alias("t_L"), "kind", "text"), (F.col("units") == F.col("t_units")) & (F.col("L") == F.col("t_L")) & (F.col("type") == F.col("kind")))
     full = words.join(prefixes, (words["score_id"] == prefixes["score_id"]) & (words["part"] == prefixes["part"]) & (words["start"] == prefixes["p_start"]) & (words["type"] == "note"), "left").select(words["score_id"], words["part"], "start", "type", "midi", "text", "prefix")
     head = F.when(F.col("type") == "rest", F.lit("r")).otherwise(note_name(F.col("midi")))
-    spelled = F.concat(F.coalesce("prefix", F.lit("")), F.array_join(F.transform(F.split("text", r"\|"), lambda s: F.concat(head, s)), F.when(F.col("type") == "rest", "").otherwise("&")))
+    each = F.transform(F.split("text", r"\|", -1), lambda s: F.concat(head, s))
+    spelled = F.concat(F.coalesce("prefix", F.lit("")), F.when(F.col("type") == "rest", F.array_join(each, "")).otherwise(F.array_join(each, "&")))
     joined = full.groupBy("score_id", "part").agg(F.array_sort(F.collect_list(F.struct("start", "type", spelled.alias("s")))).alias("e"))
     return joined.join(header, ["score_id", "part"]).select("score_id", "part", F.concat("header", F.array_join(F.transform("e", lambda x: x["s"]), "")).alias("part_text"))
 
@@ -135,7 +135,7 @@ def render_voice_grid(voices: DataFrame) -> DataFrame:
     """(score_id, part, part_text) of voices (notes in units) on the 1/64 grid: rests, V and O changes, tied lengths."""
     whole = grid_duration_tokens(fill_rests(voices))
     marks = pitch_commands(whole)
-    lead = F.when(F.lag("midi").over(ORDER).isNull(), F.concat(F.lit("V"), F.col("volume"), F.lit("O"), F.col("octave"))).otherwise(F.col("prefix"))
+    lead = F.when(F.lag("midi").over(_order()).isNull(), F.concat(F.lit("V"), F.col("volume"), F.lit("O"), F.col("octave"))).otherwise(F.col("prefix"))
     notes = marks.select("score_id", "part", "start", "type", F.concat(lead, F.col("text")).alias("s"))
     every = notes.unionByName(whole.where("type = 'rest'").select("score_id", "part", "start", "type", F.col("text").alias("s")))
     joined = every.groupBy("score_id", "part").agg(F.array_sort(F.collect_list(F.struct("start", "type", "s"))).alias("e"))

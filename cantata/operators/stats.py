@@ -98,7 +98,7 @@ def peak_polyphony(scheduled: DataFrame, start: str = "start", end: str = "end")
 
 def auto_gain(peaks: DataFrame) -> DataFrame:
     gain = F.when(F.col("peak") <= 3, 1.0).otherwise(F.greatest(F.lit(0.35), F.least(F.lit(1.0), F.sqrt(3 / F.col("peak")))))
-    return peaks.select("score_id", F.round(gain, 6).alias("gain_scale"))
+    return peaks.select("score_id", gain.alias("gain_scale"))
 
 
 def score_duration(scheduled: DataFrame, start: str = "start", end: str = "end") -> DataFrame:
