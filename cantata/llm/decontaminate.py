@@ -76,7 +76,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         .join(candidates, same(F.col("doc_id"), F.col("c_doc")) & (F.col("tag") == F.col("c_tag")))
         .select("doc_id", "tag", plain_words(F.col("text")).alias("words"), "c")
         .select("doc_id", "tag", F.expr("array_sort(filter(c, x -> array_join(slice(words, x.start + 1, x.len), ' ') = x.wtext))").alias("c"))
-        .where("size(c) > 0")
         .dropDuplicates(["doc_id", "tag"])
     )
     found = staged(
@@ -88,7 +87,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
             ).alias("n_hit"),
             F.expr("array_distinct(transform(c, x -> x.wtext))").alias("wtexts"),
         )
-    )
+    ).where("n_hit > 0")  # after the table is written: pushed further down, it would find the words again for each candidate
     listed = (
         found.select("f_doc", "f_tag", F.explode("wtexts").alias("wtext"))
         .join(windows.select("wtext", "item_id"), "wtext")
