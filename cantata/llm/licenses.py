@@ -37,9 +37,9 @@ SHINGLE, CONTAINMENT = 5, 0.8
 LONG, PIECE, WINDOW, STRIDE, BANDS = 6, 9, 12, 4, 8
 
 
-def _minima(hashes: str) -> str:
-    """SQL of the array of BANDS band values of an array of hashes; band b permutes by flipping fixed bits."""
-    return "array(" + ", ".join(f"array_min(transform({hashes}, x -> x ^ {(b + 1) * 0x61C8864680B583EB % (1 << 63)}L))" for b in range(BANDS)) + ")"
+def _flip(band: int) -> int:
+    """The bits that the permutation of a band flips."""
+    return (band + 1) * 0x61C8864680B583EB % (1 << 63)
 
 
 def template_table(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
@@ -58,28 +58,32 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str =
     known = staged(template_table(spark, TEMPLATES if templates is None else templates))
     cut = F.expr(f"CASE WHEN t <= {PIECE} THEN array(0) ELSE array_distinct(transform(sequence(0, cast(ceil(t / {PIECE}) AS int) - 1), i -> least(i * {PIECE}, t - {PIECE}))) END")
     pieces = known.withColumn("h", shingle_hashes("words", SHINGLE)).select("license", "t", "h", F.explode(cut).alias("offset")).select("license", "t", "offset", F.expr(f"array_sort(slice(h, offset + 1, {PIECE}))").alias("h"))
-    short = pieces.where(F.size("h") < LONG).select("license", "t", "offset", F.lit(-1).alias("band"), F.explode(F.expr(f"slice(array_distinct(h), 1, size(h) - cast(ceil({CONTAINMENT} * size(h)) AS int) + 1)")).alias("value"))
-    long = pieces.where(F.size("h") >= LONG).select("license", "t", "offset", F.posexplode(F.expr(_minima("h"))).alias("band", "value"))
-    bands = staged(short.unionByName(long))
+    # A row for each band: flip is its permutation, value the shingle that is least under it, least its permuted hash.
+    short = pieces.where(F.size("h") < LONG).select("license", "t", "offset", F.lit(0).cast("bigint").alias("flip"), F.lit(1).alias("span"), F.explode(F.expr(f"slice(array_distinct(h), 1, size(h) - cast(ceil({CONTAINMENT} * size(h)) AS int) + 1)")).alias("value"))
+    flips = F.array(*[F.lit(_flip(b)) for b in range(BANDS)])
+    long = pieces.where(F.size("h") >= LONG).select("license", "t", "offset", "h", F.explode(flips).alias("flip")).select("license", "t", "offset", "flip", F.lit(WINDOW).alias("span"), F.expr("array_min(transform(h, x -> x ^ flip)) ^ flip").alias("value"))
+    bands = staged(short.unionByName(long).distinct())
 
     base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    # No filter and no explode of a bare column over these: the optimiser would push a predicate, and with it the words' expression, into each lambda.
+    # A window meets a template in a band only if it holds the template's least shingle of that band, so windows without one are never made.
     worded = base.select("doc_id", F.xxhash64("text").alias("tag"), plain_words(F.col("text")).alias("words"))
-    hashed = worded.select("doc_id", "tag", shingle_hashes("words", SHINGLE).alias("h"))
-    single = worded.select("doc_id", "tag", F.posexplode(shingle_hashes("words", SHINGLE)).alias("place", "value")).withColumn("band", F.lit(-1))
-    windows = F.expr(f"flatten(transform(sequence(0, (greatest(size(h), 1) - 1) div {STRIDE}), i -> {_minima(f'slice(h, cast(i * {STRIDE} AS int) + 1, {WINDOW})')}))")
-    wide = hashed.select("doc_id", "tag", F.posexplode(windows).alias("at", "value")).select("doc_id", "tag", F.expr(f"cast(at div {BANDS} * {STRIDE} AS int)").alias("place"), "value", F.expr(f"at % {BANDS}").alias("band"))
-    retrieved = single.unionByName(wide).join(bands, ["band", "value"])
+    met = worded.select("doc_id", "tag", F.posexplode(shingle_hashes("words", SHINGLE)).alias("place", "value")).join(bands, "value")
     places = staged(
-        retrieved.select("doc_id", "tag", F.struct("license", F.greatest(F.col("place") - F.col("offset") - WINDOW, F.lit(0)).alias("lo"), (F.col("t") + 3 * WINDOW).alias("n")).alias("c"))
-        .groupBy(F.col("doc_id").alias("c_doc"), F.col("tag").alias("c_tag"))
-        .agg(F.collect_set("c").alias("c"))  # of one document; few windows share a shingle with a licence
+        met.groupBy(F.col("doc_id").alias("c_doc"), F.col("tag").alias("c_tag"))
+        .agg(F.collect_set(F.struct("license", "t", "offset", "flip", "span", "value", "place")).alias("c"))  # of one document; few shingles are a licence's
     )
-    near = (
+    texts = (
         base.withColumn("tag", F.xxhash64("text"))
-        .join(places, same(F.col("doc_id"), F.col("c_doc")) & (F.col("tag") == F.col("c_tag")))
+        .join(places.hint("merge"), same(F.col("doc_id"), F.col("c_doc")) & (F.col("tag") == F.col("c_tag")))
         .select("doc_id", "tag", plain_words(F.col("text")).alias("words"), "c")
-        .select("doc_id", "tag", F.explode(F.expr("transform(c, x -> struct(x.license AS license, x.lo AS lo, slice(words, x.lo + 1, x.n) AS around))")).alias("r"))
+        .select("doc_id", "tag", "words", shingle_hashes("words", SHINGLE).alias("h"), "c")
+    )
+    # The windows of STRIDE that hold the shingle, and whether it is least in them under the band's permutation.
+    begins = f"CASE WHEN x.span = 1 THEN array(x.place) ELSE filter(transform(sequence(0, {WINDOW // STRIDE - 1}), j -> cast(x.place div {STRIDE} * {STRIDE} - j * {STRIDE} AS int)), w -> w >= 0) END"
+    collide = f"exists({begins}, w -> array_min(transform(slice(h, w + 1, x.span), y -> y ^ x.flip)) = x.value ^ x.flip)"
+    lo = f"greatest(x.place - x.offset - {WINDOW}, 0)"
+    near = (
+        texts.select("doc_id", "tag", F.explode(F.expr(f"array_distinct(transform(filter(c, x -> {collide}), x -> struct(x.license AS license, {lo} AS lo, slice(words, {lo} + 1, x.t + {3 * WINDOW}) AS around)))")).alias("r"))
         .select("doc_id", "tag", "r.*")
     )
     spelled = lambda words: F.expr(f"transform(sequence(1, greatest(size({words}) - {SHINGLE - 1}, 1)), i -> array_join(slice({words}, i, {SHINGLE}), ' '))")
