@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from cantata.jobs import score_queries, text_queries
+from cantata.jobs import more_queries, score_queries, text_queries
 
-MODULES = (text_queries, score_queries)
+MODULES = (text_queries, score_queries, more_queries)
 
 
 def queries() -> dict:

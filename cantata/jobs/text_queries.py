@@ -58,6 +58,6 @@ register("format_time", lambda v: v("notes").select("note_key", music.format_tim
     "SELECT note_key, concat(CASE WHEN ms // 60000 < 10 THEN '0' ELSE '' END, ms // 60000, ':', lpad(CAST(ms % 60000 // 1000 AS VARCHAR), 2, '0'), '.', lpad(CAST(ms % 1000 AS VARCHAR), 3, '0')) AS t FROM (SELECT note_key, CAST(floor(start_tick / 960.0 * 1000 + 0.5) AS BIGINT) AS ms FROM notes) x")
 register("format_beats", lambda v: v("notes").select("note_key", music.format_beats(F.col("start_tick")).alias("t")),
     "SELECT note_key, rtrim(rtrim(concat(h // 100, '.', lpad(CAST(h % 100 AS VARCHAR), 2, '0')), '0'), '.') AS t FROM (SELECT note_key, CAST(floor(start_tick / 256.0 * 100 + 0.5) AS BIGINT) AS h FROM notes) x")
-register("suggest_file_name", lambda v: files.suggest_file_name(v("files")), r"SELECT path, concat(trim(regexp_replace(regexp_replace(regexp_replace(path, '\.[^.\\/]*$', ''), '[\\/:*?""<>|]', '_', 'g'), '\s+', ' ', 'g')), '.txt') AS txt_name FROM files".replace('""', '"'))
+register("suggest_file_name", lambda v: files.suggest_file_name(v("files")), r'''SELECT path, concat(trim(regexp_replace(regexp_replace(regexp_replace(path, '\.[^.\\/]*$', ''), '[\\/:*?"<>|]', '_', 'g'), '\s+', ' ', 'g')), '.txt') AS txt_name FROM files''')
 register("file_type_bucket", lambda v: files.file_type_bucket(v("files")),
     "SELECT path, CASE lower(regexp_extract(path, '[^.]*$')) WHEN 'midi' THEN 'mid' WHEN 'mid' THEN 'mid' WHEN 'txt' THEN 'txt' WHEN 'mmi' THEN 'mmi' WHEN 'mml' THEN 'mml' ELSE 'unknown' END AS file_type, CASE WHEN length <= 0 THEN 'unknown' WHEN length < 10240 THEN 'lt_10kb' WHEN length < 102400 THEN 'lt_100kb' WHEN length < 1048576 THEN 'lt_1mb' WHEN length < 10485760 THEN 'lt_10mb' ELSE 'gte_10mb' END AS size_bucket FROM files")

@@ -9,31 +9,34 @@ from pyspark.sql import functions as F
 
 from cantata.operators.tempo import shift_tempo_map, split_notes_at_tempo
 
-ORDER = Window.partitionBy("score_id", "part").orderBy("idx")
 BEAT = 256
 
 
+def _order():
+    return Window.partitionBy("score_id", "part").orderBy("idx")
+
+
 def target_parts(events: DataFrame, parts: Sequence[int] | None = None) -> DataFrame:
     return events if parts is None else events.where(F.col("part").isin(list(parts)))
 
 
 def reposition_events(events: DataFrame) -> DataFrame:
     """Starts as the running sum of the durations before."""
-    before = ORDER.rowsBetween(Window.unboundedPreceding, -1)
+    before = _order().rowsBetween(Window.unboundedPreceding, -1)
     return events.withColumn("start", F.coalesce(F.sum("duration").over(before), F.lit(0)))
 
 
 def merge_rests(events: DataFrame) -> DataFrame:
     """Adjacent rests become one."""
-    joined = (F.col("type") == "rest") & F.coalesce(F.lag("type").over(ORDER) == "rest", F.lit(False))
-    islands = events.withColumn("island", F.sum(F.when(joined, 0).otherwise(1)).over(ORDER))
+    joined = (F.col("type") == "rest") & F.coalesce(F.lag("type").over(_order()) == "rest", F.lit(False))
+    islands = events.withColumn("island", F.sum(F.when(joined, 0).otherwise(1)).over(_order()))
     return islands.groupBy("score_id", "part", "island").agg(F.min("type").alias("type"), F.min("start").alias("start"), F.sum("duration").alias("duration"), F.min("midi").alias("midi"), F.min("volume").alias("volume")).withColumnRenamed("island", "idx")
 
 
 def absorb_short_rests(events: DataFrame, max_units: int = 32, parts: Sequence[int] | None = None) -> DataFrame:
     """Rests of at most max_units after a note join it (extended); a kept rest stops that. Adds extended and removed."""
     short = (F.col("type") == "rest") & (F.col("duration") <= max_units) & (F.lit(True) if parts is None else F.col("part").isin(list(parts)))
-    islands = events.withColumn("short", short).withColumn("island", F.sum(F.when(F.col("short"), 0).otherwise(1)).over(ORDER))
+    islands = events.withColumn("short", short).withColumn("island", F.sum(F.when(F.col("short"), 0).otherwise(1)).over(_order()))
     head = Window.partitionBy("score_id", "part", "island").orderBy("idx")
     islands = islands.withColumn("head", F.first("type").over(head))
     keyed = islands.withColumn("unit", F.when(F.col("head") == "note", F.lit(0).cast("long")).otherwise(F.col("idx")))

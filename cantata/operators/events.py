@@ -6,23 +6,26 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 WHOLE = 1024
-ORDER = Window.partitionBy("score_id", "part").orderBy("tok")
 VALID_LENGTHS = [1, 2, 4, 8, 16, 32, 64]
 
 
+def _order():
+    return Window.partitionBy("score_id", "part").orderBy("tok")
+
+
 def token_state(tokens: DataFrame) -> DataFrame:
     """Adds octave, length_units (default) and volume in force; they begin at O4, L4 and V8.
 
     An octave is the last absolute one and the shifts since: running shifts less those at that point.
     """
-    run = tokens.withColumn("shifts", F.sum(F.when(F.col("kind") == ">", 1).when(F.col("kind") == "<", -1).otherwise(0)).over(ORDER))
-    base = F.last(F.when(F.col("kind") == "O", F.struct(F.col("num").alias("o"), F.col("shifts").alias("s"))), ignorenulls=True).over(ORDER)
+    run = tokens.withColumn("shifts", F.sum(F.when(F.col("kind") == ">", 1).when(F.col("kind") == "<", -1).otherwise(0)).over(_order()))
+    base = F.last(F.when(F.col("kind") == "O", F.struct(F.col("num").alias("o"), F.col("shifts").alias("s"))), ignorenulls=True).over(_order())
     units = F.when((F.col("kind") == "L") & F.col("num").isin(VALID_LENGTHS), _dotted(WHOLE / F.col("num"), F.col("dots")))
     return (
         run.withColumn("base", base)
         .withColumn("octave", F.coalesce(F.col("base.o"), F.lit(4)) + F.col("shifts") - F.coalesce(F.col("base.s"), F.lit(0)))
-        .withColumn("length_units", F.coalesce(F.last(units, ignorenulls=True).over(ORDER), F.lit(256.0)))
-        .withColumn("volume", F.coalesce(F.last(F.when(F.col("kind") == "V", F.col("num")), ignorenulls=True).over(ORDER), F.lit(8)))
+        .withColumn("length_units", F.coalesce(F.last(units, ignorenulls=True).over(_order()), F.lit(256.0)))
+        .withColumn("volume", F.coalesce(F.last(F.when(F.col("kind") == "V", F.col("num")), ignorenulls=True).over(_order()), F.lit(8)))
         .drop("base", "shifts")
     )
 
@@ -47,7 +50,7 @@ def token_pitch(tokens: DataFrame) -> DataFrame:
 def timed(tokens: DataFrame) -> DataFrame:
     """Tokens with state, duration, pitch and start: the sum of durations before."""
     full = token_pitch(token_durations(token_state(tokens)))
-    return full.withColumn("start", F.coalesce(F.sum("duration").over(ORDER.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
+    return full.withColumn("start", F.coalesce(F.sum("duration").over(_order().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
 
 
 def part_events(tokens: DataFrame) -> DataFrame:
@@ -57,9 +60,9 @@ def part_events(tokens: DataFrame) -> DataFrame:
 
 def merge_ties(tokens: DataFrame) -> DataFrame:
     """Events of equal pitch bound by & become one, with the volume of the first; & binds the next note, whatever commands stand between."""
-    marks = timed(tokens).withColumn("ties", F.sum(F.when(F.col("kind") == "&", 1).otherwise(0)).over(ORDER)).where(F.col("kind").isin("note", "rest", "N"))
-    tied = (F.col("ties") > F.lag("ties", 1, 0).over(ORDER)) & F.lag("tok").over(ORDER).isNotNull() & F.lag("midi").over(ORDER).eqNullSafe(F.col("midi"))
-    islands = marks.withColumn("head", F.when(tied, 0).otherwise(1)).withColumn("island", F.sum("head").over(ORDER))
+    marks = timed(tokens).withColumn("ties", F.sum(F.when(F.col("kind") == "&", 1).otherwise(0)).over(_order())).where(F.col("kind").isin("note", "rest", "N"))
+    tied = (F.col("ties") > F.lag("ties", 1, 0).over(_order())) & F.lag("tok").over(_order()).isNotNull() & F.lag("midi").over(_order()).eqNullSafe(F.col("midi"))
+    islands = marks.withColumn("head", F.when(tied, 0).otherwise(1)).withColumn("island", F.sum("head").over(_order()))
     return islands.groupBy("score_id", "part", "island").agg(
         F.min("start").alias("start"), F.sum("duration").alias("duration"), F.max("midi").alias("midi"), F.min_by("volume", "tok").alias("volume")
     ).select("score_id", "part", F.col("island").alias("idx"), F.when(F.col("midi").isNull(), "rest").otherwise("note").alias("type"), "start", "duration", "midi", "volume")
@@ -68,14 +71,14 @@ def merge_ties(tokens: DataFrame) -> DataFrame:
 def tempo_events_from_parts(tokens: DataFrame) -> DataFrame:
     """(score_id, pos, bpm, part, ord) of all tempo codes; ord counts them in their part."""
     t = timed(tokens).where("kind = 'T' AND num IS NOT NULL")
-    return t.select("score_id", F.col("start").cast("long").alias("pos"), F.col("num").alias("bpm"), "part", (F.row_number().over(ORDER) - 1).cast("long").alias("ord"))
+    return t.select("score_id", F.col("start").cast("long").alias("pos"), F.col("num").alias("bpm"), "part", (F.row_number().over(_order()) - 1).cast("long").alias("ord"))
 
 
 def parse_errors(tokens: DataFrame) -> DataFrame:
     """(score_id, part, tok, code): the first error of each part that has one."""
-    full = timed(tokens).withColumn("ties", F.sum(F.when(F.col("kind") == "&", 1).otherwise(0)).over(ORDER))
+    full = timed(tokens).withColumn("ties", F.sum(F.when(F.col("kind") == "&", 1).otherwise(0)).over(_order()))
     sounding = F.col("kind").isin("note", "rest", "N")
-    before = ORDER.rowsBetween(Window.unboundedPreceding, -1)
+    before = _order().rowsBetween(Window.unboundedPreceding, -1)
     full = full.withColumn("prior", F.last(F.when(sounding, F.struct("midi", "ties")), ignorenulls=True).over(before)).withColumn("last", F.max(F.when(sounding, F.col("tok"))).over(Window.partitionBy("score_id", "part")))
     open_ = F.coalesce(F.col("prior.ties"), F.lit(0))
     num, kind = F.col("num"), F.col("kind")
