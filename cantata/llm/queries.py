@@ -87,5 +87,36 @@ FROM d WINDOW g AS (PARTITION BY n ORDER BY length(t) DESC, doc_id)
 """
 
 
+def _deal_sql(name: str, source: str, parent: str, child: str) -> str:
+    """SQL of mixing's division of a pot over children, as common tables that end in ``name``."""
+    p = f"PARTITION BY {parent}"
+    return f"""{name}_a AS (SELECT *, coalesce(sum(cap) OVER ({p} ORDER BY cap / w, {child} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS caps, sum(w) OVER ({p} ORDER BY cap / w, {child} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS w_left FROM {source}),
+{name}_b AS (SELECT *, cap * w_left <= (pot - caps) * w AS full_ FROM {name}_a),
+{name}_c AS (SELECT *, coalesce(sum(CASE WHEN full_ THEN cap END) OVER ({p}), 0) AS taken, coalesce(sum(CASE WHEN NOT full_ THEN w END) OVER ({p}), 0) AS w_rest FROM {name}_b),
+{name}_d AS (SELECT *, CASE WHEN full_ THEN cap ELSE w * (pot - taken) // w_rest END AS bud FROM {name}_c),
+{name}_e AS (SELECT *, least(pot, sum(cap) OVER ({p})) - sum(bud) OVER ({p}) AS left_, row_number() OVER ({p}, full_ ORDER BY {child}) AS rn FROM {name}_d),
+{name} AS (SELECT *, bud + CASE WHEN NOT full_ AND rn <= left_ THEN least(1, cap - bud) ELSE 0 END AS budget FROM {name}_e)"""
+
+
+def _weights_sql(column: str, weights: dict[str, int]) -> str:
+    return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN {w}" for k, w in weights.items()) + " ELSE 1 END"
+
+
+OP1_SQL = f"""
+WITH d AS (SELECT doc_id, CASE CAST(regexp_extract(source, '([0-9]{{1,6}})$', 1) AS INT) % 4 WHEN 1 THEN 'books' WHEN 3 THEN 'code' ELSE 'web' END AS domain, lang, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS n FROM documents),
+leaf AS (SELECT domain, lang, source, CAST(sum(n) AS BIGINT) AS tokens, CAST(sum(n) AS BIGINT) * {mixing.MAX_EPOCHS} AS cap FROM d WHERE n > 0 GROUP BY ALL),
+n1 AS (SELECT 0 AS root, domain, CAST(sum(cap) AS BIGINT) AS cap, {_weights_sql("domain", mixing.WEIGHTS)} AS w, (SELECT CAST(sum(tokens) AS BIGINT) FROM leaf) * {round(mixing.SHARE * 1000)} // 1000 AS pot FROM leaf GROUP BY domain),
+{_deal_sql("top1", "n1", "root", "domain")},
+n2 AS (SELECT l.domain, lang, CAST(sum(l.cap) AS BIGINT) AS cap, {_weights_sql("lang", mixing.LANG_WEIGHTS)} AS w, any_value(budget) AS pot FROM leaf l JOIN top1 t ON l.domain = t.domain GROUP BY l.domain, lang),
+{_deal_sql("mid1", "n2", "domain", "lang")},
+n3 AS (SELECT l.domain, l.lang, l.source, l.tokens, l.cap, 1 AS w, m.budget AS pot FROM leaf l JOIN mid1 m ON l.domain = m.domain AND l.lang IS NOT DISTINCT FROM m.lang),
+{_deal_sql("low1", "n3", "domain, lang", "source")},
+plan AS (SELECT domain, lang, source, CAST(budget // tokens AS BIGINT) AS whole, budget % tokens AS part FROM low1),
+ranked AS (SELECT d.*, whole, part, md5(concat_ws('|', '{mixing.SEED}', CAST(whole AS VARCHAR), coalesce(CAST(doc_id AS VARCHAR), ''))) AS rank FROM d JOIN plan p ON d.domain = p.domain AND d.lang IS NOT DISTINCT FROM p.lang AND d.source IS NOT DISTINCT FROM p.source WHERE n > 0),
+cut AS (SELECT *, sum(n) OVER (PARTITION BY domain, lang, source ORDER BY rank, doc_id) AS upto FROM ranked)
+SELECT doc_id, domain, lang, source, n AS n_tokens, whole + CASE WHEN upto <= part THEN 1 ELSE 0 END AS epochs FROM cut WHERE whole + CASE WHEN upto <= part THEN 1 ELSE 0 END > 0
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": OP2_SQL, "op5_exact_dedup": OP5_SQL}
+    return {"op1_mixing": OP1_SQL, "op2_decontamination": OP2_SQL, "op5_exact_dedup": OP5_SQL}
