@@ -98,7 +98,8 @@ def oracle(sql: str) -> str:
     if not order:
         return body
     views = ", ".join(f"{n} AS ({duck_sql(VIEWS[n])})" for n in order)
-    return f"WITH {views}, {body.strip()[5:]}" if body.strip().upper().startswith("WITH ") else f"WITH {views} {body}"
+    recursive = "RECURSIVE " * ("UNION ALL" in body and bool(re.match(r"\s*WITH \w+\(", body)))
+    return f"WITH {recursive}{views}, {body.strip()[5:]}" if body.strip().upper().startswith("WITH ") else f"WITH {views} {body}"
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -72,7 +72,11 @@ groups_ AS (SELECT *, concat({PITCH.format('min_midi')}, '~', {PITCH.format('max
 CHOICES = GROUPS + """, pc AS (SELECT score_id, choice_id, program, sum(note_count) AS n FROM groups_ GROUP BY ALL), top AS (SELECT score_id, choice_id, program FROM (SELECT *, row_number() OVER (PARTITION BY score_id, choice_id ORDER BY n DESC, program) AS rn FROM pc) x WHERE rn = 1),
 choices AS (SELECT g.score_id, g.choice_id, CAST(sum(note_count) AS BIGINT) AS note_count, CAST(sum(duplicates) AS BIGINT) AS duplicates, min(min_midi) AS min_midi, max(max_midi) AS max_midi, min(instrument_name) AS instrument_name, min(is_beat) AS is_beat, min(t.program) AS program, string_agg(group_id, ',' ORDER BY group_id) AS source_group_ids FROM groups_ g JOIN top t ON g.score_id = t.score_id AND g.choice_id = t.choice_id GROUP BY g.score_id, g.choice_id)"""
 CATEGORY = """CASE WHEN is_beat THEN 'beat' WHEN program BETWEEN 0 AND 7 OR program BETWEEN 16 AND 20 OR program IN (21, 23) THEN 'keyboard' WHEN program BETWEEN 24 AND 46 OR program BETWEEN 48 AND 51 OR program BETWEEN 104 AND 107 OR program = 110 THEN 'strings'
- WHEN program = 22 OR program BETWEEN 56 AND 79 OR program IN (109, 111) THEN 'winds' WHEN program BETWEEN 8 AND 15 OR program IN (47, 108) OR program BETWEEN 112 AND 119 THEN 'percussion' ELSE 'other' END"""
+ WHEN program = 22 OR program BETWEEN 56 AND 79 OR program IN (109, 111) THEN 'winds' WHEN program BETWEEN 8 AND 15 OR program IN (47, 108) OR program BETWEEN 112 AND 119 THEN 'percussion'
+ WHEN regexp_matches(lower(instrument_name), '(piano|keyboard|organ|harpsichord|clavinet|clavi|accordion)') THEN 'keyboard'
+ WHEN regexp_matches(lower(instrument_name), '(bassoon|trumpet|trombone|tuba|horn|brass|sax|oboe|clarinet|piccolo|flute|recorder|pipe|whistle|ocarina|harmonica|shanai|bagpipe|bag pipe)') THEN 'winds'
+ WHEN regexp_matches(lower(instrument_name), '(guitar|\\bbass\\b|violin|viola|cello|contrabass|string|harp|sitar|banjo|shamisen|koto|fiddle)') THEN 'strings'
+ WHEN regexp_matches(lower(instrument_name), '(celesta|glockenspiel|music box|vibraphone|marimba|xylophone|bell|dulcimer|kalimba|timpani|agogo|steel drums|woodblock|taiko|tom|drum|cymbal)') THEN 'percussion' ELSE 'other' END"""
 
 
 def groups(v) -> DataFrame:
@@ -88,8 +92,8 @@ register("range_text", lambda v: groups(v).select("score_id", "group_id", "range
 register("instrument_choice_id", lambda v: groups(v).select("score_id", "group_id", "choice_id"), f"WITH {GROUPS} SELECT score_id, group_id, choice_id FROM groups_")
 register("dup_stats", lambda v: stats.dup_stats(grid(v)), f"WITH {CELLS} SELECT score_id, group_id, midi, sg AS start_grid, end_grid, n FROM cells WHERE n > 1")
 register("instrument_choices", choices, f"WITH {CHOICES} SELECT * FROM choices")
-register("instrument_category", lambda v: stats.instrument_category(choices(v)).select("score_id", "choice_id", "category"), None)
-register("category_counts", lambda v: stats.category_counts(stats.instrument_category(choices(v))), None)
+register("instrument_category", lambda v: stats.instrument_category(choices(v)).select("score_id", "choice_id", "category"), f"WITH {CHOICES} SELECT score_id, choice_id, {CATEGORY} AS category FROM choices")
+register("category_counts", lambda v: stats.category_counts(stats.instrument_category(choices(v))), f"WITH {CHOICES} SELECT score_id, category, count(*) AS n FROM (SELECT score_id, {CATEGORY} AS category FROM choices) x GROUP BY GROUPING SETS ((score_id, category), (score_id))")
 register("top_choice_per_file", lambda v: stats.top_choice_per_file(choices(v)), f"WITH {CHOICES} SELECT score_id, choice_id, rn FROM (SELECT score_id, choice_id, CAST(row_number() OVER (PARTITION BY score_id ORDER BY is_beat, instrument_name, choice_id) AS INT) AS rn FROM choices) x WHERE rn <= 3")
 register("note_order", lambda v: stats.note_order(grid(v)), f"WITH {GRID} SELECT score_id, note_key, CAST(row_number() OVER (PARTITION BY score_id ORDER BY sg, midi DESC, velocity DESC, note_key) AS INT) AS rn FROM grid")
 register("filter_selected", lambda v: messages.filter_selected(grid(v).join(groups(v).select("score_id", "group_id", "choice_id"), ["score_id", "group_id"]), choices(v).where("note_count >= 7").groupBy("score_id").agg(F.collect_list("choice_id").alias("selected"))).select("note_key"),
@@ -217,7 +221,9 @@ register("edit_summary", lambda v: edits.edit_summary(edits.adjust_volumes(v("pa
 TRIM = "f AS (SELECT score_id, min(start) AS cut FROM part_events WHERE type = 'note' GROUP BY score_id), tr AS (SELECT e.score_id, part, idx, type, greatest(0, start - cut) AS start, least(duration, start + duration - cut) AS duration, midi, volume FROM part_events e JOIN f ON e.score_id = f.score_id WHERE start + duration > cut)"
 register("trim_leading_silence", lambda v: edits.trim_leading_silence(v("part_events"), tmap(v))[0].select(*COLS.split(", ")), f"WITH {TRIM} SELECT {COLS} FROM tr")
 register("add_leading_silence", lambda v: edits.add_leading_silence(v("part_events"), tmap(v))[0].select(*COLS.split(", ")), f"WITH {TRIM} SELECT score_id, part, idx + 1 AS idx, type, start + 2048 AS start, duration, midi, volume FROM tr UNION ALL SELECT DISTINCT score_id, part, 0, 'rest', 0, 2048, NULL::INT, NULL::INT FROM tr")
-register("move_tempo_to_lead_part", lambda v: edits.move_tempo_to_lead_part(v("part_events"), tmap(v)))
+register("move_tempo_to_lead_part", lambda v: edits.move_tempo_to_lead_part(v("part_events"), tmap(v)), f"""WITH {SPLIT}, en AS (SELECT p.score_id, max(start + duration) AS fin, max(idx) AS last_ FROM part_events p WHERE part = 0 GROUP BY p.score_id), lt AS (SELECT score_id, max(pos) AS pos FROM tm GROUP BY score_id)
+  SELECT *, piece > 0 AND type = 'note' AS tie_from_prev FROM pieces WHERE part = 0 UNION ALL SELECT en.score_id, 0, last_ + 1, 0, 'rest', fin, pos - fin, NULL, NULL, NULL, false FROM en JOIN lt ON en.score_id = lt.score_id WHERE pos > fin
+  UNION ALL SELECT score_id, part, idx, 0, type, start, duration, midi, volume, NULL, false FROM part_events WHERE part <> 0""")
 register("saved_chars", lambda v: edits.saved_chars(v("parts"), v("parts").where("part < 3")), "SELECT score_id, CAST(sum(CASE WHEN part < 3 THEN 0 ELSE length(part_text) END) AS BIGINT) AS saved FROM parts GROUP BY score_id")
 
 # Rendering -------------------------------------------------------------------------------
@@ -227,7 +233,11 @@ def table(v) -> DataFrame:
     return render.shortest_duration_table(v("part_events").select(F.col("duration").alias("units")))
 
 
-register("grid_duration_tokens", lambda v: render.grid_duration_tokens(v("part_events")).select("score_id", "part", "idx", "text"))
+register("grid_duration_tokens", lambda v: render.grid_duration_tokens(v("part_events")).select("score_id", "part", "idx", "text"), """WITH RECURSIVE g(score_id, part, idx, rest_, name, left_, txt) AS (
+  SELECT score_id, part, idx, type = 'rest', CASE WHEN type = 'rest' THEN 'r' ELSE (['c','c+','d','d+','e','f','f+','g','g+','a','a+','b'])[midi % 12 + 1] END, CAST(floor(duration / 16.0 + 0.5) AS BIGINT), '' FROM part_events
+  UNION ALL SELECT score_id, part, idx, rest_, name, left_ - u, concat(txt, CASE WHEN txt = '' OR rest_ THEN '' ELSE '&' END, name, t) FROM (SELECT *, CASE WHEN left_ >= 64 THEN 64 WHEN left_ >= 48 THEN 48 WHEN left_ >= 32 THEN 32 WHEN left_ >= 24 THEN 24 WHEN left_ >= 16 THEN 16 WHEN left_ >= 12 THEN 12 WHEN left_ >= 8 THEN 8 WHEN left_ >= 6 THEN 6 WHEN left_ >= 4 THEN 4 ELSE left_ END AS u FROM g WHERE left_ > 0) a
+    JOIN (SELECT unnest([64, 48, 32, 24, 16, 12, 8, 6, 4, 3, 2, 1]) AS u2, unnest(['1', '2.', '2', '4.', '4', '8.', '8', '16.', '16', '32.', '32', '64']) AS t) b ON u = u2)
+  SELECT score_id, part, idx, txt AS text FROM g WHERE left_ = 0""".replace("WITH RECURSIVE", "WITH"))
 register("shortest_duration_table", table)
 register("choose_default_length", lambda v: render.choose_default_length(v("part_events"), table(v)))
 register("pitch_commands", lambda v: render.pitch_commands(v("part_events")).select("score_id", "part", "idx", "prefix"), """SELECT score_id, part, idx, concat(CASE WHEN lv IS NULL OR lv = volume THEN '' ELSE concat('V', volume) END, CASE WHEN lo IS NULL OR lo = o THEN '' WHEN abs(o - lo) <= 2 THEN repeat(CASE WHEN o > lo THEN '>' ELSE '<' END, abs(o - lo)) ELSE concat('O', o) END) AS prefix
