@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cantata.jobs.fixtures import oracle, view
-from cantata.jobs.score_queries import choices, grid
+from cantata.jobs.score_queries import STEPS, choices, grid
 from cantata.operators import imports, playback, voices
 from cantata.streaming import events as streams
 
@@ -81,7 +81,8 @@ def zones(v) -> DataFrame:
     return playback.expand_preset_zones(phdr, bag, gen("instrument"), p.select(F.col("k").alias("idx"), (F.col("k") * 2).alias("bag")), bag, gen("sample_id"))
 
 
-register("expand_preset_zones", zones)
+register("expand_preset_zones", zones, """SELECT 0 AS bank, CAST(p_partkey % 128 AS INT) AS preset, CAST(row_number() OVER (PARTITION BY p_partkey % 128 ORDER BY p_partkey) - 1 AS INT) AS region_idx, CAST(p_size % 40 AS INT) AS key_lo, 100 AS key_hi, 0 AS vel_lo, 127 AS vel_hi,
+  CAST(2 * p_size AS INT) AS attenuation, 0 AS coarse_tune, 0 AS fine_tune, CAST(NULL AS INT) AS root_key, 0 AS sample_modes, CAST(p_partkey AS INT) AS sample_id FROM part WHERE p_partkey < (SELECT max(p_partkey) FROM part)""")
 
 # Telemetry and streams -------------------------------------------------------------------
 
@@ -105,7 +106,7 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = streams.normalize_events(_stream(spark, sf_dir).select("ts", F.col("event_type").alias("name"), F.create_map(F.lit("p"), "props").alias("params")))
-    return streams.run_available(streams.stream_event_counts(named), "append")
+    return streams.run_available(streams.stream_event_counts(named), "append").withColumn("window_start", F.unix_micros("window_start"))
 
 
 def stream_pair_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,3 +131,6 @@ def stream_late_clamp(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES |= {"stream_event_counts": stream_event_counts, "stream_pair_notes": stream_pair_notes, "stream_lookahead": stream_lookahead, "stream_late_clamp": stream_late_clamp}
 ORACLES["stream_lookahead"] = "SELECT event_id AS id, (epoch_us(ts) // 80000 + 1) * 80000 - 1600000 AS due_us FROM events"
 ORACLES["stream_late_clamp"] = "SELECT event_id AS id, greatest(epoch_us(ts), epoch_us(TIMESTAMP '2024-01-10 00:00:00') + 50000) AS due_us FROM events"
+ORACLES["stream_event_counts"] = """SELECT window_start, name, count(*) AS n FROM (SELECT epoch_us(time_bucket(INTERVAL '10 minutes', ts)) AS window_start, event_type AS name FROM events) x
+  WHERE window_start + 600000000 <= (SELECT epoch_us(max(ts)) // 1000 * 1000 - 1800000000 FROM events) GROUP BY window_start, name"""
+ORACLES["stream_pair_notes"] = oracle(f"WITH {STEPS} SELECT a.score_id, a.track, a.channel, a.d1 AS midi, a.tick AS start_tick, b.tick AS end_tick, a.d2 AS velocity FROM clean a JOIN clean b ON a.score_id = b.score_id AND a.track = b.track AND a.channel = b.channel AND a.d1 = b.d1 AND a.k = b.k WHERE a.step = 1 AND b.step = -1 AND b.tick > a.tick")
