@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from cantata.llm.common import PLAIN_WORD_ANY_CASE, plain_words, same, shingle_hashes, staged
 
 WINDOW, SHINGLE = 13, 5
+#: Stands for the end of a text among the hashes of its shingles; a shingle of this hash is told apart by its position.
+END = 0
 
 
 def item_windows(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
@@ -38,8 +40,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     whole = windows.select("wtext", "len").distinct().withColumn("words", F.split("wtext", " "))
     lengths = [r[0] for r in whole.select(F.least("len", F.lit(shingle)).alias("k")).distinct().collect()]  # at most `shingle` numbers
     base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    counts = base.select("doc_id", F.xxhash64("text").alias("tag"), F.regexp_count("text", F.lit(PLAIN_WORD_ANY_CASE)).cast("long").alias("n_words"))
     if not lengths:
+        counts = base.select("doc_id", F.xxhash64("text").alias("tag"), F.regexp_count("text", F.lit(PLAIN_WORD_ANY_CASE)).cast("long").alias("n_words"))
         return counts.select("*", F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("item_ids"), F.lit(0).cast("long").alias("n_items"))
 
     tokens = None
@@ -51,9 +53,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     worded = base.select("doc_id", F.xxhash64("text").alias("tag"), plain_words(F.col("text")).alias("words"))
     hits = None
     for k in lengths:
-        some = worded.select("doc_id", "tag", F.size("words").alias("n"), F.posexplode(shingle_hashes("words", k)).alias("pos", "h"))
+        hashes = shingle_hashes("words", k)
+        if hits is None:  # a last row of each text, at position -1 once named, brings its number of words along
+            hashes = F.concat(hashes, F.array(F.lit(END).cast("bigint")))
+        some = worded.select("doc_id", "tag", F.size("words").alias("n"), F.posexplode(hashes).alias("pos", "h"))
+        if hits is None:
+            some = some.withColumn("pos", F.when(F.col("pos") == F.greatest(F.col("n") - (k - 1), F.lit(0)), -1).otherwise(F.col("pos")))
         hits = some if hits is None else hits.unionByName(some)
-    hits = staged(hits.join(tokens.select("h").distinct(), "h"))
+    wanted = tokens.select("h").union(docs.sparkSession.range(1).select(F.lit(END).cast("bigint").alias("h"))).distinct()
+    kept = staged(hits.join(staged(wanted), "h"))
+    counts = kept.where("pos = -1").select("doc_id", "tag", F.col("n").cast("long").alias("n_words"))
+    hits = kept.where("pos >= 0")
 
     frequency = hits.groupBy("h").agg(F.count("*").alias("df"))
     prefix = staged(
@@ -73,7 +83,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     candidates = staged(candidates.select(F.col("doc_id").alias("c_doc"), F.col("tag").alias("c_tag"), "c"))
     found = (
         base.withColumn("tag", F.xxhash64("text"))
-        .join(candidates, same(F.col("doc_id"), F.col("c_doc")) & (F.col("tag") == F.col("c_tag")))
+        .join(candidates.hint("merge"), same(F.col("doc_id"), F.col("c_doc")) & (F.col("tag") == F.col("c_tag")))
         .select("doc_id", "tag", plain_words(F.col("text")).alias("words"), "c")
         .select("doc_id", "tag", F.expr("array_sort(filter(c, x -> array_join(slice(words, x.start + 1, x.len), ' ') = x.wtext))").alias("c"))
         .dropDuplicates(["doc_id", "tag"])
