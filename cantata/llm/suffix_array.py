@@ -5,7 +5,8 @@ Sampled splitters range-partition them by their anchor's leading bytes; equal le
 fall into one bucket, so no match lies across a boundary. In a bucket, each anchor's
 suffixes are sorted by multikey quicksort over 8-byte characters: only suffixes equal so far
 are compared on the next character. Neighbours that agree on the whole window are one
-group, whose least doc_id keeps the bytes.
+group, whose least doc_id keeps the bytes. Anchors of many segments are not sorted in one
+bucket: their windows are aggregated instead (see repeats).
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from cantata.llm.common import python_batches
-from cantata.llm.repeats import Shape, removed_tokens, with_runs
+from cantata.llm.repeats import MANY, Shape, removed_tokens, with_runs
 
 BYTES = Shape(window=50, gram=25, words=False)
 
@@ -74,7 +75,7 @@ def _trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, y) for c, y in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", many: int = MANY) -> DataFrame:
     """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (bytes).
 
     A byte goes if a window of 50 bytes that covers it also starts in a smaller doc_id. Null texts
@@ -82,5 +83,5 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     null doc_id keep all their bytes and are no reference. Other columns are not read.
     """
     python_batches(docs.sparkSession)
-    found = with_runs(docs, BYTES, resolve, True, id_col, text_col)
+    found = with_runs(docs, BYTES, resolve, True, id_col, text_col, many)
     return found.mapInArrow(_trimmed, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")

@@ -7,6 +7,7 @@ reaches the window's length, the state of that length knows the least doc_id tha
 
 Broadcasting automata of all documents would broadcast the corpus. So shards are not
 broadcast: an anchor's segments and the automaton that can match them go to the same task.
+Anchors of many segments get no automaton: their windows are aggregated instead (see repeats).
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from cantata.llm.common import python_batches
-from cantata.llm.repeats import Shape, removed_tokens, with_runs
+from cantata.llm.repeats import MANY, Shape, removed_tokens, with_runs
 
 WORDS = Shape(window=50, gram=25, words=True)
 
@@ -111,7 +112,7 @@ def _trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, y) for c, y in zip(out, (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True))], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", many: int = MANY) -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_removed, kept_sha256, kept (words joined by spaces).
 
     A word goes if a window of 50 words that covers it also starts in a smaller doc_id. Null texts
@@ -119,5 +120,5 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     a null doc_id keep all words and are no reference. Other columns are not read.
     """
     python_batches(docs.sparkSession)
-    found = with_runs(docs, WORDS, resolve, False, id_col, text_col)
+    found = with_runs(docs, WORDS, resolve, False, id_col, text_col, many)
     return found.mapInArrow(_trimmed, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept string")

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cantata.llm import decontaminate, exact_dedup, licenses, mixing, pii, quality_crf, simhash, suffix_array, suffix_automata, url_templates
+from cantata.llm import decontaminate, exact_dedup, licenses, mixing, pii, quality_crf, repeats, simhash, suffix_array, suffix_automata, url_templates
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, tag string, kept string, name string"
 
@@ -68,6 +68,40 @@ def test_words_against_brute_force(docs, texts):
         assert (row["n_words"], row["n_removed"], row["kept_sha256"]) == (len(t), sum(gone), hashlib.sha256(kept).hexdigest()), row["doc_id"]
 
 
+@pytest.mark.parametrize("op, length, tokens_of", [(suffix_array, "n_bytes", lambda t: list((t or "").encode())), (suffix_automata, "n_words", words_of)])
+def test_anchors_of_many_segments(docs, texts, op, length, tokens_of):
+    want = {k: (len(t), sum(gone), [x for x, g in zip(t, gone, strict=True) if not g]) for k, (t, gone) in removed(texts, tokens_of).items()}
+    rows = op.substring_dedup(docs, many=1).collect()
+    assert len(rows) == len(texts) + 1
+    for row in rows:
+        n, n_gone, kept = want[row["doc_id"]]
+        kept = b" ".join(kept) if op is suffix_automata else bytes(kept)
+        assert (row[length], row["n_removed"], row["kept_sha256"]) == (n, n_gone, hashlib.sha256(kept).hexdigest()), row["doc_id"]
+
+
+@pytest.mark.parametrize("op, shape, by_range", [(suffix_array, suffix_array.BYTES, True), (suffix_automata, suffix_automata.WORDS, False)])
+def test_no_task_takes_a_notice_of_all_documents(spark, op, shape, by_range):
+    r = random.Random(9)
+    say = lambda n: " ".join("".join(r.choice("abcdef") for _ in range(6)) for _ in range(n))
+    notice = say(60)
+    texts = {k: f"{say(40)} {notice} {say(40)}" for k in range(1, 1201)}
+    most, solve = 1000, op.resolve
+
+    def resolve(contents, leads, least):
+        if len(contents) > most:
+            raise ValueError(f"{len(contents)} segments in one task")
+        return solve(contents, leads, least)
+
+    df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    runs = {x["doc_id"]: x["runs"] for x in repeats.with_runs(df, shape, resolve, by_range).collect()}
+    tokens_of = words_of if shape.words else lambda t: list(t.encode())
+    for k, (t, gone) in removed(texts, tokens_of).items():
+        mine = [False] * len(t)
+        for a, b in repeats.removed_tokens(runs[k], shape.window):
+            mine[a:b] = [True] * (b - a)
+        assert mine == gone, k
+
+
 def test_exact_dedup(docs, texts):
     same = {}
     for k, t in texts.items():
