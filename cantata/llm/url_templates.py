@@ -1,8 +1,9 @@
 """URL filter: rules first, then path templates judged by smoothed labelled purity.
 
 Per host, the path's segments form a tree of templates: a segment that is a number, a
-hexadecimal run or mixes letters and digits becomes a wildcard, and so does any segment
-whose parent has more distinct children than ``max_children``. The URLs that a rule decides
+hexadecimal run or mixes letters and digits becomes a wildcard. So does any other segment that
+fewer than ``support`` URLs have, unless its share of blocked labels differs from its siblings'
+(two-proportion z of ``z``). Trees are as deep as their paths. The URLs that a rule decides
 are the labels. A branch whose share of blocked labels does not differ from its parent's
 (two-proportion z below ``z``) is merged into the parent; others are judged by their own
 share, smoothed towards the parent's. A template is rejected when the share exceeds
@@ -14,12 +15,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cantata.llm.common import same, staged
+from cantata.llm.common import staged
 
 #: The contract's rules: host (with its subdomains), path prefix, verdict. Fixed values.
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 WILD = r"^(?:[0-9]+|[0-9a-fA-F]{8,}|(?=.*[0-9])(?=.*[A-Za-z])[A-Za-z0-9_-]+)(\.[A-Za-z]+)?$"
-DEPTH, MAX_CHILDREN, SMOOTHING, Z, REJECT = 3, 50, 2, 1.96, 0.5
+SUPPORT, SMOOTHING, Z, REJECT = 20, 2, 1.96, 0.5
 
 
 def host_of(url: Column) -> Column:
@@ -40,7 +41,7 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]], what:
     return out
 
 
-def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, id_col: str = "page_id", url_col: str = "url", depth: int = DEPTH, max_children: int = MAX_CHILDREN, smoothing: int = SMOOTHING, z: float = Z, reject: float = REJECT) -> DataFrame:
+def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, id_col: str = "page_id", url_col: str = "url", support: int = SUPPORT, smoothing: int = SMOOTHING, z: float = Z, reject: float = REJECT) -> DataFrame:
     """One row per row of pages: page_id, host, path, rule, template, verdict.
 
     A null url, or one without ``://``, has an empty host and path and is judged as the host ''.
@@ -49,32 +50,28 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, id_c
     base = pages.select(F.col(id_col).alias("page_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
     base = base.select("*", rule_of(F.col("host"), F.col("path"), rules, 0).alias("rule"), rule_of(F.col("host"), F.col("path"), rules, 1).alias("ruled"))
     parts = F.filter(F.split("path", "/"), lambda s: s != "")
-    made = F.transform(F.slice(parts, 1, depth), lambda s: F.when(s.rlike(WILD), F.concat(F.lit("*"), F.regexp_extract(s, WILD, 1))).otherwise(s))
+    made = F.transform(parts, lambda s: F.when(s.rlike(WILD), F.concat(F.lit("*"), F.regexp_extract(s, WILD, 1))).otherwise(s))
     tree = base.select("*", made.alias("seg"))
-    wide = None
-    for d in range(1, depth + 1):  # parents with too many children, from the root down: their children become wildcards
-        parent = F.array_join(F.slice("seg", 1, d - 1), "/")
-        kids = tree.where(F.size("seg") >= d).groupBy("host", parent.alias("parent"), F.get("seg", F.lit(d - 1)).alias("kid")).agg(F.lit(1).alias("one"))
-        wide = staged(kids.groupBy("host", "parent").agg(F.count("*").alias("n")).where(F.col("n") > max_children).select(F.col("host").alias("w_host"), F.col("parent").alias("w_parent")))
-        tree = tree.join(wide, (tree["host"] == wide["w_host"]) & (parent == wide["w_parent"]), "left")
-        star = F.transform("seg", lambda s, i: F.when(F.col("w_host").isNotNull() & (i == d - 1), F.lit("*")).otherwise(s))
-        tree = tree.withColumn("seg", star).drop("w_host", "w_parent")
-    tree = tree.withColumn("template", F.concat(F.lit("/"), F.array_join("seg", "/")))
-    leaves = staged(tree.groupBy("host", "seg", "template").agg(F.count("ruled").alias("n"), F.count_if(F.col("ruled") == "block").alias("bad")))
+    leaves = staged(tree.groupBy("host", "seg").agg(F.count("*").alias("c"), F.count("ruled").alias("n"), F.count_if(F.col("ruled") == "block").alias("bad")))
 
-    # Shares from the root down: all hosts, the host, then each depth of the tree.
-    n0, bad0 = leaves.agg(F.sum("n"), F.sum("bad")).first()
-    judged = leaves.withColumn("share", F.lit(((bad0 or 0) + 0.5) / ((n0 or 0) + 2)))
-    for d in range(depth + 1):
-        keys = ["host"] if d == 0 else ["host", "node"]
-        node = F.array_join(F.slice("seg", 1, d), "/")
-        at = leaves.select("host", node.alias("node"), "n", "bad").groupBy(*keys).agg(F.sum("n").alias("n_d"), F.sum("bad").alias("bad_d"))
-        at = at.select(*[F.col(k).alias(f"k_{k}") for k in keys], "n_d", "bad_d")
-        on = judged["host"] == at["k_host"]
-        judged = judged.join(at, on if d == 0 else on & (node == at["k_node"])).drop("k_host", "k_node")
-        differs = F.expr(f"n_d > 0 AND abs(bad_d / n_d - share) > {z} * sqrt(share * (1 - share) / n_d)")
-        judged = judged.withColumn("share", F.when(differs, F.expr(f"(bad_d + {smoothing} * share) / (n_d + {smoothing})")).otherwise(F.col("share"))).drop("n_d", "bad_d")
-    verdicts = staged(judged.select(F.col("host").alias("v_host"), F.col("template").alias("v_template"), F.col("share")))
-    out = tree.join(verdicts, same(tree["host"], verdicts["v_host"]) & (tree["template"] == verdicts["v_template"]), "left")
+    # Shares from the root down: all hosts, the host, then each depth of the tree, until no path is deeper.
+    deepest, n0, bad0 = leaves.agg(F.max(F.size("seg")), F.sum("n"), F.sum("bad")).first()
+    share = F.when(F.expr(f"n > 0 AND abs(bad / n - share) > {z} * sqrt(share * (1 - share) / n)"), F.expr(f"(bad + {smoothing} * share) / (n + {smoothing})")).otherwise(F.col("share"))
+    hosts = leaves.groupBy("host").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).withColumn("share", F.lit(((bad0 or 0) + 0.5) / ((n0 or 0) + 2)))
+    judged = staged(leaves.join(hosts.select("host", share.alias("share")), "host").withColumn("node", F.lit("")))
+    for d in range(1, (deepest or 0) + 1):
+        kid = F.get("seg", F.lit(d - 1))
+        kids = judged.where(F.size("seg") >= d).groupBy("host", "node", kid.alias("kid")).agg(F.sum("c").alias("c"), F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.max("share").alias("share"))
+        kids = staged(kids)
+        pools = kids.groupBy("host", "node").agg(F.sum("n").alias("all_n"), F.sum("bad").alias("all_bad"))
+        differs = F.expr(f"n > 0 AND if(all_n > n, abs(bad / n - (all_bad - bad) / (all_n - n)) > {z} * sqrt(all_bad / all_n * (1 - all_bad / all_n) * (1 / n + 1 / (all_n - n))), abs(bad / n - share) > {z} * sqrt(share * (1 - share) / n))")
+        step = F.when((F.col("c") >= support) | F.col("kid").rlike(r"^\*(\.[A-Za-z]+)?$") | differs, F.col("kid")).otherwise("*")
+        steps = staged(kids.join(pools, ["host", "node"]).select("host", "node", "kid", step.alias("step"), "n", "bad", "share"))
+        at = steps.groupBy("host", "node", "step").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.max("share").alias("share")).select("host", "node", "step", share.alias("share"))
+        at = steps.select("host", "node", "kid", "step").join(at, ["host", "node", "step"]).select(F.col("host").alias("k_host"), F.col("node").alias("k_node"), "kid", "step", F.col("share").alias("k_share"))
+        found = judged.join(at, (judged["host"] == at["k_host"]) & (judged["node"] == at["k_node"]) & (kid == at["kid"]), "left")
+        judged = staged(found.select("host", "seg", "c", "n", "bad", F.coalesce("k_share", "share").alias("share"), F.when(F.col("step").isNull(), F.col("node")).otherwise(F.concat("node", F.lit("/"), "step")).alias("node")))
+    verdicts = judged.select(F.col("host").alias("v_host"), F.col("seg").alias("v_seg"), F.when(F.col("node") == "", "/").otherwise(F.col("node")).alias("template"), "share")
+    out = tree.join(verdicts, (tree["host"] == verdicts["v_host"]) & (tree["seg"] == verdicts["v_seg"]), "left")
     method = F.when(F.round("share", 9) > reject, "block").otherwise("allow")
     return out.select("page_id", "host", "path", "rule", "template", F.coalesce("ruled", method).alias("verdict"))

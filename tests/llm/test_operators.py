@@ -176,6 +176,19 @@ def test_urls(spark):
     assert (rows[6]["host"], rows[6]["path"], rows[7]["host"], rows[7]["path"]) == ("", "", "c.net", "")
 
 
+def test_urls_deep_and_wide(spark):
+    names = ["s" + a + b for a in "abcdefgh" for b in "abcdefg"]  # 56 sections, every other one bad
+    rules = [("w.com", f"/{s}/1", "block" if i % 2 else "allow") for i, s in enumerate(names)]
+    rules += [("d.com", "/a/b/c/bad/1", "block"), ("d.com", "/a/b/c/good/1", "allow")]
+    labelled = [f"http://w.com/{s}/{k}" for s in names for k in range(100, 115)] + [f"http://d.com/a/b/c/{s}/{k}" for s in ("good", "bad") for k in range(100, 130)]
+    asked = {f"http://w.com/{s}/2": "block" if i % 2 else "allow" for i, s in enumerate(names)} | {"http://d.com/a/b/c/bad/2": "block", "http://d.com/a/b/c/good/2": "allow"}
+    df = spark.createDataFrame(list(enumerate([*asked, *labelled])), "page_id bigint, url string")
+    got = {r["page_id"]: r for r in url_templates.judge_urls(df, rules).collect()}
+    assert len(got) == len(asked) + len(labelled)
+    assert all(got[i]["rule"] is None for i in range(len(asked)))
+    assert {u: got[i]["verdict"] for i, u in enumerate(asked)} == asked
+
+
 def test_mixing(docs, texts):
     rows = mixing.mix(docs, share=0.5, ranges=8).collect()
     count = {k: len(words_of(t)) for k, t in texts.items()}
