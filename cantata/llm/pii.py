@@ -88,7 +88,7 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Null and empty texts have none; repeated rows each get their row; other columns are not read.
     Of two added spans that overlap, both are reported.
     """
-    digit = F.col("text").rlike("[0-9]{2}")
+    digit = F.col("text").rlike(r"[0-9][\x20-]?[0-9]")
     guards = {"email": F.contains("text", F.lit("@")), "ip": F.col("text").rlike(r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]"), "card": digit, "phone": F.col("text").rlike(r"\+[0-9]"), "iban": F.col("text").rlike("[A-Z]{2}[0-9]{2}"), "ssn": F.col("text").rlike("[0-9]-[0-9]{2}-[0-9]")}
     patterns = {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE, "iban": IBAN, "ssn": SSN}
     base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))

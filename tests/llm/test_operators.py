@@ -161,6 +161,13 @@ def test_pii(spark):
     assert found[2] == found[3] == found[4] == []
 
 
+def test_pii_card_of_single_digits(spark):
+    said = ["pay 4 1 1 1 1 1 1 1 1 1 1 1 1 1 1 1 now", "pay 4-1-1-1-1-1-1-1-1-1-1-1-1-1-1-1 now"]
+    df = spark.createDataFrame(list(enumerate(said)), "doc_id bigint, text string")
+    found = {r["doc_id"]: [(x["kind"], x["s"], x["e"]) for x in r["found"]] for r in pii.personal_data(df).collect()}
+    assert found == {0: [("card", 4, 35)], 1: [("card", 4, 35)]}
+
+
 def test_licenses(spark):
     df = spark.createDataFrame([(1, "so it is. Released under the MIT license, then"), (2, None), (3, "under the licence"), (4, "word " * 40 + "permission is hereby granted free of charge to any person obtaining a copy of this software and associated papers")], "doc_id bigint, text string")
     got = {r["doc_id"]: r["licenses"] for r in licenses.licenses_of(df).collect()}
