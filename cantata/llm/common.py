@@ -17,9 +17,15 @@ ARROW_RECORDS = 256
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary one where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset, a local session (tests) gets a folder of its own; on a cluster that is an
+    error, since a folder of one machine would be lost with it.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="cantata-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
@@ -43,7 +49,16 @@ def staged(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/cantata-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Removes the files of a staged table that no later step reads."""
+    context = df.sparkSession.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(df.staged_path)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def python_batches(spark: SparkSession) -> None:
@@ -73,3 +88,24 @@ def shingle_hashes(words: str, k: int) -> Column:
 
 def same(a: Column, b: Column) -> Column:
     return a.eqNullSafe(b)
+
+
+def thinned(docs: DataFrame, gone: DataFrame, once: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """docs, with all their columns, without the rows named in ``gone``; of each row named in ``once`` one copy.
+
+    Both tables hold (doc_id, tag), tag being the hash of the text. Texts are not shuffled where the
+    tables are small enough for a broadcast; only rows of ``once``, which repeat a doc_id and a text,
+    are grouped, with a combine on the map side.
+    """
+    tag = F.xxhash64(F.coalesce(docs[text_col], F.lit("")))
+
+    def of(names: DataFrame, how: str) -> DataFrame:
+        n = names.select(F.col("doc_id").alias("__n_id"), F.col("tag").alias("__n_tag")).distinct()
+        return docs.join(n, same(docs[id_col], n["__n_id"]) & (tag == n["__n_tag"]), how)
+
+    gone, once = staged(gone), staged(once)
+    rest = of(gone.select("doc_id", "tag").union(once.select("doc_id", "tag")), "left_anti")
+    if once.isEmpty():
+        return rest
+    single = of(once, "left_semi").withColumn("__tag", F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))).dropDuplicates([id_col, "__tag"])
+    return rest.unionByName(single.drop("__tag"))

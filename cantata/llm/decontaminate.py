@@ -18,8 +18,6 @@ from pyspark.sql import functions as F
 from cantata.llm.common import PLAIN_WORD_ANY_CASE, plain_words, same, shingle_hashes, staged
 
 WINDOW, SHINGLE = 13, 5
-#: Stands for the end of a text among the hashes of its shingles; a shingle of this hash is told apart by its position.
-END = 0
 
 
 def item_windows(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
@@ -54,14 +52,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     hits = None
     for k in lengths:
         hashes = shingle_hashes("words", k)
-        if hits is None:  # a last row of each text, at position -1 once named, brings its number of words along
-            hashes = F.concat(hashes, F.array(F.lit(END).cast("bigint")))
+        if hits is None:  # a last row of each text, at position -1 once named, brings its number of words along; its key is the text's own
+            hashes = F.concat(hashes, F.array("tag"))
         some = worded.select("doc_id", "tag", F.size("words").alias("n"), F.posexplode(hashes).alias("pos", "h"))
         if hits is None:
             some = some.withColumn("pos", F.when(F.col("pos") == F.greatest(F.col("n") - (k - 1), F.lit(0)), -1).otherwise(F.col("pos")))
         hits = some if hits is None else hits.unionByName(some)
-    wanted = tokens.select("h").union(docs.sparkSession.range(1).select(F.lit(END).cast("bigint").alias("h"))).distinct()
-    kept = staged(hits.join(staged(wanted), "h"))
+    wanted = staged(tokens.select(F.col("h").alias("w")).distinct())
+    kept = staged(hits.join(wanted, hits["h"] == wanted["w"], "left").where("w IS NOT NULL OR pos = -1").drop("w"))
     counts = kept.where("pos = -1").select("doc_id", "tag", F.col("n").cast("long").alias("n_words"))
     hits = kept.where("pos >= 0")
 
@@ -85,7 +83,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         base.withColumn("tag", F.xxhash64("text"))
         .join(candidates.hint("merge"), same(F.col("doc_id"), F.col("c_doc")) & (F.col("tag") == F.col("c_tag")))
         .select("doc_id", "tag", plain_words(F.col("text")).alias("words"), "c")
-        .select("doc_id", "tag", F.expr("array_sort(filter(c, x -> array_join(slice(words, x.start + 1, x.len), ' ') = x.wtext))").alias("c"))
+        # words is named twice, so the optimiser leaves it a column; in the lambda alone it would be found again for each candidate
+        .select("doc_id", "tag", F.size("words").alias("n"), F.expr("array_sort(filter(c, x -> array_join(slice(words, x.start + 1, x.len), ' ') = x.wtext))").alias("c"))
         .dropDuplicates(["doc_id", "tag"])
     )
     found = staged(
@@ -96,6 +95,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                 "aggregate(c, named_struct('at', 0, 'n', 0L), (a, x) -> named_struct('at', greatest(a.at, x.start + x.len), 'n', a.n + greatest(0, x.start + x.len - greatest(a.at, x.start))), a -> a.n)"
             ).alias("n_hit"),
             F.expr("array_distinct(transform(c, x -> x.wtext))").alias("wtexts"),
+            "n",
         )
     ).where("n_hit > 0")  # after the table is written: pushed further down, it would find the words again for each candidate
     listed = (

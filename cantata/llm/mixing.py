@@ -49,10 +49,9 @@ def _deal(children: DataFrame, parent: Sequence[str], child: str) -> DataFrame:
     cap; then the rest share by weight, rounded down, and the first of them take what rounding left.
     """
     order = Window.partitionBy(*parent).orderBy(F.col("cap") / F.col("w"), child)
-    before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing)
-    full = children.select("*", F.coalesce(F.sum("cap").over(before), F.lit(0)).alias("caps"), F.sum("w").over(after).alias("w_left"))
+    before, whole = order.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*parent)
+    full = children.select("*", F.coalesce(F.sum("cap").over(before), F.lit(0)).alias("caps"), (F.sum("w").over(whole) - F.coalesce(F.sum("w").over(before), F.lit(0))).alias("w_left"))
     full = full.withColumn("full", F.expr("cap * w_left <= (pot - caps) * w"))
-    whole = Window.partitionBy(*parent)
     rest = full.select(
         "*",
         F.coalesce(F.sum(F.when(F.col("full"), F.col("cap"))).over(whole), F.lit(0)).alias("taken"),
@@ -84,7 +83,8 @@ def leaf_budgets(leaves: DataFrame, share: float = SHARE, max_epochs: int = MAX_
 def mix(docs: DataFrame, domain: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", weights: dict[str, int] = WEIGHTS, lang_weights: dict[str, int] = LANG_WEIGHTS, share: float = SHARE, max_epochs: int = MAX_EPOCHS, seed: int = SEED, ranges: int = RANGES) -> DataFrame:
     """The documents of the mixture: doc_id, domain, lang, source, n_tokens, epochs (how often it is taken).
 
-    A token is a word between white space; null and empty texts have none and are never taken.
+    A token is a word between white space; null and empty texts have none and are never taken; very
+    long texts are counted whole.
     A null lang or source is a leaf of its own. The order of an epoch is md5 of seed, leaf epoch
     and doc_id, then doc_id, so ties are repeated doc_ids only: these rows are taken together or
     not, as one document of the sum of their tokens. An empty table gives no rows.

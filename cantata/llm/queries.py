@@ -54,7 +54,7 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.personal_data(_read(spark, sf_dir, "documents"))
     counts = [F.expr(f"size(filter(found, x -> x.kind = '{k}'))").cast("long").alias(f"n_{k}") for k in pii.BASE]
-    return found.select("doc_id", *counts, F.sha2(pii.listed(F.filter("found", lambda x: x["base"])), 256).alias("base_sha256"), pii.listed(F.col("found")).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(pii.listed(F.filter("found", lambda x: x["base"])), 256).alias("base_sha256"), pii.listed(F.col("found")).alias("spans"), F.size("found").cast("long").alias("n_spans"))
 
 
 def queries() -> dict:

@@ -7,15 +7,17 @@ of n tokens has about 2n / (W - k + 2) anchors. An anchor's windows together are
 1. A k-gram that names windows of one document only cannot repeat: anchors' hashes are
    counted by document and the others drop out.
 2. The segments of the remaining anchors are gathered by content (pre-aggregated to the least
-   doc_id, so thousands of copies are one row) and brought together by anchor.
-3. An operator resolves each anchor's segments: for every window the least doc_id that has it.
-   An anchor that occurs more than ``MANY`` times may have any number of distinct segments (a notice
-   between different neighbours, say), so its segments are dealt by content over all tasks, cut
-   into windows there, and the least doc_id of each window is aggregated by Spark.
+   doc_id, so thousands of copies are one row), dealt to tasks by ranges of an order in which an
+   anchor's segments are neighbours, and sorted.
+3. A task resolves its sorted segments in buckets of bounded size: for every window, the least
+   doc_id that has it. A bucket may end anywhere, inside an anchor too: an anchor may have any
+   number of distinct segments (a notice between different neighbours, say). So the windows of the
+   anchors at a bucket's two ends, each once with its least doc_id so far, are compared across all
+   boundaries by an aggregation. No task holds an anchor whole.
 4. Documents learn which of their windows a smaller doc_id has, and drop the tokens.
 
-Hashes of 64 bits only choose and gather. Whether windows are equal is decided on contents in step 3,
-or for anchors of many segments, as whether whole segments are equal in step 4, on 128 bits.
+Hashes of 64 bits only choose and gather. Whether windows are equal is decided on contents inside a
+bucket, and on 128 bits across boundaries (windows) and in step 4 (segments).
 """
 
 from __future__ import annotations
@@ -29,26 +31,30 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cantata.llm.common import python_batches, same, staged
+from cantata.llm.common import discard, python_batches, staged
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _BYTES = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64)
 #: Windows that are worked on at once; positions fit the low bits of a code.
 _CHUNK, _LOW = 1 << 22, np.uint64((1 << 24) - 1)
-#: Occurrences of an anchor beyond which no single task takes its segments.
-MANY = 1000
+#: Bytes of segments that are resolved at once.
+BUCKET_BYTES = 1 << 21
 #: Stands for the least doc_id of windows that are not told.
 _NONE = (1 << 63) - 1
 
 
 @dataclass(frozen=True)
 class Shape:
-    """Windows of ``window`` tokens, anchored by ``gram`` of them; tokens are bytes or words between white space."""
+    """Windows of ``window`` tokens, anchored by ``gram`` of them; tokens are bytes or words between white space.
+
+    order: SQL of what segments (key, content, lead) are dealt and sorted by; an anchor's must be neighbours.
+    """
 
     window: int
     gram: int
     words: bool
+    order: str = "key"
 
 
 class Text:
@@ -104,44 +110,48 @@ def segments(tokens: np.ndarray, shape: Shape) -> tuple[np.ndarray, np.ndarray,
 def _keys_of(shape: Shape) -> Callable:
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [np.unique(segments(Text(t, shape).tokens, shape)[3], return_counts=True) for t in b.column(1).to_pylist()]
-            ids = np.repeat(b.column(0).to_numpy(zero_copy_only=False), [len(f) for f, _ in found])
-            key, n = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids.astype(np.int64)), pa.array(n.astype(np.int64))], names=["key", "doc_id", "n"])
+            found = [np.unique(segments(Text(t, shape).tokens, shape)[3]) for t in b.column(1).to_pylist()]
+            ids = np.repeat(b.column(0).to_numpy(zero_copy_only=False), [len(f) for f in found])
+            key = np.concatenate(found) if found else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids.astype(np.int64))], names=["key", "doc_id"])
 
     return keys
 
 
-_SEGMENT = "key bigint, content binary, lead int, doc_id bigint, tag bigint, first int, many boolean"
+def _batch(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, y) for c, y in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+
+
+_SEGMENT = "key bigint, content binary, lead int, doc_id bigint, tag bigint, first int"
 
 
 def _segments_of(shape: Shape) -> Callable:
     names = [x.split()[0] for x in _SEGMENT.split(", ")]
-    types = [pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.bool_()]
+    types = [pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.int32()]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows: list[tuple] = []
             size = 0
-            for doc, tag, text, keys, large in zip(*(b.column(i).to_pylist() for i in range(3)), b.column(3), b.column(4), strict=True):
+            for doc, tag, text, keys in zip(*(b.column(i).to_pylist() for i in range(3)), b.column(3), strict=True):
                 t = Text(text, shape)
                 first, n, at, key = segments(t.tokens, shape)
-                many = np.isin(key, large.values.to_numpy())
-                for i in np.flatnonzero(np.isin(key, keys.values.to_numpy())).tolist():
-                    content = t.run(first[i], first[i] + n[i] + shape.window - 1)
-                    rows.append((key[i], content, at[i] - first[i], doc, tag, first[i], bool(many[i])))
+                chosen = np.flatnonzero(np.isin(key, keys.values.to_numpy()))
+                for k, f, m, x in zip(key[chosen].tolist(), first[chosen].tolist(), n[chosen].tolist(), at[chosen].tolist(), strict=True):
+                    content = t.run(f, f + m + shape.window - 1)
+                    rows.append((k, content, x - f, doc, tag, f))
                     size += len(content)
-                if size > 1 << 22:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, y) for c, y in zip(zip(*rows, strict=True), types, strict=True)], names=names)
-                    rows, size = [], 0
+                    if size > 1 << 22:
+                        yield _batch(rows, names, types)
+                        rows, size = [], 0
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, y) for c, y in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+                yield _batch(rows, names, types)
 
     return cut
 
 
-#: Takes an anchor's segments (content, lead: offset of the anchor, least doc_id) and gives, for each, its windows' least doc_ids.
-Resolve = Callable[[list[bytes], list[int], list[int]], list[np.ndarray]]
+#: Takes segments (content, least doc_id) in order and gives, for each, its windows' least doc_ids.
+Resolve = Callable[[list[bytes], list[int]], list[np.ndarray]]
 
 
 def window_marks(content: bytes, shape: Shape) -> np.ndarray:
@@ -155,84 +165,84 @@ def window_marks(content: bytes, shape: Shape) -> np.ndarray:
     return np.frombuffer(b"".join(xxhash.xxh3_128_digest(content[a:z]) for a, z in spans), np.int64).reshape(-1, 2)
 
 
-_SOLVED = "key bigint, content binary, upto array<int>, least array<bigint>, w1 array<bigint>, w2 array<bigint>"
-
-
-def _resolved(resolve: Resolve, shape: Shape) -> Callable:
-    """Answers the segments of anchors; those of an anchor of many get their own doc_id and their windows' marks."""
+_SOLVED = "key bigint, content binary, upto array<int>, least array<bigint>, edge array<bigint>, w1 array<bigint>, w2 array<bigint>"
+
+
+def _resolved(resolve: Resolve, shape: Shape, bucket_bytes: int) -> Callable:
+    """Answers sorted segments bucket by bucket; those of the anchors at a bucket's ends also bring their windows' marks and answers."""
+    names = [x.split()[0] for x in _SOLVED.split(", ")]
+    types = [pa.int64(), pa.binary(), pa.list_(pa.int32()), *[pa.list_(pa.int64())] * 4]
+
+    def bucket(rows: list[tuple]) -> list[tuple]:
+        keys = np.array([r[0] for r in rows], np.int64)
+        ends = np.isin(keys, keys[[0, -1]])
+        same_as_next = np.concatenate((keys[1:] == keys[:-1], [False]))
+        several = same_as_next | np.concatenate(([False], same_as_next[:-1]))
+        shared = np.flatnonzero(several).tolist()
+        told = dict(zip(shared, resolve([rows[i][1] for i in shared], [rows[i][2] for i in shared]), strict=True)) if shared else {}
+        out = []
+        for i, (key, content, own) in enumerate(rows):
+            marks = window_marks(content, shape) if ends[i] else None
+            least = told.get(i)
+            if least is None:  # the only segment of its anchor here
+                n = content.count(b" ") + 2 - shape.window if shape.words else len(content) - shape.window + 1
+                upto, best, edge = [n], [own], np.full(n, own, np.int64)
+            else:
+                turns = np.concatenate((np.flatnonzero(least[1:] != least[:-1]) + 1, [len(least)]))
+                upto, best, edge = turns.astype(np.int32), least[turns - 1], least
+            out.append((key, content, upto, best, *((None, None, None) if marks is None else (edge, marks[:, 0], marks[:, 1]))))
+        return out
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [x.split()[0] for x in _SOLVED.split(", ")]
-        types = [pa.int64(), pa.binary(), pa.list_(pa.int32()), *[pa.list_(pa.int64())] * 3]
-
-        def answer(rows: list[tuple]) -> Iterator[tuple]:
-            for (key, content, *_), least in zip(rows, resolve([r[1] for r in rows], [r[2] for r in rows], [r[3] for r in rows]), strict=True):
-                ends = np.concatenate((np.flatnonzero(least[1:] != least[:-1]) + 1, [len(least)]))
-                yield key, content, ends.astype(np.int32), least[ends - 1], None, None
-
         rows: list[tuple] = []
-        out: list[tuple] = []
         size = 0
         for b in batches:
-            for row in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
-                if row[4]:
-                    marks = window_marks(row[1], shape)
-                    out.append((row[0], row[1], [len(marks)], [row[3]], marks[:, 0], marks[:, 1]))
-                    size += len(row[1])
-                elif rows and rows[-1][0] != row[0]:
-                    out += answer(rows)
-                    size += sum(len(r[1]) for r in rows)
-                    rows = []
-                if size > 1 << 21:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, y) for c, y in zip(zip(*out, strict=True), types, strict=True)], names=names)
-                    out, size = [], 0
-                if not row[4]:
-                    rows.append(row)
+            for row in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                rows.append(row)
+                size += len(row[1])
+                if size > bucket_bytes:
+                    yield _batch(bucket(rows), names, types)
+                    rows, size = [], 0
         if rows:
-            out += answer(rows)
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, y) for c, y in zip(zip(*out, strict=True), types, strict=True)], names=names)
+            yield _batch(bucket(rows), names, types)
 
     return solve
 
 
-def _told_by_windows(solved: DataFrame) -> DataFrame:
-    """Answers (key, h1, h2, upto, least) of marked segments for the windows that a smaller doc_id's segment has."""
-    windows = solved.where("w1 IS NOT NULL").select("key", "h1", "h2", F.expr("least[0]").alias("own"), F.posexplode(F.arrays_zip("w1", "w2")).alias("i", "w"))
-    windows = windows.select("key", "h1", "h2", "own", "i", "w.w1", "w.w2")
-    shared = staged(windows.groupBy("w1", "w2").agg(F.min("own").alias("a"), F.max("own").alias("b")).where("a < b").select("w1", "w2", "a"))
-    told = windows.join(shared, ["w1", "w2"]).where("a < own").groupBy("key", "h1", "h2").agg(F.array_sort(F.collect_list(F.struct("i", "a"))).alias("told"))  # of one segment
+def _across_boundaries(solved: DataFrame) -> DataFrame:
+    """Answers (key, h1, h2, upto, least) for windows at the ends of buckets that another bucket has with a smaller doc_id."""
+    windows = solved.where("edge IS NOT NULL").select("key", "h1", "h2", F.posexplode(F.arrays_zip("edge", "w1", "w2")).alias("i", "w")).select("key", "h1", "h2", "i", "w.edge", "w.w1", "w.w2")
+    shared = staged(windows.groupBy("w1", "w2").agg(F.min("edge").alias("a"), F.max("edge").alias("b")).where("a < b").select("w1", "w2", "a"))
+    told = windows.join(shared, ["w1", "w2"]).where("a < edge").groupBy("key", "h1", "h2").agg(F.array_sort(F.collect_list(F.struct("i", "a"))).alias("told"))  # of one segment
     upto, least = "flatten(transform(told, r -> array(r.i, r.i + 1)))", f"flatten(transform(told, r -> array({_NONE}, r.a)))"
     return told.select("key", "h1", "h2", F.expr(upto).alias("upto"), F.expr(least).alias("least"))
 
 
-def repeated_windows(docs: DataFrame, shape: Shape, resolve: Resolve, by_range: bool, many: int = MANY) -> DataFrame:
+def repeated_windows(docs: DataFrame, shape: Shape, resolve: Resolve, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """(doc_id, tag, runs): runs of window starts (a, b; end exclusive) that a smaller doc_id has too.
 
-    docs: doc_id bigint, not null, and text. tag tells apart rows that repeat a doc_id. With
-    by_range, anchors are dealt to tasks by sampled splitters of their leading bytes. resolve
-    gets anchors of at most ``many`` occurrences.
+    docs: doc_id bigint, not null, and text. tag tells apart rows that repeat a doc_id.
     """
     python_batches(docs.sparkSession)
-    keys = docs.mapInArrow(_keys_of(shape), "key bigint, doc_id bigint, n bigint")
-    shared = keys.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.sum("n").alias("n")).where("a < b").select("key", (F.col("n") > many).alias("many"))
-    asked = keys.select("key", "doc_id").join(staged(shared), "key").groupBy("doc_id")
-    asked = staged(asked.agg(F.collect_set("key").alias("keys"), F.collect_set(F.when(F.col("many"), F.col("key"))).alias("large")))  # of one document
-    cut = docs.join(asked, "doc_id").select("doc_id", F.xxhash64("text").alias("tag"), "text", "keys", "large").mapInArrow(_segments_of(shape), _SEGMENT)
-    distinct = cut.groupBy("key", "content", "lead", "many").agg(F.min("doc_id").alias("least"))
-    salt = F.when(F.col("many"), F.xxhash64("content")).otherwise(F.lit(0))
-    if by_range:
-        dealt = distinct.repartitionByRange(F.substr("content", F.col("lead") + 1, F.lit(shape.gram)), "key", salt)
-    else:
-        dealt = distinct.repartition("key", salt)
-    solved = dealt.select("key", "content", "lead", "least", "many").sortWithinPartitions("key").mapInArrow(_resolved(resolve, shape), _SOLVED)
+    keys = staged(docs.mapInArrow(_keys_of(shape), "key bigint, doc_id bigint"))
+    shared = keys.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("key")
+    asked = staged(keys.join(staged(shared), "key").groupBy("doc_id").agg(F.collect_set("key").alias("keys")))  # of one document
+    discard(keys)
+    cut = staged(docs.join(asked, "doc_id").select("doc_id", F.xxhash64("text").alias("tag"), "text", "keys").mapInArrow(_segments_of(shape), _SEGMENT))
+    distinct = cut.groupBy("key", "content", "lead").agg(F.min("doc_id").alias("least"))
+    order = [F.expr(shape.order), F.col("content")]
+    dealt = distinct.select("key", "content", "least", "lead").repartitionByRange(*order).sortWithinPartitions(*order)
+    solved = dealt.select("key", "content", "least").mapInArrow(_resolved(resolve, shape, bucket_bytes), _SOLVED)
     name = [F.xxhash64("content").alias("h1"), F.xxhash64(F.lit(7), "content").alias("h2")]
-    solved = staged(solved.select("key", *name, "upto", "least", "w1", "w2"))
-    solved = solved.select("key", "h1", "h2", "upto", "least").unionByName(staged(_told_by_windows(solved)))
-    told = cut.select("key", *name, "doc_id", "tag", "first").join(solved, ["key", "h1", "h2"])
+    solved = staged(solved.select("key", *name, "upto", "least", "edge", "w1", "w2"))
+    answers = solved.select("key", "h1", "h2", "upto", "least").unionByName(staged(_across_boundaries(solved)))
+    told = cut.select("key", *name, "doc_id", "tag", "first").join(answers, ["key", "h1", "h2"])
     runs = F.expr("transform(filter(transform(upto, (e, i) -> named_struct('a', first + if(i = 0, 0, upto[i - 1]), 'b', first + e, 'd', least[i])), r -> r.d < doc_id), r -> named_struct('a', r.a, 'b', r.b))")
     told = told.select("doc_id", "tag", F.explode(runs).alias("run"))
-    return told.groupBy("doc_id", "tag").agg(F.array_sort(F.collect_set("run")).alias("runs"))  # of one document
+    found = staged(told.groupBy("doc_id", "tag").agg(F.array_sort(F.collect_set("run")).alias("runs")))  # of one document
+    for used in (asked, cut, solved):
+        discard(used)
+    return found
 
 
 def removed_tokens(runs: list[dict] | None, window: int) -> list[tuple[int, int]]:
@@ -247,9 +257,9 @@ def removed_tokens(runs: list[dict] | None, window: int) -> list[tuple[int, int]
     return out
 
 
-def with_runs(docs: DataFrame, shape: Shape, resolve: Resolve, by_range: bool = False, id_col: str = "doc_id", text_col: str = "text", many: int = MANY) -> DataFrame:
-    """(doc_id, text, runs) of every row of docs; rows with a null id have no runs and are no reference."""
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    found = staged(repeated_windows(base.where("doc_id IS NOT NULL"), shape, resolve, by_range, many))
+def with_runs(docs: DataFrame, shape: Shape, resolve: Resolve, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """(doc_id, text, runs) of every row of docs; rows whose id is null or no integer have no runs and are no reference."""
+    base = docs.select(F.col(id_col).alias("doc_id"), F.col(id_col).try_cast("long").alias("number"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    found = repeated_windows(base.where("number IS NOT NULL").select(F.col("number").alias("doc_id"), "text"), shape, resolve, bucket_bytes)
     found = found.select(F.col("doc_id").alias("r_doc"), F.col("tag").alias("r_tag"), "runs")
-    return base.join(found, same(F.col("doc_id"), F.col("r_doc")) & (F.xxhash64("text") == F.col("r_tag")), "left").select("doc_id", "text", "runs")
+    return base.join(found, (F.col("number") == F.col("r_doc")) & (F.xxhash64("text") == F.col("r_tag")), "left").select("doc_id", "text", "runs")

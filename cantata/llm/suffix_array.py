@@ -1,12 +1,12 @@
 """Suffix-array dedup of byte strings.
 
-Suffixes are sparse: those that begin at a window of a repeated anchor (see repeats).
-Sampled splitters range-partition them by their anchor's leading bytes; equal leading bytes
-fall into one bucket, so no match lies across a boundary. In a bucket, each anchor's
-suffixes are sorted by multikey quicksort over 8-byte characters: only suffixes equal so far
+Suffixes are sparse: those that begin at a repeated anchor, and those at the starts of its windows (see
+repeats). Sampled splitters range-partition them by the bytes that follow the anchor; a task
+sorts its range and cuts it into buckets of bounded size. In a bucket, the suffixes at all window
+starts are sorted by multikey quicksort over 8-byte characters: only suffixes equal so far
 are compared on the next character. Neighbours that agree on the whole window are one
-group, whose least doc_id keeps the bytes. Anchors of many segments are not sorted in one
-bucket: their windows are aggregated instead (see repeats).
+group, whose least doc_id keeps the bytes. Suffixes of the anchors at a bucket's ends are compared
+across the boundaries.
 """
 
 from __future__ import annotations
@@ -19,9 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from cantata.llm.common import python_batches
-from cantata.llm.repeats import MANY, Shape, removed_tokens, with_runs
+from cantata.llm.repeats import BUCKET_BYTES, Shape, removed_tokens, with_runs
 
-BYTES = Shape(window=50, gram=25, words=False)
+#: Anchors of 16 bytes: fewer and longer segments than with longer anchors, and still rarely equal by chance.
+BYTES = Shape(window=50, gram=16, words=False, order="substr(content, lead + 1, 50)")
 
 
 def sort_suffixes(rows: np.ndarray) -> np.ndarray:
@@ -47,14 +48,12 @@ def sort_suffixes(rows: np.ndarray) -> np.ndarray:
     return group
 
 
-def resolve(contents: list[bytes], leads: list[int], least: list[int], window: int = BYTES.window) -> list[np.ndarray]:
-    """By segment of one anchor, the least doc_id of each of its windows."""
+def resolve(contents: list[bytes], least: list[int], window: int = BYTES.window) -> list[np.ndarray]:
+    """By segment of a bucket, the least doc_id of each of its windows."""
     counts = np.array([len(c) - window + 1 for c in contents])
-    if len(contents) == 1:
-        return [np.full(counts[0], least[0], np.int64)]
     data = np.frombuffer(b"".join(contents), np.uint8)
     first = np.cumsum([0] + [len(c) for c in contents[:-1]])
-    starts = np.concatenate([np.arange(a, a + n) for a, n in zip(first, counts, strict=True)])
+    starts = np.repeat(first - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
     group = sort_suffixes(np.lib.stride_tricks.sliding_window_view(data, window)[starts])
     doc = np.repeat(np.array(least, np.int64), counts)
     best = np.full(group.max() + 1, np.iinfo(np.int64).max)
@@ -75,13 +74,14 @@ def _trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, y) for c, y in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", many: int = MANY) -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (bytes).
 
     A byte goes if a window of 50 bytes that covers it also starts in a smaller doc_id. Null texts
-    are empty; rows that repeat a doc_id are judged each, never against each other; rows with a
-    null doc_id keep all their bytes and are no reference. Other columns are not read.
+    are empty; very long ones are read in runs; rows that repeat a doc_id are judged each, never
+    against each other; rows whose doc_id is null or no integer keep all their bytes and are no
+    reference. Other columns are not read. An empty table gives no rows.
     """
     python_batches(docs.sparkSession)
-    found = with_runs(docs, BYTES, resolve, True, id_col, text_col, many)
-    return found.mapInArrow(_trimmed, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
+    found = with_runs(docs, BYTES, resolve, id_col, text_col, bucket_bytes)
+    return found.mapInArrow(_trimmed, f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")

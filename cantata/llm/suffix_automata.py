@@ -1,13 +1,14 @@
 """Substring dedup of words by suffix automata of reference shards.
 
-A shard holds the distinct repeated segments of the anchors dealt to it, each with its
-least doc_id (see repeats), and builds a suffix automaton over them, anchor by anchor; the
-segments are then streamed through it for matching statistics. Where the longest match
-reaches the window's length, the state of that length knows the least doc_id that has it.
-
-Broadcasting automata of all documents would broadcast the corpus. So shards are not
-broadcast: an anchor's segments and the automaton that can match them go to the same task.
-Anchors of many segments get no automaton: their windows are aggregated instead (see repeats).
+A reference shard holds the distinct repeated segments of a range of anchors, each with its
+least doc_id (see repeats), in at most ``SHARD_BYTES``: one suffix automaton is built over all of
+them, and the segments of the documents are streamed through it for matching statistics. Where the
+longest match reaches the window's length, the state of that length knows the least doc_id that
+has it. Windows of the anchors at a shard's ends are compared across shards.
+
+Broadcasting automata of all documents would broadcast the corpus, and streaming every document
+through every shard would cost the square of it. So shards are not broadcast: what can match a
+shard, by its anchors, goes to the task that holds the shard.
 """
 
 from __future__ import annotations
@@ -20,9 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from cantata.llm.common import python_batches
-from cantata.llm.repeats import MANY, Shape, removed_tokens, with_runs
+from cantata.llm.repeats import Shape, removed_tokens, with_runs
 
-WORDS = Shape(window=50, gram=25, words=True)
+WORDS = Shape(window=50, gram=25, words=True, order="key")
+#: Text of a shard; its automaton takes some hundred times as much memory.
+SHARD_BYTES = 1 << 18
 
 
 class Automaton:
@@ -88,10 +91,8 @@ class Automaton:
             yield self.least[state] if match >= window else None
 
 
-def resolve(contents: list[bytes], leads: list[int], least: list[int], window: int = WORDS.window) -> list[np.ndarray]:
-    """By segment of one anchor, the least doc_id of each of its windows."""
-    if len(contents) == 1:
-        return [np.full(contents[0].count(b" ") + 2 - window, least[0], np.int64)]
+def resolve(contents: list[bytes], least: list[int], window: int = WORDS.window) -> list[np.ndarray]:
+    """By segment of a shard, the least doc_id of each of its windows."""
     automaton, texts = Automaton(), [c.split(b" ") for c in contents]
     for words, owner in zip(texts, least, strict=True):
         automaton.add(words, owner)
@@ -112,13 +113,14 @@ def _trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, y) for c, y in zip(out, (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True))], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", many: int = MANY) -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_removed, kept_sha256, kept (words joined by spaces).
 
     A word goes if a window of 50 words that covers it also starts in a smaller doc_id. Null texts
-    have no words; rows that repeat a doc_id are judged each, never against each other; rows with
-    a null doc_id keep all words and are no reference. Other columns are not read.
+    have no words; very long ones are read in runs; rows that repeat a doc_id are judged each, never
+    against each other; rows whose doc_id is null or no integer keep all words and are no
+    reference. Other columns are not read. An empty table gives no rows.
     """
     python_batches(docs.sparkSession)
-    found = with_runs(docs, WORDS, resolve, False, id_col, text_col, many)
-    return found.mapInArrow(_trimmed, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept string")
+    found = with_runs(docs, WORDS, resolve, id_col, text_col, shard_bytes)
+    return found.mapInArrow(_trimmed, f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_words bigint, n_removed bigint, kept_sha256 string, kept string")

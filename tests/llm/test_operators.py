@@ -69,9 +69,10 @@ def test_words_against_brute_force(docs, texts):
 
 
 @pytest.mark.parametrize("op, length, tokens_of", [(suffix_array, "n_bytes", lambda t: list((t or "").encode())), (suffix_automata, "n_words", words_of)])
-def test_anchors_of_many_segments(docs, texts, op, length, tokens_of):
+@pytest.mark.parametrize("size", [1, 3000])
+def test_buckets_that_end_inside_anchors(docs, texts, op, length, tokens_of, size):
     want = {k: (len(t), sum(gone), [x for x, g in zip(t, gone, strict=True) if not g]) for k, (t, gone) in removed(texts, tokens_of).items()}
-    rows = op.substring_dedup(docs, many=1).collect()
+    rows = op.substring_dedup(docs, "doc_id", "text", size).collect()
     assert len(rows) == len(texts) + 1
     for row in rows:
         n, n_gone, kept = want[row["doc_id"]]
@@ -79,21 +80,21 @@ def test_anchors_of_many_segments(docs, texts, op, length, tokens_of):
         assert (row[length], row["n_removed"], row["kept_sha256"]) == (n, n_gone, hashlib.sha256(kept).hexdigest()), row["doc_id"]
 
 
-@pytest.mark.parametrize("op, shape, by_range", [(suffix_array, suffix_array.BYTES, True), (suffix_automata, suffix_automata.WORDS, False)])
-def test_no_task_takes_a_notice_of_all_documents(spark, op, shape, by_range):
+@pytest.mark.parametrize("op, shape", [(suffix_array, suffix_array.BYTES), (suffix_automata, suffix_automata.WORDS)])
+def test_no_task_takes_a_notice_of_all_documents(spark, op, shape):
     r = random.Random(9)
     say = lambda n: " ".join("".join(r.choice("abcdef") for _ in range(6)) for _ in range(n))
     notice = say(60)
-    texts = {k: f"{say(40)} {notice} {say(40)}" for k in range(1, 1201)}
-    most, solve = 1000, op.resolve
+    texts = {k: f"{say(40)} {notice} {say(40)}" for k in range(1, 601)}
+    most, solve = 200, op.resolve
 
-    def resolve(contents, leads, least):
+    def resolve(contents, least):
         if len(contents) > most:
-            raise ValueError(f"{len(contents)} segments in one task")
-        return solve(contents, leads, least)
+            raise ValueError(f"{len(contents)} segments at once")
+        return solve(contents, least)
 
     df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
-    runs = {x["doc_id"]: x["runs"] for x in repeats.with_runs(df, shape, resolve, by_range).collect()}
+    runs = {x["doc_id"]: x["runs"] for x in repeats.with_runs(df, shape, resolve, bucket_bytes=8000).collect()}
     tokens_of = words_of if shape.words else lambda t: list(t.encode())
     for k, (t, gone) in removed(texts, tokens_of).items():
         mine = [False] * len(t)
@@ -102,6 +103,12 @@ def test_no_task_takes_a_notice_of_all_documents(spark, op, shape, by_range):
         assert mine == gone, k
 
 
+def test_string_ids_are_no_reference(spark):
+    passage = " ".join(f"word{i}" for i in range(60))
+    df = spark.createDataFrame([("a", passage), ("1", passage), ("2", passage), (None, passage)], "doc_id string, text string")
+    assert {r["doc_id"]: r["n_removed"] for r in suffix_automata.substring_dedup(df).collect()} == {"a": 0, "1": 0, "2": 60, None: 0}
+
+
 def test_exact_dedup(docs, texts):
     same = {}
     for k, t in texts.items():
