@@ -14,12 +14,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cantata.llm.common import python_batches
+from cantata.llm.common import python_batches, staged
 
-#: Bound of the training sample, in documents, and of the lines that it may hold in all.
+#: Bound of the training sample, in documents, and of the lines that it may hold in all (160 bytes each).
 TRAIN_DOCS, TRAIN_LINES = 3000, 200_000
 THRESHOLD = 0.7
 #: Texts are worked on in runs of about so many characters, so that memory does not follow the batch.
@@ -172,9 +172,11 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", train_docs: int = TRAIN_DOCS, train_lines: int = TRAIN_LINES) -> tuple[np.ndarray, np.ndarray]:
     """Fits the CRF on the train_docs labelled documents (not held out) that come first by a hash of the id.
 
-    Their features, not their texts, reach the driver: at most about train_lines lines, since whole
-    documents are taken while they fit. Without labels, or with one label only, zero weights or
-    those of that label come out. Repeated labels of an id: the largest counts.
+    Their features, not their texts, reach the driver, and of these train_lines lines at most: Spark
+    counts each chosen document's lines first; those of over a hundredth of train_lines are passed over,
+    and the rest are taken in order while their sum fits. Without labels, or with one label only, zero
+    weights or those of that label come out. A null label is none; repeated labels of an id: the largest
+    counts; of rows that repeat an id, that with the fewest lines.
     """
     python_batches(docs.sparkSession)
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("l_id")).agg(F.max(F.col(label_col).cast("int")).alias("y"))
@@ -184,18 +186,21 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            features, _, per_doc = line_features(b.column(2).to_pylist())
-            cut = np.split(features.astype(np.float32), np.cumsum(per_doc)[:-1])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([c.tobytes() for c in cut], pa.binary())], names=["h", "y", "f"])
-
-    rows = sorted(sample.mapInArrow(reduced, "h bigint, y int, f binary").collect(), key=lambda r: (r["h"], r["f"]))
-    parts, y, lines = [], [], 0
-    for r in rows:
-        f = np.frombuffer(r["f"], np.float32).reshape(-1, N_FEATURES)
-        if lines + len(f) <= train_lines:
-            parts.append(f)
-            y.append(1 if r["y"] else 0)
-            lines += len(f)
+            for h, y, text in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                lines = (text or "").count("\n") + 1
+                if lines <= most:
+                    features = line_features([text])[0].astype(np.float32)
+                    yield pa.RecordBatch.from_arrays([pa.array([h]), pa.array([y], pa.int32()), pa.array([lines]), pa.array([features.tobytes()], pa.binary())], names=["h", "y", "lines", "f"])
+
+    most = max(train_lines // 100, 1)
+    rows = sample.mapInArrow(reduced, "h bigint, y int, lines bigint, f binary").groupBy("h", "y").agg(F.min(F.struct("lines", "f")).alias("r")).select("h", "y", "r.*")
+    rows = staged(rows)
+    sums = rows.select("h", F.sum("lines").over(Window.orderBy("h")).alias("upto"))  # train_docs numbers at most
+    fit_in = staged(sums.where(F.col("upto") <= train_lines).select("h"))
+    parts, y = [], []
+    for r in sorted(rows.join(fit_in, "h", "left_semi").collect(), key=lambda r: r["h"]):
+        parts.append(np.frombuffer(r["f"], np.float32).reshape(-1, N_FEATURES))
+        y.append(1 if r["y"] else 0)
     if not parts:
         return np.zeros(N_FEATURES), np.zeros((2, 2))
     return fit(np.vstack(parts).astype(float), np.array([len(p) for p in parts]), np.array(y))
