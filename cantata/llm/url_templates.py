@@ -1,13 +1,15 @@
 """URL filter: rules first, then path templates judged by smoothed labelled purity.
 
-Per host, the path's segments form a tree of templates: a segment that is a number, a
-hexadecimal run or mixes letters and digits becomes a wildcard. So does any other segment that
-fewer than ``support`` URLs have, unless its share of blocked labels differs from its siblings'
-(two-proportion z of ``z``). Trees are as deep as their paths. The URLs that a rule decides
-are the labels. A branch whose share of blocked labels does not differ from its parent's
-(two-proportion z below ``z``) is merged into the parent; others are judged by their own
-share, smoothed towards the parent's. A template is rejected when the share exceeds
-``reject``. Templates are aggregated before anything is joined; only DataFrame functions run.
+Per host, the path's segments form a tree of templates, as deep as its paths. A segment that is a
+number, a hexadecimal run or mixes letters and digits becomes a wildcard. Of the other branches of
+a node, those whose share of blocked labels does not differ from their siblings' (two-proportion z of
+``z``) are merged into the wildcard branch, and so is a branch without labels that fewer than
+``support`` URLs have; branches that differ, and well-supported ones without labels, stay apart.
+
+The URLs that a rule decides are the labels, and those of a label table. A branch whose share
+of blocked labels does not differ from its parent's is judged as the parent; others by their own share,
+smoothed towards the parent's. What has no labels at all is allowed. A template is rejected when the share
+exceeds ``reject``. Templates are aggregated before anything is joined; only DataFrame functions run.
 """
 
 from __future__ import annotations
@@ -41,23 +43,31 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]], what:
     return out
 
 
-def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, id_col: str = "page_id", url_col: str = "url", support: int = SUPPORT, smoothing: int = SMOOTHING, z: float = Z, reject: float = REJECT) -> DataFrame:
+def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, labels: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url", support: int = SUPPORT, smoothing: int = SMOOTHING, z: float = Z, reject: float = REJECT) -> DataFrame:
     """One row per row of pages: page_id, host, path, rule, template, verdict.
 
+    labels: optional (page_id, blocked boolean) of pages that no rule decides; blocked wins if they differ.
     A null url, or one without ``://``, has an empty host and path and is judged as the host ''.
-    Repeated rows count as often as they occur. Without any label all templates are allowed.
+    Repeated rows count as often as they occur; very long urls have deep trees. Without any label all
+    templates are allowed. Other columns are not read. An empty table gives no rows.
     """
     base = pages.select(F.col(id_col).alias("page_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
     base = base.select("*", rule_of(F.col("host"), F.col("path"), rules, 0).alias("rule"), rule_of(F.col("host"), F.col("path"), rules, 1).alias("ruled"))
+    if labels is not None:
+        known = labels.where(F.col("blocked").isNotNull()).groupBy(F.col("page_id").alias("l_id")).agg(F.bool_or("blocked").alias("blocked"))
+        base = base.join(known, base["page_id"] == known["l_id"], "left").drop("l_id")
+    else:
+        base = base.withColumn("blocked", F.lit(None).cast("boolean"))
+    base = base.withColumn("label", F.coalesce("ruled", F.when(F.col("blocked"), "block").when(~F.col("blocked"), "allow"))).drop("blocked")
     parts = F.filter(F.split("path", "/"), lambda s: s != "")
     made = F.transform(parts, lambda s: F.when(s.rlike(WILD), F.concat(F.lit("*"), F.regexp_extract(s, WILD, 1))).otherwise(s))
     tree = base.select("*", made.alias("seg"))
-    leaves = staged(tree.groupBy("host", "seg").agg(F.count("*").alias("c"), F.count("ruled").alias("n"), F.count_if(F.col("ruled") == "block").alias("bad")))
+    leaves = staged(tree.groupBy("host", "seg").agg(F.count("*").alias("c"), F.count("label").alias("n"), F.count_if(F.col("label") == "block").alias("bad")))
 
-    # Shares from the root down: all hosts, the host, then each depth of the tree, until no path is deeper.
-    deepest, n0, bad0 = leaves.agg(F.max(F.size("seg")), F.sum("n"), F.sum("bad")).first()
+    # Shares from the root down: nothing blocked, the host, then each depth of the tree, until no path is deeper.
+    deepest = leaves.agg(F.max(F.size("seg"))).first()[0]
     share = F.when(F.expr(f"n > 0 AND abs(bad / n - share) > {z} * sqrt(share * (1 - share) / n)"), F.expr(f"(bad + {smoothing} * share) / (n + {smoothing})")).otherwise(F.col("share"))
-    hosts = leaves.groupBy("host").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).withColumn("share", F.lit(((bad0 or 0) + 0.5) / ((n0 or 0) + 2)))
+    hosts = leaves.groupBy("host").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).withColumn("share", F.lit(0.0))
     judged = staged(leaves.join(hosts.select("host", share.alias("share")), "host").withColumn("node", F.lit("")))
     for d in range(1, (deepest or 0) + 1):
         kid = F.get("seg", F.lit(d - 1))
@@ -65,7 +75,8 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, id_c
         kids = staged(kids)
         pools = kids.groupBy("host", "node").agg(F.sum("n").alias("all_n"), F.sum("bad").alias("all_bad"))
         differs = F.expr(f"n > 0 AND if(all_n > n, abs(bad / n - (all_bad - bad) / (all_n - n)) > {z} * sqrt(all_bad / all_n * (1 - all_bad / all_n) * (1 / n + 1 / (all_n - n))), abs(bad / n - share) > {z} * sqrt(share * (1 - share) / n))")
-        step = F.when((F.col("c") >= support) | F.col("kid").rlike(r"^\*(\.[A-Za-z]+)?$") | differs, F.col("kid")).otherwise("*")
+        similar = F.expr("n > 0 AND all_n > n") & ~differs
+        step = F.when(((F.col("c") >= support) & ~similar) | F.col("kid").rlike(r"^\*(\.[A-Za-z]+)?$") | differs, F.col("kid")).otherwise("*")
         steps = staged(kids.join(pools, ["host", "node"]).select("host", "node", "kid", step.alias("step"), "n", "bad", "share"))
         at = steps.groupBy("host", "node", "step").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.max("share").alias("share")).select("host", "node", "step", share.alias("share"))
         at = steps.select("host", "node", "kid", "step").join(at, ["host", "node", "step"]).select(F.col("host").alias("k_host"), F.col("node").alias("k_node"), "kid", "step", F.col("share").alias("k_share"))
