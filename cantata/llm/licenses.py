@@ -21,9 +21,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cantata.llm.common import plain_words, same, shingle_hashes, staged
+from cantata.llm.license_texts import TEXTS
 
 #: Short licence notices, by SPDX name. Fixed values.
-TEMPLATES = {
+NOTICES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0",
     "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License",
@@ -33,15 +34,11 @@ TEMPLATES = {
     "MIT-terms": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
 }
+TEMPLATES = NOTICES | TEXTS
 SHINGLE, CONTAINMENT = 5, 0.8
 LONG, PIECE, WINDOW, STRIDE, BANDS = 6, 9, 12, 4, 8
 
 
-def _flip(band: int) -> int:
-    """The bits that the permutation of a band flips."""
-    return (band + 1) * 0x61C8864680B583EB % (1 << 63)
-
-
 def template_table(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
     """(license, words, t) of each template of at least SHINGLE words; t: its shingles."""
     rows = spark.createDataFrame(sorted(templates.items()), "license string, text string")
@@ -58,10 +55,10 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str =
     known = staged(template_table(spark, TEMPLATES if templates is None else templates))
     cut = F.expr(f"CASE WHEN t <= {PIECE} THEN array(0) ELSE array_distinct(transform(sequence(0, cast(ceil(t / {PIECE}) AS int) - 1), i -> least(i * {PIECE}, t - {PIECE}))) END")
     pieces = known.withColumn("h", shingle_hashes("words", SHINGLE)).select("license", "t", "h", F.explode(cut).alias("offset")).select("license", "t", "offset", F.expr(f"array_sort(slice(h, offset + 1, {PIECE}))").alias("h"))
-    # A row for each band: flip is its permutation, value the shingle that is least under it, least its permuted hash.
-    short = pieces.where(F.size("h") < LONG).select("license", "t", "offset", F.lit(0).cast("bigint").alias("flip"), F.lit(1).alias("span"), F.explode(F.expr(f"slice(array_distinct(h), 1, size(h) - cast(ceil({CONTAINMENT} * size(h)) AS int) + 1)")).alias("value"))
-    flips = F.array(*[F.lit(_flip(b)) for b in range(BANDS)])
-    long = pieces.where(F.size("h") >= LONG).select("license", "t", "offset", "h", F.explode(flips).alias("flip")).select("license", "t", "offset", "flip", F.lit(WINDOW).alias("span"), F.expr("array_min(transform(h, x -> x ^ flip)) ^ flip").alias("value"))
+    # A row for each band: its hash function is xxhash64(band, .), value the shingle that is least under it.
+    short = pieces.where(F.size("h") < LONG).select("license", "t", "offset", F.lit(0).alias("band"), F.lit(1).alias("span"), F.explode(F.expr(f"slice(array_distinct(h), 1, size(h) - cast(ceil({CONTAINMENT} * size(h)) AS int) + 1)")).alias("value"))
+    seeds = F.array(*map(F.lit, range(1, BANDS + 1)))
+    long = pieces.where(F.size("h") >= LONG).select("license", "t", "offset", "h", F.explode(seeds).alias("band")).select("license", "t", "offset", "band", F.lit(WINDOW).alias("span"), F.expr("array_min(transform(h, x -> named_struct('k', xxhash64(band, x), 'v', x))).v").alias("value"))
     bands = staged(short.unionByName(long).distinct())
 
     base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -70,7 +67,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str =
     met = worded.select("doc_id", "tag", F.posexplode(shingle_hashes("words", SHINGLE)).alias("place", "value")).join(bands, "value")
     places = staged(
         met.groupBy(F.col("doc_id").alias("c_doc"), F.col("tag").alias("c_tag"))
-        .agg(F.collect_set(F.struct("license", "t", "offset", "flip", "span", "value", "place")).alias("c"))  # of one document; few shingles are a licence's
+        .agg(F.collect_set(F.struct("license", "t", "offset", "band", "span", "value", "place")).alias("c"))  # of one document; few shingles are a licence's
     )
     texts = (
         base.withColumn("tag", F.xxhash64("text"))
@@ -80,7 +77,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str =
     )
     # The windows of STRIDE that hold the shingle, and whether it is least in them under the band's permutation.
     begins = f"CASE WHEN x.span = 1 THEN array(x.place) ELSE filter(transform(sequence(0, {WINDOW // STRIDE - 1}), j -> cast(x.place div {STRIDE} * {STRIDE} - j * {STRIDE} AS int)), w -> w >= 0) END"
-    collide = f"exists({begins}, w -> array_min(transform(slice(h, w + 1, x.span), y -> y ^ x.flip)) = x.value ^ x.flip)"
+    collide = f"exists({begins}, w -> x.span = 1 OR array_min(transform(slice(h, w + 1, x.span), y -> xxhash64(x.band, y))) = xxhash64(x.band, x.value))"
     lo = f"greatest(x.place - x.offset - {WINDOW}, 0)"
     near = (
         texts.select("doc_id", "tag", F.explode(F.expr(f"array_distinct(transform(filter(c, x -> {collide}), x -> struct(x.license AS license, {lo} AS lo, slice(words, {lo} + 1, x.t + {3 * WINDOW}) AS around)))")).alias("r"))
