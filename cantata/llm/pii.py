@@ -30,7 +30,7 @@ BASE = ("email", "ip", "card", "phone")
 #: What the method adds.
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
-SECRET = r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{32,64}|[0-9a-f]{40}|[0-9a-f]{32})(?![A-Za-z0-9])"
+SECRET = r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{32,64}|[0-9a-f]{40}|[0-9a-f]{32}|[0-9A-F]{40}|[0-9A-F]{32})(?![A-Za-z0-9])"
 #: Words that raise or lower a score, and by how much.
 CONTEXT, REPORT = 48, 0.5
 RAISE = r"(?i)\b(iban|account|konto|bank|compte|cuenta|ssn|social security|payment|card|call|phone|tel|mail|contact|token|secret|password|passwd|api[_-]?key|key)\b"
@@ -98,10 +98,10 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Very long texts are read whole. Of two added spans that overlap, both are reported.
     """
     digit = F.col("text").rlike(r"[0-9][\x20-]?[0-9]")
-    guards = {"email": F.contains("text", F.lit("@")), "ip": F.col("text").rlike(r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]"), "card": digit, "phone": F.col("text").rlike(r"\+[0-9]"), "iban": F.col("text").rlike("[A-Z]{2}[0-9]{2}"), "ssn": F.col("text").rlike("[0-9]-[0-9]{2}-[0-9]"), "secret": F.col("text").rlike("[0-9a-f]{32}|AKIA|gh[pousr]_|sk-")}
+    guards = {"email": F.contains("text", F.lit("@")), "ip": F.col("text").rlike(r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]"), "card": digit, "phone": F.col("text").rlike(r"\+[0-9]"), "iban": F.col("text").rlike("[A-Z]{2}[0-9]{2}"), "ssn": F.col("text").rlike("[0-9]-[0-9]{2}-[0-9]"), "secret": F.col("text").rlike("[0-9a-f]{32}|[0-9A-F]{32}|AKIA|gh[pousr]_|sk-")}
     patterns = {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE, "iban": IBAN, "ssn": SSN, "secret": SECRET}
     base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    any_kind = F.col("text").rlike("@|[0-9]{2}|[0-9][.-]|\\+[0-9]|[0-9]\\x20|gh[pousr]_|sk-|AKIA|[0-9a-f]{32}")
+    any_kind = F.col("text").rlike("@|[0-9]{2}|[0-9][.-]|\\+[0-9]|[0-9]\\x20|gh[pousr]_|sk-|AKIA|[0-9a-f]{32}|[0-9A-F]{32}")
     texts = base.select("doc_id", F.when(any_kind, F.col("text")).otherwise("").alias("text"))
     none = F.array().cast("array<string>")
     cut = texts.select("doc_id", *[F.when(guards[k], F.regexp_extract_all("text", F.lit(p), F.lit(0))).otherwise(none).alias(f"m_{k}") for k, p in patterns.items()], *[F.when(guards[k], F.split("text", p, -1)).otherwise(none).alias(f"p_{k}") for k, p in patterns.items()])
