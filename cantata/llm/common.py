@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +16,8 @@ PLAIN_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 PLAIN_WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Records in an Arrow batch: long texts are the rule, so that a batch stays at some megabytes.
 ARROW_RECORDS = 256
+#: Spark removes the shuffle files of a query when it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -44,11 +48,17 @@ def staged(df: DataFrame) -> DataFrame:
 
     It cuts the lineage as a checkpoint does, and its size is known exactly to the
     planner, so a join with it is broadcast only below ``autoBroadcastJoinThreshold``
-    and sorted and merged (with AQE's splitting of skewed partitions) beyond it.
+    and sorted and merged (with AQE's splitting of skewed partitions) beyond it. Shuffle files of
+    the write go when it is done, so the disk that a job needs is that of its largest step, not the sum.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/cantata-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_path = path
     return out
@@ -67,6 +77,18 @@ def python_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_RECORDS))
 
 
+@contextmanager
+def arrow_records(spark: SparkSession, records: int) -> Iterator[None]:
+    """Arrow batches of another size, for rows that are short."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(records))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z and nothing else; the built-in ``lower`` does just that on ASCII texts, and faster."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

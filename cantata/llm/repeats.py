@@ -6,18 +6,19 @@ of n tokens has about 2n / (W - k + 2) anchors. An anchor's windows together are
 
 1. A k-gram that names windows of one document only cannot repeat: anchors' hashes are
    counted by document and the others drop out.
-2. The segments of the remaining anchors are gathered by content (pre-aggregated to the least
-   doc_id, so thousands of copies are one row), dealt to tasks by ranges of an order in which an
-   anchor's segments are neighbours, and sorted.
-3. A task resolves its sorted segments in buckets of bounded size: for every window, the least
-   doc_id that has it. A bucket may end anywhere, inside an anchor too: an anchor may have any
-   number of distinct segments (a notice between different neighbours, say). So the windows of the
-   anchors at a bucket's two ends, each once with its least doc_id so far, are compared across all
-   boundaries by an aggregation. No task holds an anchor whole.
+2. The segments of the remaining anchors are named by anchor and content (64 bits each) and
+   aggregated to the least doc_id, so thousands of copies are one row. Where an anchor has one segment
+   only, that doc_id is the answer for all its windows, and no text moves.
+3. Of other anchors, the text of each distinct segment is cut once, dealt to tasks by ranges of an
+   order in which an anchor's segments are neighbours, and sorted. A task resolves its sorted segments
+   in buckets of bounded size: for every window, the least doc_id that has it. An anchor of more
+   segments than a bucket holds (a notice between different neighbours, say) is dealt by what follows
+   it and may begin and end anywhere: the windows of such anchors at a bucket's two ends, with their least
+   doc_id so far, are compared across all boundaries by an aggregation. No task holds such an anchor whole.
 4. Documents learn which of their windows a smaller doc_id has, and drop the tokens.
 
-Hashes of 64 bits only choose and gather. Whether windows are equal is decided on contents inside a
-bucket, and on 128 bits across boundaries (windows) and in step 4 (segments).
+Whether windows are equal is decided on contents inside a bucket, and on 128 bits elsewhere: across
+boundaries (windows), and of a segment's name (anchor and content).
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cantata.llm.common import discard, python_batches, staged
+from cantata.llm.common import arrow_records, discard, python_batches, staged
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -48,13 +49,16 @@ _NONE = (1 << 63) - 1
 class Shape:
     """Windows of ``window`` tokens, anchored by ``gram`` of them; tokens are bytes or words between white space.
 
-    order: SQL of what segments (key, content, lead) are dealt and sorted by; an anchor's must be neighbours.
+    leading: SQL of what segments (key, content, lead) are dealt and sorted by; an anchor's must be equal.
+    further: SQL of what those of a large anchor are dealt by in addition. segment_bytes: about the size of a segment.
     """
 
     window: int
     gram: int
     words: bool
-    order: str = "key"
+    leading: str = "key"
+    further: str = "content"
+    segment_bytes: int = 256
 
 
 class Text:
@@ -62,19 +66,22 @@ class Text:
 
     def __init__(self, text: str | None, shape: Shape) -> None:
         raw = (text or "").encode("utf-8", "surrogatepass")
+        self.raw, self.parts, self.starts = raw, None, None
         if shape.words:
             self.parts = raw.split()
-            self.tokens = np.fromiter(map(xxhash.xxh64_intdigest, self.parts), np.uint64, len(self.parts))
-            ends = np.cumsum(np.fromiter(map(len, self.parts), np.int64, len(self.parts)) + 1) - 1
-            self.raw, self.ends = b" ".join(self.parts), ends
-            self.starts = np.concatenate(([0], ends[:-1] + 1)) if len(ends) else ends
-        else:
-            self.raw, self.tokens = raw, _BYTES[np.frombuffer(raw, np.uint8)]
-            self.starts = self.ends = None
+            self.raw = b" ".join(self.parts)
+            self.ends = np.cumsum(np.fromiter(map(len, self.parts), np.int64, len(self.parts)) + 1) - 1
+            self.starts = np.concatenate(([0], self.ends[:-1] + 1)) if len(self.ends) else self.ends
+
+    def tokens(self) -> np.ndarray:
+        if self.parts is None:
+            return _BYTES[np.frombuffer(self.raw, np.uint8)]
+        return np.fromiter(map(xxhash.xxh64_intdigest, self.parts), np.uint64, len(self.parts))
 
-    def run(self, a: int, b: int) -> bytes:
-        """Tokens a to b, end exclusive."""
-        return self.raw[a:b] if self.starts is None else self.raw[self.starts[a] : self.ends[b - 1]]
+    def runs(self, first: np.ndarray, size: np.ndarray) -> Iterator[bytes]:
+        """The bytes of the runs of ``size`` tokens from ``first`` on."""
+        a, z = (first, first + size) if self.starts is None else (self.starts[first], self.ends[first + size - 1])
+        return (self.raw[i:j] for i, j in zip(a.tolist(), z.tolist(), strict=True))
 
 
 def _grams(tokens: np.ndarray, k: int) -> np.ndarray:
@@ -110,7 +117,7 @@ def segments(tokens: np.ndarray, shape: Shape) -> tuple[np.ndarray, np.ndarray,
 def _keys_of(shape: Shape) -> Callable:
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [np.unique(segments(Text(t, shape).tokens, shape)[3]) for t in b.column(1).to_pylist()]
+            found = [np.unique(segments(Text(t, shape).tokens(), shape)[3]) for t in b.column(1).to_pylist()]
             ids = np.repeat(b.column(0).to_numpy(zero_copy_only=False), [len(f) for f in found])
             key = np.concatenate(found) if found else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids.astype(np.int64))], names=["key", "doc_id"])
@@ -122,24 +129,46 @@ def _batch(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.
     return pa.RecordBatch.from_arrays([pa.array(c, y) for c, y in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
 
-_SEGMENT = "key bigint, content binary, lead int, doc_id bigint, tag bigint, first int"
+_PLACE = "key bigint, h bigint, doc_id bigint, tag bigint, first int, n int, lead int"
+
+
+def _places_of(shape: Shape) -> Callable:
+    """The segments of the anchors that a document was asked for: names and places, no text."""
+    names = [x.split()[0] for x in _PLACE.split(", ")]
+    types = [*[pa.int64()] * 4, *[pa.int32()] * 3]
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = []
+            for doc, tag, text, keys in zip(*(b.column(i).to_pylist() for i in range(3)), b.column(3), strict=True):
+                t = Text(text, shape)
+                first, n, at, key = segments(t.tokens(), shape)
+                chosen = np.flatnonzero(np.isin(key, keys.values.to_numpy()))
+                first, n = first[chosen], n[chosen]
+                h = np.fromiter(map(xxhash.xxh64_intdigest, t.runs(first, n + shape.window - 1)), np.uint64, len(chosen))
+                found.append((key[chosen], h.view(np.int64), np.full(len(h), doc), np.full(len(h), tag), first, n, at[chosen] - first))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(y.to_pandas_dtype())) for c, y in zip(zip(*found, strict=True), types, strict=True)], names=names)
+
+    return places
+
+
+_SEGMENT = "key bigint, h bigint, content binary, lead int, least bigint, large boolean"
 
 
 def _segments_of(shape: Shape) -> Callable:
+    """The texts of the segments that a document stands for."""
     names = [x.split()[0] for x in _SEGMENT.split(", ")]
-    types = [pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.int32()]
+    types = [pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.bool_()]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows: list[tuple] = []
             size = 0
-            for doc, tag, text, keys in zip(*(b.column(i).to_pylist() for i in range(3)), b.column(3), strict=True):
-                t = Text(text, shape)
-                first, n, at, key = segments(t.tokens, shape)
-                chosen = np.flatnonzero(np.isin(key, keys.values.to_numpy()))
-                for k, f, m, x in zip(key[chosen].tolist(), first[chosen].tolist(), n[chosen].tolist(), at[chosen].tolist(), strict=True):
-                    content = t.run(f, f + m + shape.window - 1)
-                    rows.append((k, content, x - f, doc, tag, f))
+            for doc, text, wanted in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                first, n = (np.array([w[c] for w in wanted], np.int64) for c in ("first", "n"))
+                for w, content in zip(wanted, Text(text, shape).runs(first, n + shape.window - 1), strict=True):
+                    rows.append((w["key"], w["h"], content, w["lead"], doc, w["large"]))
                     size += len(content)
                     if size > 1 << 22:
                         yield _batch(rows, names, types)
@@ -150,8 +179,8 @@ def _segments_of(shape: Shape) -> Callable:
     return cut
 
 
-#: Takes segments (content, least doc_id) in order and gives, for each, its windows' least doc_ids.
-Resolve = Callable[[list[bytes], list[int]], list[np.ndarray]]
+#: Takes segments (content, least doc_id) in order and gives their windows' least doc_ids, one after the other.
+Resolve = Callable[[list[bytes], list[int]], np.ndarray]
 
 
 def window_marks(content: bytes, shape: Shape) -> np.ndarray:
@@ -165,57 +194,64 @@ def window_marks(content: bytes, shape: Shape) -> np.ndarray:
     return np.frombuffer(b"".join(xxhash.xxh3_128_digest(content[a:z]) for a, z in spans), np.int64).reshape(-1, 2)
 
 
-_SOLVED = "key bigint, content binary, upto array<int>, least array<bigint>, edge array<bigint>, w1 array<bigint>, w2 array<bigint>"
+_SOLVED = "key bigint, h bigint, upto array<int>, least array<bigint>, edge array<bigint>, w1 array<bigint>, w2 array<bigint>"
 
 
 def _resolved(resolve: Resolve, shape: Shape, bucket_bytes: int) -> Callable:
-    """Answers sorted segments bucket by bucket; those of the anchors at a bucket's ends also bring their windows' marks and answers."""
+    """Answers sorted segments bucket by bucket; those of large anchors at a bucket's ends also bring their windows' marks and answers."""
     names = [x.split()[0] for x in _SOLVED.split(", ")]
-    types = [pa.int64(), pa.binary(), pa.list_(pa.int32()), *[pa.list_(pa.int64())] * 4]
+    longs = pa.list_(pa.int64())
 
-    def bucket(rows: list[tuple]) -> list[tuple]:
-        keys = np.array([r[0] for r in rows], np.int64)
-        ends = np.isin(keys, keys[[0, -1]])
+    def bucket(rows: list[tuple]) -> pa.RecordBatch:
+        keys, hashes, contents, own, large = zip(*rows, strict=True)
+        keys, own = np.array(keys, np.int64), np.array(own, np.int64)
+        counts = np.array([c.count(b" ") + 2 - shape.window for c in contents] if shape.words else [len(c) - shape.window + 1 for c in contents])
         same_as_next = np.concatenate((keys[1:] == keys[:-1], [False]))
         several = same_as_next | np.concatenate(([False], same_as_next[:-1]))
-        shared = np.flatnonzero(several).tolist()
-        told = dict(zip(shared, resolve([rows[i][1] for i in shared], [rows[i][2] for i in shared]), strict=True)) if shared else {}
-        out = []
-        for i, (key, content, own) in enumerate(rows):
-            marks = window_marks(content, shape) if ends[i] else None
-            least = told.get(i)
-            if least is None:  # the only segment of its anchor here
-                n = content.count(b" ") + 2 - shape.window if shape.words else len(content) - shape.window + 1
-                upto, best, edge = [n], [own], np.full(n, own, np.int64)
-            else:
-                turns = np.concatenate((np.flatnonzero(least[1:] != least[:-1]) + 1, [len(least)]))
-                upto, best, edge = turns.astype(np.int32), least[turns - 1], least
-            out.append((key, content, upto, best, *((None, None, None) if marks is None else (edge, marks[:, 0], marks[:, 1]))))
-        return out
+        best = np.repeat(own, counts)
+        if several.any():
+            at = np.flatnonzero(several).tolist()
+            best[np.repeat(several, counts)] = resolve([contents[i] for i in at], own[at].tolist())
+        ends = np.cumsum(counts)
+        turn = np.concatenate((best[1:] != best[:-1], [True]))
+        turn[ends - 1] = True
+        last = np.flatnonzero(turn)
+        segment = np.repeat(np.arange(len(rows)), counts)[last]
+        offsets = pa.array(np.concatenate(([0], np.cumsum(np.bincount(segment, minlength=len(rows))))).astype(np.int32))
+        upto = pa.ListArray.from_arrays(offsets, pa.array((last + 1 - (ends - counts)[segment]).astype(np.int32)))
+        least = pa.ListArray.from_arrays(offsets, pa.array(best[last]))
+        edges = np.isin(keys, keys[[0, -1]]) & np.array(large, bool)
+        told: list = [[None] * len(rows) for _ in range(3)]
+        for i in np.flatnonzero(edges).tolist():
+            marks = window_marks(contents[i], shape)
+            told[0][i], told[1][i], told[2][i] = best[ends[i] - counts[i] : ends[i]], marks[:, 0], marks[:, 1]
+        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(hashes, pa.int64()), upto, least, *(pa.array(t, longs) for t in told)], names=names)
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         size = 0
         for b in batches:
-            for row in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                rows.append(row)
-                size += len(row[1])
-                if size > bucket_bytes:
-                    yield _batch(bucket(rows), names, types)
+            for row in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+                if rows and row == rows[-1]:  # of a row of the table that is there several times
+                    continue
+                if size > bucket_bytes and (row[4] or row[0] != rows[-1][0]):
+                    yield bucket(rows)
                     rows, size = [], 0
+                rows.append(row)
+                size += len(row[2])
         if rows:
-            yield _batch(bucket(rows), names, types)
+            yield bucket(rows)
 
     return solve
 
 
 def _across_boundaries(solved: DataFrame) -> DataFrame:
-    """Answers (key, h1, h2, upto, least) for windows at the ends of buckets that another bucket has with a smaller doc_id."""
-    windows = solved.where("edge IS NOT NULL").select("key", "h1", "h2", F.posexplode(F.arrays_zip("edge", "w1", "w2")).alias("i", "w")).select("key", "h1", "h2", "i", "w.edge", "w.w1", "w.w2")
+    """Answers (key, h, upto, least) for windows at the ends of buckets that another bucket has with a smaller doc_id."""
+    windows = solved.where("edge IS NOT NULL").select("key", "h", F.posexplode(F.arrays_zip("edge", "w1", "w2")).alias("i", "w")).select("key", "h", "i", "w.edge", "w.w1", "w.w2")
     shared = staged(windows.groupBy("w1", "w2").agg(F.min("edge").alias("a"), F.max("edge").alias("b")).where("a < b").select("w1", "w2", "a"))
-    told = windows.join(shared, ["w1", "w2"]).where("a < edge").groupBy("key", "h1", "h2").agg(F.array_sort(F.collect_list(F.struct("i", "a"))).alias("told"))  # of one segment
+    told = windows.join(shared, ["w1", "w2"]).where("a < edge").groupBy("key", "h").agg(F.array_sort(F.collect_list(F.struct("i", "a"))).alias("told"))  # of one segment
     upto, least = "flatten(transform(told, r -> array(r.i, r.i + 1)))", f"flatten(transform(told, r -> array({_NONE}, r.a)))"
-    return told.select("key", "h1", "h2", F.expr(upto).alias("upto"), F.expr(least).alias("least"))
+    return told.select("key", "h", F.expr(upto).alias("upto"), F.expr(least).alias("least"))
 
 
 def repeated_windows(docs: DataFrame, shape: Shape, resolve: Resolve, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
@@ -228,19 +264,30 @@ def repeated_windows(docs: DataFrame, shape: Shape, resolve: Resolve, bucket_byt
     shared = keys.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("key")
     asked = staged(keys.join(staged(shared), "key").groupBy("doc_id").agg(F.collect_set("key").alias("keys")))  # of one document
     discard(keys)
-    cut = staged(docs.join(asked, "doc_id").select("doc_id", F.xxhash64("text").alias("tag"), "text", "keys").mapInArrow(_segments_of(shape), _SEGMENT))
-    distinct = cut.groupBy("key", "content", "lead").agg(F.min("doc_id").alias("least"))
-    order = [F.expr(shape.order), F.col("content")]
-    dealt = distinct.select("key", "content", "least", "lead").repartitionByRange(*order).sortWithinPartitions(*order)
-    solved = dealt.select("key", "content", "least").mapInArrow(_resolved(resolve, shape, bucket_bytes), _SOLVED)
-    name = [F.xxhash64("content").alias("h1"), F.xxhash64(F.lit(7), "content").alias("h2")]
-    solved = staged(solved.select("key", *name, "upto", "least", "edge", "w1", "w2"))
-    answers = solved.select("key", "h1", "h2", "upto", "least").unionByName(staged(_across_boundaries(solved)))
-    told = cut.select("key", *name, "doc_id", "tag", "first").join(answers, ["key", "h1", "h2"])
+    tagged = docs.select("doc_id", F.xxhash64("text").alias("tag"), "text")
+    places = staged(tagged.join(asked, "doc_id").select("doc_id", "tag", "text", "keys").mapInArrow(_places_of(shape), _PLACE))
+    discard(asked)
+
+    named = staged(places.groupBy("key", "h").agg(F.min(F.struct("doc_id", "tag", "first", "n", "lead")).alias("of")).select("key", "h", "of.*"))
+    several = named.groupBy("key").agg(F.count("*").alias("kinds")).where("kinds > 1")
+    several = staged(several.select("key", (F.col("kinds") > bucket_bytes // shape.segment_bytes).alias("large")))
+    alone = named.join(several, "key", "left_anti").select("key", "h", F.array("n").alias("upto"), F.array("doc_id").alias("least"))
+    owned = named.join(several, "key").groupBy(F.col("doc_id").alias("o_doc"), F.col("tag").alias("o_tag")).agg(F.collect_list(F.struct("key", "h", "first", "n", "lead", "large")).alias("wanted"))  # of one document
+    owned = staged(owned)
+    cut = tagged.join(owned, (F.col("doc_id") == F.col("o_doc")) & (F.col("tag") == F.col("o_tag"))).select("doc_id", "text", "wanted").mapInArrow(_segments_of(shape), _SEGMENT)
+    cut = staged(cut)
+    discard(owned)
+    order = [F.expr(shape.leading).alias("leading"), F.when(F.col("large"), F.expr(shape.further)).alias("further")]
+    dealt = cut.select("*", *order).repartitionByRange("leading", "further").sortWithinPartitions("leading", "key", "further", "content")
+    with arrow_records(docs.sparkSession, 4096):  # segments are short
+        solved = staged(dealt.select("key", "h", "content", "least", "large").mapInArrow(_resolved(resolve, shape, bucket_bytes), _SOLVED))
+    discard(cut)
+    answers = solved.select("key", "h", "upto", "least").unionByName(staged(_across_boundaries(solved))).unionByName(alone)
+    told = places.select("key", "h", "doc_id", "tag", "first").join(answers, ["key", "h"])
     runs = F.expr("transform(filter(transform(upto, (e, i) -> named_struct('a', first + if(i = 0, 0, upto[i - 1]), 'b', first + e, 'd', least[i])), r -> r.d < doc_id), r -> named_struct('a', r.a, 'b', r.b))")
     told = told.select("doc_id", "tag", F.explode(runs).alias("run"))
     found = staged(told.groupBy("doc_id", "tag").agg(F.array_sort(F.collect_set("run")).alias("runs")))  # of one document
-    for used in (asked, cut, solved):
+    for used in (places, named, solved):
         discard(used)
     return found
 

@@ -1,12 +1,12 @@
 """Suffix-array dedup of byte strings.
 
 Suffixes are sparse: those that begin at a repeated anchor, and those at the starts of its windows (see
-repeats). Sampled splitters range-partition them by the bytes that follow the anchor; a task
-sorts its range and cuts it into buckets of bounded size. In a bucket, the suffixes at all window
-starts are sorted by multikey quicksort over 8-byte characters: only suffixes equal so far
-are compared on the next character. Neighbours that agree on the whole window are one
-group, whose least doc_id keeps the bytes. Suffixes of the anchors at a bucket's ends are compared
-across the boundaries.
+repeats). Sampled splitters range-partition them by their leading bytes (the anchor; for anchors of many
+segments also the bytes that follow it); a task sorts its range and cuts it into buckets of bounded
+size. In a bucket, the suffixes at all window starts are sorted by multikey quicksort over 8-byte
+characters: only suffixes equal so far are compared on the next character. Neighbours that agree on the
+whole window are one group, whose least doc_id keeps the bytes. Suffixes of large anchors at a bucket's
+ends are compared across the boundaries.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from cantata.llm.common import python_batches
 from cantata.llm.repeats import BUCKET_BYTES, Shape, removed_tokens, with_runs
 
 #: Anchors of 16 bytes: fewer and longer segments than with longer anchors, and still rarely equal by chance.
-BYTES = Shape(window=50, gram=16, words=False, order="substr(content, lead + 1, 50)")
+BYTES = Shape(window=50, gram=16, words=False, leading="substr(content, lead + 1, 16)", further="substr(content, lead + 17, 34)", segment_bytes=128)
 
 
 def sort_suffixes(rows: np.ndarray) -> np.ndarray:
@@ -48,8 +48,8 @@ def sort_suffixes(rows: np.ndarray) -> np.ndarray:
     return group
 
 
-def resolve(contents: list[bytes], least: list[int], window: int = BYTES.window) -> list[np.ndarray]:
-    """By segment of a bucket, the least doc_id of each of its windows."""
+def resolve(contents: list[bytes], least: list[int], window: int = BYTES.window) -> np.ndarray:
+    """The least doc_id of each window of a bucket's segments."""
     counts = np.array([len(c) - window + 1 for c in contents])
     data = np.frombuffer(b"".join(contents), np.uint8)
     first = np.cumsum([0] + [len(c) for c in contents[:-1]])
@@ -58,7 +58,7 @@ def resolve(contents: list[bytes], least: list[int], window: int = BYTES.window)
     doc = np.repeat(np.array(least, np.int64), counts)
     best = np.full(group.max() + 1, np.iinfo(np.int64).max)
     np.minimum.at(best, group, doc)
-    return np.split(best[group], np.cumsum(counts)[:-1])
+    return best[group]
 
 
 def _trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -4,7 +4,7 @@ A reference shard holds the distinct repeated segments of a range of anchors, ea
 least doc_id (see repeats), in at most ``SHARD_BYTES``: one suffix automaton is built over all of
 them, and the segments of the documents are streamed through it for matching statistics. Where the
 longest match reaches the window's length, the state of that length knows the least doc_id that
-has it. Windows of the anchors at a shard's ends are compared across shards.
+has it. Windows of large anchors at a shard's ends are compared across shards.
 
 Broadcasting automata of all documents would broadcast the corpus, and streaming every document
 through every shard would cost the square of it. So shards are not broadcast: what can match a
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from cantata.llm.common import python_batches
 from cantata.llm.repeats import Shape, removed_tokens, with_runs
 
-WORDS = Shape(window=50, gram=25, words=True, order="key")
+WORDS = Shape(window=50, gram=25, words=True)
 #: Text of a shard; its automaton takes some hundred times as much memory.
 SHARD_BYTES = 1 << 18
 
@@ -91,13 +92,13 @@ class Automaton:
             yield self.least[state] if match >= window else None
 
 
-def resolve(contents: list[bytes], least: list[int], window: int = WORDS.window) -> list[np.ndarray]:
-    """By segment of a shard, the least doc_id of each of its windows."""
+def resolve(contents: list[bytes], least: list[int], window: int = WORDS.window) -> np.ndarray:
+    """The least doc_id of each window of a shard's segments."""
     automaton, texts = Automaton(), [c.split(b" ") for c in contents]
     for words, owner in zip(texts, least, strict=True):
         automaton.add(words, owner)
     automaton.close()
-    return [np.array(list(automaton.stream(words, window))[window - 1 :], np.int64) for words in texts]
+    return np.fromiter((x for words in texts for x in islice(automaton.stream(words, window), window - 1, None)), np.int64)
 
 
 def _trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
