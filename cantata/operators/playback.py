@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cantata.functions import music
-from cantata.operators.tempo import position_to_seconds
+from cantata.operators.tempo import as_of, position_to_seconds
 
 
 def build_schedule(events: DataFrame, tempo_map: DataFrame) -> DataFrame:
@@ -26,12 +26,17 @@ def expand_preset_zones(phdr: DataFrame, pbag: DataFrame, pgen: DataFrame, inst:
     """
 
     def zones(owner: DataFrame, bags: DataFrame, gens: DataFrame, last: str) -> DataFrame:
-        nxt = lambda df, c: df.withColumn("upto", F.lead(c).over(Window.partitionBy(F.lit(0)).orderBy("idx")))  # noqa: E731  a header table: some hundreds of rows
-        o = nxt(owner, "bag").select(F.col("idx").alias("owner"), F.col("bag").alias("b0"), F.col("upto").alias("b1"))
-        b = nxt(bags, "gen").select(F.col("idx").alias("zone"), F.col("gen").alias("g0"), F.col("upto").alias("g1"))
-        g = gens.select(F.col("idx").alias("g"), "op", "amount")
-        own = o.join(b, (F.col("zone") >= F.col("b0")) & (F.col("zone") < F.col("b1")))
-        full = own.join(g, (F.col("g") >= F.col("g0")) & (F.col("g") < F.col("g1")), "left")
+        def spans(df: DataFrame, column: str) -> DataFrame:
+            """Each record with the numbers from its ``column`` on, up to that of the record after it (records are numbered without gaps)."""
+            after = df.select((F.col("idx") - 1).alias("a_idx"), F.col(column).alias("upto"))
+            both = df.join(after, df["idx"] == after["a_idx"]).where(F.col("upto") > F.col(column))
+            return both.select("idx", F.col(column).alias("begin"), F.explode(F.sequence(F.col(column), F.col("upto") - 1)).alias("item"))
+
+        o = spans(owner, "bag").select(F.col("idx").alias("owner"), F.col("begin").alias("b0"), F.col("item").alias("zone"))
+        b = spans(bags, "gen").select(F.col("idx").alias("z"), F.col("item").alias("g"))
+        g = gens.select(F.col("idx").alias("gi"), "op", "amount")
+        own = o.join(bags.select(F.col("idx").alias("zi")), F.col("zone") == F.col("zi"))
+        full = own.join(b.join(g, F.col("g") == F.col("gi")), F.col("zone") == F.col("z"), "left")
         ops = [last, "key_lo", "key_hi", "vel_lo", "vel_hi", "attenuation", "coarse_tune", "fine_tune", "root_key", "sample_modes"]
         wide = full.groupBy("owner", "zone", "b0").agg(*[F.max(F.when(F.col("op") == x, F.col("amount"))).alias(x) for x in ops])
         shared = wide.where(F.col(last).isNull() & (F.col("zone") == F.col("b0"))).select("owner", *[F.col(x).alias(f"d_{x}") for x in ops[1:]])
@@ -75,15 +80,19 @@ def resolve_preset(part_keys: DataFrame, presets: DataFrame) -> DataFrame:
 
 
 def match_region(notes: DataFrame, regions: DataFrame) -> DataFrame:
-    """notes: note_key, preset, midi, velocity. Adds the region that holds pitch and velocity; narrow ones first, then the first.
+    """notes: preset, midi, velocity. Adds the region that holds pitch and velocity; narrow ones first, then the first. Repeated notes stay.
 
-    Regions meet notes on the preset; a preset has some dozens of regions, so a note meets as many rows.
+    Regions are a dimension: for each preset and key (128 at most) its regions in the order of preference,
+    so a note meets one row and takes the first that holds its velocity.
     """
-    r = regions.select(F.col("preset").alias("r_preset"), "region_idx", "key_lo", "key_hi", "vel_lo", "vel_hi", "attenuation", "coarse_tune", "fine_tune", "root_key")
-    held = (F.col("preset") == F.col("r_preset")) & F.col("midi").between(F.col("key_lo"), F.col("key_hi")) & F.col("velocity").between(F.col("vel_lo"), F.col("vel_hi"))
     score = F.when(F.col("key_hi") - F.col("key_lo") <= 12, 2).otherwise(0) + F.when(F.col("vel_hi") - F.col("vel_lo") <= 32, 1).otherwise(0)
-    best = F.min(F.struct((-score).alias("s"), "region_idx", "attenuation", "coarse_tune", "fine_tune", "root_key")).alias("b")
-    return notes.join(r, held).groupBy(*notes.columns).agg(best).select(*notes.columns, "b.region_idx", "b.attenuation", "b.coarse_tune", "b.fine_tune", "b.root_key")
+    what = ["region_idx", "attenuation", "coarse_tune", "fine_tune", "root_key"]
+    row = F.struct((-score).alias("s"), *what, "vel_lo", "vel_hi").alias("r")
+    keyed = regions.where("key_lo <= key_hi").select(F.col("preset").alias("r_preset"), F.explode(F.sequence("key_lo", "key_hi")).alias("r_key"), row)
+    keyed = keyed.groupBy("r_preset", "r_key").agg(F.array_sort(F.collect_list("r")).alias("rs"))  # of one preset and key
+    met = notes.join(keyed, (F.col("preset") == F.col("r_preset")) & (F.col("midi") == F.col("r_key")))
+    first = met.select(*notes.columns, F.expr("get(filter(rs, r -> velocity BETWEEN r.vel_lo AND r.vel_hi), 0)").alias("b"))
+    return first.where("b IS NOT NULL").select(*notes.columns, *[f"b.{c}" for c in what])
 
 
 def note_gain_rate(matched: DataFrame, volume: str = "volume") -> DataFrame:
@@ -111,12 +120,14 @@ def mute_filter(scheduled: DataFrame, muted: DataFrame) -> DataFrame:
 
 
 def window_batch(prepared: DataFrame, windows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """windows: score_id, w, t0, t1. Notes that sound in a window, with audible_start and what remains (over 2 ms); each note in its first window."""
-    end = F.col("start_sec") + F.col("duration_sec")
-    met = prepared.join(windows, "score_id").where((F.col("start_sec") < F.col("t1")) & (end > F.col("t0")))
-    audible = F.greatest("start_sec", "t0")
-    left = met.withColumn("audible_start", audible).withColumn("remaining", end - audible).where("remaining > 0.002")
-    return left.groupBy(*keys).agg(F.min(F.struct("w", "audible_start", "remaining")).alias("b")).select(*keys, "b.w", "b.audible_start", "b.remaining")
+    """windows: score_id, w, t0, t1, numbered in the order of time. Each note in the first window that it sounds in, with audible_start and what remains (over 2 ms).
+
+    That is the window of the least end after the note's start: one as-of look-up, no pairs.
+    """
+    ends = windows.select("score_id", (-F.col("t1")).alias("pos"), "w", "t0")
+    met = as_of(prepared.withColumn("__at", -F.col("start_sec")), ends, "__at", ("w", "t0"), strict=True)
+    end, audible = F.col("start_sec") + F.col("duration_sec"), F.greatest("start_sec", "t0")
+    return met.where(end > F.col("t0")).select(*keys, "w", audible.alias("audible_start"), (end - audible).alias("remaining")).where("remaining > 0.002")
 
 
 def preview_clip(scheduled: DataFrame, max_sec: float = 8.0, tail_sec: float = 0.5) -> DataFrame:

@@ -77,12 +77,24 @@ def active_marker(times: DataFrame, markers: DataFrame) -> DataFrame:
     return as_of(times.withColumn("__t", F.col("time") + 0.02), at, "__t").drop("__t")
 
 
+def _numbered(events: DataFrame, tempo_map: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Events with the numbers of the last tempo up to their start (__n0) and before their end (__n1); tempos with their number by score."""
+    t = tempo_map.withColumn("n", F.row_number().over(Window.partitionBy("score_id").orderBy("pos")))
+    started = as_of(events.withColumn("__end", F.col("start") + F.col("duration")), t, "start", ("n",)).withColumn("__n0", F.coalesce("n", F.lit(0))).drop("n")
+    ended = as_of(started, t, "__end", ("n",), strict=True).withColumn("__n1", F.coalesce("n", F.lit(0))).drop("n", "__end")
+    return ended, t
+
+
 def _cut_points(events: DataFrame, tempo_map: DataFrame) -> DataFrame:
-    """Events with cuts: the sorted (pos, bpm) of tempo changes strictly inside; changes at 0 are headers, not cuts."""
-    t = tempo_map.where("pos > 0").select("score_id", F.col("pos").alias("cut"), F.col("bpm").alias("cut_bpm"))
-    inside = (F.col("cut") > F.col("start")) & (F.col("cut") < F.col("start") + F.col("duration"))
+    """Events with cuts: the sorted (pos, bpm) of tempo changes strictly inside; changes at 0 are headers, not cuts.
+
+    Only events that have some meet their own tempos, by number: no pairs of all events and tempos of a score.
+    """
+    numbered, t = _numbered(events, tempo_map)
+    t = t.where("pos > 0").select(F.col("score_id").alias("t_score"), F.col("pos").alias("cut"), F.col("bpm").alias("cut_bpm"), F.col("n").alias("t_n"))
     keys = ["score_id", "part", "idx"]
-    found = events.join(t, "score_id").where(inside).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("cut", "cut_bpm"))).alias("cuts"))
+    crossing = numbered.where("__n1 > __n0").select(*keys, F.explode(F.sequence(F.col("__n0") + 1, F.col("__n1"))).alias("n"))
+    found = crossing.join(t, (F.col("score_id") == F.col("t_score")) & (F.col("n") == F.col("t_n"))).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("cut", "cut_bpm"))).alias("cuts"))
     return events.join(found, keys, "left")
 
 
@@ -96,8 +108,7 @@ def split_notes_at_tempo(events: DataFrame, tempo_map: DataFrame) -> DataFrame:
 
 
 def notes_crossing_tempo(events: DataFrame, tempo_map: DataFrame) -> DataFrame:
-    t = tempo_map.select(F.col("score_id").alias("t_score"), "pos")
-    return events.where("type = 'note'").join(t, (F.col("score_id") == F.col("t_score")) & (F.col("pos") > F.col("start")) & (F.col("pos") < F.col("start") + F.col("duration")), "left_semi")
+    return _numbered(events.where("type = 'note'"), tempo_map)[0].where("__n1 > __n0").drop("__n0", "__n1")
 
 
 def split_extended_notes(events: DataFrame, tempo_map: DataFrame) -> DataFrame:
