@@ -26,10 +26,16 @@ def reposition_events(events: DataFrame) -> DataFrame:
     return events.withColumn("start", F.coalesce(F.sum("duration").over(before), F.lit(0)))
 
 
-def merge_rests(events: DataFrame) -> DataFrame:
-    """Adjacent rests become one."""
-    joined = (F.col("type") == "rest") & F.coalesce(F.lag("type").over(_order()) == "rest", F.lit(False))
-    islands = events.withColumn("island", F.sum(F.when(joined, 0).otherwise(1)).over(_order()))
+def merge_rests(events: DataFrame, tempos: DataFrame | None = None) -> DataFrame:
+    """Adjacent rests become one, unless the tempo changes at the start of either; tempos: score_id, part, pos of the changes in the parts."""
+    marked = events.withColumn("turn", F.lit(False))
+    if tempos is not None:
+        at = tempos.select(F.col("score_id").alias("t_score"), F.col("part").alias("t_part"), "pos").distinct()
+        on = (F.col("score_id") == F.col("t_score")) & (F.col("part") == F.col("t_part")) & (F.col("start") == F.col("pos"))
+        marked = events.join(at, on, "left").withColumn("turn", F.col("pos").isNotNull()).drop("t_score", "t_part", "pos")
+    plain = (F.col("type") == "rest") & ~F.col("turn")
+    joined = plain & F.coalesce(F.lag(plain).over(_order()), F.lit(False))
+    islands = marked.withColumn("island", F.sum(F.when(joined, 0).otherwise(1)).over(_order()))
     return islands.groupBy("score_id", "part", "island").agg(F.min("type").alias("type"), F.min("start").alias("start"), F.sum("duration").alias("duration"), F.min("midi").alias("midi"), F.min("volume").alias("volume")).withColumnRenamed("island", "idx")
 
 
@@ -93,6 +99,10 @@ def saved_chars(before: DataFrame, after: DataFrame) -> DataFrame:
     return size(before, "b").join(size(after, "a"), "score_id").select("score_id", (F.col("b") - F.col("a")).alias("saved"))
 
 
-def edit_summary(events: DataFrame) -> DataFrame:
-    """Counts by score of what adjust_volumes marked."""
-    return events.groupBy("score_id").agg(F.count_if("touched").alias("touched"), F.count_if("changed").alias("changed"), F.count_if("clamped").alias("clamped"))
+def edit_summary(events: DataFrame, absorbed: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
+    """Counts by score: what adjust_volumes marked, the rests that absorb_short_rests took, and the characters of the parts before and after."""
+    marks = events.groupBy("score_id").agg(*[F.count_if(c).alias(c) for c in ("touched", "changed", "clamped")])
+    rests = absorbed.groupBy("score_id").agg(F.sum("removed").alias("removed_rests"))
+    size = lambda df, name: df.groupBy("score_id").agg(F.sum(F.length("part_text")).alias(name))
+    full = marks.join(rests, "score_id", "left").join(size(before, "before_chars"), "score_id", "left").join(size(after, "after_chars"), "score_id", "left").fillna(0)
+    return full.withColumn("saved", F.col("before_chars") - F.col("after_chars"))

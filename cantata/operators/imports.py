@@ -25,7 +25,7 @@ def section_blocks(texts: DataFrame) -> DataFrame:
 def section_channel_name(blocks: DataFrame) -> DataFrame:
     """The first usable ``// name`` comment of each channel."""
     name = F.trim(F.regexp_extract("line", r"^\s*//\s*(.+)$", 1))
-    usable = blocks.where("channel_no IS NOT NULL").withColumn("name", name).where((F.col("name") != "") & ~F.col("name").rlike(r"(?i)^(#|initiali[sz]e|init\b|using_)"))
+    usable = blocks.where("channel_no IS NOT NULL").withColumn("name", name).where((F.col("name") != "") & ~F.col("name").rlike(r"(?i)^(#.*|initialize|init|using_extension|using_channel)$"))
     return usable.groupBy("score_id", "channel_no").agg(F.min_by("name", "line_no").alias("name"))
 
 

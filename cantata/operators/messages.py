@@ -63,12 +63,13 @@ def tempo_from_mpqn(messages: DataFrame) -> DataFrame:
 
 
 def channel_summary(notes: DataFrame) -> DataFrame:
-    """One row per channel: counts, sorted programs, tracks, names and drum pitches, and whether it is percussion."""
+    """One row per channel: counts, sorted programs, tracks, names and drum pitches, and whether it is percussion: by channel 9 or by any name."""
     some = notes.groupBy("score_id", "channel").agg(
-        F.count("*").alias("n"), F.array_sort(F.collect_set("program")).alias("programs"), F.array_sort(F.collect_set("track")).alias("tracks"),
+        F.count("*").alias("n"), F.array_sort(F.collect_set("program")).alias("programs"), F.array_sort(F.collect_set("track")).alias("tracks"), F.collect_set("inst_name").alias("inst_names"),
         F.array_sort(F.collect_set("track_name")).alias("names"), F.array_sort(F.collect_set(F.when(F.col("channel") == 9, F.col("midi")))).alias("drums"),
     )
-    return some.withColumn("is_percussion", F.col("channel") == 9)
+    every = F.array_join(F.concat("names", "inst_names", F.transform("programs", lambda p: music.program_name(p))), " / ")
+    return some.withColumn("is_percussion", (F.col("channel") == 9) | every.rlike(music.PERCUSSION)).drop("inst_names")
 
 
 def reject_smpte(headers: DataFrame) -> DataFrame:
@@ -79,13 +80,13 @@ def classify_instrument(notes: DataFrame) -> DataFrame:
     """Adds group_id, instrument_name and is_beat, by channel 9, percussion programs and names."""
     program = F.when(F.col("program").between(0, 127), F.col("program")).otherwise(0)
     name = music.program_name(program)
-    by_name = F.concat_ws(" / ", name, "track_name", "inst_name").rlike(music.PERCUSSION)
-    is_beat = (F.col("channel") == 9) | program.isin(music.BEAT_PROGRAMS) | by_name
-    meta = is_beat & F.coalesce(F.col("inst_name").rlike(music.PERCUSSION), F.lit(False))
     drum = F.col("channel") == 9
-    group = F.when(drum, F.concat(F.lit("ch9:drum:"), F.col("midi"))).otherwise(F.concat(F.lit("ch"), F.col("channel"), F.lit(":program:"), program, F.lit(":beat:"), is_beat.cast("int")))
-    shown = F.when(drum, music.drum_name(F.col("midi"))).when(meta, F.col("inst_name")).otherwise(name)
-    return notes.withColumns({"group_id": group, "instrument_name": shown, "is_beat": is_beat})
+    # Names are searched once a note: each flag is a column that later expressions read several times.
+    by_name = F.concat_ws(" / ", name, "track_name", "inst_name").rlike(music.PERCUSSION)
+    flagged = notes.select("*", (drum | program.isin(music.BEAT_PROGRAMS) | by_name).alias("is_beat"), F.coalesce(F.col("inst_name").rlike(music.PERCUSSION), F.lit(False)).alias("__named"))
+    group = F.when(drum, F.concat(F.lit("ch9:drum:"), F.col("midi"))).otherwise(F.concat(F.lit("ch"), F.col("channel"), F.lit(":program:"), program, F.lit(":beat:"), F.col("is_beat").cast("int")))
+    shown = F.when(drum, music.drum_name(F.col("midi"))).when(F.col("is_beat") & F.col("__named"), F.col("inst_name")).otherwise(name)
+    return flagged.select(*notes.columns, group.alias("group_id"), shown.alias("instrument_name"), "is_beat")
 
 
 def quantize_notes(notes: DataFrame, headers: DataFrame) -> DataFrame:

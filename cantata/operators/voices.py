@@ -21,14 +21,24 @@ def drum_priority(midi: Column) -> Column:
 
 
 def export_channel_config(config: DataFrame, choices: DataFrame) -> DataFrame:
-    """config: score_id, channel_index, role, overlap, selected. Bad roles become auto, bad overlaps half; beat needs beat choices; selections are cut to the score's choices, empty ones take the first allowed."""
-    known = choices.groupBy("score_id").agg(F.collect_set("choice_id").alias("ids"), F.bool_or("is_beat").alias("has_beat"), F.min(F.when(F.col("is_beat"), F.col("choice_id"))).alias("first_beat"), F.min(F.when(~F.col("is_beat"), F.col("choice_id"))).alias("first_inst"))
-    role = F.when((F.col("role") == "beat") & ~F.coalesce("has_beat", F.lit(False)), "auto").when(F.col("role").isin("auto", "high", "low", "beat"), F.col("role")).otherwise("auto")
-    overlap = F.when(F.col("overlap").isin("all", "half", "none"), F.col("overlap")).otherwise("half")
-    joined = config.join(known, "score_id", "left").withColumns({"role": role, "overlap": overlap})
-    own = F.array_sort(F.array_intersect("selected", F.coalesce("ids", F.array().cast("array<string>"))))
-    first = F.when(F.col("role") == "beat", F.col("first_beat")).otherwise(F.col("first_inst"))
-    return joined.select("score_id", "channel_index", "role", "overlap", F.when(F.size(own) > 0, own).when(first.isNotNull(), F.array(first)).otherwise(F.array().cast("array<string>")).alias("selected"))
+    """config: score_id, channel_index, role, overlap, selected (array of choice ids), made valid.
+
+    A missing role is that of the channel's index (the first high, the third low, else auto), a bad one auto;
+    beat needs beat choices. An overlap may be a truth value; missing and bad ones are all. Selections are
+    cut to the choices that the role allows, in their order; empty ones take the first allowed.
+    """
+    ids = lambda beat: F.array_sort(F.collect_set(F.when(F.col("is_beat") == beat, F.col("choice_id"))))
+    known = choices.groupBy("score_id").agg(ids(True).alias("beats"), ids(False).alias("others"))
+    none = F.array().cast("array<string>")
+    joined = config.join(known, "score_id", "left").withColumns({"beats": F.coalesce("beats", none), "others": F.coalesce("others", none)})
+    role = F.coalesce("role", F.when(F.col("channel_index") == 0, "high").when(F.col("channel_index") == 2, "low").otherwise("auto"))
+    valid = role.isin("auto", "high", "low") | ((role == "beat") & (F.size("beats") > 0))
+    mode = F.lower(F.coalesce("overlap", F.lit("all")))
+    overlap = F.when(mode.isin("half", "none"), mode).when(mode == "false", "none").otherwise("all")
+    joined = joined.withColumns({"role": F.when(valid, role).otherwise("auto"), "overlap": overlap})
+    joined = joined.withColumn("allowed", F.when(F.col("role") == "beat", F.col("beats")).otherwise(F.col("others")))
+    own = F.array_intersect(F.coalesce("selected", none), "allowed")
+    return joined.select("score_id", "channel_index", "role", "overlap", F.when(F.size(own) > 0, own).otherwise(F.slice("allowed", 1, 1)).alias("selected"))
 
 
 def channel_sound_preset(config: DataFrame, choices: DataFrame) -> DataFrame:
@@ -39,35 +49,49 @@ def channel_sound_preset(config: DataFrame, choices: DataFrame) -> DataFrame:
     return chosen.groupBy("score_id", "channel_index").agg(best).select("score_id", "channel_index", key.alias("preset_key"))
 
 
-def placement_scores(notes: DataFrame, roles: list[tuple[str, str]] = ROLES) -> DataFrame:
-    """Each note with each of the (at most six) channels that may take it: role fit and pitch, and its rank among them."""
-    channels = F.array(*[F.struct(F.lit(i).alias("ci"), F.lit(r).alias("role")) for i, (r, _) in enumerate(roles)])
-    rows = notes.select("*", F.explode(channels).alias("c")).select("score_id", "note_key", "midi", "velocity", "dur_grid", "is_beat", "c.ci", "c.role").where((F.col("role") == "beat") == F.col("is_beat"))
+def default_config(notes: DataFrame, roles: list[tuple[str, str]] = ROLES) -> DataFrame:
+    """The canonical channels for every score of notes, without selections."""
+    rows = F.array(*[F.struct(F.lit(i).alias("channel_index"), F.lit(r).alias("role"), F.lit(o).alias("overlap")) for i, (r, o) in enumerate(roles)])
+    return notes.select("score_id").distinct().select("score_id", F.explode(rows).alias("c")).select("score_id", "c.*", F.array().cast("array<string>").alias("selected"))
+
+
+def placement_scores(notes: DataFrame, config: DataFrame | None = None) -> DataFrame:
+    """Each note with each of its score's (at most six) channels that may take it: role fit and pitch, and its rank among them.
+
+    notes: with choice_id; config: as of export_channel_config. A channel takes what it has selected; without a selection, all.
+    """
+    c = (default_config(notes) if config is None else config).select(F.col("score_id").alias("c_score"), F.col("channel_index").alias("ci"), "role", "selected")
+    may = (F.size("selected") == 0) | F.array_contains("selected", F.col("choice_id"))
+    rows = notes.join(c, F.col("score_id") == F.col("c_score")).where(((F.col("role") == "beat") == F.col("is_beat")) & may)
     fit = F.when(F.col("role") == "beat", 400).when(F.col("role") == "auto", 170).when((F.col("role") == "high") == (F.col("midi") >= 60), 320).otherwise(30)
     pitch = F.when(F.col("role") == "beat", drum_priority(F.col("midi"))).when(F.col("role") == "low", -F.col("midi")).otherwise(F.col("midi"))
-    scored = rows.withColumns({"role_fit": fit, "role_pitch": pitch})
+    scored = rows.select("score_id", "note_key", "ci", fit.alias("role_fit"), pitch.alias("role_pitch"))
     order = Window.partitionBy("score_id", "note_key").orderBy(F.desc("role_fit"), F.desc("role_pitch"), "ci")
-    return scored.select("score_id", "note_key", "ci", "role_fit", "role_pitch", F.row_number().over(order).alias("rank"))
+    return scored.withColumn("rank", F.row_number().over(order))
 
 
-def assign_voices(notes: DataFrame, roles: list[tuple[str, str]] = ROLES) -> DataFrame:
+def assign_voices(notes: DataFrame, config: DataFrame | None = None) -> DataFrame:
     """(score_id, note_key, voice, status, start_grid, end_grid): status placed, merged (it cut a sounding note short) or skipped.
 
-    notes: grid notes with note_key, is_beat. Onsets are walked in note order; at each, the best
-    (note, channel) by score goes first; leftovers may cut what sounds where the overlap mode allows.
+    notes: grid notes with note_key, is_beat and choice_id; config: each score's channels, as of
+    export_channel_config. Onsets are walked in note order; at each, the best (note, channel) by score
+    goes first; leftovers may cut what sounds where the overlap mode allows.
     """
     priority = {p: s for s, ps in DRUM_PRIORITY.items() for p in ps}
 
-    def walk(df: pd.DataFrame) -> pd.DataFrame:
+    def walk(df: pd.DataFrame, channels: pd.DataFrame) -> pd.DataFrame:
         df = df.sort_values(["start_grid", "midi", "velocity", "note_key"], ascending=[True, False, False, True]).reset_index(drop=True)
+        channels = channels.sort_values("channel_index")
+        roles = list(zip(channels["role"], channels["overlap"], strict=True))
+        chosen = [set(s) for s in channels["selected"]]
         start, end, midi = df["start_grid"].to_numpy(), df["end_grid"].to_numpy().copy(), df["midi"].to_numpy()
-        loud, dur, beat = df["velocity"].to_numpy(), df["dur_grid"].to_numpy(), df["is_beat"].to_numpy()
+        loud, dur, beat, choice = df["velocity"].to_numpy(), df["dur_grid"].to_numpy(), df["is_beat"].to_numpy(), df["choice_id"].to_numpy()
         voice, status = np.full(len(df), -1), np.full(len(df), "skipped", object)
         last: list[int | None] = [None] * len(roles)
 
         def fit(i: int, c: int) -> tuple[int, int] | None:
             role = roles[c][0]
-            if (role == "beat") != bool(beat[i]):
+            if (role == "beat") != bool(beat[i]) or (chosen[c] and choice[i] not in chosen[c]):
                 return None
             if role == "beat":
                 return 400, priority.get(int(midi[i]), 60 if 35 <= midi[i] <= 81 else 0)
@@ -109,17 +133,24 @@ def assign_voices(notes: DataFrame, roles: list[tuple[str, str]] = ROLES) -> Dat
                     waiting.remove(i)
         return pd.DataFrame({"score_id": df["score_id"], "note_key": df["note_key"], "voice": voice.astype("int32"), "status": status, "start_grid": start, "end_grid": end})
 
-    needed = notes.select("score_id", "note_key", "start_grid", "end_grid", "dur_grid", "midi", "velocity", "is_beat")
-    return needed.groupBy("score_id").applyInPandas(walk, "score_id bigint, note_key string, voice int, status string, start_grid bigint, end_grid bigint")
+    needed = notes.select("score_id", "note_key", "start_grid", "end_grid", "dur_grid", "midi", "velocity", "is_beat", "choice_id")
+    channels = (default_config(notes) if config is None else config).select("score_id", "channel_index", "role", "overlap", "selected")
+    return needed.groupBy("score_id").cogroup(channels.groupBy("score_id")).applyInPandas(walk, "score_id bigint, note_key string, voice int, status string, start_grid bigint, end_grid bigint")
 
 
-def conversion_summary(voices: DataFrame) -> DataFrame:
-    return voices.groupBy("score_id").agg(F.count("*").alias("input"), F.count_if(F.col("status") == "placed").alias("placed"), F.count_if(F.col("status") == "merged").alias("merged"), F.count_if(F.col("status") == "skipped").alias("skipped"))
+def conversion_summary(notes: DataFrame, merged: DataFrame, voices: DataFrame) -> DataFrame:
+    """Counts by score: grid notes, duplicates that merging took, and what became of the rest (output: placed and merged)."""
+    counts = notes.groupBy("score_id").agg(F.count("*").alias("input"))
+    folded = merged.groupBy("score_id").agg(F.sum(F.col("source_count") - 1).alias("duplicates"))
+    is_ = lambda s: F.count_if(F.col("status") == s)
+    placed = voices.groupBy("score_id").agg(is_("placed").alias("placed"), is_("merged").alias("merged"), is_("skipped").alias("skipped"), (is_("placed") + is_("merged")).alias("output"))
+    return counts.join(folded, "score_id", "left").join(placed, "score_id", "left").fillna(0)
 
 
 def split_pages(events: DataFrame, max_chars: int = 2400, slack: int | None = None, min_silence: int = 512, max_pages: int = 120) -> DataFrame:
     """(score_id, page, start, end, next_start, reason) by greedy paging; a page's length is the estimate of page_length_estimate.
 
+    What is left after max_pages is one more page, with the reason truncated.
     In order: all that is left; a common silence of min_silence in the second half of the page; the longest
     silence; a boundary safe for all parts; one safe for some; the character limit; 256 units.
     """
@@ -171,12 +202,13 @@ def split_pages(events: DataFrame, max_chars: int = 2400, slack: int | None = No
                     a, b = (a, mid) if measure(at, int(later[mid])) >= floor else (mid + 1, b)
                 low = a
             search = [int(x) for x in later[low : lo + 1]]
-            quiet = [(b - a, a, b) for a, b in silent if search[0] <= a <= best and a > at] if fits else []
-            long = [q for q in quiet if q[0] >= min_silence]
+            sized = [(measure(at, a), b - a, a, b) for a, b in silent if search[0] <= a <= best and a > at]
+            quiet = [q for q in sized if q[0] <= max_chars]
+            long = [q for q in quiet if q[1] >= min_silence]
             clean = [x for x in search if safe(x) == len(parts)]
             some = max(((safe(x), x) for x in search), default=(0, best))
             if long or quiet:
-                _, end, nxt = max(long or quiet)
+                _, _, end, nxt = max(long or quiet)  # the fullest page, then the longest silence, then the latest
                 reason = "common-silence" if long else "longest-silence"
             elif clean:
                 end = nxt = best if best in clean else clean[-1]
@@ -191,6 +223,8 @@ def split_pages(events: DataFrame, max_chars: int = 2400, slack: int | None = No
                 end, nxt, reason = at + 256, at + 256, "forced"
             rows.append((score, len(rows), at, end, nxt, reason))
             at = nxt
+        if at < total and rows[-1][-1] != "last":
+            rows.append((score, len(rows), at, total, total, "truncated"))
         return pd.DataFrame(rows, columns=["score_id", "page", "start", "end", "next_start", "reason"])
 
     needed = events.select("score_id", "part", "type", "start", "duration")
