@@ -19,6 +19,8 @@ VIEWS = {
         CAST(36 + l_partkey % 60 AS INT) AS midi, CAST(1 + l_orderkey % 127 AS INT) AS velocity, CAST(l_partkey % 16 AS INT) AS channel,
         CAST(l_partkey % 128 AS INT) AS program, CAST((l_linenumber - 1) % 6 AS INT) AS track,
         CASE WHEN l_orderkey % 9 = 0 THEN 'Drum kit' ELSE 'Lead' END AS track_name, CASE WHEN l_orderkey % 11 = 0 THEN 'Snare' END AS inst_name FROM lineitem""",
+    "doubled": """SELECT note_key, score_id, start_tick, end_tick, midi, velocity, channel, program, track, track_name, inst_name FROM notes
+        UNION ALL SELECT concat(note_key, '-', copy), score_id, start_tick, end_tick, midi, CAST(1 + (velocity * copy) % 127 AS INT), channel, program, track, track_name, inst_name FROM (SELECT *, EXPLODE(SEQ(velocity % 7)) FROM notes) d""",
     "headers": "SELECT s_suppkey AS score_id, 1 AS format, 6 AS track_count, 480 AS ppq, s_suppkey % 10 = 0 AS smpte FROM supplier",
     "messages": """SELECT user_id AS score_id, 0 AS track, event_id AS seq, SECS(ts) // 10 AS tick,
         CASE WHEN k % 8 = 0 THEN 9 ELSE CAST(user_id % 4 AS INT) END AS channel,
@@ -43,7 +45,8 @@ VIEWS = {
         WHEN 4 THEN 'a-16&a-16' WHEN 5 THEN '>b4<' WHEN 6 THEN concat('N', 40 + l_partkey % 40) WHEN 7 THEN 'f32..' ELSE 'l8 D R4' END AS txt FROM lineitem""",
     "parts": "SELECT score_id, part, LISTAGG(txt | | ord) AS part_text FROM snippets GROUP BY score_id, part",
     "score_text": "SELECT score_id, concat('MML@', LISTAGG(part_text |,| part), ';') AS text FROM parts GROUP BY score_id",
-    "dirty_parts": "SELECT doc_id AS score_id, CAST(part AS INT) AS part, part_text FROM (SELECT doc_id, POSEXPLODE(SPLIT(text)) FROM documents) d WHERE part < 6",
+    "dirty_parts": "SELECT doc_id * 10000000 + part // 6 AS score_id, CAST(part % 6 AS INT) AS part, part_text FROM (SELECT doc_id, POSEXPLODE(SPLIT(text)) FROM documents) d",
+    "gappy": "SELECT score_id, part, CASE WHEN part = score_id % 6 THEN ' ' ELSE part_text END AS part_text FROM parts",
     "files": """SELECT page_id, concat(url, CASE page_id % 6 WHEN 0 THEN '.MID' WHEN 1 THEN '.midi' WHEN 2 THEN '.txt' WHEN 3 THEN '.mmi' WHEN 4 THEN '.mml' ELSE '.doc' END) AS path, CAST(page_id * page_id * 37 % 20000000 AS BIGINT) AS length FROM pages""",
     "telemetry": "SELECT event_id, ts, user_id AS session, concat(CASE event_id % 3 WHEN 0 THEN ' _' WHEN 1 THEN '' ELSE '__' END, event_type, CASE event_id % 4 WHEN 0 THEN '-x y' ELSE '' END) AS name, props FROM events",
     "regions": """SELECT 0 AS bank, CAST(p_partkey % 128 AS INT) AS preset, p_partkey AS region_idx, CAST((p_size * 2) % 100 AS INT) AS key_lo, CAST((p_size * 2) % 100 + p_partkey % 24 AS INT) AS key_hi,
@@ -59,6 +62,7 @@ def duck_sql(text: str) -> str:
     text = re.sub(r"DAYS\((\w+)\)", r"date_diff('day', DATE '1995-01-01', CAST(\1 AS DATE))", text)
     text = re.sub(r"SECS\((\w+)\)", r"(CAST(floor(epoch(\1)) AS BIGINT) - 1704067200)", text)
     text = re.sub(r"LISTAGG\((\w+) \|(.?)\| ([^)]*)\)", lambda m: f"string_agg({m[1]}, '{m[2].strip()}' ORDER BY {m[3]})", text)
+    text = text.replace("EXPLODE(SEQ(velocity % 7))", "unnest(range(1, velocity % 7)) AS copy")
     return text.replace("POSEXPLODE(SPLIT(text))", "unnest(range(0, len(string_split(text, ',')))) AS part, unnest(string_split(text, ',')) AS part_text")
 
 
@@ -66,6 +70,7 @@ def spark_sql(text: str) -> str:
     text = re.sub(r"DAYS\((\w+)\)", r"datediff(CAST(\1 AS DATE), DATE'1995-01-01')", text)
     text = re.sub(r"SECS\((\w+)\)", r"(unix_seconds(CAST(\1 AS TIMESTAMP)) - 1704067200)", text)
     text = re.sub(r"LISTAGG\((\w+) \|(.?)\| ([^)]*)\)", lambda m: f"listagg({m[1]}, '{m[2].strip()}') WITHIN GROUP (ORDER BY {m[3]})", text)
+    text = text.replace(" EXPLODE(SEQ(velocity % 7))", " explode(CASE WHEN velocity % 7 < 2 THEN CAST(array() AS array<int>) ELSE sequence(1, velocity % 7 - 1) END) AS copy")
     return text.replace("//", "div").replace("POSEXPLODE(SPLIT(text))", "posexplode(split(text, ',')) AS (part, part_text)")
 
 

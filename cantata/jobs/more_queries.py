@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cantata.functions import music
 from cantata.jobs.fixtures import oracle, view
-from cantata.jobs.score_queries import STEPS, choices, grid
-from cantata.operators import imports, playback, voices
+from cantata.jobs.score_queries import CHOICES, STEPS, choices, grid
+from cantata.operators import imports, messages, playback, voices
 from cantata.streaming import events as streams
 
 QUERIES: dict = {}
@@ -26,46 +27,84 @@ def register(name: str, build, sql: str | None = None) -> None:
 def projects(v) -> DataFrame:
     """Documents as project texts: a title, a name, a measure mark and codes of each one's letters."""
     codes = F.regexp_replace("text", "[^cdefgabr]", "")
+    comment = F.when(F.col("doc_id") % 3 == 0, "using_x").otherwise("using_channel")
     lines = F.concat(
-        F.lit("[Settings]\nT 95\n[Channel1]\n// using_x\n// Part "), F.col("doc_id") % 7, F.lit("\n/*M 1*/ T"), F.col("doc_id") % 300, F.lit(" V99 EX3 Y4,5 @12 "), codes,
+        F.lit("[Settings]\nT 95\n[Channel1]\n// "), comment, F.lit("\n// Part "), F.col("doc_id") % 7, F.lit("\n/*M 1*/ T"), F.col("doc_id") % 300, F.lit(" V99 EX3 Y4,5 @12 "), codes,
         F.lit("c6r12\n[Channel2]\n//Second\n"), codes, F.lit("\n<name>Solo "), F.col("doc_id") % 5, F.lit("</name>\nMML@"), codes, F.lit("c24,L6de,;\nname=Duo\nMML@T120c4,r48;\nmelody=cdefg\n"),
     )
     return v("documents").select(F.col("doc_id").alias("score_id"), lines.alias("text"))
 
 
 LETTERS = "regexp_replace(text, '[^cdefgabr]', '', 'g')"
-register("section_blocks", lambda v: imports.section_blocks(projects(v)).where("section = 'Settings'").select("score_id", "section", "channel_no", "line_no", "line"), "SELECT doc_id AS score_id, 'Settings' AS section, CAST(NULL AS INT) AS channel_no, CAST(1 AS INT) AS line_no, 'T 95' AS line FROM documents")
-register("section_channel_name", lambda v: imports.section_channel_name(imports.section_blocks(projects(v))), "SELECT doc_id AS score_id, 1 AS channel_no, concat('Part ', doc_id % 7) AS name FROM documents UNION ALL SELECT doc_id, 2, 'Second' FROM documents")
-register("section_clean_code", lambda v: imports.section_clean_code(imports.section_blocks(projects(v)).where("channel_no = 1")), f"SELECT doc_id AS score_id, 1 AS channel_no, concat('T', doc_id % 300, 'V99', {LETTERS}, 'c6r12') AS code FROM documents")
+COMMENT = "CASE WHEN doc_id % 3 = 0 THEN 'using_x' ELSE 'using_channel' END"
+#: Line number, channel (null: the settings) and text of every line of a project.
+LINES = [
+    (1, None, "'T 95'"), (3, 1, f"concat('// ', {COMMENT})"), (4, 1, "concat('// Part ', doc_id % 7)"), (5, 1, f"concat('/*M 1*/ T', doc_id % 300, ' V99 EX3 Y4,5 @12 ', {LETTERS}, 'c6r12')"),
+    (7, 2, "'//Second'"), (8, 2, LETTERS), (9, 2, "concat('<name>Solo ', doc_id % 5, '</name>')"), (10, 2, f"concat('MML@', {LETTERS}, 'c24,L6de,;')"), (11, 2, "'name=Duo'"), (12, 2, "'MML@T120c4,r48;'"), (13, 2, "'melody=cdefg'"), (14, 2, "''"),
+]
+CANDIDATES = [(1, f"concat({LETTERS}, 'c24')"), (2, "'L6de'"), (3, "'T120c4'"), (4, "'r48'")]
+union = lambda rows: " UNION ALL ".join(f"SELECT doc_id AS score_id, {columns} FROM documents" for columns in rows)
+register("section_blocks", lambda v: imports.section_blocks(projects(v)).select("score_id", "section", "channel_no", "line_no", "line"),
+    union(f"{'NULL::INT' if c is None else c} AS channel_no, {n} AS line_no, {t} AS line, '{'Settings' if c is None else f'Channel{c}'}' AS section" for n, c, t in LINES))
+register("section_channel_name", lambda v: imports.section_channel_name(imports.section_blocks(projects(v))), union(["1 AS channel_no, CASE WHEN doc_id % 3 = 0 THEN 'using_x' ELSE concat('Part ', doc_id % 7) END AS name", "2, 'Second'"]))
+register("section_clean_code", lambda v: imports.section_clean_code(imports.section_blocks(projects(v))),
+    union([f"1 AS channel_no, concat('T', doc_id % 300, 'V99', {LETTERS}, 'c6r12') AS code", f"2, concat({LETTERS}, '<nae>olo', doc_id % 5, '<nae>L', {LETTERS}, 'c24L6denaeDoLT120c4r48elodcdefg')"]))
 register("scale_legacy_volume", lambda v: imports.scale_legacy_volume(v("notes").select("note_key", F.concat(F.lit("V"), "velocity").alias("raw"), F.lit("V").alias("kind"), F.col("velocity").alias("num"))),
     "SELECT note_key, concat('V', n) AS raw, 'V' AS kind, n AS num FROM (SELECT note_key, CASE WHEN velocity > 15 THEN CAST(floor(least(127, velocity) * 15 / 127.0 + 0.5) AS INT) ELSE velocity END AS n FROM notes) x")
 register("project_global_tempo", lambda v: imports.project_global_tempo(imports.section_blocks(projects(v))), "SELECT doc_id AS score_id, CAST(least(255, greatest(32, doc_id % 300)) AS INT) AS bpm FROM documents")
 register("apply_global_tempo", lambda v: imports.apply_global_tempo(imports.embedded_mml_candidates(projects(v)), imports.project_global_tempo(imports.section_blocks(projects(v)))).select("score_id", "n", "value"),
     f"SELECT doc_id AS score_id, 1 AS n, concat('T', least(255, greatest(32, doc_id % 300)), {LETTERS}, 'c24') AS value FROM documents UNION ALL SELECT doc_id, 2, concat('T', least(255, greatest(32, doc_id % 300)), 'L6de') FROM documents UNION ALL SELECT doc_id, 3, 'T120c4' FROM documents UNION ALL SELECT doc_id, 4, concat('T', least(255, greatest(32, doc_id % 300)), 'r48') FROM documents")
 register("embedded_mml_candidates", lambda v: imports.embedded_mml_candidates(projects(v)).select("score_id", "n", "value"), f"SELECT doc_id AS score_id, 1 AS n, concat({LETTERS}, 'c24') AS value FROM documents UNION ALL SELECT doc_id, 2, 'L6de' FROM documents UNION ALL SELECT doc_id, 3, 'T120c4' FROM documents UNION ALL SELECT doc_id, 4, 'r48' FROM documents")
-register("keyed_candidates", lambda v: imports.keyed_candidates(projects(v)).where("value = 'cdefg'").select("score_id", "value"), "SELECT doc_id AS score_id, 'cdefg' AS value FROM documents")
-register("clean_candidate", lambda v: imports.embedded_mml_candidates(projects(v)).where("n = 3").select("score_id", imports.clean_candidate(F.concat(F.lit("<![CDATA[MML@"), "value", F.lit("\\u0063\\n&lt;;]]>"))).alias("value")), "SELECT doc_id AS score_id, 'T120c4c<' AS value FROM documents")
+register("keyed_candidates", lambda v: imports.keyed_candidates(projects(v)).select("score_id", "value"), union(["'cdefg' AS value"]) + f" UNION ALL SELECT doc_id, {LETTERS} FROM documents WHERE length({LETTERS}) >= 4")
+register("clean_candidate", lambda v: imports.embedded_mml_candidates(projects(v)).select("score_id", "n", imports.clean_candidate(F.concat(F.lit("<![CDATA[MML@"), "value", F.lit("\\u0063\\n&lt;;]]>"))).alias("value")), union(f"{n} AS n, concat({value}, 'c<') AS value" for n, value in CANDIDATES))
 register("name_markers", lambda v: imports.name_markers(projects(v)).select("score_id", "name"), "SELECT doc_id AS score_id, concat('Solo ', doc_id % 5) AS name FROM documents UNION ALL SELECT doc_id, 'Duo' FROM documents")
-register("candidate_names", lambda v: imports.candidate_names(imports.embedded_mml_candidates(projects(v)), imports.name_markers(projects(v))).where("n >= 3").select("score_id", "n", "name"), "SELECT doc_id AS score_id, n, 'Duo' AS name FROM documents, (SELECT unnest([3, 4]) AS n) x")
+register("candidate_names", lambda v: imports.candidate_names(imports.embedded_mml_candidates(projects(v)), imports.name_markers(projects(v))).select("score_id", "n", "value", "name"),
+    union(f"{n} AS n, {value} AS value, {'concat(' + chr(39) + 'Solo ' + chr(39) + ', doc_id % 5)' if n < 3 else chr(39) + 'Duo' + chr(39)} AS name" for n, value in CANDIDATES))
 register("legacy_lengths", lambda v: imports.legacy_lengths(v("notes").select("score_id", F.col("note_key").alias("part"), F.concat(F.lit("c6r12L6deL4"), F.lit("N"), "midi", F.lit("c24")).alias("part_text"))), "SELECT score_id, note_key AS part, concat('c8&c32&c64', 'r16r64', 'd8&d32&d64', 'e8&e32&e64', 'L4N', midi, 'c32') AS part_text FROM notes".replace("'c32')", "'c32&c64')"))
-register("select_parts", lambda v: imports.select_parts(imports.embedded_mml_candidates(projects(v)), 2).select("score_id", "part"), "SELECT doc_id AS score_id, p AS part FROM documents, (SELECT unnest([0, 1]) AS p) x")
-register("parts_topk", lambda v: imports.parts_topk(imports.embedded_mml_candidates(projects(v)), 3).select("score_id", "n"), "SELECT doc_id AS score_id, n FROM documents, (SELECT unnest([1, 2, 3]) AS n) x")
+register("select_parts", lambda v: imports.select_parts(imports.embedded_mml_candidates(projects(v)), 2), union(f"{n - 1} AS part, {value} AS part_text" for n, value in CANDIDATES[:2]))
+register("parts_topk", lambda v: imports.parts_topk(imports.embedded_mml_candidates(projects(v)), 3).select("score_id", "n", "value"), union(f"{n} AS n, {value} AS value" for n, value in CANDIDATES[:3]))
 register("import_parts", lambda v: imports.import_parts(projects(v)), f"SELECT doc_id AS score_id, concat('MML@', {LETTERS}, 'c32&c64', ',d8&d32&d64e8&e32&e64,T120c4,r64,,;') AS text FROM documents")
 
 # Channels, voices, pages -----------------------------------------------------------------
 
 
+ODD = [("high", "HALF"), (None, None), (None, "true"), ("solo", "all"), ("auto", "never"), ("beat", "none")]
+VALID = [("high", "half"), ("auto", "all"), ("low", "all"), ("auto", "all"), ("auto", "all"), ("beat", "none")]
+
+
 def config(v) -> DataFrame:
-    rows = F.array(*[F.struct(F.lit(i).alias("channel_index"), F.lit(r).alias("role"), F.lit(o).alias("overlap")) for i, (r, o) in enumerate(voices.ROLES)])
+    """A row for each score and channel, with roles and overlaps to be made valid; each channel selects two of the score's choices."""
+    rows = F.array(*[F.struct(F.lit(i).alias("channel_index"), F.lit(r).cast("string").alias("role"), F.lit(o).cast("string").alias("overlap")) for i, (r, o) in enumerate(ODD)])
     ids = choices(v).groupBy("score_id").agg(F.array_sort(F.collect_set("choice_id")).alias("ids"))
     return ids.select("score_id", F.explode(rows).alias("c"), "ids").select("score_id", "c.*", F.slice("ids", F.col("c.channel_index") + 1, 2).alias("selected"))
 
 
-register("export_channel_config", lambda v: voices.export_channel_config(config(v), choices(v)).withColumn("selected", F.array_join("selected", ",")))
-register("channel_sound_preset", lambda v: voices.channel_sound_preset(voices.export_channel_config(config(v), choices(v)), choices(v)))
-register("placement_scores", lambda v: voices.placement_scores(grid(v)))
-register("assign_voices", lambda v: voices.assign_voices(grid(v)))
-register("conversion_summary", lambda v: voices.conversion_summary(voices.assign_voices(grid(v))))
+def channels(v) -> DataFrame:
+    return voices.export_channel_config(config(v), choices(v))
+
+
+def chosen_grid(v) -> DataFrame:
+    """Grid notes with the choice that each belongs to."""
+    return grid(v).withColumn("choice_id", music.instrument_choice_id(F.col("instrument_name"), F.col("is_beat")))
+
+
+CONFIG = CHOICES + """, al AS (SELECT score_id, list_sort(list(choice_id)) AS ids, coalesce(list_sort(list(choice_id) FILTER (WHERE is_beat)), []) AS beats, coalesce(list_sort(list(choice_id) FILTER (WHERE NOT is_beat)), []) AS others FROM choices GROUP BY score_id),
+cr AS (SELECT *, CASE WHEN c.role = 'beat' AND len(beats) = 0 THEN 'auto' ELSE c.role END AS role_ FROM al, (SELECT unnest([%s]) AS c) x),
+cs AS (SELECT *, CASE WHEN role_ = 'beat' THEN beats ELSE others END AS allowed FROM cr),
+ct AS (SELECT *, list_filter(ids[c.i + 1:c.i + 2], lambda s: list_contains(allowed, s)) AS own FROM cs),
+cf AS (SELECT score_id, CAST(c.i AS INT) AS channel_index, role_ AS role, c.overlap AS overlap, CASE WHEN len(own) > 0 THEN own ELSE allowed[1:1] END AS selected FROM ct)""" % ", ".join(f"{{'i': {i}, 'role': '{r}', 'overlap': '{o}'}}" for i, (r, o) in enumerate(VALID))
+register("export_channel_config", lambda v: channels(v).withColumn("selected", F.array_join("selected", ",")), f"WITH {CONFIG} SELECT score_id, channel_index, role, overlap, array_to_string(selected, ',') AS selected FROM cf")
+register("channel_sound_preset", lambda v: voices.channel_sound_preset(channels(v), choices(v)),
+    f"""WITH {CONFIG}, s AS (SELECT score_id, channel_index, unnest(selected) AS choice_id FROM cf), r AS (SELECT s.score_id, channel_index, program, is_beat, row_number() OVER (PARTITION BY s.score_id, channel_index ORDER BY note_count DESC, s.choice_id) AS rn FROM s JOIN choices c ON c.score_id = s.score_id AND c.choice_id = s.choice_id)
+  SELECT score_id, channel_index, CASE WHEN is_beat THEN '128:0' ELSE concat('0:', program) END AS preset_key FROM r WHERE rn = 1""")
+DRUMS = "CASE " + " ".join(f"WHEN midi IN ({', '.join(map(str, ps))}) THEN {n}" for n, ps in voices.DRUM_PRIORITY.items()) + " WHEN midi BETWEEN 35 AND 81 THEN 60 ELSE 0 END"
+register("placement_scores", lambda v: voices.placement_scores(chosen_grid(v), channels(v)),
+    f"""WITH {CONFIG}, gn AS (SELECT *, concat(CASE WHEN is_beat THEN 'beat:' ELSE 'inst:' END, regexp_replace(lower(instrument_name), '[^\\p{{L}}\\p{{N}}+#(). _-]+', '', 'g')) AS choice_id FROM grid),
+  pl AS (SELECT n.score_id, note_key, channel_index AS ci, CASE role WHEN 'beat' THEN 400 WHEN 'auto' THEN 170 WHEN 'high' THEN CASE WHEN midi >= 60 THEN 320 ELSE 30 END ELSE CASE WHEN midi < 60 THEN 320 ELSE 30 END END AS role_fit,
+    CASE role WHEN 'beat' THEN {DRUMS} WHEN 'low' THEN -midi ELSE midi END AS role_pitch FROM gn n JOIN cf ON cf.score_id = n.score_id AND (role = 'beat') = is_beat AND (len(selected) = 0 OR list_contains(selected, choice_id)))
+  SELECT score_id, note_key, ci, role_fit, role_pitch, CAST(row_number() OVER (PARTITION BY score_id, note_key ORDER BY role_fit DESC, role_pitch DESC, ci) AS INT) AS rank FROM pl""".replace("\\\\p", "\\p"))
+register("assign_voices", lambda v: voices.assign_voices(chosen_grid(v), channels(v)))
+register("conversion_summary", lambda v: voices.conversion_summary(grid(v), messages.merge_duplicates(grid(v)), voices.assign_voices(chosen_grid(v), channels(v))))
 register("split_pages", lambda v: voices.split_pages(v("part_events")))
 
 

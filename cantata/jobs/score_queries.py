@@ -40,11 +40,11 @@ register("hanging_notes", lambda v: messages.hanging_notes(v("messages")), f"WIT
 register("program_as_of", lambda v: messages.program_as_of(v("messages")), "SELECT score_id, track, seq, program FROM (SELECT *, coalesce(last_value(CASE WHEN cmd = 'program' THEN d1 END IGNORE NULLS) OVER (PARTITION BY score_id, track, channel ORDER BY seq), 0) AS program FROM messages) x WHERE cmd = 'on' AND d2 > 0")
 register("track_names_as_of", lambda v: messages.track_names_as_of(v("messages")), "SELECT score_id, track, seq, track_name FROM (SELECT *, last_value(text IGNORE NULLS) OVER (PARTITION BY score_id, track ORDER BY seq) AS track_name FROM messages) x WHERE cmd = 'off' OR (cmd = 'on' AND d2 = 0)")
 register("tempo_from_mpqn", lambda v: messages.tempo_from_mpqn(v("messages")), "SELECT score_id, tick AS pos, CAST(greatest(32, least(255, floor(60000000.0 / mpqn + 0.5))) AS INT) AS bpm, track AS part, seq AS ord FROM messages WHERE cmd = 'tempo'")
-register("channel_summary", lambda v: messages.channel_summary(v("notes")).select("score_id", "channel", "n", *[F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c) for c in ("programs", "tracks", "names", "drums")], "is_percussion"),
-    "SELECT score_id, channel, count(*) AS n, array_to_string(list_sort(list_distinct(list(program))), ',') AS programs, array_to_string(list_sort(list_distinct(list(track))), ',') AS tracks, array_to_string(list_sort(list_distinct(list(track_name))), ',') AS names, coalesce(array_to_string(list_sort(list_distinct(list(midi) FILTER (WHERE channel = 9))), ','), '') AS drums, channel = 9 AS is_percussion FROM notes GROUP BY score_id, channel")
-register("reject_smpte", lambda v: messages.reject_smpte(v("headers")), "SELECT * FROM headers WHERE NOT smpte")
 PROGRAM_LIST = "[" + ", ".join("'" + p + "'" for p in music.PROGRAMS) + "]"
 DRUM_LIST = "[" + ", ".join("'" + d + "'" for d in music.DRUMS) + "]"
+register("channel_summary", lambda v: messages.channel_summary(v("notes")).select("score_id", "channel", "n", *[F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c) for c in ("programs", "tracks", "names", "drums")], "is_percussion"),
+    "SELECT score_id, channel, count(*) AS n, array_to_string(list_sort(list_distinct(list(program))), ',') AS programs, array_to_string(list_sort(list_distinct(list(track))), ',') AS tracks, array_to_string(list_sort(list_distinct(list(track_name))), ',') AS names, coalesce(array_to_string(list_sort(list_distinct(list(midi) FILTER (WHERE channel = 9))), ','), '') AS drums, channel = 9 OR bool_or(regexp_matches(concat_ws(' / ', track_name, inst_name, pname), '" + music.PERCUSSION + "')) AS is_percussion FROM (SELECT *, " + PROGRAM_LIST + "[program + 1] AS pname FROM notes) x GROUP BY score_id, channel")
+register("reject_smpte", lambda v: messages.reject_smpte(v("headers")), "SELECT * FROM headers WHERE NOT smpte")
 NAMED = f"""named AS (SELECT *, {PROGRAM_LIST}[program + 1] AS pname FROM notes),
 beats AS (SELECT *, channel = 9 OR program IN (47, 112, 113, 115, 116, 117, 118, 119) OR regexp_matches(concat_ws(' / ', pname, track_name, inst_name), '{music.PERCUSSION}') AS is_beat FROM named),
 classed AS (SELECT *, CASE WHEN channel = 9 THEN concat('ch9:drum:', midi) ELSE concat('ch', channel, ':program:', program, ':beat:', CAST(is_beat AS INT)) END AS group_id,
@@ -58,11 +58,6 @@ def grid(v) -> DataFrame:
 
 
 register("quantize_notes", lambda v: grid(v).select("note_key", "start_grid", "dur_grid", "end_grid", "midi_velocity", "velocity"), f"WITH {GRID} SELECT note_key, sg AS start_grid, dg AS dur_grid, end_grid, midi_velocity, velocity FROM grid")
-register("merge_duplicates", lambda v: messages.merge_duplicates(grid(v)).select("score_id", "group_id", "midi", "start_grid", "end_grid", "dur_grid", "source_count", "midi_velocity", "velocity", F.array_join("merged_ids", ",").alias("merged_ids"), F.array_join(F.transform("midi_velocities", lambda x: x.cast("string")), ",").alias("midi_velocities")),
-    f"""WITH {GRID}, m AS (SELECT score_id, group_id, midi, sg, end_grid, count(*) AS n, max(midi_velocity) AS top, string_agg(note_key, ',' ORDER BY note_key) AS merged_ids, string_agg(CAST(midi_velocity AS VARCHAR), ',' ORDER BY midi_velocity) AS midi_velocities FROM grid GROUP BY ALL),
-    b AS (SELECT *, CAST(greatest(1, least(127, floor(CASE WHEN n > 1 THEN top * (1 + CAST(0.12 AS DOUBLE) * least(n - 1, 4)) ELSE top END + 0.5))) AS INT) AS mv FROM m)
-    SELECT score_id, group_id, midi, sg AS start_grid, end_grid, greatest(1, end_grid - sg) AS dur_grid, n AS source_count, mv AS midi_velocity, CAST(greatest(1, least(15, floor(mv / 127.0 * 15 + 0.5))) AS INT) AS velocity, merged_ids, midi_velocities FROM b""")
-
 # Groups and choices ----------------------------------------------------------------------
 
 PITCH = "concat((['C','C#','D','D#','E','F','F#','G','G#','A','A#','B'])[{0} % 12 + 1], {0} // 12 - 1)"
@@ -71,12 +66,15 @@ GROUPS = CELLS + f""", gr AS (SELECT score_id, group_id, CAST(sum(n) AS BIGINT)
 groups_ AS (SELECT *, concat({PITCH.format('min_midi')}, '~', {PITCH.format('max_midi')}) AS range_text, concat(CASE WHEN is_beat THEN 'beat:' ELSE 'inst:' END, regexp_replace(lower(instrument_name), '[^\\p{{L}}\\p{{N}}+#(). _-]+', '', 'g')) AS choice_id FROM gr)"""
 CHOICES = GROUPS + """, pc AS (SELECT score_id, choice_id, program, sum(note_count) AS n FROM groups_ GROUP BY ALL), top AS (SELECT score_id, choice_id, program FROM (SELECT *, row_number() OVER (PARTITION BY score_id, choice_id ORDER BY n DESC, program) AS rn FROM pc) x WHERE rn = 1),
 choices AS (SELECT g.score_id, g.choice_id, CAST(sum(note_count) AS BIGINT) AS note_count, CAST(sum(duplicates) AS BIGINT) AS duplicates, min(min_midi) AS min_midi, max(max_midi) AS max_midi, min(instrument_name) AS instrument_name, min(is_beat) AS is_beat, min(t.program) AS program, string_agg(group_id, ',' ORDER BY group_id) AS source_group_ids FROM groups_ g JOIN top t ON g.score_id = t.score_id AND g.choice_id = t.choice_id GROUP BY g.score_id, g.choice_id)"""
-CATEGORY = """CASE WHEN is_beat THEN 'beat' WHEN program BETWEEN 0 AND 7 OR program BETWEEN 16 AND 20 OR program IN (21, 23) THEN 'keyboard' WHEN program BETWEEN 24 AND 46 OR program BETWEEN 48 AND 51 OR program BETWEEN 104 AND 107 OR program = 110 THEN 'strings'
- WHEN program = 22 OR program BETWEEN 56 AND 79 OR program IN (109, 111) THEN 'winds' WHEN program BETWEEN 8 AND 15 OR program IN (47, 108) OR program BETWEEN 112 AND 119 THEN 'percussion'
- WHEN regexp_matches(lower(instrument_name), '(piano|keyboard|organ|harpsichord|clavinet|clavi|accordion)') THEN 'keyboard'
- WHEN regexp_matches(lower(instrument_name), '(bassoon|trumpet|trombone|tuba|horn|brass|sax|oboe|clarinet|piccolo|flute|recorder|pipe|whistle|ocarina|harmonica|shanai|bagpipe|bag pipe)') THEN 'winds'
- WHEN regexp_matches(lower(instrument_name), '(guitar|\\bbass\\b|violin|viola|cello|contrabass|string|harp|sitar|banjo|shamisen|koto|fiddle)') THEN 'strings'
- WHEN regexp_matches(lower(instrument_name), '(celesta|glockenspiel|music box|vibraphone|marimba|xylophone|bell|dulcimer|kalimba|timpani|agogo|steel drums|woodblock|taiko|tom|drum|cymbal)') THEN 'percussion' ELSE 'other' END"""
+KEYWORDS = ", ".join(f"{{'rank': {i}, 'kind': '{kind}', 'word': '{w}'}}" for i, (kind, ws) in enumerate(stats.KEYWORDS.items()) for w in ws.split(","))
+PADDED = "concat(' ', regexp_replace(lower(instrument_name), '[^a-z0-9_]+', ' ', 'g'), ' ')"
+CATEGORY = f"""CASE WHEN is_beat THEN 'beat' ELSE coalesce(CASE substr('{stats.PROGRAM_CATEGORIES}', program + 1, 1) {" ".join(f"WHEN '{c}' THEN '{name}'" for c, name in stats.LETTERS.items())} END,
+  list_filter([{KEYWORDS}], lambda k: contains({PADDED}, k.word))[1].kind, 'other') END"""
+
+
+def doubled(v) -> DataFrame:
+    """Grid notes of a table in which most notes are there several times, at other velocities."""
+    return messages.quantize_notes(messages.classify_instrument(v("doubled")), v("headers"))
 
 
 def groups(v) -> DataFrame:
@@ -90,7 +88,11 @@ def choices(v) -> DataFrame:
 register("source_groups", groups, f"WITH {GROUPS} SELECT * FROM groups_")
 register("range_text", lambda v: groups(v).select("score_id", "group_id", "range_text"), f"WITH {GROUPS} SELECT score_id, group_id, range_text FROM groups_")
 register("instrument_choice_id", lambda v: groups(v).select("score_id", "group_id", "choice_id"), f"WITH {GROUPS} SELECT score_id, group_id, choice_id FROM groups_")
-register("dup_stats", lambda v: stats.dup_stats(grid(v)), f"WITH {CELLS} SELECT score_id, group_id, midi, sg AS start_grid, end_grid, n FROM cells WHERE n > 1")
+register("merge_duplicates", lambda v: messages.merge_duplicates(doubled(v)).select("score_id", "group_id", "midi", "start_grid", "end_grid", "dur_grid", "source_count", "midi_velocity", "velocity", F.array_join("merged_ids", ",").alias("merged_ids"), F.array_join(F.transform("midi_velocities", lambda x: x.cast("string")), ",").alias("midi_velocities")),
+    f"""WITH {GRID.replace("FROM notes)", "FROM doubled)")}, m AS (SELECT score_id, group_id, midi, sg, end_grid, count(*) AS n, max(midi_velocity) AS top, string_agg(note_key, ',' ORDER BY note_key) AS merged_ids, string_agg(CAST(midi_velocity AS VARCHAR), ',' ORDER BY midi_velocity) AS midi_velocities FROM grid GROUP BY ALL),
+    b AS (SELECT *, CAST(greatest(1, least(127, floor(CASE WHEN n > 1 THEN top * (1 + CAST(0.12 AS DOUBLE) * least(n - 1, 4)) ELSE top END + 0.5))) AS INT) AS mv FROM m)
+    SELECT score_id, group_id, midi, sg AS start_grid, end_grid, greatest(1, end_grid - sg) AS dur_grid, n AS source_count, mv AS midi_velocity, CAST(greatest(1, least(15, floor(mv / 127.0 * 15 + 0.5))) AS INT) AS velocity, merged_ids, midi_velocities FROM b""")
+register("dup_stats", lambda v: stats.dup_stats(doubled(v)), f"WITH {CELLS.replace('FROM notes)', 'FROM doubled)')} SELECT score_id, group_id, midi, sg AS start_grid, end_grid, n FROM cells WHERE n > 1")
 register("instrument_choices", choices, f"WITH {CHOICES} SELECT * FROM choices")
 register("instrument_category", lambda v: stats.instrument_category(choices(v)).select("score_id", "choice_id", "category"), f"WITH {CHOICES} SELECT score_id, choice_id, {CATEGORY} AS category FROM choices")
 register("category_counts", lambda v: stats.category_counts(stats.instrument_category(choices(v))), f"WITH {CHOICES} SELECT score_id, category, count(*) AS n FROM (SELECT score_id, {CATEGORY} AS category FROM choices) x GROUP BY GROUPING SETS ((score_id, category), (score_id))")
@@ -153,8 +155,8 @@ TOK = """tk AS (SELECT score_id, part, tok, raw, lower(substr(raw, 1, 1)) AS h,
   SELECT score_id, part, unnest(range(0, len(l))) AS tok, unnest(l) AS raw FROM (SELECT score_id, part, regexp_extract_all(part_text, '[a-gA-GrR][+#-]?[0-9]*\\.*|[nN][0-9]*\\.*|[tToOlLvV][0-9]*\\.*|[<>&]|[^\\s]') AS l FROM parts) a) b),
 st AS (SELECT *, sum(CASE h WHEN '>' THEN 1 WHEN '<' THEN -1 ELSE 0 END) OVER w AS shifts, coalesce(last_value(CASE WHEN h = 'v' THEN num END IGNORE NULLS) OVER w, 8) AS volume,
   coalesce(last_value(CASE WHEN h = 'l' THEN 1024.0::DOUBLE / num * (2 - pow(2.0, -dots)) END IGNORE NULLS) OVER w, 256.0::DOUBLE) AS length_units,
-  coalesce(last_value(CASE WHEN h = 'o' THEN tok END IGNORE NULLS) OVER w, -1) AS o_at FROM tk WINDOW w AS (PARTITION BY score_id, part ORDER BY tok)),
-oc AS (SELECT s.*, coalesce(o.num, 4) + s.shifts - coalesce(o.shifts, 0) AS octave FROM st s LEFT JOIN st o ON o.score_id = s.score_id AND o.part = s.part AND o.tok = s.o_at),
+  coalesce(last_value(CASE WHEN h = 'o' THEN num END IGNORE NULLS) OVER w, 4) AS o_num FROM tk WINDOW w AS (PARTITION BY score_id, part ORDER BY tok)),
+oc AS (SELECT *, o_num + shifts - coalesce(last_value(CASE WHEN h = 'o' THEN shifts END IGNORE NULLS) OVER (PARTITION BY score_id, part ORDER BY tok), 0) AS octave FROM st),
 du AS (SELECT *, regexp_matches(h, '^[a-grn]$') AS sounding, CASE WHEN regexp_matches(h, '^[a-grn]$') THEN CASE WHEN num IS NULL OR h = 'n' THEN length_units ELSE 1024.0::DOUBLE / num END * (2 - pow(2.0, -dots)) ELSE 0 END AS duration,
   CASE WHEN regexp_matches(h, '^[a-g]$') THEN (octave + 1) * 12 + ([9, 11, 0, 2, 4, 5, 7])[ascii(h) - 96] + acc WHEN h = 'n' AND num > 0 THEN least(num, 127) END AS midi FROM oc),
 ti AS (SELECT *, coalesce(sum(duration) OVER (PARTITION BY score_id, part ORDER BY tok ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start, sum(CASE WHEN h = '&' THEN 1 ELSE 0 END) OVER (PARTITION BY score_id, part ORDER BY tok) AS ties FROM du)"""
@@ -210,14 +212,34 @@ def soft(v) -> DataFrame:
     return v("part_events").select("score_id", "part", "idx", F.when(gone, "rest").otherwise(F.col("type")).alias("type"), "start", "duration", F.when(~gone, F.col("midi")).alias("midi"), F.when(~gone, F.col("volume")).alias("volume"))
 
 
-register("merge_rests", lambda v: edits.merge_rests(soft(v)).select(*COLS.split(", ")), f"WITH {SOFT}, i AS (SELECT *, sum(h) OVER (PARTITION BY score_id, part ORDER BY idx) AS island FROM (SELECT *, CASE WHEN type = 'rest' AND coalesce(lag(type) OVER (PARTITION BY score_id, part ORDER BY idx) = 'rest', false) THEN 0 ELSE 1 END AS h FROM soft) a) SELECT score_id, part, CAST(island AS BIGINT) AS idx, min(type) AS type, min(start) AS start, CAST(sum(duration) AS BIGINT) AS duration, min(midi) AS midi, min(volume) AS volume FROM i GROUP BY score_id, part, island")
+register(
+    "merge_rests",
+    lambda v: edits.merge_rests(soft(v), soft(v).where("idx % 5 = 0").select("score_id", "part", F.col("start").alias("pos"))).select(*COLS.split(", ")),
+    f"""WITH {SOFT}, p AS (SELECT *, type = 'rest' AND idx % 5 <> 0 AS plain FROM soft),
+  i AS (SELECT *, sum(h) OVER (PARTITION BY score_id, part ORDER BY idx) AS island FROM (SELECT *, CASE WHEN plain AND coalesce(lag(plain) OVER (PARTITION BY score_id, part ORDER BY idx), false) THEN 0 ELSE 1 END AS h FROM p) a)
+  SELECT score_id, part, CAST(island AS BIGINT) AS idx, min(type) AS type, min(start) AS start, CAST(sum(duration) AS BIGINT) AS duration, min(midi) AS midi, min(volume) AS volume FROM i GROUP BY score_id, part, island""",
+)
 ABS = SOFT + """, i AS (SELECT *, sum(CASE WHEN type = 'rest' AND duration <= 640 THEN 0 ELSE 1 END) OVER (PARTITION BY score_id, part ORDER BY idx) AS island FROM soft),
 hd AS (SELECT *, first_value(type) OVER (PARTITION BY score_id, part, island ORDER BY idx) AS head FROM i)"""
 ABSORBED = f"{ABS}, ab AS (SELECT score_id, part, min(idx) AS idx, arg_min(type, idx) AS type, min(start) AS start, CAST(sum(duration) AS BIGINT) AS duration, max(midi) AS midi, max(volume) AS volume, count(*) > 1 AS extended, count(*) - 1 AS removed FROM hd GROUP BY score_id, part, island, CASE WHEN head = 'note' THEN 0 ELSE idx END)"
 register("absorb_short_rests", lambda v: edits.absorb_short_rests(soft(v), 640), f"WITH {ABSORBED} SELECT * FROM ab")
-register("split_extended_notes", lambda v: tempo.split_extended_notes(edits.absorb_short_rests(soft(v), 640), tmap(v)))
+register(
+    "split_extended_notes",
+    lambda v: tempo.split_extended_notes(edits.absorb_short_rests(soft(v), 640), tmap(v)),
+    f"""WITH {MAPS}, {ABSORBED}, edges AS (SELECT score_id, part, idx, start AS at_, NULL AS tempo FROM ab UNION ALL SELECT e.score_id, part, idx, tm.pos, tm.bpm FROM ab e JOIN tm ON {INSIDE} WHERE tm.pos > 0 AND extended),
+  pieces AS (SELECT e.score_id, e.part, e.idx, CAST(row_number() OVER w - 1 AS INT) AS piece, type, at_ AS start, coalesce(lead(at_) OVER w, start + duration) - at_ AS duration, midi, volume, tempo FROM edges e JOIN ab p ON e.score_id = p.score_id AND e.part = p.part AND e.idx = p.idx WINDOW w AS (PARTITION BY e.score_id, e.part, e.idx ORDER BY at_))
+  SELECT *, piece > 0 AND type = 'note' AS tie_from_prev FROM pieces""",
+)
 register("adjust_volumes", lambda v: edits.adjust_volumes(v("part_events"), 4, [0, 1]), f"SELECT score_id, part, idx, type, start, duration, midi, CASE WHEN h THEN greatest(0, least(15, volume + 4)) ELSE volume END AS volume, h AS touched, h AND greatest(0, least(15, volume + 4)) <> volume AS changed, h AND volume + 4 > 15 AS clamped FROM (SELECT *, type = 'note' AND part IN (0, 1) AS h FROM part_events) x")
-register("edit_summary", lambda v: edits.edit_summary(edits.adjust_volumes(v("part_events"), 4, [0, 1])), "SELECT score_id, count(*) FILTER (WHERE h) AS touched, count(*) FILTER (WHERE h AND least(15, volume + 4) <> volume) AS changed, count(*) FILTER (WHERE h AND volume + 4 > 15) AS clamped FROM (SELECT *, type = 'note' AND part IN (0, 1) AS h FROM part_events) x GROUP BY score_id")
+register(
+    "edit_summary",
+    lambda v: edits.edit_summary(edits.adjust_volumes(v("part_events"), 4, [0, 1]), edits.absorb_short_rests(soft(v), 640), v("parts"), v("parts").where("part < 3")),
+    f"""WITH {ABSORBED}, r AS (SELECT score_id, CAST(sum(removed) AS BIGINT) AS removed_rests FROM ab GROUP BY score_id),
+  c AS (SELECT score_id, CAST(sum(length(part_text)) AS BIGINT) AS before_chars, CAST(coalesce(sum(length(part_text)) FILTER (WHERE part < 3), 0) AS BIGINT) AS after_chars FROM parts GROUP BY score_id)
+  SELECT x.score_id, count(*) FILTER (WHERE h) AS touched, count(*) FILTER (WHERE h AND least(15, volume + 4) <> volume) AS changed, count(*) FILTER (WHERE h AND volume + 4 > 15) AS clamped,
+    any_value(removed_rests) AS removed_rests, any_value(before_chars) AS before_chars, any_value(after_chars) AS after_chars, any_value(before_chars - after_chars) AS saved
+  FROM (SELECT *, type = 'note' AND part IN (0, 1) AS h FROM part_events) x JOIN r ON r.score_id = x.score_id JOIN c ON c.score_id = x.score_id GROUP BY x.score_id""",
+)
 TRIM = "f AS (SELECT score_id, min(start) AS cut FROM part_events WHERE type = 'note' GROUP BY score_id), tr AS (SELECT e.score_id, part, idx, type, greatest(0, start - cut) AS start, least(duration, start + duration - cut) AS duration, midi, volume FROM part_events e JOIN f ON e.score_id = f.score_id WHERE start + duration > cut)"
 register("trim_leading_silence", lambda v: edits.trim_leading_silence(v("part_events"), tmap(v))[0].select(*COLS.split(", ")), f"WITH {TRIM} SELECT {COLS} FROM tr")
 register("add_leading_silence", lambda v: edits.add_leading_silence(v("part_events"), tmap(v))[0].select(*COLS.split(", ")), f"WITH {TRIM} SELECT score_id, part, idx + 1 AS idx, type, start + 2048 AS start, duration, midi, volume FROM tr UNION ALL SELECT DISTINCT score_id, part, 0, 'rest', 0, 2048, NULL::INT, NULL::INT FROM tr")

@@ -9,6 +9,7 @@ from cantata.functions import music
 from cantata.jobs.fixtures import oracle, view
 from cantata.operators import text
 from cantata.sources import files
+from cantata.sources.shared import shared_path
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -28,11 +29,14 @@ def _dirty(v) -> DataFrame:
 UP, DOWN = "'tolvRNABCDEFG'", "'TOLVrnabcdefg'"
 register("normalize_command_case", lambda v: text.normalize_command_case(v("parts")), f"SELECT score_id, part, translate(part_text, {UP}, {DOWN}) AS part_text FROM parts")
 register("split_parts", lambda v: text.split_parts(v("score_text")), "SELECT score_id, part, trim(part_text) AS part_text FROM parts")
-register("normalize_display", lambda v: text.normalize_display(v("score_text").where("score_id % 2 = 0").unionByName(v("parts").where("part = 1 AND score_id % 2 = 1").select("score_id", F.concat(F.lit("mml@"), "part_text", F.lit(",, c ;")).alias("text")))),
-    f"SELECT score_id, translate(text, {UP}, {DOWN}) AS text FROM score_text WHERE score_id % 2 = 0 UNION ALL SELECT score_id, concat('MML@', translate(part_text, {UP}, {DOWN}), ',,c,,,;') FROM parts WHERE part = 1 AND score_id % 2 = 1".replace("translate(text, 'tolvRNABCDEFG', 'TOLVrnabcdefg')", "concat('MML@', translate(substr(text, 5), 'tolvRNABCDEFG', 'TOLVrnabcdefg'))"))
-register("compose_mml", lambda v: text.compose_mml(v("parts").where("part <> score_id % 6"), True),
-    "SELECT score_id, concat('MML@', LISTAGG(t |,| part), ';') AS text FROM (SELECT score_id, part, CASE WHEN part = score_id % 6 THEN '' ELSE trim(part_text) END AS t FROM parts) x GROUP BY score_id")
-register("compose_mml_dense", lambda v: text.compose_mml(v("parts").where("part <> score_id % 6"), False), "SELECT score_id, concat('MML@', LISTAGG(t |,| part), ';') AS text FROM (SELECT score_id, part, trim(part_text) AS t FROM parts WHERE part <> score_id % 6) x GROUP BY score_id")
+register(
+    "normalize_display",
+    lambda v: text.normalize_display(v("score_text").unionByName(v("parts").select("score_id", F.concat(F.lit("mml@"), "part_text", F.lit(",, c ;")).alias("text")))),
+    f"""SELECT score_id, concat('MML@', translate(substr(text, 5), {UP}, {DOWN})) AS text FROM score_text
+    UNION ALL SELECT score_id, concat('MML@', trim(translate(part_text, {UP}, {DOWN})), ',,c,,,;') FROM parts""",
+)
+register("compose_mml", lambda v: text.compose_mml(v("gappy"), True), "SELECT score_id, concat('MML@', LISTAGG(t |,| part), ';') AS text FROM (SELECT score_id, part, trim(part_text) AS t FROM gappy) x GROUP BY score_id")
+register("compose_mml_dense", lambda v: text.compose_mml(v("gappy"), False), "SELECT score_id, concat('MML@', LISTAGG(t |,| part), ';') AS text FROM (SELECT score_id, part, trim(part_text) AS t FROM gappy WHERE trim(part_text) <> '') x GROUP BY score_id")
 register("valid_mml_file", lambda v: text.valid_mml_file(v("score_text").unionByName(v("documents").select(F.col("doc_id").alias("score_id"), "text"))),
     "SELECT score_id, starts_with(trim(text), 'MML@') AND ends_with(trim(text), ';') AS is_valid FROM (SELECT score_id, text FROM score_text UNION ALL SELECT doc_id, text FROM documents) x")
 TOKENS = """tokens AS (SELECT score_id, part, CAST(tok AS INT) AS tok, raw, lower(substr(raw, 1, 1)) AS h, TRY_CAST(nullif(regexp_extract(raw, '[0-9]+'), '') AS INT) AS num, length(regexp_extract(raw, '\\.*$')) AS dots FROM (
@@ -61,3 +65,39 @@ register("format_beats", lambda v: v("notes").select("note_key", music.format_be
 register("suggest_file_name", lambda v: files.suggest_file_name(v("files")), r'''SELECT path, concat(trim(regexp_replace(regexp_replace(regexp_replace(path, '\.[^.\\/]*$', ''), '[\\/:*?"<>|]', '_', 'g'), '\s+', ' ', 'g')), '.txt') AS txt_name FROM files''')
 register("file_type_bucket", lambda v: files.file_type_bucket(v("files")),
     "SELECT path, CASE lower(regexp_extract(path, '[^.]*$')) WHEN 'midi' THEN 'mid' WHEN 'mid' THEN 'mid' WHEN 'txt' THEN 'txt' WHEN 'mmi' THEN 'mmi' WHEN 'mml' THEN 'mml' ELSE 'unknown' END AS file_type, CASE WHEN length <= 0 THEN 'unknown' WHEN length < 10240 THEN 'lt_10kb' WHEN length < 102400 THEN 'lt_100kb' WHEN length < 1048576 THEN 'lt_1mb' WHEN length < 10485760 THEN 'lt_10mb' ELSE 'gte_10mb' END AS size_bucket FROM files")
+
+# Files: written to the folder that the cluster shares, and read again -------------------
+
+
+def written_scores(spark, sf_dir: str) -> DataFrame:
+    """Scores written without blank parts, read with their schema."""
+    path = shared_path(spark, "scores")
+    files.write_scores(text.compose_mml(view(spark, sf_dir, "gappy"), True), path)
+    return files.read_note_tables(spark, path, "score_id bigint, text string, bucket int").select("score_id", "text")
+
+
+def note_tables(spark, sf_dir: str) -> DataFrame:
+    """Notes as JSON and as CSV with a header, read with an explicit schema."""
+    schema = "note_key string, score_id bigint, start_tick bigint, midi int"
+    notes, out = view(spark, sf_dir, "notes").select("note_key", "score_id", "start_tick", "midi"), None
+    for kind in ("json", "csv"):
+        path = shared_path(spark, kind)
+        writer = notes.write.option("header", True)
+        writer.csv(path) if kind == "csv" else writer.json(path)
+        some = files.read_note_tables(spark, path, schema, kind).withColumn("kind", F.lit(kind))
+        out = some if out is None else out.unionByName(some)
+    return out
+
+
+def score_files(spark, sf_dir: str) -> DataFrame:
+    """Score texts as files of lines; files of other extensions are passed over."""
+    path = shared_path(spark, "files")
+    view(spark, sf_dir, "score_text").select("text").write.text(path)
+    whole = files.read_score_files(spark, path, text=True)
+    return whole.select(F.explode(F.split("value", "\n")).alias("text")).where("text <> ''")
+
+
+QUERIES |= {"write_scores": written_scores, "read_note_tables": note_tables, "read_score_files": score_files}
+ORACLES["write_scores"] = ORACLES["compose_mml_dense"]
+ORACLES["read_note_tables"] = oracle("SELECT note_key, score_id, start_tick, midi, kind FROM notes, (SELECT unnest(['json', 'csv']) AS kind) k")
+ORACLES["read_score_files"] = oracle("SELECT text FROM score_text")

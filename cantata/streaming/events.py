@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from cantata.sources.shared import shared_path
+
 
 def normalize_name(name: Column) -> Column:
     """Trimmed, other characters than letters, digits and _ as _, no leading _, 40 characters; else ``event``."""
@@ -92,8 +92,7 @@ def stream_pair_notes(messages: DataFrame, watermark: str = "1 day") -> DataFram
 def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Runs a stream over what is there now, into the folder that the cluster shares, and reads the result."""
     spark: SparkSession = stream.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="cantata-")
-    path = f"{base}/cantata-stream-{uuid.uuid4().hex}"
+    path = shared_path(spark, "stream")
     query = stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").outputMode(mode).trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/out")

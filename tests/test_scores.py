@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import functions as F
 
 from cantata.functions import music
-from cantata.operators import edits, events, imports, intervals, messages, render, stats, tempo, text, voices
+from cantata.operators import edits, events, imports, intervals, messages, playback, render, stats, tempo, text, voices
 
 SAMPLE = "MML@T120V12O5L8ccggaag4ffeeddc4,O4L4cgrcgrc,O3L2cgcg;"
 
@@ -91,7 +93,7 @@ def test_render_round_trip(spark):
 def test_voices_never_overlap(spark):
     rows = [(1, f"n{i}", (i * 3) % 50, (i * 3) % 50 + 1 + i % 9, 1 + i % 9, 40 + i % 40, 1 + i % 15, i % 7 == 0) for i in range(120)]
     df = spark.createDataFrame(rows, "score_id bigint, note_key string, start_grid bigint, end_grid bigint, dur_grid bigint, midi int, velocity int, is_beat boolean")
-    out = voices.assign_voices(df).collect()
+    out = voices.assign_voices(df.withColumn("choice_id", F.lit("c"))).collect()
     assert len(out) == 120
     for v in range(6):
         mine = sorted((r["start_grid"], r["end_grid"]) for r in out if r["voice"] == v)
@@ -110,3 +112,97 @@ def test_silence(spark):
     df = spark.createDataFrame([(1, 0, 1, "note", 10, 10, 60, 8), (1, 1, 1, "note", 15, 10, 60, 8)], EVENTS)
     r = spark.createDataFrame([(1, 0, 40)], "score_id bigint, lo bigint, hi bigint")
     assert sorted((x["start"], x["end"]) for x in intervals.common_silence(df, r).collect()) == [(0, 10), (25, 40)]
+
+
+def _slow_voices(notes, channels):
+    """The rules of voice assignment, one candidate at a time; notes: (key, start, end, midi, velocity, beat, choice)."""
+    held = [None] * len(channels)  # (start, end, key)
+    ends, out = {n[0]: n[2] for n in notes}, {n[0]: (-1, "skipped") for n in notes}
+    notes = sorted(notes, key=lambda n: (n[1], -n[3], -n[4], n[0]))
+    drum = {p: k for k, ps in voices.DRUM_PRIORITY.items() for p in ps}
+
+    def score(n, c, merging):
+        role, mode, chosen = channels[c]
+        if (role == "beat") != n[5] or (chosen and n[6] not in chosen):
+            return None
+        if role == "beat":
+            fit, pitch = 400, drum.get(n[3], 60 if 35 <= n[3] <= 81 else 0)
+        elif role == "auto":
+            fit, pitch = 170, n[3]
+        else:
+            fit, pitch = (320 if (role == "high") == (n[3] >= 60) else 30), (n[3] if role == "high" else -n[3])
+        loss = 0
+        if merging:
+            if mode == "none" or held[c] is None or not held[c][0] < n[1] < ends[held[c][2]]:
+                return None
+            if mode == "half" and n[1] < held[c][0] + (ends[held[c][2]] - held[c][0]) / 2:
+                return None
+            loss = ends[held[c][2]] - n[1]
+        elif held[c] is not None and ends[held[c][2]] > n[1]:
+            return None
+        return fit, -35 if merging else 0, pitch, n[4], n[2] - n[1], -c, -loss
+
+    for onset in sorted({n[1] for n in notes}):
+        waiting, used = [n for n in notes if n[1] == onset], set()
+        for merging in (False, True):
+            while True:
+                options = [(s, -i, n, c) for i, n in enumerate(waiting) for c in range(len(channels)) if c not in used and (s := score(n, c, merging))]
+                if not options:
+                    break
+                _, _, n, c = max(options, key=lambda o: (o[0], o[1], -o[3]))
+                if merging:
+                    ends[held[c][2]] = onset
+                held[c], out[n[0]] = (onset, n[2], n[0]), (c, "merged" if merging else "placed")
+                used.add(c)
+                waiting.remove(n)
+    return {k: (*out[k], ends[k]) for k in out}
+
+
+def test_voices_against_slow_rules(spark):
+    r = random.Random(3)
+    config, rows, want = [], [], {}
+    for score in range(12):
+        channels = [(r.choice(["high", "low", "auto", "beat"]), r.choice(["all", "half", "none"]), r.sample(["a", "b", "c"], r.randint(0, 2))) for _ in range(4)]
+        config += [(score, i, *c) for i, c in enumerate(channels)]
+        notes = [(f"{score}-{i:03d}", s := r.randint(0, 60), s + r.randint(1, 20), r.randint(30, 90), r.randint(1, 15), r.random() < 0.3, r.choice("abc")) for i in range(80)]
+        rows += [(score, *n[:3], n[2] - n[1], *n[3:]) for n in notes]
+        want |= _slow_voices(notes, channels)
+    df = spark.createDataFrame(rows, "score_id bigint, note_key string, start_grid bigint, end_grid bigint, dur_grid bigint, midi int, velocity int, is_beat boolean, choice_id string")
+    c = spark.createDataFrame(config, "score_id bigint, channel_index int, role string, overlap string, selected array<string>")
+    got = {x["note_key"]: (x["voice"], x["status"], x["end_grid"]) for x in voices.assign_voices(df, c).collect()}
+    assert got == want and {s for _, s, _ in got.values()} == {"placed", "merged", "skipped"}
+
+
+def test_categories(spark):
+    df = spark.createDataFrame([(0, "x", False), (22, "x", False), (47, "x", False), (60, "x", True), (99, "Slap Bass", False), (99, "Bassoon", False), (99, "Bag Pipe", False), (99, "Music-Box", False), (99, "Pad", False), (200, "Honky Piano", False)], "p int, n string, b boolean")
+    got = [x["c"] for x in df.select(stats.category(F.col("p"), F.col("n"), F.col("b")).alias("c")).collect()]
+    assert got == ["keyboard", "winds", "percussion", "beat", "strings", "winds", "winds", "percussion", "other", "keyboard"]
+
+
+def test_repeated_notes_keep_their_regions(spark):
+    notes = spark.createDataFrame([("a", 1, 60, 80), ("a", 1, 60, 80), ("b", 1, 60, 127), ("c", 2, 60, 80)], "note_key string, preset int, midi int, velocity int")
+    zone = "preset int, region_idx int, key_lo int, key_hi int, vel_lo int, vel_hi int, attenuation int, coarse_tune int, fine_tune int, root_key int"
+    regions = spark.createDataFrame([(1, 0, 0, 127, 0, 127, 0, 0, 0, 60), (1, 1, 58, 62, 0, 100, 0, 0, 0, 60), (1, 2, 58, 62, 70, 90, 0, 0, 0, 60), (1, 3, 9, 5, 0, 127, 0, 0, 0, 60)], zone)
+    assert sorted((x["note_key"], x["region_idx"]) for x in playback.match_region(notes, regions).collect()) == [("a", 2), ("a", 2), ("b", 0)]
+
+
+def test_rests_end_at_tempo_changes(spark):
+    events_ = spark.createDataFrame([(1, 0, i, "rest", i * 10, 10, None, None) for i in range(6)], "score_id int, part int, idx bigint, type string, start bigint, duration bigint, midi int, volume int")
+    at = spark.createDataFrame([(1, 0, 20), (1, 1, 40)], "score_id int, part int, pos bigint")
+    rows = [(x["start"], x["duration"]) for x in edits.merge_rests(events_, at).orderBy("start").collect()]
+    assert rows == [(0, 20), (20, 10), (30, 30)]
+    assert edits.merge_rests(events_).count() == 1
+
+
+def test_pages_beyond_the_limit_are_told(spark):
+    df = spark.createDataFrame([(1, 0, "note", i * 64, 60) for i in range(400)], "score_id int, part int, type string, start bigint, duration bigint")
+    pages = sorted(voices.split_pages(df, 200, max_pages=2).collect(), key=lambda r: r["page"])
+    assert [p["reason"] for p in pages][-1] == "truncated" and len(pages) == 3 and pages[-1]["end"] == 399 * 64 + 60
+
+
+def test_windows_and_channel_names(spark):
+    notes = spark.createDataFrame([("a", 1, 0.5, 2.0), ("b", 1, 1.59, 0.02), ("c", 1, 9.0, 1.0), ("d", 1, -1.0, 0.5)], "k string, score_id int, start_sec double, duration_sec double")
+    windows = spark.createDataFrame([(1, w, 1.6 * w, 1.6 * w + 1.6) for w in range(3)], "score_id int, w int, t0 double, t1 double")
+    assert {x["k"]: x["w"] for x in playback.window_batch(notes, windows, ["k"]).collect()} == {"a": 0, "b": 0}
+    lines = spark.createDataFrame([(1, "[Channel1]\n// init\n// #x\n// using_extension\n// initial theme\n// later")], "score_id int, text string")
+    assert imports.section_channel_name(imports.section_blocks(lines)).first()["name"] == "initial theme"
