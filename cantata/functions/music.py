@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,6 +32,8 @@ Short Whistle;Long Whistle;Short Guiro;Long Guiro;Claves;Hi Wood Block;Low Wood
 #: Programs that are percussion, and names that tell it. Fixed values.
 BEAT_PROGRAMS = [47, 112, 113, 115, 116, 117, 118, 119]
 PERCUSSION = r"(?i)(drum|percussion|perc|snare|cymbal|kick|tom|hi[- ]?hat|ride|crash|clap|taiko|gong|wood\s*block|timpani|북|드럼|스네어|심벌|심벌즈|퍼커션|킥|탐|하이햇|라이드|크래시|공|징|박수|클랩|우드블록|팀파니)"
+#: Whether a program is percussion, by its number or its name.
+BEAT_BY_PROGRAM = [n in BEAT_PROGRAMS or re.search(PERCUSSION, name) is not None for n, name in enumerate(PROGRAMS)]
 PITCHES = ["C", "C#", "D", "D#", "E", "F", "F#", "G", "G#", "A", "A#", "B"]
 
 

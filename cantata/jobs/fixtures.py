@@ -20,7 +20,7 @@ VIEWS = {
         CAST(l_partkey % 128 AS INT) AS program, CAST((l_linenumber - 1) % 6 AS INT) AS track,
         CASE WHEN l_orderkey % 9 = 0 THEN 'Drum kit' ELSE 'Lead' END AS track_name, CASE WHEN l_orderkey % 11 = 0 THEN 'Snare' END AS inst_name FROM lineitem""",
     "doubled": """SELECT note_key, score_id, start_tick, end_tick, midi, velocity, channel, program, track, track_name, inst_name FROM notes
-        UNION ALL SELECT concat(note_key, '-', copy), score_id, start_tick, end_tick, midi, CAST(1 + (velocity * copy) % 127 AS INT), channel, program, track, track_name, inst_name FROM (SELECT *, EXPLODE(SEQ(velocity % 7)) FROM notes) d""",
+        UNION ALL SELECT concat(note_key, '-', copy), score_id, start_tick, end_tick, midi, CAST(1 + (velocity * copy) % 127 AS INT), channel, program, track, track_name, inst_name FROM (SELECT *, EXPLODE(SEQ(velocity % 4)) FROM notes) d""",
     "headers": "SELECT s_suppkey AS score_id, 1 AS format, 6 AS track_count, 480 AS ppq, s_suppkey % 10 = 0 AS smpte FROM supplier",
     "messages": """SELECT user_id AS score_id, 0 AS track, event_id AS seq, SECS(ts) // 10 AS tick,
         CASE WHEN k % 8 = 0 THEN 9 ELSE CAST(user_id % 4 AS INT) END AS channel,
@@ -62,7 +62,7 @@ def duck_sql(text: str) -> str:
     text = re.sub(r"DAYS\((\w+)\)", r"date_diff('day', DATE '1995-01-01', CAST(\1 AS DATE))", text)
     text = re.sub(r"SECS\((\w+)\)", r"(CAST(floor(epoch(\1)) AS BIGINT) - 1704067200)", text)
     text = re.sub(r"LISTAGG\((\w+) \|(.?)\| ([^)]*)\)", lambda m: f"string_agg({m[1]}, '{m[2].strip()}' ORDER BY {m[3]})", text)
-    text = text.replace("EXPLODE(SEQ(velocity % 7))", "unnest(range(1, velocity % 7)) AS copy")
+    text = text.replace("EXPLODE(SEQ(velocity % 4))", "unnest(range(1, velocity % 4)) AS copy")
     return text.replace("POSEXPLODE(SPLIT(text))", "unnest(range(0, len(string_split(text, ',')))) AS part, unnest(string_split(text, ',')) AS part_text")
 
 
@@ -70,7 +70,7 @@ def spark_sql(text: str) -> str:
     text = re.sub(r"DAYS\((\w+)\)", r"datediff(CAST(\1 AS DATE), DATE'1995-01-01')", text)
     text = re.sub(r"SECS\((\w+)\)", r"(unix_seconds(CAST(\1 AS TIMESTAMP)) - 1704067200)", text)
     text = re.sub(r"LISTAGG\((\w+) \|(.?)\| ([^)]*)\)", lambda m: f"listagg({m[1]}, '{m[2].strip()}') WITHIN GROUP (ORDER BY {m[3]})", text)
-    text = text.replace(" EXPLODE(SEQ(velocity % 7))", " explode(CASE WHEN velocity % 7 < 2 THEN CAST(array() AS array<int>) ELSE sequence(1, velocity % 7 - 1) END) AS copy")
+    text = text.replace(" EXPLODE(SEQ(velocity % 4))", " explode(CASE WHEN velocity % 4 < 2 THEN CAST(array() AS array<int>) ELSE sequence(1, velocity % 4 - 1) END) AS copy")
     return text.replace("//", "div").replace("POSEXPLODE(SPLIT(text))", "posexplode(split(text, ',')) AS (part, part_text)")
 
 

@@ -81,9 +81,10 @@ def classify_instrument(notes: DataFrame) -> DataFrame:
     program = F.when(F.col("program").between(0, 127), F.col("program")).otherwise(0)
     name = music.program_name(program)
     drum = F.col("channel") == 9
-    # Names are searched once a note: each flag is a column that later expressions read several times.
-    by_name = F.concat_ws(" / ", name, "track_name", "inst_name").rlike(music.PERCUSSION)
-    flagged = notes.select("*", (drum | program.isin(music.BEAT_PROGRAMS) | by_name).alias("is_beat"), F.coalesce(F.col("inst_name").rlike(music.PERCUSSION), F.lit(False)).alias("__named"))
+    # Names are searched once a note, those of programs not at all: each flag is a column that later expressions read several times.
+    found = lambda c: F.coalesce(F.col(c).rlike(music.PERCUSSION), F.lit(False))
+    flagged = notes.select("*", found("inst_name").alias("__named"))
+    flagged = flagged.select("*", (drum | F.get(F.array(*map(F.lit, music.BEAT_BY_PROGRAM)), program) | F.col("__named") | found("track_name")).alias("is_beat"))
     group = F.when(drum, F.concat(F.lit("ch9:drum:"), F.col("midi"))).otherwise(F.concat(F.lit("ch"), F.col("channel"), F.lit(":program:"), program, F.lit(":beat:"), F.col("is_beat").cast("int")))
     shown = F.when(drum, music.drum_name(F.col("midi"))).when(F.col("is_beat") & F.col("__named"), F.col("inst_name")).otherwise(name)
     return flagged.select(*notes.columns, group.alias("group_id"), shown.alias("instrument_name"), "is_beat")
