@@ -103,7 +103,7 @@ def oracle(sql: str) -> str:
     if not order:
         return body
     views = ", ".join(f"{n} AS ({duck_sql(VIEWS[n])})" for n in order)
-    recursive = "RECURSIVE " * ("UNION ALL" in body and bool(re.match(r"\s*WITH \w+\(", body)))
+    recursive = "RECURSIVE " * bool(re.search(r"(?:WITH|,)\s+\w+\([a-z_, ]+\) AS \(", body))
     return f"WITH {recursive}{views}, {body.strip()[5:]}" if body.strip().upper().startswith("WITH ") else f"WITH {views} {body}"
 
 

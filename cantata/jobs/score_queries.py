@@ -167,9 +167,39 @@ register("part_events", lambda v: events.part_events(tokens(v)), f"WITH {TOK} SE
 register("merge_ties", lambda v: events.merge_ties(tokens(v)), f"""WITH {TOK}, so AS (SELECT *, CASE WHEN lag(tok) OVER w IS NOT NULL AND ties > lag(ties) OVER w AND midi IS NOT DISTINCT FROM lag(midi) OVER w THEN 0 ELSE 1 END AS head FROM ti WHERE sounding WINDOW w AS (PARTITION BY score_id, part ORDER BY tok)),
   isl AS (SELECT *, sum(head) OVER (PARTITION BY score_id, part ORDER BY tok) AS idx FROM so) SELECT score_id, part, CAST(idx AS BIGINT) AS idx, CASE WHEN max(midi) IS NULL THEN 'rest' ELSE 'note' END AS type, CAST(min(start) AS DOUBLE) AS start, sum(duration) AS duration, CAST(max(midi) AS INT) AS midi, arg_min(volume, tok) AS volume FROM isl GROUP BY score_id, part, idx""")
 register("tempo_events_from_parts", lambda v: events.tempo_events_from_parts(tokens(v)), f"WITH {TOK} SELECT score_id, CAST(floor(start) AS BIGINT) AS pos, num AS bpm, part, row_number() OVER (PARTITION BY score_id, part ORDER BY tok) - 1 AS ord FROM ti WHERE h = 't' AND num IS NOT NULL")
-register("parse_errors", lambda v: events.parse_errors(tokens(v).unionByName(text.tokenize_parts(v("dirty_parts")))))
+SIZES = "(1, 2, 4, 8, 16, 32, 64)"
+#: The first error of each part of {texts}; a token is judged by the sounding one before it and the ties since.
+ERRORS = TOK.replace("FROM parts)", "FROM (SELECT score_id, part, regexp_extract(part_text, '^[^;]*') AS part_text FROM {texts}) q)") + f""",
+pr AS (SELECT *, last_value(CASE WHEN sounding THEN {{{{'midi': midi, 'ties': ties}}}} END IGNORE NULLS) OVER (PARTITION BY score_id, part ORDER BY tok ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prior,
+  max(CASE WHEN sounding THEN tok END) OVER (PARTITION BY score_id, part) AS final FROM ti),
+er AS (SELECT score_id, part, tok, CASE
+  WHEN NOT regexp_matches(h, '^[a-grntolv<>&]$') THEN 'unknown_character'
+  WHEN h IN ('n', 't', 'o', 'l', 'v') AND num IS NULL THEN 'missing_number'
+  WHEN (regexp_matches(h, '^[a-gr]$') AND num NOT IN {SIZES}) OR (h = 'l' AND num NOT IN {SIZES}) THEN 'bad_length'
+  WHEN h = 'o' AND num > 9 THEN 'bad_octave' WHEN h = 'v' AND num > 15 THEN 'bad_volume' WHEN h = 't' AND num NOT BETWEEN 32 AND 255 THEN 'bad_tempo'
+  WHEN h = '>' AND octave > 9 THEN 'octave_over' WHEN h = '<' AND octave < 0 THEN 'octave_under'
+  WHEN regexp_matches(h, '^[a-g]$') AND midi NOT BETWEEN 0 AND 127 THEN 'pitch_range'
+  WHEN h = '&' AND prior IS NULL THEN 'tie_without_target' WHEN h = '&' AND ties > prior.ties + 1 THEN 'double_tie' WHEN h = '&' AND final < tok THEN 'dangling_tie'
+  WHEN sounding AND prior IS NOT NULL AND ties > prior.ties AND prior.midi IS DISTINCT FROM midi THEN 'tie_to_other_pitch' END AS code FROM pr),
+pe AS (SELECT score_id, part, CAST(min(tok) AS INT) AS tok, arg_min(code, tok) AS code FROM er WHERE code IS NOT NULL GROUP BY score_id, part)"""
+
+
+def errors_of(texts: str) -> str:
+    """ERRORS over a view or subquery of (score_id, part, part_text)."""
+    return ERRORS.replace("{texts}", texts).replace("{{", "{").replace("}}", "}")
+
+
+BOTH = "(SELECT score_id, part, part_text FROM parts UNION ALL SELECT score_id{shift}, part, part_text FROM dirty_parts)"
+register("parse_errors", lambda v: events.parse_errors(tokens(v).unionByName(text.tokenize_parts(v("dirty_parts")))), f"WITH {errors_of(BOTH.format(shift=''))} SELECT * FROM pe")
+
+
+def candidates(v) -> DataFrame:
+    return v("parts").unionByName(v("dirty_parts").withColumn("score_id", F.col("score_id") + 1000000))
+
+
 register("part_lengths", lambda v: events.part_lengths(v("part_events")), "SELECT score_id, part, max(start + duration) AS length FROM part_events GROUP BY score_id, part")
-register("looks_like_part", lambda v: text.looks_like_part(v("parts").unionByName(v("dirty_parts").withColumn("score_id", F.col("score_id") + 1000000)), events.parse_errors(text.tokenize_parts(v("parts").unionByName(v("dirty_parts").withColumn("score_id", F.col("score_id") + 1000000))))))
+register("looks_like_part", lambda v: text.looks_like_part(candidates(v), events.parse_errors(text.tokenize_parts(candidates(v)))),
+    f"WITH {errors_of(BOTH.format(shift=' + 1000000'))} SELECT score_id, part, part_text FROM {BOTH.format(shift=' + 1000000')} c ANTI JOIN pe USING (score_id, part) WHERE regexp_matches(part_text, '^[A-GNOLRTVa-gnolrtv0-9+#.&<>\\s-]+$') AND regexp_matches(part_text, '[a-grntA-GRNT]')")
 
 # Intervals -------------------------------------------------------------------------------
 
@@ -182,9 +212,27 @@ NOTES = """nt AS (SELECT *, start + duration AS fin FROM part_events WHERE type
 SIL = NOTES + """, cl AS (SELECT score_id, greatest(start, 50000) AS s, least(fin, 120000) AS e FROM nt WHERE fin > 50000 AND start < 120000 UNION ALL SELECT score_id, 120000, 120000 FROM headers),
 gp AS (SELECT score_id, s, coalesce(max(e) OVER (PARTITION BY score_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 50000) AS reach FROM cl), si AS (SELECT score_id, reach AS start, s AS fin FROM gp WHERE s > reach)"""
 register("common_silence", lambda v: intervals.common_silence(v("part_events"), ranges(v)), f'WITH {SIL} SELECT score_id, start, fin AS "end" FROM si')
-register("longest_silence", lambda v: intervals.longest_silence(intervals.common_silence(v("part_events"), ranges(v)), 16), f'WITH {SIL} SELECT score_id, start, fin AS "end", fin - start AS duration FROM (SELECT *, row_number() OVER (PARTITION BY score_id ORDER BY fin - start DESC, start DESC) AS rn FROM si) x WHERE rn = 1 AND fin - start >= 16')
+PAGE = """ru AS (SELECT *, 1000 + 135 * count(*) OVER w + 240 * sum(gap) OVER w AS hundredths FROM (SELECT *, CASE WHEN start - 50000 > coalesce(max(fin - 50000) OVER (PARTITION BY score_id, part ORDER BY start, fin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) THEN 1 ELSE 0 END AS gap
+  FROM nt WHERE start >= 50000 AND start < 120000) a WINDOW w AS (PARTITION BY score_id, part ORDER BY start, fin ROWS UNBOUNDED PRECEDING)),
+pl AS (SELECT p.score_id, p.pos, CAST(coalesce(max(hundredths), 0) AS BIGINT) AS hundredths FROM {points} p LEFT JOIN ru ON ru.score_id = p.score_id AND ru.start < p.pos GROUP BY p.score_id, p.pos)"""
+
+
+def lengths(v, points: DataFrame) -> DataFrame:
+    return intervals.page_lengths(v("part_events"), ranges(v), points)
+
+
+
+
+def best_silence(v) -> DataFrame:
+    silences = intervals.common_silence(v("part_events"), ranges(v))
+    return intervals.longest_silence(silences, 16, lengths(v, silences.select("score_id", F.col("start").alias("pos"))), 90.0)
+
+
+register("longest_silence", best_silence, f"""WITH {SIL}, {PAGE.format(points="(SELECT score_id, start AS pos FROM si)")} SELECT score_id, start, fin AS "end", fin - start AS duration FROM (
+  SELECT si.*, row_number() OVER (PARTITION BY si.score_id ORDER BY hundredths DESC, fin - start DESC, start DESC) AS rn FROM si JOIN pl ON pl.score_id = si.score_id AND pl.pos = si.start WHERE fin - start >= 16 AND hundredths <= 9000) x WHERE rn = 1""")
 PTS = NOTES + """, pt AS (SELECT DISTINCT score_id, pos FROM (SELECT score_id, start AS pos FROM nt UNION ALL SELECT score_id, fin FROM nt) x WHERE pos > 50000 AND pos < 120000 AND score_id IN (SELECT score_id FROM headers) UNION SELECT score_id, 120000 FROM headers)"""
 register("boundary_points", lambda v: intervals.boundary_points(v("part_events"), ranges(v)), f"WITH {PTS} SELECT * FROM pt")
+register("page_lengths", lambda v: lengths(v, intervals.boundary_points(v("part_events"), ranges(v))), f"WITH {PTS}, {PAGE.format(points='pt')} SELECT score_id, pos, hundredths FROM pl")
 SAFE = PTS + """, sf AS (SELECT p.score_id, p.pos, 6 - count(DISTINCT n.part) AS safe FROM pt p LEFT JOIN nt n ON n.score_id = p.score_id AND n.start < p.pos AND n.fin > p.pos GROUP BY p.score_id, p.pos)"""
 
 
@@ -193,7 +241,8 @@ def safe(v) -> DataFrame:
 
 
 register("safe_channels", safe, f"WITH {SAFE} SELECT * FROM sf")
-register("boundary_rank", lambda v: intervals.boundary_rank(safe(v)), f"WITH {SAFE} SELECT score_id, pos, safe FROM (SELECT *, row_number() OVER (PARTITION BY score_id ORDER BY safe DESC, pos DESC) AS rn FROM sf) x WHERE rn = 1")
+register("boundary_rank", lambda v: intervals.boundary_rank(safe(v), lengths(v, safe(v)), 90.0),
+    f"WITH {SAFE}, {PAGE.format(points='pt')} SELECT score_id, pos, safe FROM (SELECT sf.*, row_number() OVER (PARTITION BY sf.score_id ORDER BY safe DESC, hundredths DESC, sf.pos DESC) AS rn FROM sf JOIN pl ON pl.score_id = sf.score_id AND pl.pos = sf.pos WHERE hundredths <= 9000) x WHERE rn = 1")
 register("page_length_estimate", lambda v: intervals.page_length_estimate(v("part_events"), ranges(v)).select("score_id", music.fixed("est", 6).alias("est")), f"WITH {NOTES}, g AS (SELECT score_id, part, CASE WHEN start - 50000 > coalesce(max(least(fin, 120000) - 50000) OVER (PARTITION BY score_id, part ORDER BY start, fin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) THEN 1 ELSE 0 END AS gap FROM nt WHERE start >= 50000 AND start < 120000) SELECT g.score_id, max(est) AS est FROM (SELECT score_id, part, round(10 + count(*) * 1.35::DOUBLE + sum(gap) * 2.4::DOUBLE, 6) AS est FROM g GROUP BY score_id, part) g GROUP BY g.score_id")
 CLIP = NOTES + """, cp AS (SELECT score_id, part, start - 50000 AS start, least(fin, 120000) - start AS duration, midi, volume FROM nt WHERE start >= 50000 AND start < 120000), rs AS (SELECT *, coalesce(lag(start + duration) OVER (PARTITION BY score_id, part ORDER BY start), 0) AS reach FROM cp)"""
 register("segment_events", lambda v: intervals.segment_events(v("part_events"), ranges(v)), f"WITH {CLIP} SELECT score_id, part, 'note' AS type, start, duration, midi, volume FROM cp UNION ALL SELECT score_id, part, 'rest', reach, start - reach, NULL, NULL FROM rs WHERE start > reach")
@@ -255,18 +304,40 @@ def table(v) -> DataFrame:
     return render.shortest_duration_table(v("part_events").select(F.col("duration").alias("units")))
 
 
-register("grid_duration_tokens", lambda v: render.grid_duration_tokens(v("part_events")).select("score_id", "part", "idx", "text"), """WITH RECURSIVE g(score_id, part, idx, rest_, name, left_, txt) AS (
+GRID_TEXT = """g(score_id, part, idx, rest_, name, left_, txt) AS (
   SELECT score_id, part, idx, type = 'rest', CASE WHEN type = 'rest' THEN 'r' ELSE (['c','c+','d','d+','e','f','f+','g','g+','a','a+','b'])[midi % 12 + 1] END, CAST(floor(duration / 16.0 + 0.5) AS BIGINT), '' FROM part_events
   UNION ALL SELECT score_id, part, idx, rest_, name, left_ - u, concat(txt, CASE WHEN txt = '' OR rest_ THEN '' ELSE '&' END, name, t) FROM (SELECT *, CASE WHEN left_ >= 64 THEN 64 WHEN left_ >= 48 THEN 48 WHEN left_ >= 32 THEN 32 WHEN left_ >= 24 THEN 24 WHEN left_ >= 16 THEN 16 WHEN left_ >= 12 THEN 12 WHEN left_ >= 8 THEN 8 WHEN left_ >= 6 THEN 6 WHEN left_ >= 4 THEN 4 ELSE left_ END AS u FROM g WHERE left_ > 0) a
-    JOIN (SELECT unnest([64, 48, 32, 24, 16, 12, 8, 6, 4, 3, 2, 1]) AS u2, unnest(['1', '2.', '2', '4.', '4', '8.', '8', '16.', '16', '32.', '32', '64']) AS t) b ON u = u2)
-  SELECT score_id, part, idx, txt AS text FROM g WHERE left_ = 0""".replace("WITH RECURSIVE", "WITH"))
-register("shortest_duration_table", table)
-register("choose_default_length", lambda v: render.choose_default_length(v("part_events"), table(v)))
-register("pitch_commands", lambda v: render.pitch_commands(v("part_events")).select("score_id", "part", "idx", "prefix"), """SELECT score_id, part, idx, concat(CASE WHEN lv IS NULL OR lv = volume THEN '' ELSE concat('V', volume) END, CASE WHEN lo IS NULL OR lo = o THEN '' WHEN abs(o - lo) <= 2 THEN repeat(CASE WHEN o > lo THEN '>' ELSE '<' END, abs(o - lo)) ELSE concat('O', o) END) AS prefix
-  FROM (SELECT *, lag(o) OVER w AS lo, lag(volume) OVER w AS lv FROM (SELECT *, midi // 12 - 1 AS o FROM part_events WHERE type = 'note') a WINDOW w AS (PARTITION BY score_id, part ORDER BY start)) b""")
-register("part_header", lambda v: render.part_header(v("part_events"), tmap(v), render.choose_default_length(v("part_events"), table(v))))
-register("render_parts", lambda v: render.render_parts(v("part_events"), tmap(v), table(v)))
-register("render_voice_grid", lambda v: render.render_voice_grid(v("part_events").where("type = 'note'").drop("idx", "type")))
+    JOIN (SELECT unnest([64, 48, 32, 24, 16, 12, 8, 6, 4, 3, 2, 1]) AS u2, unnest(['1', '2.', '2', '4.', '4', '8.', '8', '16.', '16', '32.', '32', '64']) AS t) b ON u = u2)"""
+register("grid_duration_tokens", lambda v: render.grid_duration_tokens(v("part_events")).select("score_id", "part", "idx", "text"), f"WITH {GRID_TEXT} SELECT score_id, part, idx, txt AS text FROM g WHERE left_ = 0")
+#: Length suffixes by default length; the shortest sums of up to 17 of them for 1 to 2047 units (a sum of
+#: plain lengths takes 17 characters at most); the distinct lengths of the events, whole notes taken off.
+WORDS = """sx AS (SELECT l, size, arg_min(t, {'n': length(t), 't': t}) AS t FROM (SELECT l, CAST(1024 // n * (2 - pow(2.0, -d)) AS INT) AS size, concat(CASE WHEN n = l THEN '' ELSE CAST(n AS VARCHAR) END, repeat('.', d)) AS t
+    FROM (SELECT unnest([1, 2, 4, 8, 16, 32, 64]) AS n) a, (SELECT unnest([1, 2, 4, 8, 16, 32, 64]) AS l) b, (SELECT unnest([0, 1, 2, 3]) AS d) c WHERE (1024 // n) % CAST(pow(2, d) AS INT) = 0) x GROUP BY l, size),
+z(u, l, kind, steps, chars, words) AS (SELECT 0, l, kind, 0, 0, CAST([] AS VARCHAR[]) FROM (SELECT unnest([1, 2, 4, 8, 16, 32, 64]) AS l) a, (SELECT unnest(['note', 'rest']) AS kind) b
+  UNION ALL SELECT u + size, l, kind, steps + 1, min(chars + length(t) + rep), arg_min(list_append(words, t), {'c': chars + length(t) + rep, 'w': list_append(words, t)}) FROM
+    (SELECT z.*, size, t, CASE WHEN z.kind = 'note' THEN 2 ELSE 1 END AS rep FROM z JOIN sx ON z.l = sx.l AND z.u + size < 2048 WHERE steps < 17) e GROUP BY u + size, l, kind, steps),
+sh AS (SELECT u, l, kind, min(chars) AS chars, arg_min(words, {'c': chars, 'w': words}) AS words FROM z WHERE u > 0 GROUP BY u, l, kind),
+du AS (SELECT DISTINCT CAST(duration AS BIGINT) AS units, greatest(duration // 1024 - 1, 0) AS spare FROM part_events WHERE duration > 0),
+tb AS (SELECT units, l AS "L", kind, array_to_string(list_concat([CASE WHEN l = 1 THEN '' ELSE '1' END FOR i IN range(0, spare)], words), '|') AS text,
+  CAST(chars + spare * (CASE WHEN l = 1 THEN 0 ELSE 1 END + CASE WHEN kind = 'note' THEN 2 ELSE 1 END) AS BIGINT) AS n_chars FROM du JOIN sh ON sh.u = du.units - 1024 * spare)"""
+CHOSEN = WORDS + """, cs AS (SELECT score_id, part, "L", sum(n_chars) + 1 + length(CAST("L" AS VARCHAR)) AS c FROM part_events e JOIN tb ON e.duration = tb.units AND e.type = tb.kind GROUP BY score_id, part, "L"),
+dl AS (SELECT score_id, part, arg_min("L", {'c': c, 'l': "L"}) AS "L" FROM cs GROUP BY score_id, part)"""
+register("shortest_duration_table", table, f"WITH {WORDS} SELECT * FROM tb")
+register("choose_default_length", lambda v: render.choose_default_length(v("part_events"), table(v)), f"WITH {CHOSEN} SELECT * FROM dl")
+PREFIX = """lg AS (SELECT *, lag(o) OVER w AS lo, lag(volume) OVER w AS lv FROM (SELECT *, midi // 12 - 1 AS o FROM part_events WHERE type = 'note') a WINDOW w AS (PARTITION BY score_id, part ORDER BY start)),
+px AS (SELECT score_id, part, idx, lo IS NULL AS leads, o, volume, concat(CASE WHEN lv IS NULL OR lv = volume THEN '' ELSE concat('V', volume) END, CASE WHEN lo IS NULL OR lo = o THEN '' WHEN abs(o - lo) <= 2 THEN repeat(CASE WHEN o > lo THEN '>' ELSE '<' END, abs(o - lo)) ELSE concat('O', o) END) AS prefix FROM lg)"""
+register("pitch_commands", lambda v: render.pitch_commands(v("part_events")).select("score_id", "part", "idx", "prefix"), f"WITH {PREFIX} SELECT score_id, part, idx, prefix FROM px")
+HEADER = f"""{CHOSEN}, {MAPS}, {PREFIX}, hd AS (SELECT px.score_id, px.part, concat(CASE WHEN px.part = 0 AND bpm IS NOT NULL THEN concat('T', bpm) ELSE '' END, 'V', volume, 'O', o, 'L', coalesce("L", 4)) AS header
+  FROM px LEFT JOIN (SELECT score_id, bpm FROM tm WHERE pos = 0) t ON t.score_id = px.score_id LEFT JOIN dl ON dl.score_id = px.score_id AND dl.part = px.part WHERE leads)"""
+register("part_header", lambda v: render.part_header(v("part_events"), tmap(v), render.choose_default_length(v("part_events"), table(v))), f"WITH {HEADER} SELECT * FROM hd")
+NAMES = "(['c','c+','d','d+','e','f','f+','g','g+','a','a+','b'])[midi % 12 + 1]"
+register("render_parts", lambda v: render.render_parts(v("part_events"), tmap(v), table(v)),
+    f"""WITH {HEADER}, wd AS (SELECT e.score_id, e.part, start, e.type, concat(prefix, CASE WHEN e.type = 'rest' THEN concat('r', replace(text, '|', 'r')) ELSE concat({NAMES}, replace(text, '|', concat('&', {NAMES}))) END) AS s
+    FROM part_events e JOIN dl ON dl.score_id = e.score_id AND dl.part = e.part JOIN tb ON tb.units = e.duration AND tb.kind = e.type AND tb."L" = dl."L" LEFT JOIN px ON px.score_id = e.score_id AND px.part = e.part AND px.idx = e.idx AND e.type = 'note')
+  SELECT hd.score_id, hd.part, concat(any_value(header), string_agg(s, '' ORDER BY start, wd.type)) AS part_text FROM wd JOIN hd ON hd.score_id = wd.score_id AND hd.part = wd.part GROUP BY hd.score_id, hd.part""")
+register("render_voice_grid", lambda v: render.render_voice_grid(v("part_events").where("type = 'note'").drop("idx", "type")),
+    f"""WITH {GRID_TEXT}, {PREFIX} SELECT e.score_id, e.part, string_agg(concat(CASE WHEN leads THEN concat('V', px.volume, 'O', o) ELSE prefix END, txt), '' ORDER BY start, type) AS part_text
+  FROM part_events e JOIN g ON g.score_id = e.score_id AND g.part = e.part AND g.idx = e.idx AND left_ = 0 LEFT JOIN px ON px.score_id = e.score_id AND px.part = e.part AND px.idx = e.idx GROUP BY e.score_id, e.part""")
 
 # Playback --------------------------------------------------------------------------------
 

@@ -41,10 +41,10 @@ def token_durations(tokens: DataFrame) -> DataFrame:
 
 
 def token_pitch(tokens: DataFrame) -> DataFrame:
-    """Adds midi: (octave + 1) * 12, the letter's semitone and the accidental; N is its number; rests and N0 null."""
+    """Adds midi: (octave + 1) * 12, the letter's semitone and the accidental; N is its number; rests, N0 and what no int holds null."""
     step = F.get(F.array(*[F.lit(x) for x in (9, 11, 0, 2, 4, 5, 7)]), F.ascii(F.lower(F.substring("raw", 1, 1))) - 97)
     midi = F.when(F.col("kind") == "note", (F.col("octave") + 1) * 12 + step + F.col("acc")).when((F.col("kind") == "N") & (F.col("num") > 0), F.least("num", F.lit(127)))
-    return tokens.withColumn("midi", midi.cast("int"))
+    return tokens.withColumn("midi", midi.try_cast("int"))
 
 
 def timed(tokens: DataFrame) -> DataFrame:

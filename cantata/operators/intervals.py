@@ -20,10 +20,23 @@ def common_silence(events: DataFrame, ranges: DataFrame) -> DataFrame:
     return reach.where("start > reach").select("score_id", F.col("reach").alias("start"), F.col("start").alias("end"))
 
 
-def longest_silence(silences: DataFrame, min_units: int = 512) -> DataFrame:
-    """The longest silence of a score, then the latest, if it lasts min_units."""
-    best = F.max(F.struct((F.col("end") - F.col("start")).alias("duration"), F.col("start").alias("s"), F.col("end").alias("e"))).alias("b")
-    return silences.groupBy("score_id").agg(best).where(F.col("b.duration") >= min_units).select("score_id", F.col("b.s").alias("start"), F.col("b.e").alias("end"), F.col("b.duration").alias("duration"))
+def longest_silence(silences: DataFrame, min_units: int = 512, lengths: DataFrame | None = None, max_length: float = 2400) -> DataFrame:
+    """The silence of a score to end a page at, of those that last min_units: the longest, then the latest.
+
+    With lengths (page_lengths at the silences' starts) the page comes first: the longest page within
+    max_length, then the longest silence, then the latest.
+    """
+    fit = silences.where(F.col("end") - F.col("start") >= min_units).withColumn("page", F.lit(0))
+    if lengths is not None:
+        fit = _with_length(fit, "start", lengths, max_length)
+    best = F.max(F.struct("page", (F.col("end") - F.col("start")).alias("duration"), F.col("start").alias("s"), F.col("end").alias("e"))).alias("b")
+    return fit.groupBy("score_id").agg(best).select("score_id", F.col("b.s").alias("start"), F.col("b.e").alias("end"), F.col("b.duration").alias("duration"))
+
+
+def _with_length(df: DataFrame, at: str, lengths: DataFrame, max_length: float) -> DataFrame:
+    """Adds page, the length in hundredths of a page that ends at a row's position; longer pages go."""
+    short = lengths.where(F.col("hundredths") <= max_length * 100).select("score_id", F.col("pos").alias(at), F.col("hundredths").alias("page"))
+    return df.drop("page").join(short, ["score_id", at])
 
 
 def boundary_points(events: DataFrame, ranges: DataFrame) -> DataFrame:
@@ -45,9 +58,25 @@ def safe_channels(events: DataFrame, points: DataFrame, part_count: int = 6) ->
     return steps.unionByName(asked).withColumn("open", open_).where("o = 1").select("score_id", "pos", (part_count - F.col("open")).alias("safe"))
 
 
-def boundary_rank(points: DataFrame) -> DataFrame:
-    """The best cut of a score: most safe parts, then the latest position."""
-    return points.groupBy("score_id").agg(F.max(F.struct("safe", "pos")).alias("b")).select("score_id", "b.pos", "b.safe")
+def boundary_rank(points: DataFrame, lengths: DataFrame | None = None, max_length: float = 2400) -> DataFrame:
+    """The best cut of a score: most safe parts, then the longest page within max_length (with lengths, see page_lengths), then the latest position."""
+    ranked = points.withColumn("page", F.lit(0)) if lengths is None else _with_length(points, "pos", lengths, max_length)
+    return ranked.groupBy("score_id").agg(F.max(F.struct("safe", "page", "pos")).alias("b")).select("score_id", "b.pos", "b.safe")
+
+
+def page_lengths(events: DataFrame, ranges: DataFrame, points: DataFrame) -> DataFrame:
+    """(score_id, pos, hundredths): the estimate of page_length_estimate, times 100, for the page from lo to each distinct point.
+
+    An estimate only grows with a part's notes, so a page has the largest one before its end: one sweep for all points.
+    """
+    n = _notes(events).join(ranges, "score_id").where("start >= lo AND start < hi AND end > lo")
+    order = Window.partitionBy("score_id", "part").orderBy("start", "end")
+    reach = F.coalesce(F.max(F.col("end") - F.col("lo")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+    grown = n.withColumn("gap", (F.col("start") - F.col("lo") > reach).cast("int")).select("score_id", F.col("start").alias("pos"), F.lit(1).alias("o"), (1000 + 135 * F.count("*").over(so_far) + 240 * F.sum("gap").over(so_far)).alias("h"))
+    asked = points.select("score_id", "pos").distinct().select("score_id", "pos", F.lit(0).alias("o"), F.lit(None).cast("long").alias("h"))
+    top = F.max("h").over(Window.partitionBy("score_id").orderBy("pos", "o").rowsBetween(Window.unboundedPreceding, 0))
+    return grown.unionByName(asked).withColumn("hundredths", F.coalesce(top, F.lit(0))).where("o = 0").select("score_id", "pos", "hundredths")
 
 
 def page_length_estimate(events: DataFrame, ranges: DataFrame) -> DataFrame:
