@@ -335,9 +335,18 @@ register("render_parts", lambda v: render.render_parts(v("part_events"), tmap(v)
     f"""WITH {HEADER}, wd AS (SELECT e.score_id, e.part, start, e.type, concat(prefix, CASE WHEN e.type = 'rest' THEN concat('r', replace(text, '|', 'r')) ELSE concat({NAMES}, replace(text, '|', concat('&', {NAMES}))) END) AS s
     FROM part_events e JOIN dl ON dl.score_id = e.score_id AND dl.part = e.part JOIN tb ON tb.units = e.duration AND tb.kind = e.type AND tb."L" = dl."L" LEFT JOIN px ON px.score_id = e.score_id AND px.part = e.part AND px.idx = e.idx AND e.type = 'note')
   SELECT hd.score_id, hd.part, concat(any_value(header), string_agg(s, '' ORDER BY start, wd.type)) AS part_text FROM wd JOIN hd ON hd.score_id = wd.score_id AND hd.part = wd.part GROUP BY hd.score_id, hd.part""")
-register("render_voice_grid", lambda v: render.render_voice_grid(v("part_events").where("type = 'note'").drop("idx", "type")),
-    f"""WITH {GRID_TEXT}, {PREFIX} SELECT e.score_id, e.part, string_agg(concat(CASE WHEN leads THEN concat('V', px.volume, 'O', o) ELSE prefix END, txt), '' ORDER BY start, type) AS part_text
-  FROM part_events e JOIN g ON g.score_id = e.score_id AND g.part = e.part AND g.idx = e.idx AND left_ = 0 LEFT JOIN px ON px.score_id = e.score_id AND px.part = e.part AND px.idx = e.idx GROUP BY e.score_id, e.part""")
+VOICE = f"""{MAPS}, mv AS (SELECT score_id, CAST(floor(pos / 16.0 + 0.5) AS BIGINT) * 16 AS pos, arg_max(bpm, pos) AS bpm FROM tm GROUP BY score_id, CAST(floor(pos / 16.0 + 0.5) AS BIGINT)),
+en AS (SELECT score_id, max(start + duration) AS fin, coalesce(max(CASE WHEN part = 0 THEN start + duration END), 0) AS lead_end FROM part_events GROUP BY score_id),
+gt AS (SELECT score_id, pos, bpm FROM (SELECT *, lag(bpm) OVER (PARTITION BY score_id ORDER BY pos) AS b FROM mv) x JOIN en USING (score_id) WHERE (pos = 0 OR b <> bpm) AND pos <= fin),
+sp AS (SELECT score_id, part, idx, type, start, duration, midi, volume FROM part_events UNION ALL SELECT score_id, 0, 1000000000, 'rest', lead_end, fin - lead_end, NULL, NULL FROM en WHERE EXISTS (SELECT 1 FROM gt WHERE gt.score_id = en.score_id AND gt.pos > lead_end)),
+ed AS (SELECT score_id, part, idx, start AS at_ FROM sp UNION ALL SELECT e.score_id, part, idx, gt.pos FROM sp e JOIN gt ON gt.score_id = e.score_id AND e.part = 0 AND gt.pos > e.start AND gt.pos < e.start + e.duration),
+pv AS (SELECT ed.score_id, ed.part, ed.idx * 100000 + row_number() OVER w AS idx, type, at_ AS start, coalesce(lead(at_) OVER w, start + duration) - at_ AS duration, midi, type = 'note' AND lead(at_) OVER w IS NOT NULL AS tied
+  FROM ed JOIN sp ON sp.score_id = ed.score_id AND sp.part = ed.part AND sp.idx = ed.idx WINDOW w AS (PARTITION BY ed.score_id, ed.part, ed.idx ORDER BY at_)),
+rows_ AS (SELECT pv.score_id, pv.part, start, 2 AS rank, concat(txt, CASE WHEN tied THEN '&' ELSE '' END) AS s FROM pv JOIN g ON g.score_id = pv.score_id AND g.part = pv.part AND g.idx = pv.idx AND left_ = 0
+  UNION ALL SELECT score_id, 0, pos, 0, concat('T', bpm) FROM gt
+  UNION ALL SELECT score_id, part, start, 1, concat(CASE WHEN volume <> lv THEN concat('V', volume) ELSE '' END, CASE WHEN o <> lo THEN concat('O', o) ELSE '' END) FROM (SELECT *, lag(o, 1, 4) OVER w AS lo, lag(volume, 1, 8) OVER w AS lv FROM (SELECT *, midi // 12 - 1 AS o FROM part_events WHERE type = 'note') a WINDOW w AS (PARTITION BY score_id, part ORDER BY start)) b)"""
+register("render_voice_grid", lambda v: render.render_voice_grid(v("part_events").where("type = 'note'").drop("idx", "type"), tmap(v)),
+    f"WITH {VOICE.replace('rows_ AS', GRID_TEXT.replace('FROM part_events', 'FROM pv') + ', rows_ AS')} SELECT score_id, part, string_agg(s, '' ORDER BY start, rank) AS part_text FROM rows_ GROUP BY score_id, part")
 
 # Playback --------------------------------------------------------------------------------
 

@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cantata.operators.intervals import fill_rests
+from cantata.operators.tempo import split_notes_at_tempo
+
+GRID = 16
 
 #: Lengths on the 1/64 grid, longest first. Fixed values.
 GRID_LENGTHS = [(64, "1"), (48, "2."), (32, "2"), (24, "4."), (16, "4"), (12, "8."), (8, "8"), (6, "16."), (4, "16"), (3, "32."), (2, "32"), (1, "64")]
@@ -131,12 +134,38 @@ def render_parts(events: DataFrame, tempo_map: DataFrame, table: DataFrame) -> D
     return joined.join(header, ["score_id", "part"]).select("score_id", "part", F.concat("header", F.array_join(F.transform("e", lambda x: x["s"]), "")).alias("part_text"))
 
 
-def render_voice_grid(voices: DataFrame) -> DataFrame:
-    """(score_id, part, part_text) of voices (notes in units) on the 1/64 grid: rests, V and O changes, tied lengths."""
-    whole = grid_duration_tokens(fill_rests(voices))
-    marks = pitch_commands(whole)
-    lead = F.when(F.lag("midi").over(_order()).isNull(), F.concat(F.lit("V"), F.col("volume"), F.lit("O"), F.col("octave"))).otherwise(F.col("prefix"))
-    notes = marks.select("score_id", "part", "start", "type", F.concat(lead, F.col("text")).alias("s"))
-    every = notes.unionByName(whole.where("type = 'rest'").select("score_id", "part", "start", "type", F.col("text").alias("s")))
-    joined = every.groupBy("score_id", "part").agg(F.array_sort(F.collect_list(F.struct("start", "type", "s"))).alias("e"))
+def grid_tempos(tempo_map: DataFrame, ends: DataFrame) -> DataFrame:
+    """(score_id, pos, bpm): tempos moved to the grid (the last one there counts), changes and the one at 0 only, up to the end of the score."""
+    at = (F.floor(F.greatest(F.lit(0), F.col("pos")) / GRID + 0.5) * GRID).cast("long")
+    moved = tempo_map.groupBy("score_id", at.alias("at")).agg(F.max_by("bpm", "pos").alias("bpm"))
+    zero = moved.groupBy("score_id").agg(F.min("at").alias("first")).where("first > 0").select("score_id", F.lit(0).cast("long").alias("at"), F.lit(120).alias("bpm"))
+    every = moved.unionByName(zero).withColumn("last", F.lag("bpm").over(Window.partitionBy("score_id").orderBy("at")))
+    return every.where((F.col("at") == 0) | (F.col("last") != F.col("bpm"))).join(ends, "score_id").where("at <= fin").select("score_id", F.col("at").alias("pos"), "bpm")
+
+
+def render_voice_grid(voices: DataFrame, tempo_map: DataFrame | None = None) -> DataFrame:
+    """(score_id, part, part_text) of voices (notes in units) on the 1/64 grid: rests, V and O changes from V8 and O4, tied lengths.
+
+    With a tempo map (score_id, pos, bpm) part 0 carries the tempos: notes are cut there and tied, and
+    rests lead on to the end of the score where tempos follow its last note.
+    """
+    spans = fill_rests(voices)
+    order = Window.partitionBy("score_id", "part").orderBy("start")
+    octave = (F.floor(F.col("midi") / 12) - 1).cast("int")
+    change = lambda letter, value, initial: F.when(value != F.lag(value, 1, initial).over(order), F.concat(F.lit(letter), value)).otherwise("")
+    marks = spans.where("type = 'note'").select("score_id", "part", "start", F.concat(change("V", F.col("volume"), 8), change("O", octave, 4)).alias("s"), F.lit(1).alias("rank"))
+    pieces = spans.withColumn("tied", F.lit(False))
+    extra = marks
+    if tempo_map is not None:
+        reach = spans.groupBy("score_id").agg(F.max(F.col("start") + F.col("duration")).alias("fin"), F.coalesce(F.max(F.when(F.col("part") == 0, F.col("start") + F.col("duration"))), F.lit(0)).cast("long").alias("lead_end"))
+        tempos = grid_tempos(tempo_map, reach)
+        late = tempos.groupBy("score_id").agg(F.max("pos").alias("last_tempo")).join(reach, "score_id").where("last_tempo > lead_end")
+        tail = late.select("score_id", F.lit(0).alias("part"), F.lit("rest").alias("type"), F.col("lead_end").alias("start"), (F.col("fin") - F.col("lead_end")).alias("duration"), F.lit(None).cast("int").alias("midi"), F.lit(None).cast("int").alias("volume"))
+        lead = spans.where("part = 0").unionByName(tail).withColumn("idx", F.row_number().over(order).cast("long"))
+        of_span = Window.partitionBy("score_id", "part", "idx").orderBy("piece")
+        cut = split_notes_at_tempo(lead, tempos).withColumn("tied", (F.col("type") == "note") & F.lead("piece").over(of_span).isNotNull())
+        pieces = spans.where("part <> 0").withColumn("tied", F.lit(False)).unionByName(cut.select("score_id", "part", "type", "start", "duration", "midi", "volume", "tied"))
+        extra = marks.unionByName(tempos.select("score_id", F.lit(0).alias("part"), F.col("pos").alias("start"), F.concat(F.lit("T"), "bpm").alias("s"), F.lit(0).alias("rank")))
+    sounds = grid_duration_tokens(pieces).select("score_id", "part", "start", F.concat("text", F.when(F.col("tied"), "&").otherwise("")).alias("s"), F.lit(2).alias("rank"))
+    joined = sounds.unionByName(extra).groupBy("score_id", "part").agg(F.array_sort(F.collect_list(F.struct("start", "rank", "s"))).alias("e"))
     return joined.select("score_id", "part", F.array_join(F.transform("e", lambda x: x["s"]), "").alias("part_text"))

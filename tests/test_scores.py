@@ -206,3 +206,28 @@ def test_windows_and_channel_names(spark):
     assert {x["k"]: x["w"] for x in playback.window_batch(notes, windows, ["k"]).collect()} == {"a": 0, "b": 0}
     lines = spark.createDataFrame([(1, "[Channel1]\n// init\n// #x\n// using_extension\n// initial theme\n// later")], "score_id int, text string")
     assert imports.section_channel_name(imports.section_blocks(lines)).first()["name"] == "initial theme"
+
+
+def test_silences_and_boundaries_by_page_length(spark):
+    notes = [(1, 0, "note", 0, 16, 60, 8), (1, 0, "note", 64, 16, 60, 8), (1, 1, "note", 160, 16, 60, 8), (1, 0, "note", 192, 16, 60, 8)]
+    df = spark.createDataFrame(notes, "score_id bigint, part int, type string, start bigint, duration bigint, midi int, volume int")
+    ranges = spark.createDataFrame([(1, 0, 300)], "score_id bigint, lo bigint, hi bigint")
+    silences = intervals.common_silence(df, ranges)
+    pages = intervals.page_lengths(df, ranges, silences.select("score_id", F.col("start").alias("pos")))
+    assert {r["pos"]: r["hundredths"] for r in pages.collect()} == {16: 1135, 80: 1510, 176: 1510, 208: 1885}
+    best = lambda most: intervals.longest_silence(silences, 16, pages, most).first()
+    assert (best(2400)["start"], best(2400)["end"]) == (208, 300)  # the longest page
+    assert (best(16)["start"], best(16)["end"]) == (80, 160)  # of two pages of 15.1 the longer silence
+    assert best(11) is None
+    points = spark.createDataFrame([(1, 16, 6), (1, 80, 6), (1, 170, 5), (1, 176, 6)], "score_id bigint, pos bigint, safe bigint")
+    ends = intervals.page_lengths(df, ranges, points)
+    assert intervals.boundary_rank(points, ends, 2400).first()["pos"] == 176 and intervals.boundary_rank(points, ends, 12).first()["pos"] == 16
+
+
+def test_voice_grid_with_tempos(spark):
+    notes = [(1, 0, 0, 512, 60, 8), (1, 0, 768, 256, 72, 5), (1, 1, 0, 2048, 48, 8)]
+    df = spark.createDataFrame(notes, "score_id bigint, part int, start bigint, duration bigint, midi int, volume int")
+    tempos = spark.createDataFrame([(1, 0, 100), (1, 250, 130), (1, 640, 90), (1, 1200, 77), (1, 9000, 66)], "score_id bigint, pos bigint, bpm int")
+    got = {r["part"]: r["part_text"] for r in render.render_voice_grid(df, tempos).collect()}
+    assert got == {0: "T100c4&T130c4r8T90r8V5O5c4r8r32.T77r2.r16r64", 1: "O3c1&c1"}
+    assert {r["part"]: r["part_text"] for r in render.render_voice_grid(df).collect()} == {0: "c2r4V5O5c4", 1: "O3c1&c1"}
