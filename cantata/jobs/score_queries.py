@@ -319,7 +319,7 @@ z(u, l, kind, steps, chars, words) AS (SELECT 0, l, kind, 0, 0, CAST([] AS VARCH
 sh AS (SELECT u, l, kind, min(chars) AS chars, arg_min(words, {'c': chars, 'w': words}) AS words FROM z WHERE u > 0 GROUP BY u, l, kind),
 du AS (SELECT DISTINCT CAST(duration AS BIGINT) AS units, greatest(duration // 1024 - 1, 0) AS spare FROM part_events WHERE duration > 0),
 tb AS (SELECT units, l AS "L", kind, array_to_string(list_concat([CASE WHEN l = 1 THEN '' ELSE '1' END FOR i IN range(0, spare)], words), '|') AS text,
-  CAST(chars + spare * (CASE WHEN l = 1 THEN 0 ELSE 1 END + CASE WHEN kind = 'note' THEN 2 ELSE 1 END) AS BIGINT) AS n_chars FROM du JOIN sh ON sh.u = du.units - 1024 * spare)"""
+  CAST(chars + spare * (CASE WHEN l = 1 THEN 0 ELSE 1 END + CASE WHEN kind = 'note' THEN 2 ELSE 1 END) AS INT) AS n_chars FROM du JOIN sh ON sh.u = du.units - 1024 * spare)"""
 CHOSEN = WORDS + """, cs AS (SELECT score_id, part, "L", sum(n_chars) + 1 + length(CAST("L" AS VARCHAR)) AS c FROM part_events e JOIN tb ON e.duration = tb.units AND e.type = tb.kind GROUP BY score_id, part, "L"),
 dl AS (SELECT score_id, part, arg_min("L", {'c': c, 'l': "L"}) AS "L" FROM cs GROUP BY score_id, part)"""
 register("shortest_duration_table", table, f"WITH {WORDS} SELECT * FROM tb")
