@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cantata.llm import decontaminate, exact_dedup, licenses, mixing, pii, quality_crf, simhash, suffix_array, suffix_automata, url_templates
+from cantata.llm import decontaminate, exact_dedup, hard_negatives, licenses, mixing, pii, quality_crf, simhash, suffix_array, suffix_automata, url_templates, vector_codes
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -57,6 +57,14 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(pii.listed(F.filter("found", lambda x: x["base"])), 256).alias("base_sha256"), pii.listed(F.col("found")).alias("spans"), F.size("found").cast("long").alias("n_spans"))
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.code_table(_read(spark, sf_dir, "embeddings"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negatives(_read(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
@@ -118,5 +126,42 @@ SELECT doc_id, domain, lang, source, n AS n_tokens, whole + CASE WHEN upto <= pa
 """
 
 
+#: Whole vectors of finite components, scaled.
+KEPT = """kept AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)"""
+
+
+def _lloyd_sql(n: int) -> str:
+    """Round n of op12: the nearest entry of each part in codebook c{n}, as a{n}; the codebook after it, as c{n + 1}."""
+    return f"""d{n} AS (SELECT p.vec_id, p.part, c.entry, list_sum([(p.v[j] - c.v[j]) * (p.v[j] - c.v[j]) FOR j IN range(1, len(p.v) + 1)]) AS dist FROM parts_ p JOIN c{n} c ON p.part = c.part),
+a{n} AS (SELECT vec_id, part, arg_min(entry, {{'d': dist, 'e': entry}}) AS entry, CAST(min(dist) AS BIGINT) AS dist FROM d{n} GROUP BY vec_id, part),
+s{n} AS (SELECT a.part, entry, j, CAST(floor(sum(p.v[j]) / count(*)) AS BIGINT) AS x FROM a{n} a JOIN parts_ p ON a.vec_id = p.vec_id AND a.part = p.part, (SELECT unnest(range(1, 5)) AS j) u GROUP BY a.part, entry, j),
+m{n} AS (SELECT part, entry, list(x ORDER BY j) AS v FROM s{n} GROUP BY part, entry),
+c{n + 1} AS (SELECT c.part, c.entry, coalesce(m.v, c.v) AS v FROM c{n} c LEFT JOIN m{n} m ON c.part = m.part AND c.entry = m.entry)"""
+
+
+OP12_SQL = f"""
+WITH {KEPT},
+parts_ AS (SELECT vec_id, part, v[part * 4 + 1:part * 4 + 4] AS v FROM kept, (SELECT unnest(range(0, 16)) AS part) u),
+c0 AS (SELECT part, entry, p.v FROM parts_ p JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM kept) f ON p.vec_id = f.vec_id WHERE entry < 64),
+{_lloyd_sql(0)},
+{_lloyd_sql(1)},
+{_lloyd_sql(2)},
+coded AS (SELECT vec_id, string_agg(lpad(lower(to_hex(entry)), 2, '0'), '' ORDER BY part) AS code, CAST(sum(dist) AS BIGINT) AS error FROM a2 GROUP BY vec_id),
+books AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM c2)
+SELECT k.vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM kept k JOIN coded c ON k.vec_id = c.vec_id, books
+"""
+
+OP13_SQL = f"""
+WITH {KEPT},
+r AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, v FROM kept WHERE label IS NOT NULL AND vec_id IS NOT NULL),
+scored AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same_, CAST(list_sum([a.v[j] * b.v[j] FOR j IN range(1, len(a.v) + 1)]) AS BIGINT) AS score FROM r a JOIN r b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+pos AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) AS rn FROM scored WHERE same_) x WHERE rn <= 5),
+neg AS (SELECT p.*, s.id AS negative_id, s.score AS negative_score, CAST(row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.id) AS INT) AS rank
+  FROM pos p JOIN scored s ON p.anchor_id = s.anchor_id AND NOT s.same_ AND 80 * p.positive_score <= 100 * s.score AND s.score <= p.positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM neg WHERE rank <= 5
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": OP1_SQL, "op2_decontamination": OP2_SQL, "op5_exact_dedup": OP5_SQL}
+    return {"op1_mixing": OP1_SQL, "op2_decontamination": OP2_SQL, "op5_exact_dedup": OP5_SQL, "op12_vector_codes": OP12_SQL, "op13_hard_negatives": OP13_SQL}
