@@ -70,9 +70,9 @@ def _partial(exact: bool):
     return run
 
 
-def _tiles(anchors: DataFrame, rows: DataFrame, reach: DataFrame, exact: bool) -> DataFrame:
-    """Partial tiles of every block of anchors with every block of rows of its group; reach: grp, blocks (of rows)."""
-    a = anchors.join(reach, "grp").select("grp", F.col("block").alias("a"), "chunk", *[F.col(c).alias(f"a_{c}") for c in ("n", "no", "id", "label", "m")], F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("b"))
+def _tiles(anchors: DataFrame, rows: DataFrame, exact: bool) -> DataFrame:
+    """Partial tiles of every block of anchors with every block of rows of its group; anchors: with blocks, their group's number of blocks of rows."""
+    a = anchors.select("grp", F.col("block").alias("a"), "chunk", *[F.col(c).alias(f"a_{c}") for c in ("n", "no", "id", "label", "m")], F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("b"))
     b = rows.select("grp", F.col("block").alias("b"), "chunk", *[F.col(c).alias(f"b_{c}") for c in ("n", "no", "id", "label", "m")])
     met = a.join(b, ["grp", "b", "chunk"]).select("grp", "a", "b", *[f"{x}_{c}" for x in "ab" for c in ("n", "no", "id", "label", "m")])
     return met.mapInArrow(_partial(exact), PARTIAL)
@@ -164,7 +164,7 @@ def mine(rows: DataFrame, anchor: Column, k_positive: int = 5, k_negative: int =
         a = staged(_packed(anchors.join(sized, anchors["label"] == sized["l"]).select(*columns, group, spread(F.col("a_blocks"))), d, chunk))
         b = staged(_packed(known.join(sized, known["label"] == sized["l"]).select(*columns, group, spread(F.col("blocks"))), d, chunk))
     with arrow_records(spark, TILE_RECORDS):
-        tiles = _tiles(a, b, sized.select(F.col("l").cast("string").alias("grp"), "blocks"), exact)
+        tiles = _tiles(a.join(sized.select(F.col("l").cast("string").alias("grp"), "blocks"), "grp"), b, exact)
         near = tiles.groupBy("grp", "a", "b").applyInPandas(lambda df: positives_of_tile(df, k_positive), "no bigint, anchor_id bigint, positive_id bigint, score bigint")
         positives = staged(_first(near, ["no"], [F.desc("score"), F.col("positive_id")], k_positive).withColumnRenamed("rank", "p"))
     discard(a)
@@ -176,13 +176,12 @@ def mine(rows: DataFrame, anchor: Column, k_positive: int = 5, k_negative: int =
     with arrow_records(spark, BATCH_ROWS):
         a = staged(_packed(anchors.join(asked, "no", "left_semi").select(*columns, one, spread(F.lit(a_blocks))), d, chunk))
         b = staged(_packed(known.select(*columns, one, spread(F.lit(blocks))), d, chunk))
-    reach = spark.range(1).select(one, F.lit(blocks).alias("blocks"))
     wanted = positives.select(F.pmod(F.xxhash64("no"), F.lit(a_blocks)).cast("int").alias("a"), "no", "p", "score")
     wanted = wanted.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     found = []
     with arrow_records(spark, TILE_RECORDS):
         for w in range(waves):
-            tiles = _tiles(a.where(F.pmod(F.col("block"), F.lit(waves)) == w), b, reach, exact)
+            tiles = _tiles(a.where(F.pmod(F.col("block"), F.lit(waves)) == w).withColumn("blocks", F.lit(blocks)), b, exact)
             of_wave = wanted.where(F.pmod(F.col("a"), F.lit(waves)) == w)
             cut = tiles.groupBy("a", "b").cogroup(of_wave.groupBy("a", "b")).applyInPandas(lambda df, want: negatives_of_tile(df, want, k_negative, low, high), "no bigint, p int, negative_id bigint, score bigint")
             found.append(staged(_first(cut, ["no", "p"], [F.desc("score"), F.col("negative_id")], k_negative)))

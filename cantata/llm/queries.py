@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cantata.llm import decontaminate, exact_dedup, hard_negatives, licenses, mixing, pii, quality_crf, simhash, suffix_array, suffix_automata, url_templates, vector_codes
+from cantata.llm import decontaminate, exact_dedup, hard_negatives, licenses, mixing, pii, quality_crf, simhash, site_style, suffix_array, suffix_automata, url_templates, vector_codes
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -57,6 +57,10 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(pii.listed(F.filter("found", lambda x: x["base"])), 256).alias("base_sha256"), pii.listed(F.col("found")).alias("spans"), F.size("found").cast("long").alias("n_spans"))
 
 
+def op11_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_style.extract(_read(spark, sf_dir, "pages"))
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.code_table(_read(spark, sf_dir, "embeddings"))
 
