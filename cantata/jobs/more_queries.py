@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cantata.functions import music
 from cantata.jobs.fixtures import oracle, view
 from cantata.jobs.score_queries import CHOICES, STEPS, choices, grid
-from cantata.operators import imports, messages, playback, voices
+from cantata.operators import imports, messages, pages, playback, voices
 from cantata.streaming import events as streams
 
 QUERIES: dict = {}
@@ -105,7 +105,30 @@ register("placement_scores", lambda v: voices.placement_scores(chosen_grid(v), c
   SELECT score_id, note_key, ci, role_fit, role_pitch, CAST(row_number() OVER (PARTITION BY score_id, note_key ORDER BY role_fit DESC, role_pitch DESC, ci) AS INT) AS rank FROM pl""".replace("\\\\p", "\\p"))
 register("assign_voices", lambda v: voices.assign_voices(chosen_grid(v), channels(v)))
 register("conversion_summary", lambda v: voices.conversion_summary(grid(v), messages.merge_duplicates(grid(v)), voices.assign_voices(chosen_grid(v), channels(v))))
-register("split_pages", lambda v: voices.split_pages(v("part_events")))
+#: Pages of 200 characters, the least that a page may be limited to: each step of the recursion cuts the next page of every score.
+PAGES = """nt AS (SELECT score_id, part, start, start + duration AS fin FROM part_events WHERE type = 'note' AND duration > 0),
+tot AS (SELECT score_id, max(fin) AS total, count(DISTINCT part) AS n_parts FROM nt GROUP BY score_id),
+pts AS (SELECT x.score_id, pos, any_value(n_parts) - count(DISTINCT n.part) AS safe, count(n.part) = 0 AS clean
+  FROM (SELECT score_id, start AS pos FROM nt UNION SELECT score_id, fin FROM nt) x JOIN tot ON tot.score_id = x.score_id LEFT JOIN nt n ON n.score_id = x.score_id AND n.start < pos AND n.fin > pos GROUP BY x.score_id, pos),
+sil AS (SELECT score_id, reach AS a, start AS b FROM (SELECT score_id, start, max(fin) OVER (PARTITION BY score_id ORDER BY start, fin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM nt) g WHERE start > reach),
+pg(score_id, page, at_, fin, nxt, reason) AS (SELECT score_id, -1, CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), '' FROM tot
+UNION ALL (
+WITH cur AS (SELECT pg.score_id, pg.page + 1 AS page, pg.nxt AS at_, total FROM pg JOIN tot ON tot.score_id = pg.score_id WHERE nxt < total AND page < {most_pages}),
+n AS (SELECT c.score_id, c.at_, part, start, CASE WHEN start > coalesce(max(fin) OVER (PARTITION BY c.score_id, part ORDER BY start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), at_) THEN 1 ELSE 0 END AS gap FROM cur c JOIN nt ON nt.score_id = c.score_id AND nt.start >= at_),
+h AS (SELECT *, 1000 + 135 * count(*) OVER w + 240 * sum(gap) OVER w AS h FROM n WINDOW w AS (PARTITION BY score_id, part ORDER BY start ROWS UNBOUNDED PRECEDING)),
+u AS (SELECT p.score_id, pos, 0 AS o, 0 AS h, safe, clean FROM pts p JOIN cur c ON c.score_id = p.score_id AND pos > at_ UNION ALL SELECT score_id, start, 1, h, NULL, NULL FROM h),
+m AS (SELECT score_id, pos, safe, clean, h_ FROM (SELECT *, max(h) OVER (PARTITION BY score_id ORDER BY pos, o ROWS UNBOUNDED PRECEDING) AS h_ FROM u) x WHERE o = 0),
+b AS (SELECT score_id, max(h_) AS whole, coalesce(max(pos) FILTER (WHERE h_ <= {most}), min(pos)) AS best FROM m GROUP BY score_id),
+l AS (SELECT m.score_id, any_value(best) AS best, any_value(whole) AS whole, max(h_) FILTER (WHERE pos <= best) AS hb,
+  coalesce(min(pos) FILTER (WHERE h_ >= {floor} AND pos <= best), min(pos)) AS low FROM m JOIN b ON b.score_id = m.score_id GROUP BY m.score_id),
+s AS (SELECT sil.score_id, arg_max({{'e': sil.a, 'n': sil.b, 'long': sil.b - sil.a >= 512}}, {{'l': sil.b - sil.a >= 512, 'h': m.h_, 'd': sil.b - sil.a, 'a': sil.a}}) AS q
+  FROM sil JOIN l ON l.score_id = sil.score_id AND sil.a BETWEEN low AND best JOIN m ON m.score_id = sil.score_id AND m.pos = sil.a WHERE m.h_ <= {most} GROUP BY sil.score_id),
+z AS (SELECT m.score_id, max(pos) FILTER (WHERE clean) AS cut, max(safe) AS safe FROM m JOIN l ON l.score_id = m.score_id AND pos BETWEEN low AND best GROUP BY m.score_id)
+SELECT c.score_id, c.page, c.at_, CASE WHEN c.page = {most_pages} OR whole <= {most} THEN total WHEN q IS NOT NULL THEN q.e ELSE coalesce(cut, best) END,
+  CASE WHEN c.page = {most_pages} OR whole <= {most} THEN total WHEN q IS NOT NULL THEN q.n ELSE coalesce(cut, best) END,
+  CASE WHEN c.page = {most_pages} THEN 'truncated' WHEN whole <= {most} THEN 'last' WHEN q.long THEN 'common-silence' WHEN q IS NOT NULL THEN 'longest-silence' WHEN cut IS NOT NULL THEN 'clean-boundary' WHEN hb <= {most} OR safe > 0 THEN 'partial-boundary' ELSE 'char-limit' END
+FROM cur c JOIN l ON l.score_id = c.score_id JOIN z ON z.score_id = c.score_id LEFT JOIN s ON s.score_id = c.score_id))"""
+register("split_pages", lambda v: pages.split_pages(v("part_events"), 200), "WITH " + PAGES.format(most=20000, floor=10000, most_pages=120) + ' SELECT score_id, page, at_ AS start, fin AS "end", nxt AS next_start, reason FROM pg WHERE page >= 0')
 
 
 def zones(v) -> DataFrame:

@@ -145,87 +145,3 @@ def conversion_summary(notes: DataFrame, merged: DataFrame, voices: DataFrame) -
     is_ = lambda s: F.count_if(F.col("status") == s)
     placed = voices.groupBy("score_id").agg(is_("placed").alias("placed"), is_("merged").alias("merged"), is_("skipped").alias("skipped"), (is_("placed") + is_("merged")).alias("output"))
     return counts.join(folded, "score_id", "left").join(placed, "score_id", "left").fillna(0)
-
-
-def split_pages(events: DataFrame, max_chars: int = 2400, slack: int | None = None, min_silence: int = 512, max_pages: int = 120) -> DataFrame:
-    """(score_id, page, start, end, next_start, reason) by greedy paging; a page's length is the estimate of page_length_estimate.
-
-    What is left after max_pages is one more page, with the reason truncated.
-    In order: all that is left; a common silence of min_silence in the second half of the page; the longest
-    silence; a boundary safe for all parts; one safe for some; the character limit; 256 units.
-    """
-    slack = max_chars // 2 if slack is None else slack
-
-    def walk(df: pd.DataFrame) -> pd.DataFrame:
-        notes = df[df["type"] == "note"].sort_values(["start", "part"])
-        score = df["score_id"].iloc[0]
-        if notes.empty:
-            return pd.DataFrame([(score, 0, 0, 0, 0, "empty")], columns=["score_id", "page", "start", "end", "next_start", "reason"])
-        s, e = notes["start"].to_numpy(), (notes["start"] + notes["duration"]).to_numpy()
-        part = notes["part"].to_numpy()
-        total = int(e.max())
-        reach = np.maximum.accumulate(e)
-        gap_from = np.concatenate(([0], reach[:-1]))
-        silent = [(int(a), int(b)) for a, b in zip(gap_from, s, strict=True) if b > a]
-        points = np.unique(np.concatenate((s, e, [total])))
-        parts = [(s[part == p], e[part == p]) for p in np.unique(part)]
-
-        def measure(a: int, b: int) -> float:
-            most = 0.0
-            for ps, pe in parts:
-                at = (ps >= a) & (ps < b) & (pe > a)
-                if at.any():
-                    ends = np.maximum.accumulate(np.minimum(pe[at], b) - a)
-                    gaps = ((ps[at] - a) > np.concatenate(([0], ends[:-1]))).sum()
-                    most = max(most, 10 + at.sum() * 1.35 + gaps * 2.4)
-            return most
-
-        def safe(x: int) -> int:
-            return sum(not ((ps < x) & (pe > x)).any() for ps, pe in parts)
-
-        rows, at = [], 0
-        while at < total and len(rows) < max_pages:
-            if measure(at, total) <= max_chars:
-                rows.append((score, len(rows), at, total, total, "last"))
-                break
-            later = points[points > at]
-            lo, hi = 0, len(later) - 1  # the measure grows with the end
-            while lo < hi:
-                mid = (lo + hi + 1) // 2
-                lo, hi = (mid, hi) if measure(at, int(later[mid])) <= max_chars else (lo, mid - 1)
-            best, floor = int(later[lo]), max_chars - slack
-            fits, low = measure(at, best) <= max_chars, 0
-            if measure(at, best) >= floor:
-                a, b = 0, lo
-                while a < b:
-                    mid = (a + b) // 2
-                    a, b = (a, mid) if measure(at, int(later[mid])) >= floor else (mid + 1, b)
-                low = a
-            search = [int(x) for x in later[low : lo + 1]]
-            sized = [(measure(at, a), b - a, a, b) for a, b in silent if search[0] <= a <= best and a > at]
-            quiet = [q for q in sized if q[0] <= max_chars]
-            long = [q for q in quiet if q[1] >= min_silence]
-            clean = [x for x in search if safe(x) == len(parts)]
-            some = max(((safe(x), x) for x in search), default=(0, best))
-            if long or quiet:
-                _, _, end, nxt = max(long or quiet)  # the fullest page, then the longest silence, then the latest
-                reason = "common-silence" if long else "longest-silence"
-            elif clean:
-                end = nxt = best if best in clean else clean[-1]
-                reason = "clean-boundary"
-            elif fits:
-                end, nxt, reason = best, best, "partial-boundary"
-            elif some[0] > 0:
-                end, nxt, reason = some[1], some[1], "partial-boundary"
-            else:
-                end, nxt, reason = best, best, "char-limit"
-            if nxt <= at:
-                end, nxt, reason = at + 256, at + 256, "forced"
-            rows.append((score, len(rows), at, end, nxt, reason))
-            at = nxt
-        if at < total and rows[-1][-1] != "last":
-            rows.append((score, len(rows), at, total, total, "truncated"))
-        return pd.DataFrame(rows, columns=["score_id", "page", "start", "end", "next_start", "reason"])
-
-    needed = events.select("score_id", "part", "type", "start", "duration")
-    return needed.groupBy("score_id").applyInPandas(walk, "score_id bigint, page int, start bigint, end bigint, next_start bigint, reason string")

@@ -7,7 +7,7 @@ import random
 from pyspark.sql import functions as F
 
 from cantata.functions import music
-from cantata.operators import edits, events, imports, intervals, messages, playback, render, stats, tempo, text, voices
+from cantata.operators import edits, events, imports, intervals, messages, pages, playback, render, stats, tempo, text, voices
 
 SAMPLE = "MML@T120V12O5L8ccggaag4ffeeddc4,O4L4cgrcgrc,O3L2cgcg;"
 
@@ -103,9 +103,9 @@ def test_voices_never_overlap(spark):
 def test_pages_cover_the_score(spark):
     rows = [(1, p, i, "note", i * 128, 64, 60, 8) for p in range(2) for i in range(400)]
     df = spark.createDataFrame(rows, EVENTS)
-    pages = sorted(voices.split_pages(df, 300).collect(), key=lambda r: r["page"])
-    assert pages[-1]["reason"] == "last" and len(pages) > 2
-    assert all(a["next_start"] == b["start"] and a["end"] <= a["next_start"] for a, b in zip(pages, pages[1:], strict=False))
+    cut = sorted(pages.split_pages(df, 300).collect(), key=lambda r: r["page"])
+    assert cut[-1]["reason"] == "last" and len(cut) > 2
+    assert all(a["next_start"] == b["start"] and a["end"] <= a["next_start"] for a, b in zip(cut, cut[1:], strict=False))
 
 
 def test_silence(spark):
@@ -196,8 +196,8 @@ def test_rests_end_at_tempo_changes(spark):
 
 def test_pages_beyond_the_limit_are_told(spark):
     df = spark.createDataFrame([(1, 0, "note", i * 64, 60) for i in range(400)], "score_id int, part int, type string, start bigint, duration bigint")
-    pages = sorted(voices.split_pages(df, 200, max_pages=2).collect(), key=lambda r: r["page"])
-    assert [p["reason"] for p in pages][-1] == "truncated" and len(pages) == 3 and pages[-1]["end"] == 399 * 64 + 60
+    cut = sorted(pages.split_pages(df, 200, max_pages=2).collect(), key=lambda r: r["page"])
+    assert [p["reason"] for p in cut][-1] == "truncated" and len(cut) == 3 and cut[-1]["end"] == 399 * 64 + 60
 
 
 def test_windows_and_channel_names(spark):
@@ -213,9 +213,9 @@ def test_silences_and_boundaries_by_page_length(spark):
     df = spark.createDataFrame(notes, "score_id bigint, part int, type string, start bigint, duration bigint, midi int, volume int")
     ranges = spark.createDataFrame([(1, 0, 300)], "score_id bigint, lo bigint, hi bigint")
     silences = intervals.common_silence(df, ranges)
-    pages = intervals.page_lengths(df, ranges, silences.select("score_id", F.col("start").alias("pos")))
-    assert {r["pos"]: r["hundredths"] for r in pages.collect()} == {16: 1135, 80: 1510, 176: 1510, 208: 1885}
-    best = lambda most: intervals.longest_silence(silences, 16, pages, most).first()
+    sizes = intervals.page_lengths(df, ranges, silences.select("score_id", F.col("start").alias("pos")))
+    assert {r["pos"]: r["hundredths"] for r in sizes.collect()} == {16: 1135, 80: 1510, 176: 1510, 208: 1885}
+    best = lambda most: intervals.longest_silence(silences, 16, sizes, most).first()
     assert (best(2400)["start"], best(2400)["end"]) == (208, 300)  # the longest page
     assert (best(16)["start"], best(16)["end"]) == (80, 160)  # of two pages of 15.1 the longer silence
     assert best(11) is None
