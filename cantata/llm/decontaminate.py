@@ -84,7 +84,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         .join(candidates.hint("merge"), same(F.col("doc_id"), F.col("c_doc")) & (F.col("tag") == F.col("c_tag")))
         .select("doc_id", "tag", plain_words(F.col("text")).alias("words"), "c")
         # words is named twice, so the optimiser leaves it a column; in the lambda alone it would be found again for each candidate
-        .select("doc_id", "tag", F.size("words").alias("n"), F.expr("array_sort(filter(c, x -> array_join(slice(words, x.start + 1, x.len), ' ') = x.wtext))").alias("c"))
+        .select("doc_id", "tag", F.size("words").alias("n"), F.expr("array_sort(filter(c, x -> array_join(transform(sequence(x.start, x.start + x.len - 1), i -> get(words, i)), ' ') = x.wtext))").alias("c"))
         .dropDuplicates(["doc_id", "tag"])
     )
     found = staged(

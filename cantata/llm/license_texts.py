@@ -1,4 +1,9 @@
-"""Texts of common licences and the notices that files carry, by SPDX name. Fixed values, without copyright lines."""
+"""Texts of common licences and the notices that files carry, by SPDX name. Fixed values, without copyright lines.
+
+The long texts are the public ones of their publishers, as files beside this module.
+"""
+
+from pathlib import Path
 
 _AS_IS = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.'
 _BSD_CONDITIONS = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
@@ -44,3 +49,4 @@ Permission is granted to anyone to use this software for any purpose, including
 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
 3. This notice may not be removed or altered from any source distribution.""",
 }
+TEXTS |= {path.stem: path.read_text(encoding="utf-8") for path in sorted((Path(__file__).parent / "texts").glob("*.txt"))}

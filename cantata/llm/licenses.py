@@ -11,8 +11,8 @@ Shingles of five words are hashed. A template is cut into pieces of at most PIEC
 
 Retrieved places are verified on words, without hashes: the share of the template's distinct
 shingles that stand in the text around the place must reach CONTAINMENT.
-Only DataFrame functions run. Templates are a list in code, so their table is small by
-construction and its size is checked again by the planner, which may broadcast it.
+Only DataFrame functions run. Templates are a list in code, so their table is small by construction; it
+is broadcast behind a check of its size.
 """
 
 from __future__ import annotations
@@ -37,6 +37,11 @@ NOTICES = {
 TEMPLATES = NOTICES | TEXTS
 SHINGLE, CONTAINMENT = 5, 0.8
 LONG, PIECE, WINDOW, STRIDE, BANDS = 6, 9, 12, 4, 8
+#: Templates of more pieces than FEW_PIECES are looked for where a share of ALIGNED of them begin within BUCKET words of where they should.
+#: Containment 0.8 leaves a quarter of the pieces whole, in at most four neighbouring buckets.
+FEW_PIECES, ALIGNED, BUCKET = 20, 0.05, 16
+#: Shingles of all templates up to which their bands are broadcast: one row of about 60 bytes each.
+MOST_SHINGLES = 200_000
 
 
 def template_table(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
@@ -48,26 +53,35 @@ def template_table(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, tag, license, start, containment): start is the first word of a match, by document and template.
 
-    Null and empty texts match nothing. Rows that repeat doc_id and text give their matches once.
-    Templates of under SHINGLE words are left out. Other columns are not read.
+    Null and empty texts match nothing. Rows that repeat doc_id and text give their matches once; of a
+    template that a text has several times, the first start and the best containment count, each by itself. Very long
+    texts are read whole, in time that follows their words and matches. Templates of under SHINGLE words are
+    left out. Other columns are not read; an empty table gives no rows.
     """
     spark = docs.sparkSession
     known = staged(template_table(spark, TEMPLATES if templates is None else templates))
     cut = F.expr(f"CASE WHEN t <= {PIECE} THEN array(0) ELSE array_distinct(transform(sequence(0, cast(ceil(t / {PIECE}) AS int) - 1), i -> least(i * {PIECE}, t - {PIECE}))) END")
-    pieces = known.withColumn("h", shingle_hashes("words", SHINGLE)).select("license", "t", "h", F.explode(cut).alias("offset")).select("license", "t", "offset", F.expr(f"array_sort(slice(h, offset + 1, {PIECE}))").alias("h"))
+    # Of the many pieces of a long template a share must stand at the same place: phrases of it that recur elsewhere are no match.
+    asked = F.when(F.size(cut) > FEW_PIECES, F.ceil(F.size(cut) * ALIGNED)).otherwise(1).cast("int").alias("asked")
+    pieces = known.withColumn("h", shingle_hashes("words", SHINGLE)).select("license", "t", asked, "h", F.explode(cut).alias("offset")).select("license", "t", "asked", "offset", F.expr(f"array_sort(slice(h, offset + 1, {PIECE}))").alias("h"))
     # A row for each band: its hash function is xxhash64(band, .), value the shingle that is least under it.
-    short = pieces.where(F.size("h") < LONG).select("license", "t", "offset", F.lit(0).alias("band"), F.lit(1).alias("span"), F.explode(F.expr(f"slice(array_distinct(h), 1, size(h) - cast(ceil({CONTAINMENT} * size(h)) AS int) + 1)")).alias("value"))
+    short = pieces.where(F.size("h") < LONG).select("license", "t", "asked", "offset", F.lit(0).alias("band"), F.lit(1).alias("span"), F.explode(F.expr(f"slice(array_distinct(h), 1, size(h) - cast(ceil({CONTAINMENT} * size(h)) AS int) + 1)")).alias("value"))
     seeds = F.array(*map(F.lit, range(1, BANDS + 1)))
-    long = pieces.where(F.size("h") >= LONG).select("license", "t", "offset", "h", F.explode(seeds).alias("band")).select("license", "t", "offset", "band", F.lit(WINDOW).alias("span"), F.expr("array_min(transform(h, x -> named_struct('k', xxhash64(band, x), 'v', x))).v").alias("value"))
+    long = pieces.where(F.size("h") >= LONG).select("license", "t", "asked", "offset", "h", F.explode(seeds).alias("band")).select("license", "t", "asked", "offset", "band", F.lit(WINDOW).alias("span"), F.expr("array_min(transform(h, x -> named_struct('k', xxhash64(band, x), 'v', x))).v").alias("value"))
     bands = staged(short.unionByName(long).distinct())
+    if known.agg(F.coalesce(F.sum("t"), F.lit(0))).first()[0] <= MOST_SHINGLES:  # else the planner decides by the table's size
+        bands = F.broadcast(bands)
 
     base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     # A window meets a template in a band only if it holds the template's least shingle of that band, so windows without one are never made.
     worded = base.select("doc_id", F.xxhash64("text").alias("tag"), plain_words(F.col("text")).alias("words"))
     met = worded.select("doc_id", "tag", F.posexplode(shingle_hashes("words", SHINGLE)).alias("place", "value")).join(bands, "value")
+    met = met.withColumn("bucket", F.floor((F.col("place") - F.col("offset")) / BUCKET).cast("int"))
+    lo = F.greatest(F.when(F.col("asked") > 1, F.col("bucket") * BUCKET).otherwise(F.col("place") - F.col("offset")) - WINDOW, F.lit(0)).alias("lo")
+    spot = met.groupBy("doc_id", "tag", "license", "bucket", "asked").agg(F.count_distinct("offset").alias("pieces"), F.collect_set(F.struct("license", "t", lo, "band", "span", "value", "place")).alias("c"))
     places = staged(
-        met.groupBy(F.col("doc_id").alias("c_doc"), F.col("tag").alias("c_tag"))
-        .agg(F.collect_set(F.struct("license", "t", "offset", "band", "span", "value", "place")).alias("c"))  # of one document; few shingles are a licence's
+        spot.where("pieces >= asked").groupBy(F.col("doc_id").alias("c_doc"), F.col("tag").alias("c_tag"))
+        .agg(F.flatten(F.collect_list("c")).alias("c"))  # of one document; few shingles are a licence's
     )
     texts = (
         base.withColumn("tag", F.xxhash64("text"))
@@ -76,22 +90,31 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str =
         .select("doc_id", "tag", "words", shingle_hashes("words", SHINGLE).alias("h"), "c")
     )
     # The windows of STRIDE that hold the shingle, and whether it is least in them under the band's permutation.
+    # Elements are taken one by one: inside a lambda slice() copies its whole array, which would be quadratic in a long text.
     begins = f"CASE WHEN x.span = 1 THEN array(x.place) ELSE filter(transform(sequence(0, {WINDOW // STRIDE - 1}), j -> cast(x.place div {STRIDE} * {STRIDE} - j * {STRIDE} AS int)), w -> w >= 0) END"
-    collide = f"exists({begins}, w -> x.span = 1 OR array_min(transform(slice(h, w + 1, x.span), y -> xxhash64(x.band, y))) = xxhash64(x.band, x.value))"
-    lo = f"greatest(x.place - x.offset - {WINDOW}, 0)"
-    near = (
-        texts.select("doc_id", "tag", F.explode(F.expr(f"array_distinct(transform(filter(c, x -> {collide}), x -> struct(x.license AS license, {lo} AS lo, slice(words, {lo} + 1, x.t + {3 * WINDOW}) AS around)))")).alias("r"))
-        .select("doc_id", "tag", "r.*")
-    )
-    spelled = lambda words: F.expr(f"transform(sequence(1, greatest(size({words}) - {SHINGLE - 1}, 1)), i -> array_join(slice({words}, i, {SHINGLE}), ' '))")
-    both = near.join(known, "license").select("doc_id", "tag", "license", "lo", F.array_distinct(spelled("words")).alias("of"), spelled("around").alias("there"))
-    both = both.select("doc_id", "tag", "license", "lo", "there", F.array_intersect("of", "there").alias("met"), F.size("of").alias("n_of"))
-    sure = both.select("doc_id", "tag", "license", (F.col("lo") + F.expr("array_position(transform(there, s -> array_contains(met, s)), true)") - 1).cast("int").alias("start"), F.round(F.size("met") / F.col("n_of"), 6).alias("containment")).where(F.col("containment") >= CONTAINMENT)
+    collide = f"exists({begins}, w -> x.span = 1 OR array_min(transform(sequence(w, least(w + x.span, size(h)) - 1), i -> xxhash64(x.band, get(h, i)))) = xxhash64(x.band, x.value))"
+    # Bands that name the same place of a template are one place: as strings, they are told apart by hashing.
+    spots = f"array_distinct(transform(filter(c, x -> {collide}), x -> concat_ws(' ', x.lo, x.t, x.license)))"
+    spot = f"transform({spots}, s -> named_struct('lo', int(substring_index(s, ' ', 1)), 't', int(split_part(s, ' ', 2)), 'license', regexp_replace(s, '^[0-9]+ [0-9]+ ', '')))"
+    around = f"transform(sequence(p.lo, least(p.lo + p.t + {3 * WINDOW + BUCKET}, size(words)) - 1), i -> get(words, i))"
+    near = texts.select("doc_id", "tag", F.explode(F.expr(f"transform({spot}, p -> named_struct('license', p.license, 'lo', p.lo, 'around', {around}))")).alias("r")).select("doc_id", "tag", "r.*")
+    gram = lambda words: ", ".join(f"get({words}, i + {j})" for j in range(SHINGLE))
+    spelled = lambda words: F.expr(f"transform(sequence(0, greatest(size({words}) - {SHINGLE}, 0)), i -> concat_ws(' ', {gram(words)}))")
+    whole = known.select(F.col("license").alias("k_license"), F.array_distinct(spelled("words")).alias("of"))
+    both = near.join(whole, F.col("license") == F.col("k_license")).select("doc_id", "tag", "license", "lo", "of", "around")
+    both = both.select("doc_id", "tag", "license", "lo", "of", spelled("around").alias("there")).select("doc_id", "tag", "license", "lo", "there", F.array_intersect("there", "of").alias("met"), F.size("of").alias("n_of"))
+    # The first of them, in the text's order, is where the match begins.
+    start = F.col("lo") + F.expr("array_position(there, get(met, 0))") - 1
+    sure = both.where(F.size("met") >= CONTAINMENT * F.col("n_of")).select("doc_id", "tag", "license", start.cast("int").alias("start"), F.round(F.size("met") / F.col("n_of"), 6).alias("containment"))
     return sure.groupBy("doc_id", "tag", "license").agg(F.min("start").alias("start"), F.max("containment").alias("containment"))
 
 
 def licenses_of(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, n_licenses, licenses (sorted, comma-joined), containment (the best, 0 if none)."""
+    """One row per row of docs: doc_id, n_licenses, licenses (sorted, comma-joined), containment (the best, 0 if none).
+
+    Nulls, empty and very long texts as in scan; rows that repeat have the same result each; licences of
+    equal containment are all listed. An empty table gives no rows.
+    """
     found = scan(docs, templates, id_col, text_col).groupBy(F.col("doc_id").alias("f_doc"), F.col("tag").alias("f_tag")).agg(F.array_sort(F.collect_set("license")).alias("l"), F.max("containment").alias("best"))
     base = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("tag"))
     return base.join(staged(found), same(F.col("doc_id"), F.col("f_doc")) & (F.col("tag") == F.col("f_tag")), "left").select("doc_id", F.coalesce(F.size("l"), F.lit(0)).cast("long").alias("n_licenses"), F.coalesce(F.array_join("l", ","), F.lit("")).alias("licenses"), F.coalesce("best", F.lit(0.0)).alias("containment"))

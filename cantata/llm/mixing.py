@@ -66,10 +66,13 @@ def _deal(children: DataFrame, parent: Sequence[str], child: str) -> DataFrame:
 def leaf_budgets(leaves: DataFrame, share: float = SHARE, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """(domain, lang, source, tokens, budget) of each leaf; leaves: domain, lang, source, w_domain, w_lang, w_source, tokens.
 
-    The table has a row per source and language, not per document.
+    The table has a row per source and language, not per document. What has a weight of zero or less, at any
+    level, has no budget: its siblings share.
     """
     thousandth = round(share * 1000)
-    caps = leaves.withColumn("cap", F.col("tokens") * max_epochs)
+    weights = [f"w_{level}" for level in LEVELS]
+    none = F.least(*weights) <= 0
+    caps = leaves.withColumn("cap", F.when(none, F.lit(0)).otherwise(F.col("tokens") * max_epochs)).withColumns({w: F.greatest(w, F.lit(1)) for w in weights})
     node = {n: caps.groupBy(*LEVELS[:n]).agg(F.sum("cap").alias("cap"), F.first(f"w_{LEVELS[n - 1]}").alias("w")) for n in (1, 2)}
     total = leaves.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("t")).first()["t"]
     top = _deal(node[1].withColumn("pot", F.lit(int(total) * thousandth // 1000)).withColumn("root", F.lit(0)), ["root"], "domain").select("domain", F.col("budget").alias("pot"))

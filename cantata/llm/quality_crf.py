@@ -24,6 +24,8 @@ TRAIN_DOCS, TRAIN_LINES = 3000, 200_000
 THRESHOLD = 0.7
 #: Texts are worked on in runs of about so many characters, so that memory does not follow the batch.
 CHUNK_CHARS = 1 << 19
+#: Arrays by byte are made for so many bytes at a time, also within a text, a line or a word.
+RUN_BYTES = 1 << 20
 
 UPPER, LOWER, DIGIT, SPACE, STOP, MARK, HIGH = range(7)
 _KIND = np.full(256, MARK, np.uint8)
@@ -34,40 +36,87 @@ OWN = 13
 N_FEATURES = 1 + 3 * OWN
 
 
-def line_features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Features by line, bytes by line, and lines by document, of whole texts; an empty text is one empty line."""
+class _Lines:
+    """Counts by line of a stream of bytes, taken in runs of any length: a word or a line may go on in the next run.
+
+    count: bytes by kind; words; seen: words that repeat the one before them, end in a mark, begin with two capitals.
+    """
+
+    def __init__(self, n: int) -> None:
+        self.count, self.words, self.seen, self.line = np.zeros((n, 7)), np.zeros(n), np.zeros((n, 3)), 0
+        self.word: tuple[int, int, list[int], int] | None = None  # open at the end of a run: name, length, first kinds, last kind
+        self.before: tuple[int, int] | None = None  # line and name of the last word
+
+    def add(self, data: np.ndarray) -> None:
+        kind = _KIND[data]
+        ends = data == 10
+        line = np.cumsum(ends) - ends  # from the run's first line on
+        n = int(line[-1]) + 1
+        self.count[self.line : self.line + n] += np.bincount(line * 7 + kind, minlength=7 * n).reshape(n, 7)
+        space = kind == SPACE
+        if self.word is not None and space[0]:
+            self._end_word()
+        begin = np.flatnonzero(~space & np.concatenate(([True], space[:-1])))
+        finish = np.flatnonzero(~space & np.concatenate((space[1:], [True])))
+        if len(begin):
+            going = self.word is not None and begin[0] == 0
+            shift = np.zeros(len(begin), np.int64)
+            if going:
+                shift[0] = self.word[1]
+            of = np.cumsum(np.bincount(begin, minlength=len(data))) - 1
+            at = np.arange(len(data)) - begin[np.maximum(of, 0)] + shift[np.maximum(of, 0)]
+            power = np.uint64(0x9E3779B97F4A7C15) * (2 * (at & 0xFFFF).astype(np.uint64) + np.uint64(1))
+            value = np.where(space, np.uint64(0), (data.astype(np.uint64) + np.uint64(7)) * power)
+            value ^= value >> np.uint64(29)
+            name = np.add.reduceat(value, begin)
+            size = finish - begin + 1 + shift
+            first = [kind[begin].tolist(), kind[np.minimum(begin + 1, finish)].tolist()]
+            heads = [[a, b] if z > 1 else [a] for a, b, z in zip(*first, (finish - begin + 1).tolist(), strict=True)] if going or finish[-1] == len(data) - 1 else None
+            shout = (kind[begin] == UPPER) & (finish > begin) & (kind[np.minimum(begin + 1, finish)] == UPPER)
+            if going:
+                name[0] = (int(name[0]) + self.word[0]) & (1 << 64) - 1
+                heads[0] = (self.word[2] + heads[0])[:2]
+                shout[0] = heads[0] == [UPPER, UPPER]
+            self.word = None
+            if finish[-1] == len(data) - 1:  # it may go on
+                self.word = int(name[-1]), int(size[-1]), heads[-1], int(kind[finish[-1]])
+                begin, finish, name, shout = begin[:-1], finish[:-1], name[:-1], shout[:-1]
+            self._close(line[begin] + self.line, name, kind[finish] == MARK, shout)
+        self.line += int(ends.sum())
+
+    def _end_word(self) -> None:
+        name, _, heads, last = self.word
+        self.word = None
+        self._close(np.array([self.line]), np.array([name], np.uint64), np.array([last == MARK]), np.array([heads == [UPPER, UPPER]]))
+
+    def _close(self, line: np.ndarray, name: np.ndarray, tail: np.ndarray, shout: np.ndarray) -> None:
+        if not len(line):
+            return
+        again = np.zeros(len(line), bool)
+        again[1:] = (name[1:] == name[:-1]) & (line[1:] == line[:-1])
+        again[0] = self.before == (int(line[0]), int(name[0]))
+        self.before = int(line[-1]), int(name[-1])
+        lo, hi = int(line[0]), int(line[-1]) + 1
+        self.words[lo:hi] += np.bincount(line - lo, minlength=hi - lo)
+        for j, what in enumerate((again, tail, shout)):
+            self.seen[lo:hi, j] += np.bincount(line - lo, what, hi - lo)
+
+
+def line_features(texts: list[str | None], run: int = RUN_BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features by line, bytes by line, and lines by document, of whole texts; an empty text is one empty line.
+
+    Arrays by byte are made for ``run`` bytes at a time; what stays are some figures for each line.
+    """
     raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
     data = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
-    ends = np.flatnonzero(data == 10)
-    starts = np.concatenate(([0], ends[:-1] + 1))
     per_doc = np.array([r.count(b"\n") + 1 for r in raw], np.int64)
-    size = (ends - starts).astype(np.int64)
-    n = len(starts)
-    kind = _KIND[data]
-    count = np.bincount(np.repeat(np.arange(n) * 7, size + 1) + kind, minlength=7 * n).reshape(n, 7).astype(float)
+    n = int(per_doc.sum())
+    found = _Lines(n)
+    for at in range(0, len(data), run):
+        found.add(data[at : at + run])
+    count, words, seen = found.count, found.words, found.seen
     count[:, SPACE] -= 1  # the line's own end
-    space = kind == SPACE
-    begin = np.flatnonzero(~space & np.concatenate(([True], space[:-1])))
-    line_of = np.searchsorted(ends, begin, side="left")
-    words = np.bincount(line_of, minlength=n).astype(float)
-    seen = np.zeros((n, 3))
-    if len(begin):
-        finish = np.flatnonzero(space & np.concatenate(([False], ~space[:-1])))
-        since = np.zeros(len(data), np.int64)
-        since[begin] = begin
-        at = np.arange(len(data)) - np.maximum.accumulate(since)
-        power = np.uint64(0x9E3779B97F4A7C15) * (2 * (at & 0xFFFF).astype(np.uint64) + np.uint64(1))
-        value = np.where(space, np.uint64(0), (data.astype(np.uint64) + np.uint64(7)) * power)
-        value ^= value >> np.uint64(29)
-        name = np.add.reduceat(value, begin)
-        again = np.zeros(len(begin))
-        again[1:] = (name[1:] == name[:-1]) & (line_of[1:] == line_of[:-1])
-        tail = kind[finish - 1] == MARK
-        shout = kind[begin] == UPPER
-        second = np.minimum(begin + 1, len(data) - 1)
-        shout = shout & (kind[second] == UPPER)
-        for j, what in enumerate((again, tail, shout)):
-            seen[:, j] = np.bincount(line_of, what, n)
+    size = count.sum(axis=1).astype(np.int64)
     length, most = np.maximum(size, 1), np.maximum(words, 1)
     letters = np.maximum(count[:, UPPER] + count[:, LOWER] + count[:, HIGH], 1)
     own = np.column_stack([
@@ -207,7 +256,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, tag, held_out, score, predicted. Null and empty texts are one empty line."""
+    """One row per row of docs: doc_id, tag, held_out, score, predicted.
+
+    Null and empty texts are one empty line; very long texts are read in runs of bytes, so that memory follows
+    their lines. Rows that repeat are scored each, alike; a score of exactly THRESHOLD is 1. An empty
+    table gives no rows; other columns are not read.
+    """
     python_batches(docs.sparkSession)
     w, trans = model
     kind = docs.schema[id_col].dataType.simpleString()
@@ -222,7 +276,11 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], id_col: str = "
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that score at least THRESHOLD, with all their columns, in one pass over the texts."""
+    """The rows of docs that score at least THRESHOLD, with all their columns, in one pass over the texts.
+
+    Null and empty texts are scored like others, as one empty line; rows that repeat stay or go together. No
+    name of a column clashes. Of an empty table no row stays.
+    """
     w, trans = train(docs, labels, id_col, text_col)
     at = docs.columns.index(text_col)
 

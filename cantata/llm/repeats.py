@@ -245,6 +245,12 @@ def _resolved(resolve: Resolve, shape: Shape, bucket_bytes: int) -> Callable:
     return solve
 
 
+def dealt(cut: DataFrame, shape: Shape) -> DataFrame:
+    """Segments in ranges of an order, and sorted; those of a large anchor may begin and end in any task."""
+    order = [F.expr(shape.leading).alias("leading"), F.when(F.col("large"), F.expr(shape.further)).alias("further")]
+    return cut.select("*", *order).repartitionByRange("leading", "further").sortWithinPartitions("leading", "key", "further", "content")
+
+
 def _across_boundaries(solved: DataFrame) -> DataFrame:
     """Answers (key, h, upto, least) for windows at the ends of buckets that another bucket has with a smaller doc_id."""
     windows = solved.where("edge IS NOT NULL").select("key", "h", F.posexplode(F.arrays_zip("edge", "w1", "w2")).alias("i", "w")).select("key", "h", "i", "w.edge", "w.w1", "w.w2")
@@ -277,10 +283,8 @@ def repeated_windows(docs: DataFrame, shape: Shape, resolve: Resolve, bucket_byt
     cut = tagged.join(owned, (F.col("doc_id") == F.col("o_doc")) & (F.col("tag") == F.col("o_tag"))).select("doc_id", "text", "wanted").mapInArrow(_segments_of(shape), _SEGMENT)
     cut = staged(cut)
     discard(owned)
-    order = [F.expr(shape.leading).alias("leading"), F.when(F.col("large"), F.expr(shape.further)).alias("further")]
-    dealt = cut.select("*", *order).repartitionByRange("leading", "further").sortWithinPartitions("leading", "key", "further", "content")
     with arrow_records(docs.sparkSession, 4096):  # segments are short
-        solved = staged(dealt.select("key", "h", "content", "least", "large").mapInArrow(_resolved(resolve, shape, bucket_bytes), _SOLVED))
+        solved = staged(dealt(cut, shape).select("key", "h", "content", "least", "large").mapInArrow(_resolved(resolve, shape, bucket_bytes), _SOLVED))
     discard(cut)
     answers = solved.select("key", "h", "upto", "least").unionByName(staged(_across_boundaries(solved))).unionByName(alone)
     told = places.select("key", "h", "doc_id", "tag", "first").join(answers, ["key", "h"])

@@ -21,8 +21,9 @@ from pyspark.sql import DataFrame
 from cantata.llm.common import python_batches
 from cantata.llm.repeats import BUCKET_BYTES, Shape, removed_tokens, with_runs
 
-#: Anchors of 16 bytes: fewer and longer segments than with longer anchors, and still rarely equal by chance.
-BYTES = Shape(window=50, gram=16, words=False, leading="substr(content, lead + 1, 16)", further="substr(content, lead + 17, 34)", segment_bytes=128)
+#: Anchors of 16 bytes: fewer and longer segments than with longer anchors, and still rarely equal by chance. Those of a large
+#: anchor are dealt by what follows it, then by what precedes it: at either edge of a notice only one of the two differs.
+BYTES = Shape(window=50, gram=16, words=False, leading="substr(content, lead + 1, 16)", further="concat(substr(content, lead + 17, 34), substr(content, 1, lead))", segment_bytes=128)
 
 
 def sort_suffixes(rows: np.ndarray) -> np.ndarray:
