@@ -103,8 +103,30 @@ register("placement_scores", lambda v: voices.placement_scores(chosen_grid(v), c
   pl AS (SELECT n.score_id, note_key, channel_index AS ci, CASE role WHEN 'beat' THEN 400 WHEN 'auto' THEN 170 WHEN 'high' THEN CASE WHEN midi >= 60 THEN 320 ELSE 30 END ELSE CASE WHEN midi < 60 THEN 320 ELSE 30 END END AS role_fit,
     CASE role WHEN 'beat' THEN {DRUMS} WHEN 'low' THEN -midi ELSE midi END AS role_pitch FROM gn n JOIN cf ON cf.score_id = n.score_id AND (role = 'beat') = is_beat AND (len(selected) = 0 OR list_contains(selected, choice_id)))
   SELECT score_id, note_key, ci, role_fit, role_pitch, CAST(row_number() OVER (PARTITION BY score_id, note_key ORDER BY role_fit DESC, role_pitch DESC, ci) AS INT) AS rank FROM pl""".replace("\\\\p", "\\p"))
-register("assign_voices", lambda v: voices.assign_voices(chosen_grid(v), channels(v)))
-register("conversion_summary", lambda v: voices.conversion_summary(grid(v), messages.merge_duplicates(grid(v)), voices.assign_voices(chosen_grid(v), channels(v))))
+#: The walk, one decision of every score a step: the best (note, channel) of an onset, or, if there is none, the next pass or onset. held: starts, ends, notes by channel.
+VOICES = f"""{CONFIG}, gn AS (SELECT *, concat(CASE WHEN is_beat THEN 'beat:' ELSE 'inst:' END, regexp_replace(lower(instrument_name), '[^\\p{{L}}\\p{{N}}+#(). _-]+', '', 'g')) AS choice_id FROM grid),
+nn AS (SELECT *, row_number() OVER (PARTITION BY score_id ORDER BY sg, midi DESC, velocity DESC, note_key) AS i, dense_rank() OVER (PARTITION BY score_id ORDER BY sg) AS o FROM gn),
+ft AS (SELECT n.score_id, o, i, channel_index AS c, overlap, velocity, dg, end_grid, CASE role WHEN 'beat' THEN 400 WHEN 'auto' THEN 170 WHEN 'high' THEN CASE WHEN midi >= 60 THEN 320 ELSE 30 END ELSE CASE WHEN midi < 60 THEN 320 ELSE 30 END END AS fit,
+  CASE role WHEN 'beat' THEN {DRUMS} WHEN 'low' THEN -midi ELSE midi END AS pitch FROM nn n JOIN cf ON cf.score_id = n.score_id AND (role = 'beat') = is_beat AND (len(selected) = 0 OR list_contains(selected, choice_id))),
+os AS (SELECT score_id, o, min(sg) AS at_, list(i) AS ids FROM nn GROUP BY score_id, o),
+vw(score_id, o, pass, at_, waiting, used, hs, he, hk, i, c, cut) AS (
+SELECT DISTINCT score_id, CAST(0 AS BIGINT), 3, CAST(0 AS BIGINT), CAST([] AS BIGINT[]), CAST([] AS INT[]), CAST([0, 0, 0, 0, 0, 0] AS BIGINT[]), CAST([0, 0, 0, 0, 0, 0] AS BIGINT[]), CAST([0, 0, 0, 0, 0, 0] AS BIGINT[]), CAST(NULL AS BIGINT), CAST(NULL AS INT), CAST(NULL AS BIGINT) FROM nn
+UNION ALL (
+WITH cur AS (SELECT vw.score_id, vw.o, pass, vw.at_, waiting, used, hs, he, hk FROM vw WHERE pass < 3 AND len(waiting) > 0
+  UNION ALL SELECT vw.score_id, os.o, 1, os.at_, ids, [], hs, he, hk FROM vw JOIN os ON os.score_id = vw.score_id AND os.o = vw.o + 1 WHERE pass = 3 OR len(waiting) = 0),
+best AS (SELECT cur.score_id, arg_max({{'i': f.i, 'c': f.c, 'e': f.end_grid}}, {{'f': fit, 'p': pitch, 'v': velocity, 'd': dg, 'c': -f.c, 'l': CASE WHEN pass = 2 THEN at_ - he[f.c + 1] ELSE 0 END, 'i': -f.i}}) AS b
+  FROM cur JOIN ft f ON f.score_id = cur.score_id AND f.o = cur.o WHERE list_contains(waiting, f.i) AND NOT list_contains(used, f.c)
+    AND CASE WHEN pass = 1 THEN he[f.c + 1] <= at_ ELSE overlap <> 'none' AND hs[f.c + 1] < at_ AND he[f.c + 1] > at_ AND (overlap = 'all' OR 2 * at_ >= hs[f.c + 1] + he[f.c + 1]) END GROUP BY cur.score_id)
+SELECT cur.score_id, o, CASE WHEN b IS NULL THEN pass + 1 ELSE pass END, at_, CASE WHEN b IS NULL THEN waiting ELSE list_filter(waiting, lambda x: x <> b.i) END, CASE WHEN b IS NULL THEN used ELSE list_append(used, b.c) END,
+  [CASE WHEN j = b.c + 1 THEN at_ ELSE hs[j] END FOR j IN range(1, 7)], [CASE WHEN j = b.c + 1 THEN b.e ELSE he[j] END FOR j IN range(1, 7)], [CASE WHEN j = b.c + 1 THEN b.i ELSE hk[j] END FOR j IN range(1, 7)],
+  b.i, b.c, CASE WHEN pass = 2 AND b IS NOT NULL THEN hk[b.c + 1] END FROM cur LEFT JOIN best ON best.score_id = cur.score_id)),
+vo AS (SELECT n.score_id, n.note_key, coalesce(p.c, -1) AS voice, CASE WHEN p.i IS NULL THEN 'skipped' WHEN p.pass = 1 THEN 'placed' ELSE 'merged' END AS status, n.sg AS start_grid, coalesce(k.at_, n.end_grid) AS end_grid
+  FROM nn n LEFT JOIN (SELECT * FROM vw WHERE i IS NOT NULL) p ON p.score_id = n.score_id AND p.i = n.i LEFT JOIN (SELECT * FROM vw WHERE cut IS NOT NULL) k ON k.score_id = n.score_id AND k.cut = n.i)"""
+register("assign_voices", lambda v: voices.assign_voices(chosen_grid(v), channels(v)), f"WITH {VOICES} SELECT * FROM vo")
+register("conversion_summary", lambda v: voices.conversion_summary(grid(v), messages.merge_duplicates(grid(v)), voices.assign_voices(chosen_grid(v), channels(v))),
+    f"""WITH {VOICES}, dp AS (SELECT score_id, CAST(sum(n - 1) AS BIGINT) AS duplicates FROM cells GROUP BY score_id)
+  SELECT g.score_id, count(*) AS input, any_value(coalesce(duplicates, 0)) AS duplicates, count(*) FILTER (WHERE status = 'placed') AS placed, count(*) FILTER (WHERE status = 'merged') AS merged, count(*) FILTER (WHERE status = 'skipped') AS skipped,
+    count(*) FILTER (WHERE status <> 'skipped') AS output FROM vo g JOIN dp ON dp.score_id = g.score_id GROUP BY g.score_id""")
 #: Pages of 200 characters, the least that a page may be limited to: each step of the recursion cuts the next page of every score.
 PAGES = """nt AS (SELECT score_id, part, start, start + duration AS fin FROM part_events WHERE type = 'note' AND duration > 0),
 tot AS (SELECT score_id, max(fin) AS total, count(DISTINCT part) AS n_parts FROM nt GROUP BY score_id),

@@ -1,4 +1,4 @@
-"""Sequential work within one score: voices and pages. Scores are dealt by score_id; each fits one task."""
+"""Channels of an export, and notes to voices: sequential between silences, which deal a score over tasks."""
 
 from __future__ import annotations
 
@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cantata.sources.shared import staged
+
 #: Drum pitches by priority. Fixed values.
 DRUM_PRIORITY = {100: [35, 36], 96: [38, 40, 37], 90: [42, 44, 46], 84: [49, 51, 52, 55, 57, 59], 76: [41, 43, 45, 47, 48, 50], 68: [39, 54, 56, 69, 70, 75, 80, 81]}
 #: The canonical channel configuration: role and overlap of each channel.
@@ -70,72 +72,105 @@ def placement_scores(notes: DataFrame, config: DataFrame | None = None) -> DataF
     return scored.withColumn("rank", F.row_number().over(order))
 
 
-def assign_voices(notes: DataFrame, config: DataFrame | None = None) -> DataFrame:
+def silence_cut_blocks(notes: DataFrame, width: int) -> DataFrame:
+    """notes with block: notes of different blocks of a score never sound together, nor keep a voice from each other.
+
+    Where nothing sounds on, the state of all voices is as at the beginning, so a score falls into segments there. A
+    block holds the segments that begin in one stretch of ``width`` grids, so that a giant score is dealt over many tasks
+    and a small one stays whole. A note is also told to the stretches that it reaches into: each is swept by itself.
+    """
+    stretch = lambda x: F.floor(F.col(x) / width).cast("int")
+    rows = notes.select("*", F.explode(F.sequence(stretch("start_grid"), F.greatest(stretch("start_grid"), stretch("end_grid")))).alias("stretch"))
+    rows = rows.withColumn("own", stretch("start_grid") == F.col("stretch"))
+    order = Window.partitionBy("score_id", "stretch").orderBy("own", "start_grid", "note_key")
+    reach = F.max("end_grid").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("cut", F.col("own") & F.coalesce(F.col("start_grid") >= reach, F.lit(True)))
+    rows = rows.withColumn("after", F.max("cut").over(order.rowsBetween(Window.unboundedPreceding, 0))).where("own").drop("own")
+    rows = staged(rows, "blocks")
+    # Stretches whose first notes belong to a segment that began earlier, in the last stretch that has a cut.
+    each = rows.groupBy("score_id", "stretch").agg(F.max("cut").alias("has"))
+    last = F.last(F.when(F.col("has"), F.col("stretch")), ignorenulls=True).over(Window.partitionBy("score_id").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1))
+    joined = rows.join(each.select("score_id", "stretch", last.alias("earlier")), ["score_id", "stretch"])
+    return joined.withColumn("block", F.when(F.col("after"), F.col("stretch")).otherwise(F.coalesce("earlier", "stretch"))).drop("stretch", "cut", "after", "earlier")
+
+
+def assign_voices(notes: DataFrame, config: DataFrame | None = None, width: int = 8192) -> DataFrame:
     """(score_id, note_key, voice, status, start_grid, end_grid): status placed, merged (it cut a sounding note short) or skipped.
 
     notes: grid notes with note_key, is_beat and choice_id; config: each score's channels, as of
     export_channel_config. Onsets are walked in note order; at each, the best (note, channel) by score
-    goes first; leftovers may cut what sounds where the overlap mode allows.
+    goes first; leftovers may cut what sounds where the overlap mode allows. A task walks a block of
+    silence_cut_blocks, not a score.
     """
     priority = {p: s for s, ps in DRUM_PRIORITY.items() for p in ps}
 
+    def candidates(df: pd.DataFrame, channels: pd.DataFrame) -> list[list[tuple[int, int, int]]]:
+        """By note the (channel, role fit, role pitch) that may take it."""
+        midi, beat = df["midi"].to_numpy(), df["is_beat"].to_numpy(bool)
+        high = midi >= 60
+        found: list[list[tuple[int, int, int]]] = [[] for _ in range(len(df))]
+        for c, (role, chosen) in enumerate(zip(channels["role"], channels["selected"], strict=True)):
+            may = beat == (role == "beat")
+            if len(chosen):
+                may = may & df["choice_id"].isin(list(chosen)).to_numpy()
+            if role == "beat":
+                fit, pitch = np.full(len(df), 400), np.array([priority.get(int(m), 60 if 35 <= m <= 81 else 0) for m in midi])
+            elif role == "auto":
+                fit, pitch = np.full(len(df), 170), midi
+            else:
+                fit, pitch = np.where(high == (role == "high"), 320, 30), midi if role == "high" else -midi
+            for i in may.nonzero()[0].tolist():
+                found[i].append((c, int(fit[i]), int(pitch[i])))
+        return found
+
     def walk(df: pd.DataFrame, channels: pd.DataFrame) -> pd.DataFrame:
         df = df.sort_values(["start_grid", "midi", "velocity", "note_key"], ascending=[True, False, False, True]).reset_index(drop=True)
         channels = channels.sort_values("channel_index")
-        roles = list(zip(channels["role"], channels["overlap"], strict=True))
-        chosen = [set(s) for s in channels["selected"]]
-        start, end, midi = df["start_grid"].to_numpy(), df["end_grid"].to_numpy().copy(), df["midi"].to_numpy()
-        loud, dur, beat, choice = df["velocity"].to_numpy(), df["dur_grid"].to_numpy(), df["is_beat"].to_numpy(), df["choice_id"].to_numpy()
-        voice, status = np.full(len(df), -1), np.full(len(df), "skipped", object)
-        last: list[int | None] = [None] * len(roles)
-
-        def fit(i: int, c: int) -> tuple[int, int] | None:
-            role = roles[c][0]
-            if (role == "beat") != bool(beat[i]) or (chosen[c] and choice[i] not in chosen[c]):
-                return None
-            if role == "beat":
-                return 400, priority.get(int(midi[i]), 60 if 35 <= midi[i] <= 81 else 0)
-            if role == "auto":
-                return 170, int(midi[i])
-            good = (role == "high") == (midi[i] >= 60)
-            return (320 if good else 30), int(midi[i] if role == "high" else -midi[i])
-
-        for onset, group in df.groupby("start_grid", sort=True).indices.items():
-            waiting, used = list(group), set()
+        may, modes = candidates(df, channels), channels["overlap"].tolist()
+        start, end, loud, dur = (df[c].tolist() for c in ("start_grid", "end_grid", "velocity", "dur_grid"))
+        n = len(df)
+        voice, status = [-1] * n, ["skipped"] * n
+        last: list[int] = [-1] * len(modes)
+        i = 0
+        while i < n:
+            onset, j = start[i], i
+            while j < n and start[j] == onset:
+                j += 1
+            used, placed = set(), set()
             for merging in (False, True):
-                while waiting:
-                    best = None
-                    for i in waiting:
-                        for c in range(len(roles)):
-                            f = None if c in used else fit(i, c)
-                            if f is None:
-                                continue
-                            loss = 0
-                            if merging:
-                                held = last[c]
-                                if roles[c][1] == "none" or held is None or not start[held] < onset < end[held]:
-                                    continue
-                                if roles[c][1] == "half" and onset < start[held] + (end[held] - start[held]) / 2:
-                                    continue
-                                loss = int(end[held] - onset)
-                            elif last[c] is not None and end[last[c]] > onset:
+                # Scores do not change while an onset's notes are placed: the best first is the order of one sort.
+                options = []
+                for k in range(i, j):
+                    if k in placed:
+                        continue
+                    for c, fit, pitch in may[k]:
+                        held, loss = last[c], 0
+                        if merging:
+                            if c in used or modes[c] == "none" or held < 0 or not start[held] < onset < end[held] or (modes[c] == "half" and onset < start[held] + (end[held] - start[held]) / 2):
                                 continue
-                            score = (f[0], -35 if merging else 0, f[1], loud[i], dur[i], -c, -loss)
-                            if best is None or score > best[0]:
-                                best = (score, i, c)
-                    if best is None:
-                        break
-                    _, i, c = best
+                            loss = end[held] - onset
+                        elif held >= 0 and end[held] > onset:
+                            continue
+                        options.append((-fit, -pitch, -loud[k], -dur[k], c, loss, k))
+                options.sort()
+                for *_, c, _, k in options:
+                    if c in used or k in placed:
+                        continue
                     if merging:
                         end[last[c]] = onset
-                    voice[i], status[i], last[c] = c, "merged" if merging else "placed", i
+                    voice[k], status[k], last[c] = c, "merged" if merging else "placed", k
                     used.add(c)
-                    waiting.remove(i)
-        return pd.DataFrame({"score_id": df["score_id"], "note_key": df["note_key"], "voice": voice.astype("int32"), "status": status, "start_grid": start, "end_grid": end})
+                    placed.add(k)
+                if j - i == len(placed):
+                    break
+            i = j
+        return pd.DataFrame({"score_id": df["score_id"], "note_key": df["note_key"], "voice": np.array(voice, "int32"), "status": status, "start_grid": start, "end_grid": end})
 
-    needed = notes.select("score_id", "note_key", "start_grid", "end_grid", "dur_grid", "midi", "velocity", "is_beat", "choice_id")
+    needed = silence_cut_blocks(notes.select("score_id", "note_key", "start_grid", "end_grid", "dur_grid", "midi", "velocity", "is_beat", "choice_id"), width)
     channels = (default_config(notes) if config is None else config).select("score_id", "channel_index", "role", "overlap", "selected")
-    return needed.groupBy("score_id").cogroup(channels.groupBy("score_id")).applyInPandas(walk, "score_id bigint, note_key string, voice int, status string, start_grid bigint, end_grid bigint")
+    told = needed.select(F.col("score_id").alias("b_score"), F.col("block").alias("b_block")).distinct()
+    told = told.join(channels, told["b_score"] == channels["score_id"]).select(F.col("b_score").alias("score_id"), F.col("b_block").alias("block"), "channel_index", "role", "overlap", "selected").toDF("score_id", "block", "channel_index", "role", "overlap", "selected")
+    return needed.groupBy("score_id", "block").cogroup(told.groupBy("score_id", "block")).applyInPandas(walk, "score_id bigint, note_key string, voice int, status string, start_grid bigint, end_grid bigint")
 
 
 def conversion_summary(notes: DataFrame, merged: DataFrame, voices: DataFrame) -> DataFrame:

@@ -169,8 +169,24 @@ def test_voices_against_slow_rules(spark):
         want |= _slow_voices(notes, channels)
     df = spark.createDataFrame(rows, "score_id bigint, note_key string, start_grid bigint, end_grid bigint, dur_grid bigint, midi int, velocity int, is_beat boolean, choice_id string")
     c = spark.createDataFrame(config, "score_id bigint, channel_index int, role string, overlap string, selected array<string>")
-    got = {x["note_key"]: (x["voice"], x["status"], x["end_grid"]) for x in voices.assign_voices(df, c).collect()}
-    assert got == want and {s for _, s, _ in got.values()} == {"placed", "merged", "skipped"}
+    for width in (8192, 16, 3):
+        got = {x["note_key"]: (x["voice"], x["status"], x["end_grid"]) for x in voices.assign_voices(df, c, width).collect()}
+        assert got == want and {s for _, s, _ in got.values()} == {"placed", "merged", "skipped"}
+
+
+def test_a_giant_score_is_dealt_over_blocks(spark):
+    """One score of nearly all notes: its blocks are of about one size, and end where nothing sounds."""
+    r = random.Random(4)
+    rows, t = [], 0
+    for i in range(20_000):
+        t += r.choice([0, 1, 2, 3])
+        rows.append((1, f"n{i:05d}", t, t + r.randint(1, 3), 2, 60, 8, False, "c"))
+    rows += [(2, f"m{i}", i, i + 2, 2, 60, 8, False, "c") for i in range(30)]
+    df = spark.createDataFrame(rows, "score_id bigint, note_key string, start_grid bigint, end_grid bigint, dur_grid bigint, midi int, velocity int, is_beat boolean, choice_id string")
+    blocks = voices.silence_cut_blocks(df, 512).where("score_id = 1").groupBy("block").agg(F.count("*").alias("n"), F.min("start_grid").alias("a"), F.max("end_grid").alias("z")).orderBy("a").collect()
+    sizes = sorted(b["n"] for b in blocks)
+    assert sum(sizes) == 20_000 and len(sizes) > 40 and sizes[-1] < 2 * sizes[len(sizes) // 2]
+    assert all(x["z"] <= y["a"] for x, y in zip(blocks, blocks[1:], strict=False))
 
 
 def test_categories(spark):
