@@ -49,7 +49,7 @@ VIEWS = {
     "gappy": "SELECT score_id, part, CASE WHEN part = score_id % 6 THEN ' ' ELSE part_text END AS part_text FROM parts",
     "files": """SELECT page_id, concat(url, CASE page_id % 6 WHEN 0 THEN '.MID' WHEN 1 THEN '.midi' WHEN 2 THEN '.txt' WHEN 3 THEN '.mmi' WHEN 4 THEN '.mml' ELSE '.doc' END) AS path, CAST(page_id * page_id * 37 % 20000000 AS BIGINT) AS length FROM pages""",
     "telemetry": "SELECT event_id, ts, user_id AS session, concat(CASE event_id % 3 WHEN 0 THEN ' _' WHEN 1 THEN '' ELSE '__' END, event_type, CASE event_id % 4 WHEN 0 THEN '-x y' ELSE '' END) AS name, props FROM events",
-    "regions": """SELECT 0 AS bank, CAST(p_partkey % 128 AS INT) AS preset, p_partkey AS region_idx, CAST((p_size * 2) % 100 AS INT) AS key_lo, CAST((p_size * 2) % 100 + p_partkey % 24 AS INT) AS key_hi,
+    "regions": """SELECT CAST(p_partkey // 128 % 2 AS INT) AS bank, CAST(p_partkey % 128 AS INT) AS preset, p_partkey AS region_idx, CAST((p_size * 2) % 100 AS INT) AS key_lo, CAST((p_size * 2) % 100 + p_partkey % 24 AS INT) AS key_hi,
         CAST((p_size % 4) * 32 AS INT) AS vel_lo, CAST((p_size % 4) * 32 + 31 + (p_partkey % 3) * 32 AS INT) AS vel_hi, p_size AS attenuation, 0 AS coarse_tune, 0 AS fine_tune, 60 AS root_key FROM part""",
 }
 

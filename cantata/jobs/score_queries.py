@@ -68,7 +68,8 @@ CHOICES = GROUPS + """, pc AS (SELECT score_id, choice_id, program, sum(note_cou
 choices AS (SELECT g.score_id, g.choice_id, CAST(sum(note_count) AS BIGINT) AS note_count, CAST(sum(duplicates) AS BIGINT) AS duplicates, min(min_midi) AS min_midi, max(max_midi) AS max_midi, min(instrument_name) AS instrument_name, min(is_beat) AS is_beat, min(t.program) AS program, string_agg(group_id, ',' ORDER BY group_id) AS source_group_ids FROM groups_ g JOIN top t ON g.score_id = t.score_id AND g.choice_id = t.choice_id GROUP BY g.score_id, g.choice_id)"""
 KEYWORDS = ", ".join(f"{{'rank': {i}, 'kind': '{kind}', 'word': '{w}'}}" for i, (kind, ws) in enumerate(stats.KEYWORDS.items()) for w in ws.split(","))
 PADDED = "concat(' ', regexp_replace(lower(instrument_name), '[^a-z0-9_]+', ' ', 'g'), ' ')"
-CATEGORY = f"""CASE WHEN is_beat THEN 'beat' ELSE coalesce(CASE substr('{stats.PROGRAM_CATEGORIES}', program + 1, 1) {" ".join(f"WHEN '{c}' THEN '{name}'" for c, name in stats.LETTERS.items())} END,
+RANGES = " ".join(f"WHEN program BETWEEN {first} AND {last} THEN '{kind}'" for first, last, kind in stats.PROGRAM_CATEGORIES)
+CATEGORY = f"""CASE WHEN is_beat THEN 'beat' ELSE coalesce(CASE {RANGES} END,
   list_filter([{KEYWORDS}], lambda k: contains({PADDED}, k.word))[1].kind, 'other') END"""
 
 
@@ -364,14 +365,22 @@ register("auto_gain", lambda v: stats.auto_gain(stats.peak_polyphony(v("notes"),
 register("score_duration", lambda v: stats.score_duration(v("notes"), "start_tick", "end_tick"), "SELECT score_id, max(end_tick) AS duration FROM notes GROUP BY score_id")
 register("preset_catalog", lambda v: playback.preset_catalog(v("regions")), "SELECT concat(bank, ':', preset) AS key, bank, preset, count(*) AS n_regions FROM regions GROUP BY bank, preset")
 register("preset_range", lambda v: playback.preset_range(v("regions")), "SELECT bank, preset, min(key_lo) AS lo, max(key_hi) AS hi FROM regions GROUP BY bank, preset")
-register("resolve_preset", lambda v: playback.resolve_preset(v("notes").select("score_id", F.col("note_key").alias("part"), (F.col("midi") % 2).alias("bank"), (F.col("program") + F.col("track") * 10).alias("preset")), v("regions")),
-    "SELECT n.score_id, note_key AS part, 0 AS bank, CASE WHEN program + track * 10 IN (SELECT preset FROM regions) THEN program + track * 10 ELSE (SELECT min(preset) FROM regions) END AS preset FROM notes n")
+register(
+    "resolve_preset",
+    lambda v: playback.resolve_preset(v("notes").select("score_id", F.col("note_key").alias("part"), (F.col("midi") % 2).alias("bank"), (F.col("program") + F.col("track") * 10).alias("preset")), v("regions")),
+    """WITH q AS (SELECT score_id, note_key AS part, midi % 2 AS bank, program + track * 10 AS preset FROM notes), p AS (SELECT DISTINCT bank, preset FROM regions), a AS (SELECT preset, min(bank) AS bank FROM p GROUP BY preset),
+    f AS (SELECT bank, preset FROM p ORDER BY preset <> 0, bank, preset LIMIT 1)
+    SELECT q.score_id, q.part, CAST(coalesce(p.bank, a.bank, f.bank) AS INT) AS bank, CAST(coalesce(p.preset, a.preset, f.preset) AS INT) AS preset
+    FROM q LEFT JOIN p ON p.bank = q.bank AND p.preset = q.preset LEFT JOIN a ON a.preset = q.preset, f""",
+)
 BEST = """ma AS (SELECT note_key, n.midi, n.volume, region_idx, attenuation, row_number() OVER (PARTITION BY note_key ORDER BY CASE WHEN key_hi - key_lo <= 12 THEN 2 ELSE 0 END + CASE WHEN vel_hi - vel_lo <= 32 THEN 1 ELSE 0 END DESC, region_idx) AS rn
-  FROM (SELECT note_key, program, midi, velocity, velocity % 16 AS volume FROM notes) n JOIN regions r ON r.preset = n.program AND n.midi BETWEEN key_lo AND key_hi AND n.velocity BETWEEN vel_lo AND vel_hi)"""
+  FROM (SELECT note_key, track % 2 AS bank, program, midi, velocity, velocity % 16 AS volume FROM notes) n
+  JOIN regions r ON r.bank = n.bank AND r.preset = n.program AND n.midi BETWEEN key_lo AND key_hi AND n.velocity BETWEEN vel_lo AND vel_hi)"""
 
 
 def matched(v) -> DataFrame:
-    return playback.match_region(v("notes").select("note_key", F.col("program").alias("preset"), "midi", "velocity", (F.col("velocity") % 16).alias("volume")), v("regions"))
+    notes = v("notes").select("note_key", (F.col("track") % 2).alias("bank"), F.col("program").alias("preset"), "midi", "velocity", (F.col("velocity") % 16).alias("volume"))
+    return playback.match_region(notes, v("regions"))
 
 
 register("match_region", lambda v: matched(v).select("note_key", "region_idx"), f"WITH {BEST} SELECT note_key, region_idx FROM ma WHERE rn = 1")

@@ -5,19 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cantata.operators.buckets import BUCKET, bucket_of, cut_at_buckets
+
 
 def _notes(events: DataFrame) -> DataFrame:
     return events.where("type = 'note'").withColumn("end", F.col("start") + F.col("duration"))
 
 
-def common_silence(events: DataFrame, ranges: DataFrame) -> DataFrame:
-    """(score_id, start, end) where no part sounds within the score's range (lo, hi)."""
-    inside = _notes(events).join(ranges, "score_id").where("end > lo AND start < hi").select("score_id", "lo", "hi", F.greatest("start", "lo").alias("start"), F.least("end", "hi").alias("end"))
-    ends = ranges.select("score_id", "lo", "hi", F.col("hi").alias("start"), F.col("hi").alias("end"))
-    spans = inside.unionByName(ends).groupBy("score_id", "lo", "start").agg(F.max("end").alias("end"))
-    before = Window.partitionBy("score_id").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
-    reach = spans.withColumn("reach", F.coalesce(F.max("end").over(before), F.col("lo")))
-    return reach.where("start > reach").select("score_id", F.col("reach").alias("start"), F.col("start").alias("end"))
+def common_silence(events: DataFrame, ranges: DataFrame, bucket: float = BUCKET) -> DataFrame:
+    """(score_id, start, end) where no part sounds within the score's range (lo, hi).
+
+    Notes are cut at buckets: gaps between the pieces of a bucket are found there, for each bucket by itself; those
+    from the last piece of a bucket to the first of the next one that has any need a row for each bucket only.
+    """
+    inside = _notes(events).join(ranges, "score_id").where("end > lo AND start < hi AND end > start").select("score_id", "lo", "hi", F.greatest("start", "lo").alias("start"), F.least("end", "hi").alias("end"))
+    cut = cut_at_buckets(inside.select("score_id", "start", "end"), "start", "end", bucket)
+    spans = cut.groupBy("score_id", "bucket", "start").agg(F.max("end").alias("end"))
+    whole = Window.partitionBy("score_id", "bucket")
+    order = whole.orderBy("start")
+    swept = spans.withColumns({"reach": F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)), "last": F.max("end").over(whole)})
+    inner = swept.where("start > reach").select("score_id", F.col("reach").alias("start"), F.col("start").alias("end"))
+    edges = swept.where("reach IS NULL").select("score_id", F.col("start").alias("first"), "last")
+    # A range's ends are edges like buckets of no length.
+    edges = edges.unionByName(ranges.select("score_id", F.col("lo").alias("first"), F.col("lo").alias("last"))).unionByName(ranges.select("score_id", F.col("hi").alias("first"), F.col("hi").alias("last")))
+    before = F.lag("last").over(Window.partitionBy("score_id").orderBy("first", "last"))
+    outer = edges.withColumn("before", before).where("first > before").select("score_id", F.col("before").alias("start"), F.col("first").alias("end"))
+    return inner.unionByName(outer)
 
 
 def longest_silence(silences: DataFrame, min_units: int = 512, lengths: DataFrame | None = None, max_length: float = 2400) -> DataFrame:
@@ -47,14 +60,15 @@ def boundary_points(events: DataFrame, ranges: DataFrame) -> DataFrame:
     return inside.union(ranges.select("score_id", F.col("hi").alias("pos"))).distinct()
 
 
-def safe_channels(events: DataFrame, points: DataFrame, part_count: int = 6) -> DataFrame:
-    """(score_id, pos, safe): parts without a note strictly across each point, by a sweep of open notes."""
-    n = _notes(events).where("duration > 0")
-    ups = n.select("score_id", F.col("start").alias("pos"), F.lit(2).alias("o"), F.lit(1).alias("d"))
-    downs = n.select("score_id", F.col("end").alias("pos"), F.lit(0).alias("o"), F.lit(-1).alias("d"))
-    steps = ups.unionByName(downs).groupBy("score_id", "pos", "o").agg(F.sum("d").alias("d"))
-    asked = points.select("score_id", "pos", F.lit(1).alias("o"), F.lit(0).alias("d"))
-    open_ = F.sum("d").over(Window.partitionBy("score_id").orderBy("pos", "o"))
+def safe_channels(events: DataFrame, points: DataFrame, part_count: int = 6, bucket: float = BUCKET) -> DataFrame:
+    """(score_id, pos, safe): parts without a note strictly across each point, by a sweep of open notes in each bucket of time."""
+    n = cut_at_buckets(_notes(events).where("duration > 0").select("score_id", "start", "end"), "start", "end", bucket)
+    # What comes from the bucket before is open at its first point; ends at a bucket's end are past all its points.
+    ups = n.select("score_id", "bucket", F.col("start").alias("pos"), F.when(F.col("carried"), 0).otherwise(2).alias("o"), F.lit(1).alias("d"))
+    downs = n.select("score_id", "bucket", F.col("end").alias("pos"), F.lit(0).alias("o"), F.lit(-1).alias("d"))
+    steps = ups.unionByName(downs).groupBy("score_id", "bucket", "pos", "o").agg(F.sum("d").alias("d"))
+    asked = points.select("score_id", bucket_of(F.col("pos"), bucket).alias("bucket"), "pos", F.lit(1).alias("o"), F.lit(0).alias("d"))
+    open_ = F.sum("d").over(Window.partitionBy("score_id", "bucket").orderBy("pos", "o"))
     return steps.unionByName(asked).withColumn("open", open_).where("o = 1").select("score_id", "pos", (part_count - F.col("open")).alias("safe"))
 
 

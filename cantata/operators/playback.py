@@ -11,6 +11,10 @@ from cantata.functions import music
 from cantata.operators.tempo import as_of, position_to_seconds
 
 
+#: What a note takes from its region.
+REGION = ["region_idx", "attenuation", "coarse_tune", "fine_tune", "root_key"]
+
+
 def build_schedule(events: DataFrame, tempo_map: DataFrame) -> DataFrame:
     """Notes with start_sec and duration_sec (0.02 at least)."""
     n = events.where("type = 'note'").withColumn("end", F.col("start") + F.col("duration"))
@@ -79,20 +83,31 @@ def resolve_preset(part_keys: DataFrame, presets: DataFrame) -> DataFrame:
     return found.select("score_id", "part", bank.alias("bank"), preset.alias("preset"))
 
 
-def match_region(notes: DataFrame, regions: DataFrame) -> DataFrame:
-    """notes: preset, midi, velocity. Adds the region that holds pitch and velocity; narrow ones first, then the first. Repeated notes stay.
+def velocity_bands(regions: DataFrame) -> DataFrame:
+    """(bank, preset, key, from, below, region's values): for each key the velocities cut at all edges of its regions, each band with its best region.
 
-    Regions are a dimension: for each preset and key (128 at most) its regions in the order of preference,
-    so a note meets one row and takes the first that holds its velocity.
+    Narrow regions are better (12 keys count two, 32 velocities one), then the first.
     """
     score = F.when(F.col("key_hi") - F.col("key_lo") <= 12, 2).otherwise(0) + F.when(F.col("vel_hi") - F.col("vel_lo") <= 32, 1).otherwise(0)
-    what = ["region_idx", "attenuation", "coarse_tune", "fine_tune", "root_key"]
-    row = F.struct((-score).alias("s"), *what, "vel_lo", "vel_hi").alias("r")
-    keyed = regions.where("key_lo <= key_hi").select(F.col("preset").alias("r_preset"), F.explode(F.sequence("key_lo", "key_hi")).alias("r_key"), row)
-    keyed = keyed.groupBy("r_preset", "r_key").agg(F.array_sort(F.collect_list("r")).alias("rs"))  # of one preset and key
-    met = notes.join(keyed, (F.col("preset") == F.col("r_preset")) & (F.col("midi") == F.col("r_key")))
-    first = met.select(*notes.columns, F.expr("get(filter(rs, r -> velocity BETWEEN r.vel_lo AND r.vel_hi), 0)").alias("b"))
-    return first.where("b IS NOT NULL").select(*notes.columns, *[f"b.{c}" for c in what])
+    valid = regions.where("key_lo <= key_hi AND vel_lo <= vel_hi")
+    keyed = valid.select("bank", "preset", F.explode(F.sequence("key_lo", "key_hi")).alias("key"), "vel_lo", "vel_hi", F.struct((-score).alias("s"), *REGION).alias("r"))
+    edges = keyed.select("bank", "preset", "key", F.explode(F.array("vel_lo", F.col("vel_hi") + 1)).alias("from")).distinct()
+    order = Window.partitionBy("bank", "preset", "key").orderBy("from")
+    bands = edges.withColumn("below", F.lead("from").over(order)).where("below IS NOT NULL")
+    met = bands.join(keyed, ["bank", "preset", "key"]).where("from >= vel_lo AND from <= vel_hi")
+    return met.groupBy("bank", "preset", "key", "from", "below").agg(F.min("r").alias("r")).select("bank", "preset", "key", "from", "below", *[f"r.{c}" for c in REGION])
+
+
+def match_region(notes: DataFrame, regions: DataFrame) -> DataFrame:
+    """notes: bank, preset, midi, velocity. Adds the region that holds pitch and velocity; narrow ones first, then the first. Repeated notes stay.
+
+    Regions are a dimension, cut into bands: a note fits one band of its bank, preset and key at most, so an equi-join
+    with a condition on the band finds it and nothing is ranked by note.
+    """
+    own = [F.col(c).alias(f"b_{c}") for c in ("bank", "preset", "key", "from", "below")]
+    bands = velocity_bands(regions).select(*own, *REGION)
+    on = (notes["bank"] == bands["b_bank"]) & (notes["preset"] == bands["b_preset"]) & (notes["midi"] == bands["b_key"]) & (notes["velocity"] >= bands["b_from"]) & (notes["velocity"] < bands["b_below"])
+    return notes.join(bands, on).select(*notes.columns, *REGION)
 
 
 def note_gain_rate(matched: DataFrame, volume: str = "volume") -> DataFrame:
@@ -125,7 +140,7 @@ def window_batch(prepared: DataFrame, windows: DataFrame, keys: Sequence[str]) -
     That is the window of the least end after the note's start: one as-of look-up, no pairs.
     """
     ends = windows.select("score_id", (-F.col("t1")).alias("pos"), "w", "t0")
-    met = as_of(prepared.withColumn("__at", -F.col("start_sec")), ends, "__at", ("w", "t0"), strict=True)
+    met = as_of(prepared.withColumn("__at", -F.col("start_sec")), ends, "__at", ("w", "t0"), strict=True, bucket=128.0)
     end, audible = F.col("start_sec") + F.col("duration_sec"), F.greatest("start_sec", "t0")
     return met.where(end > F.col("t0")).select(*keys, "w", audible.alias("audible_start"), (end - audible).alias("remaining")).where("remaining > 0.002")
 

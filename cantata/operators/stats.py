@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cantata.functions import music
+from cantata.operators.buckets import BUCKET, cut_at_buckets
 
 CATEGORIES = ["keyboard", "strings", "winds", "percussion", "other", "beat"]
 
@@ -39,9 +40,24 @@ def instrument_choices(groups: DataFrame) -> DataFrame:
     )
 
 
-#: Category of each General MIDI program: a letter each, in the order of the sixteen families. Fixed values.
-PROGRAM_CATEGORIES = "kkkkkkkk pppppppp kkkkkkwk ssssssss ssssssss sssssssp ssss---- wwwwwwww wwwwwwww wwwwwwww -------- -------- -------- sssspwsw pppppppp --------".replace(" ", "")
-LETTERS = {"k": "keyboard", "s": "strings", "w": "winds", "p": "percussion"}
+#: Category of General MIDI programs: first program, last program, category. Fixed values.
+PROGRAM_CATEGORIES = [
+    (0, 7, "keyboard"),
+    (8, 15, "percussion"),
+    (16, 21, "keyboard"),
+    (22, 22, "winds"),
+    (23, 23, "keyboard"),
+    (24, 46, "strings"),
+    (47, 47, "percussion"),
+    (48, 51, "strings"),
+    (56, 79, "winds"),
+    (104, 107, "strings"),
+    (108, 108, "percussion"),
+    (109, 109, "winds"),
+    (110, 110, "strings"),
+    (111, 111, "winds"),
+    (112, 119, "percussion"),
+]
 #: Words that tell the category where the program does not; the first category with a word in the name counts. Spaces stand for the ends of words. Fixed values.
 KEYWORDS = {
     "keyboard": "piano,keyboard,organ,harpsichord,clavi,accordion",
@@ -52,9 +68,9 @@ KEYWORDS = {
 
 
 def category(program: Column, name: Column, is_beat: Column) -> Column:
-    """keyboard, strings, winds, percussion, other or beat: looked up by program, then by the words of the name."""
-    letter = F.create_map(*[F.lit(x) for pair in LETTERS.items() for x in pair])
-    by_program = F.when(program.between(0, 127), F.element_at(letter, F.substring(F.lit(PROGRAM_CATEGORIES), program + 1, F.lit(1))))
+    """keyboard, strings, winds, percussion, other or beat: looked up by program (0 to 127, others the nearest; null is 0), then by the words of the name."""
+    valid = F.greatest(F.lit(0), F.least(F.lit(127), F.coalesce(program, F.lit(0))))
+    by_program = F.coalesce(*[F.when(valid.between(first, last), kind) for first, last, kind in PROGRAM_CATEGORIES])
     words = F.array(*[F.struct(F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), F.lit(w).alias("word")) for rank, (kind, ws) in enumerate(KEYWORDS.items()) for w in ws.split(",")])
     padded = F.concat(F.lit(" "), F.regexp_replace(F.lower(name), "[^a-z0-9_]+", " "), F.lit(" "))
     by_name = F.array_min(F.filter(words, lambda k: F.contains(padded, k["word"])))["kind"]
@@ -90,15 +106,17 @@ def note_order(grid_notes: DataFrame) -> DataFrame:
     return grid_notes.select("score_id", "note_key", F.row_number().over(order).alias("rn"))
 
 
-def peak_polyphony(scheduled: DataFrame, start: str = "start", end: str = "end") -> DataFrame:
+def peak_polyphony(scheduled: DataFrame, start: str = "start", end: str = "end", bucket: float = BUCKET) -> DataFrame:
     """(score_id, peak): the most notes sounding at once; at equal times ends come first.
 
-    Steps are summed by time before the running sum, so the window sorts distinct times only.
+    Notes are cut at buckets of time, so each bucket is swept by itself and a giant score is spread. Steps
+    are summed by time before the running sum, so the window sorts distinct times only.
     """
-    ups = scheduled.select("score_id", F.col(start).alias("t"), F.lit(1).alias("d"))
-    steps = ups.unionAll(scheduled.select("score_id", F.col(end).alias("t"), F.lit(-1).alias("d"))).groupBy("score_id", "t", "d").agg(F.sum("d").alias("s"))
-    run = Window.partitionBy("score_id").orderBy("t", "d")
-    return steps.withColumn("open", F.sum("s").over(run)).groupBy("score_id").agg(F.max("open").alias("peak"))
+    cut = cut_at_buckets(scheduled.select("score_id", F.col(start).alias("s"), F.col(end).alias("e")), "s", "e", bucket)
+    steps = cut.select("score_id", "bucket", F.explode(F.array(F.struct(F.col("s").alias("t"), F.lit(1).alias("d")), F.struct(F.col("e").alias("t"), F.lit(-1).alias("d")))).alias("x"))
+    steps = steps.select("score_id", "bucket", "x.t", "x.d").groupBy("score_id", "bucket", "t", "d").agg(F.sum("d").alias("n"))
+    run = Window.partitionBy("score_id", "bucket").orderBy("t", "d")
+    return steps.withColumn("open", F.sum("n").over(run)).groupBy("score_id").agg(F.max("open").alias("peak"))
 
 
 def auto_gain(peaks: DataFrame) -> DataFrame:

@@ -8,16 +8,47 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cantata.functions import music
+from cantata.operators.buckets import BUCKET
+from cantata.sources.shared import staged
 
 DEFAULT_BPM = 120
 
 
-def as_of(left: DataFrame, right: DataFrame, pos: str = "pos", values: Sequence[str] = ("bpm",), strict: bool = False) -> DataFrame:
-    """Adds right's values at the latest right pos <= left's (strict: <), by score: one sort of the union, no range join."""
-    order = Window.partitionBy("score_id").orderBy("__at", "__side").rowsBetween(Window.unboundedPreceding, 0)
-    mine = left.select("score_id", F.col(pos).alias("__at"), F.lit(0 if strict else 1).alias("__side"), F.struct(*left.columns).alias("__row"), F.lit(None).cast(right.select(F.struct(*values)).schema[0].dataType).alias("__val"))
-    other = right.select("score_id", F.col("pos").cast(left.schema[pos].dataType).alias("__at"), F.lit(1 if strict else 0).alias("__side"), F.lit(None).cast(mine.schema["__row"].dataType).alias("__row"), F.struct(*values).alias("__val"))
-    found = mine.unionByName(other).withColumn("__val", F.last("__val", ignorenulls=True).over(order)).where("__row IS NOT NULL")
+#: A score's changes are carried into so many buckets at most: far positions widen its buckets.
+MOST_BUCKETS = 1024
+
+
+def as_of(left: DataFrame, right: DataFrame, pos: str = "pos", values: Sequence[str] = ("bpm",), strict: bool = False, bucket: float = BUCKET) -> DataFrame:
+    """Adds right's values at the latest right pos <= left's (strict: <), by score: no range join, and no score in one task.
+
+    A score's positions are cut into buckets of ``bucket``. A row of right is told to every bucket from its own to that of the
+    next row, where it sorts first; beyond the last row its values hold, and come by score. So each bucket is sorted by itself,
+    and a giant score is spread. Rows without a score or position find nothing.
+    """
+    spread = Window.partitionBy("score_id")
+    order = spread.orderBy("pos")
+    at = F.col(pos)
+    side = right.where("score_id IS NOT NULL AND pos IS NOT NULL").select("score_id", F.col("pos").cast(left.schema[pos].dataType).alias("pos"), F.struct(*values).alias("__val"))
+    wide = F.greatest(F.lit(bucket), F.ceil((F.max("pos").over(spread) - F.min("pos").over(spread)) / MOST_BUCKETS)).cast("double")
+    side = staged(side.withColumns({"__next": F.lead("pos").over(order), "__wide": wide}), "changes")  # read twice; its size tells the planner how to join
+    number = lambda x, width: F.floor(x / width).cast("long")
+    first, last = number(F.col("pos"), F.col("__wide")), number(F.coalesce("__next", "pos"), F.col("__wide"))
+    told = side.select("score_id", "pos", "__val", first.alias("__own"), F.explode(F.sequence(first, last)).alias("__bucket"))
+    ends = side.where("__next IS NULL").groupBy("score_id").agg(F.max("__wide").alias("__wide"), F.max(F.struct("pos", "__val")).alias("__end"))
+    ends = ends.select(F.col("score_id").alias("__score"), "__wide", number(F.col("__end.pos"), F.col("__wide")).alias("__last"), F.col("__end.__val").alias("__tail"))
+
+    mine = left.select(F.struct(*left.columns).alias("__row"), "score_id", at.alias("__at")).join(ends, F.col("score_id") == F.col("__score"), "left")
+    own = number(F.col("__at"), F.coalesce("__wide", F.lit(float(bucket))))
+    tail = F.when(own > F.col("__last"), F.col("__tail"))
+    kind = side.schema["__val"].dataType
+    rows = mine.select("score_id", own.alias("__bucket"), "__at", F.lit(0 if strict else 1).alias("__side"), "__row", F.lit(None).cast(kind).alias("__val"), tail.alias("__tail"))
+    carried = F.col("__bucket") > F.col("__own")
+    other = told.select(
+        "score_id", "__bucket", F.when(carried, F.lit(None)).otherwise(F.col("pos")).alias("__at"), F.when(carried, -1).otherwise(1 if strict else 0).alias("__side"),
+        F.lit(None).cast(rows.schema["__row"].dataType).alias("__row"), "__val", F.lit(None).cast(kind).alias("__tail"),
+    )
+    within = Window.partitionBy("score_id", "__bucket").orderBy(F.asc_nulls_first("__at"), "__side").rowsBetween(Window.unboundedPreceding, 0)
+    found = rows.unionByName(other).withColumn("__val", F.coalesce(F.last("__val", ignorenulls=True).over(within), "__tail")).where("__row IS NOT NULL")
     return found.select("__row.*", *[F.col(f"__val.{v}").alias(v) for v in values])
 
 
@@ -74,7 +105,7 @@ def marker_dedupe(markers: DataFrame, durations: DataFrame) -> DataFrame:
 def active_marker(times: DataFrame, markers: DataFrame) -> DataFrame:
     """times: score_id, time; adds the bpm of the latest marker up to 0.02 s later."""
     at = markers.select("score_id", F.col("time").alias("pos"), "bpm")
-    return as_of(times.withColumn("__t", F.col("time") + 0.02), at, "__t").drop("__t")
+    return as_of(times.withColumn("__t", F.col("time") + 0.02), at, "__t", bucket=128.0).drop("__t")
 
 
 def _numbered(events: DataFrame, tempo_map: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -195,11 +195,32 @@ def test_categories(spark):
     assert got == ["keyboard", "winds", "percussion", "beat", "strings", "winds", "winds", "percussion", "other", "keyboard"]
 
 
+ZONE = "bank int, preset int, region_idx int, key_lo int, key_hi int, vel_lo int, vel_hi int, attenuation int, coarse_tune int, fine_tune int, root_key int"
+
+
+def test_categories_of_odd_programs(spark):
+    df = spark.createDataFrame([(None, "Solo"), (-5, "Violin"), (200, "Violin"), (127, "Gun")], "p int, n string")
+    assert [x["c"] for x in df.select(stats.category(F.col("p"), F.col("n"), F.lit(False)).alias("c")).collect()] == ["keyboard", "keyboard", "strings", "other"]
+
+
 def test_repeated_notes_keep_their_regions(spark):
-    notes = spark.createDataFrame([("a", 1, 60, 80), ("a", 1, 60, 80), ("b", 1, 60, 127), ("c", 2, 60, 80)], "note_key string, preset int, midi int, velocity int")
-    zone = "preset int, region_idx int, key_lo int, key_hi int, vel_lo int, vel_hi int, attenuation int, coarse_tune int, fine_tune int, root_key int"
-    regions = spark.createDataFrame([(1, 0, 0, 127, 0, 127, 0, 0, 0, 60), (1, 1, 58, 62, 0, 100, 0, 0, 0, 60), (1, 2, 58, 62, 70, 90, 0, 0, 0, 60), (1, 3, 9, 5, 0, 127, 0, 0, 0, 60)], zone)
-    assert sorted((x["note_key"], x["region_idx"]) for x in playback.match_region(notes, regions).collect()) == [("a", 2), ("a", 2), ("b", 0)]
+    notes = spark.createDataFrame([("a", 0, 1, 60, 80), ("a", 0, 1, 60, 80), ("b", 0, 1, 60, 127), ("c", 0, 2, 60, 80), ("d", 1, 1, 60, 80)], "note_key string, bank int, preset int, midi int, velocity int")
+    rows = [(0, 127, 0, 127), (58, 62, 0, 100), (58, 62, 70, 90), (9, 5, 0, 127), (0, 127, 5, 4)]
+    regions = spark.createDataFrame([(0, 1, i, *r, 0, 0, 0, 60) for i, r in enumerate(rows)] + [(1, 1, 7, 0, 127, 0, 127, 0, 0, 0, 60)], ZONE)
+    assert sorted((x["note_key"], x["region_idx"]) for x in playback.match_region(notes, regions).collect()) == [("a", 2), ("a", 2), ("b", 0), ("d", 7)]
+
+
+def test_regions_against_a_scan(spark):
+    r = random.Random(6)
+    zones = [(r.randint(0, 1), r.randint(0, 2), i, k := r.randint(0, 100), k + r.randint(-2, 27), v := r.randint(0, 110), v + r.randint(-1, 60), 0, 0, 0, 60) for i in range(60)]
+    notes = [(str(i), r.randint(0, 2), r.randint(0, 3), r.randint(0, 127), r.randint(0, 127)) for i in range(800)]
+    want = {}
+    for key, bank, preset, midi, velocity in notes:
+        fit = [(-(2 * (z[4] - z[3] <= 12) + (z[6] - z[5] <= 32)), z[2]) for z in zones if z[:2] == (bank, preset) and z[3] <= midi <= z[4] and z[5] <= velocity <= z[6]]
+        if fit:
+            want[key] = min(fit)[1]
+    got = playback.match_region(spark.createDataFrame(notes, "note_key string, bank int, preset int, midi int, velocity int"), spark.createDataFrame(zones, ZONE)).collect()
+    assert {x["note_key"]: x["region_idx"] for x in got} == want and len(got) == len(want) > 60
 
 
 def test_rests_end_at_tempo_changes(spark):
