@@ -109,37 +109,32 @@ def active_marker(times: DataFrame, markers: DataFrame) -> DataFrame:
 
 
 def _numbered(events: DataFrame, tempo_map: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Events with the numbers of the last tempo up to their start (__n0) and before their end (__n1); tempos with their number by score."""
-    t = tempo_map.withColumn("n", F.row_number().over(Window.partitionBy("score_id").orderBy("pos")))
+    """Events with the numbers of the last tempo up to their start (__n0) and before their end (__n1); tempos with their number by score, from 1."""
+    t = staged(tempo_map.withColumn("n", F.row_number().over(Window.partitionBy("score_id").orderBy("pos"))), "tempos")
     started = as_of(events.withColumn("__end", F.col("start") + F.col("duration")), t, "start", ("n",)).withColumn("__n0", F.coalesce("n", F.lit(0))).drop("n")
-    ended = as_of(started, t, "__end", ("n",), strict=True).withColumn("__n1", F.coalesce("n", F.lit(0))).drop("n", "__end")
+    ended = as_of(started, t, "__end", ("n",), strict=True).withColumn("__n1", F.greatest("__n0", F.coalesce("n", F.lit(0)))).drop("n")
     return ended, t
 
 
-def _cut_points(events: DataFrame, tempo_map: DataFrame) -> DataFrame:
-    """Events with cuts: the sorted (pos, bpm) of tempo changes strictly inside; changes at 0 are headers, not cuts.
+def split_notes_at_tempo(events: DataFrame, tempo_map: DataFrame) -> DataFrame:
+    """Events cut at inner tempo changes: (score_id, part, idx, piece, type, start, duration, midi, volume, tie_from_prev, tempo).
 
-    Only events that have some meet their own tempos, by number: no pairs of all events and tempos of a score.
+    A change at an event's start, so also one at 0, is no cut. An event has a piece for the tempo that it begins in and each
+    that begins in it; a piece finds its own tempo by number: no pairs of all events and tempos of a score, no join back.
     """
     numbered, t = _numbered(events, tempo_map)
-    t = t.where("pos > 0").select(F.col("score_id").alias("t_score"), F.col("pos").alias("cut"), F.col("bpm").alias("cut_bpm"), F.col("n").alias("t_n"))
-    keys = ["score_id", "part", "idx"]
-    crossing = numbered.where("__n1 > __n0").select(*keys, F.explode(F.sequence(F.col("__n0") + 1, F.col("__n1"))).alias("n"))
-    found = crossing.join(t, (F.col("score_id") == F.col("t_score")) & (F.col("n") == F.col("t_n"))).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("cut", "cut_bpm"))).alias("cuts"))
-    return events.join(found, keys, "left")
-
-
-def split_notes_at_tempo(events: DataFrame, tempo_map: DataFrame) -> DataFrame:
-    """Events cut at inner tempo changes: (score_id, part, idx, piece, type, start, duration, midi, volume, tie_from_prev, tempo)."""
-    cut = _cut_points(events, tempo_map)
-    edges = F.concat(F.array(F.struct(F.col("start").alias("cut"), F.lit(None).cast("int").alias("cut_bpm"))), F.coalesce("cuts", F.array().cast("array<struct<cut:bigint,cut_bpm:int>>")))
-    pieces = cut.withColumn("edges", edges).select("*", F.posexplode("edges").alias("piece", "edge"))
-    stop = F.coalesce(F.get("edges", F.col("piece") + 1)["cut"], F.col("start") + F.col("duration"))
-    return pieces.select("score_id", "part", "idx", "piece", "type", F.col("edge.cut").alias("start"), (stop - F.col("edge.cut")).alias("duration"), "midi", "volume", ((F.col("piece") > 0) & (F.col("type") == "note")).alias("tie_from_prev"), F.col("edge.cut_bpm").alias("tempo"))
+    begin = t.groupBy("score_id").agg(F.min("pos").alias("next")).select("score_id", F.lit(0).alias("n"), F.lit(None).cast("long").alias("pos"), F.lit(None).cast("int").alias("bpm"), "next")
+    known = t.select("score_id", "n", "pos", "bpm", F.lead("pos").over(Window.partitionBy("score_id").orderBy("pos")).alias("next")).unionByName(begin)
+    known = known.select(F.col("score_id").alias("t_score"), F.col("n").alias("t_n"), F.col("pos").alias("cut"), "bpm", "next")
+    pieces = numbered.withColumn("n", F.explode(F.sequence("__n0", "__n1")))
+    met = pieces.join(known, (F.col("score_id") == F.col("t_score")) & (F.col("n") == F.col("t_n")), "left")
+    first, last = F.col("n") == F.col("__n0"), F.col("n") == F.col("__n1")
+    at, stop = F.when(first, F.col("start")).otherwise(F.col("cut")), F.when(last, F.col("__end")).otherwise(F.col("next"))
+    return met.select("score_id", "part", "idx", (F.col("n") - F.col("__n0")).alias("piece"), "type", at.alias("start"), (stop - at).alias("duration"), "midi", "volume", (~first & (F.col("type") == "note")).alias("tie_from_prev"), F.when(~first, F.col("bpm")).alias("tempo"))
 
 
 def notes_crossing_tempo(events: DataFrame, tempo_map: DataFrame) -> DataFrame:
-    return _numbered(events.where("type = 'note'"), tempo_map)[0].where("__n1 > __n0").drop("__n0", "__n1")
+    return _numbered(events.where("type = 'note'"), tempo_map)[0].where("__n1 > __n0").drop("__n0", "__n1", "__end")
 
 
 def split_extended_notes(events: DataFrame, tempo_map: DataFrame) -> DataFrame:
