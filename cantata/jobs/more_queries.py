@@ -200,11 +200,16 @@ def stream_pair_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
         "ts", F.col("user_id").alias("score_id"), F.lit(0).alias("track"), F.when(k % 8 == 0, 9).otherwise((F.col("user_id") % 4).cast("int")).alias("channel"), (60 + k % 4).alias("d1"),
         F.when(F.col("event_type") == "error", 0).otherwise((1 + F.floor("value") % 127).cast("int")).alias("d2"), cmd.alias("cmd"), F.col("event_id").alias("seq"), F.floor((F.unix_seconds("ts") - 1704067200) / 10).alias("tick"),
     )
-    return streams.run_available(streams.stream_pair_notes(rows)).where("end_tick IS NOT NULL")
+    return streams.run_available(streams.stream_pair_notes(rows, "1 hour", 3_600_000))
 
 
 def stream_lookahead(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return streams.run_available(streams.stream_lookahead(_stream(spark, sf_dir).select(F.col("event_id").alias("id"), "ts"))).select("id", F.unix_micros("due").alias("due_us"))
+    """Notes whose look-ahead window the watermark has passed; the others go on waiting."""
+    return streams.run_available(streams.stream_lookahead(_stream(spark, sf_dir).select(F.col("user_id").alias("score_id"), F.col("event_id").alias("id"), "ts")))
+
+
+def stream_last_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return streams.run_latest(streams.stream_last_events(_stream(spark, sf_dir).select(F.col("user_id").alias("session"), "ts", "event_id"), 20), ["session"])
 
 
 def stream_late_clamp(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -212,9 +217,16 @@ def stream_late_clamp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.run_available(streams.stream_late_clamp(_stream(spark, sf_dir).select(F.col("event_id").alias("id"), "ts"), now)).select("id", F.unix_micros("ts").alias("due_us"))
 
 
-QUERIES |= {"stream_event_counts": stream_event_counts, "stream_pair_notes": stream_pair_notes, "stream_lookahead": stream_lookahead, "stream_late_clamp": stream_late_clamp}
-ORACLES["stream_lookahead"] = "SELECT event_id AS id, (epoch_us(ts) // 80000 + 1) * 80000 - 1600000 AS due_us FROM events"
+QUERIES |= {"stream_event_counts": stream_event_counts, "stream_pair_notes": stream_pair_notes, "stream_lookahead": stream_lookahead, "stream_last_events": stream_last_events, "stream_late_clamp": stream_late_clamp}
+ORACLES["stream_lookahead"] = """WITH n AS (SELECT event_id AS id, epoch_us(ts) // 1000 AS ts_ms, (epoch_us(ts) // 80000 + 1) * 80 - 1600 AS due_ms FROM events)
+  SELECT id, ts_ms, due_ms FROM n WHERE due_ms <= (SELECT max(ts_ms) FROM n) - 10000"""
+ORACLES["stream_last_events"] = "SELECT session, ts_ms, event_id FROM (SELECT user_id AS session, epoch_us(ts) // 1000 AS ts_ms, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) x WHERE rn <= 20"
 ORACLES["stream_late_clamp"] = "SELECT event_id AS id, greatest(epoch_us(ts), epoch_us(TIMESTAMP '2024-01-10 00:00:00') + 50000) AS due_us FROM events"
 ORACLES["stream_event_counts"] = """SELECT window_start, name, count(*) AS n FROM (SELECT epoch_us(time_bucket(INTERVAL '10 minutes', ts)) AS window_start, event_type AS name FROM events) x
   WHERE window_start + 600000000 <= (SELECT epoch_us(max(ts)) // 1000 * 1000 - 1800000000 FROM events) GROUP BY window_start, name"""
-ORACLES["stream_pair_notes"] = oracle(f"WITH {STEPS} SELECT a.score_id, a.track, a.channel, a.d1 AS midi, a.tick AS start_tick, b.tick AS end_tick, a.d2 AS velocity FROM clean a JOIN clean b ON a.score_id = b.score_id AND a.track = b.track AND a.channel = b.channel AND a.d1 = b.d1 AND a.k = b.k WHERE a.step = 1 AND b.step = -1 AND b.tick > a.tick")
+#: Pairs, and the open notes of keys that had been idle for an hour when the watermark, an hour behind the last message, was reached.
+ORACLES["stream_pair_notes"] = oracle(f"""WITH {STEPS}, ms AS (SELECT event_id AS seq, epoch_us(ts) // 1000 AS ms FROM events), lt AS (SELECT score_id, track, channel, d1, max(ms) AS last_ms FROM steps JOIN ms ON ms.seq = steps.seq GROUP BY ALL),
+  en AS (SELECT max(ms) - 3600000 AS mark FROM steps JOIN ms ON ms.seq = steps.seq)
+  SELECT a.score_id, a.track, a.channel, a.d1 AS midi, a.tick AS start_tick, b.tick AS end_tick, a.d2 AS velocity FROM clean a LEFT JOIN clean b ON a.score_id = b.score_id AND a.track = b.track AND a.channel = b.channel AND a.d1 = b.d1 AND a.k = b.k AND b.step = -1
+  JOIN lt ON lt.score_id = a.score_id AND lt.track = a.track AND lt.channel = a.channel AND lt.d1 = a.d1, en
+  WHERE a.step = 1 AND CASE WHEN b.k IS NULL THEN last_ms + 3600000 < mark ELSE b.tick > a.tick END""")

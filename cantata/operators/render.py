@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cantata.operators.intervals import fill_rests
@@ -100,14 +100,17 @@ def choose_default_length(events: DataFrame, table: DataFrame) -> DataFrame:
     return cost.groupBy("score_id", "part").agg(F.min(F.struct(total.alias("c"), "L")).alias("b")).select("score_id", "part", "b.L")
 
 
+def change_text(octave: Column, last: Column, volume: Column, loud: Column) -> Column:
+    """Vn if the volume differs, and the octave change as < or > or On, whichever is shorter (then < and >); nothing without a note before."""
+    step = octave - last
+    shift = F.when(last.isNull() | (step == 0), "").when(F.abs(step) <= 2, F.when(step > 0, F.repeat(F.lit(">"), step.cast("int"))).otherwise(F.repeat(F.lit("<"), (-step).cast("int")))).otherwise(F.concat(F.lit("O"), octave))
+    return F.concat(F.when(loud.isNull() | (loud == volume), "").otherwise(F.concat(F.lit("V"), volume)), shift)
+
+
 def pitch_commands(events: DataFrame) -> DataFrame:
-    """Adds prefix of notes: the octave change as < or > or On, whichever is shorter (then < and >), and Vn when it differs."""
+    """Adds prefix of notes: what changes in octave and volume (see change_text)."""
     n = events.where("type = 'note'").withColumn("octave", (F.floor(F.col("midi") / 12) - 1).cast("int"))
-    last, loud = F.lag("octave").over(_order()), F.lag("volume").over(_order())
-    step = F.col("octave") - last
-    shift = F.when(last.isNull() | (step == 0), "").when(F.abs(step) <= 2, F.when(step > 0, F.repeat(F.lit(">"), step.cast("int"))).otherwise(F.repeat(F.lit("<"), (-step).cast("int")))).otherwise(F.concat(F.lit("O"), F.col("octave")))
-    volume = F.when(loud.isNull() | (loud == F.col("volume")), "").otherwise(F.concat(F.lit("V"), F.col("volume")))
-    return n.withColumn("prefix", F.concat(volume, shift))
+    return n.withColumn("prefix", change_text(F.col("octave"), F.lag("octave").over(_order()), F.col("volume"), F.lag("volume").over(_order())))
 
 
 def part_header(events: DataFrame, tempo_map: DataFrame, default_length: DataFrame) -> DataFrame:
@@ -120,18 +123,29 @@ def part_header(events: DataFrame, tempo_map: DataFrame, default_length: DataFra
 
 
 def render_parts(events: DataFrame, tempo_map: DataFrame, table: DataFrame) -> DataFrame:
-    """(score_id, part, part_text): the header and the events in order, with the shortest lengths."""
-    chosen = choose_default_length(events, table)
-    header = part_header(events, tempo_map, chosen)
-    prefixes = pitch_commands(events).select("score_id", "part", F.col("start").alias("p_start"), "prefix")
-    timed = events.withColumn("units", F.col("duration").cast("long")).join(chosen, ["score_id", "part"])
-    words = timed.join(table.select(F.col("units").alias("t_units"), F.col("L").alias("t_L"), "kind", "text"), (F.col("units") == F.col("t_units")) & (F.col("L") == F.col("t_L")) & (F.col("type") == F.col("kind")))
-    full = words.join(prefixes, (words["score_id"] == prefixes["score_id"]) & (words["part"] == prefixes["part"]) & (words["start"] == prefixes["p_start"]) & (words["type"] == "note"), "left").select(words["score_id"], words["part"], "start", "type", "midi", "text", "prefix")
-    head = F.when(F.col("type") == "rest", F.lit("r")).otherwise(note_name(F.col("midi")))
-    each = F.transform(F.split("text", r"\|", -1), lambda s: F.concat(head, s))
-    spelled = F.concat(F.coalesce("prefix", F.lit("")), F.when(F.col("type") == "rest", F.array_join(each, "")).otherwise(F.array_join(each, "&")))
-    joined = full.groupBy("score_id", "part").agg(F.array_sort(F.collect_list(F.struct("start", "type", spelled.alias("s")))).alias("e"))
-    return joined.join(header, ["score_id", "part"]).select("score_id", "part", F.concat("header", F.array_join(F.transform("e", lambda x: x["s"]), "")).alias("part_text"))
+    """(score_id, part, part_text): the header and the events in order, with the shortest lengths.
+
+    An event meets the spellings of its length for every default length at once; a part's one sort finds the prefixes, and
+    its one aggregation the costs, the header's values and the words. The events are read once.
+    """
+    of = lambda n: F.max(F.when(F.col("L") == n, F.struct("text", "n_chars")))
+    wide = table.groupBy(F.col("units").alias("t_units"), "kind").agg(F.array(*[of(n) for n in LENGTHS]).alias("w"))
+    timed = events.join(wide, (events["duration"].cast("long") == wide["t_units"]) & (events["type"] == wide["kind"]))
+    note = F.col("type") == "note"
+    before = _order().rowsBetween(Window.unboundedPreceding, -1)
+    last = F.last(F.when(note, F.struct((F.floor(F.col("midi") / 12) - 1).cast("int").alias("o"), "volume")), ignorenulls=True).over(before)
+    seen = timed.withColumns({"last": last, "octave": (F.floor(F.col("midi") / 12) - 1).cast("int")})
+    prefix = F.when(note, change_text(F.col("octave"), F.col("last.o"), F.col("volume"), F.col("last.volume"))).otherwise("")
+    head = F.when(note, note_name(F.col("midi"))).otherwise(F.lit("r"))
+    words = F.array_sort(F.collect_list(F.struct("start", "type", prefix.alias("p"), head.alias("h"), F.transform("w", lambda x: x["text"]).alias("t")))).alias("e")
+    costs = [F.struct((F.sum(F.col("w")[i]["n_chars"]) + 1 + len(str(n))).alias("c"), F.lit(n).alias("L"), F.lit(i).alias("i")).alias(f"c{n}") for i, n in enumerate(LENGTHS)]
+    parts = seen.groupBy("score_id", "part").agg(words, F.min(F.when(note, F.struct("start", "volume", "midi"))).alias("first"), *costs)
+    known = F.array_min(F.filter(F.array(*[f"c{n}" for n in LENGTHS]), lambda x: x["c"].isNotNull()))
+    parts = parts.where("first IS NOT NULL").withColumn("best", known).join(tempo_map.where("pos = 0").select("score_id", "bpm"), "score_id", "left")
+    t = F.when((F.col("part") == 0) & F.col("bpm").isNotNull(), F.concat(F.lit("T"), F.col("bpm"))).otherwise("")
+    header = F.concat(t, F.lit("V"), F.col("first.volume"), F.lit("O"), (F.floor(F.col("first.midi") / 12) - 1).cast("int"), F.lit("L"), F.col("best.L"))
+    spelled = F.expr("transform(filter(e, x -> get(x.t, best.i) IS NOT NULL), x -> concat(x.p, x.h, replace(get(x.t, best.i), '|', if(x.type = 'rest', x.h, concat('&', x.h)))))")
+    return parts.select("score_id", "part", F.concat(header, F.array_join(spelled, "")).alias("part_text"))
 
 
 def grid_tempos(tempo_map: DataFrame, ends: DataFrame) -> DataFrame:
