@@ -72,7 +72,9 @@ register("file_type_bucket", lambda v: files.file_type_bucket(v("files")),
 def written_scores(spark, sf_dir: str) -> DataFrame:
     """Scores written without blank parts, read with their schema."""
     path = shared_path(spark, "scores")
-    files.write_scores(text.compose_mml(view(spark, sf_dir, "gappy"), True), path)
+    scores = text.compose_mml(view(spark, sf_dir, "gappy"), True)
+    for _ in range(2):  # the second time changes nothing
+        files.write_scores(scores, path)
     return files.read_note_tables(spark, path, "score_id bigint, text string, bucket int").select("score_id", "text")
 
 
@@ -89,15 +91,28 @@ def note_tables(spark, sf_dir: str) -> DataFrame:
     return out
 
 
+KINDS = ["mid", "MIDI", "txt", "mmi", "Mml", "doc"]
+
+
 def score_files(spark, sf_dir: str) -> DataFrame:
-    """Score texts as files of lines; files of other extensions are passed over."""
-    path = shared_path(spark, "files")
-    view(spark, sf_dir, "score_text").select("text").write.text(path)
-    whole = files.read_score_files(spark, path, text=True)
-    return whole.select(F.explode(F.split("value", "\n")).alias("text")).where("text <> ''")
+    """Score texts as six files, one of each extension and one that is rejected; the bytes of MIDI files are told by their hash."""
+    path, out = shared_path(spark, "files"), shared_path(spark, "mixed")
+    scores = view(spark, sf_dir, "score_text").withColumn("b", (F.col("score_id") % 6).cast("int"))
+    scores.repartition(6, "b").sortWithinPartitions("b", "score_id").select("text", "b").write.partitionBy("b").text(path)
+    context = spark.sparkContext
+    new = context._jvm.org.apache.hadoop.fs.Path
+    fs = new(path).getFileSystem(context._jsc.hadoopConfiguration())
+    fs.mkdirs(new(out))
+    for b, kind in enumerate(KINDS):  # six names
+        for part in fs.globStatus(new(f"{path}/b={b}/part-*")):
+            fs.rename(part.getPath(), new(f"{out}/scores-{b}.{kind}"))
+    found = files.read_score_files(spark, out)
+    return found.select("name", "length", "route", F.sha2("content", 256).alias("content_sha256"), "text", "reason")
 
 
 QUERIES |= {"write_scores": written_scores, "read_note_tables": note_tables, "read_score_files": score_files}
 ORACLES["write_scores"] = ORACLES["compose_mml_dense"]
 ORACLES["read_note_tables"] = oracle("SELECT note_key, score_id, start_tick, midi, kind FROM notes, (SELECT unnest(['json', 'csv']) AS kind) k")
-ORACLES["read_score_files"] = oracle("SELECT text FROM score_text")
+ORACLES["read_score_files"] = oracle("""WITH f AS (SELECT score_id % 6 AS b, string_agg(concat(text, chr(10)), '' ORDER BY score_id) AS t FROM score_text GROUP BY 1)
+  SELECT concat('scores-', b, ['.mid', '.MIDI', '.txt', '.mmi', '.Mml', '.doc'][b + 1]) AS name, CAST(strlen(t) AS BIGINT) AS length, ['midi', 'midi', 'text', 'mmi project', 'mml project', NULL][b + 1] AS route,
+    CASE WHEN b < 2 THEN sha256(t) END AS content_sha256, CASE WHEN b BETWEEN 2 AND 4 THEN t END AS text, CASE WHEN b = 5 THEN 'unsupported extension' END AS reason FROM f""")

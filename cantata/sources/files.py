@@ -13,13 +13,34 @@ def extension(path):
     return F.lower(F.substring_index(path, ".", -1))
 
 
-def read_score_files(spark: SparkSession, path: str, exts: list[str] = EXTENSIONS, text: bool = False) -> DataFrame:
-    """Files of the supported extensions: path, modificationTime, length, content; or path and value with text."""
-    if text:
-        found = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
-    else:
-        found = spark.read.format("binaryFile").load(path)
-    return found.where(extension(F.col("path")).isin(exts))
+#: What a file is read as, by extension. Fixed values.
+ROUTES = {"mid": "midi", "midi": "midi", "txt": "text", "mmi": "mmi project", "mml": "mml project"}
+
+
+def read_score_files(spark: SparkSession, path: str) -> DataFrame:
+    """Every file under path, in one scan: path, name, length, route, content, text, reason.
+
+    The extension (of any case) routes a file: midi keeps its bytes (content), the others are read as UTF-8 (text). reason
+    tells why a file is rejected: its extension, or bytes that are no UTF-8; the route and the bytes of such files
+    are null. Files of no bytes are not listed by Spark's scan. See accepted and rejected.
+    """
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    ext = F.lower(F.regexp_extract("path", r"\.([^./]*)$", 1))
+    route = F.coalesce(*[F.when(ext == e, r) for e, r in ROUTES.items()])
+    named = found.select("path", F.regexp_extract("path", r"([^/]*)$", 1).alias("name"), "length", route.alias("route"), "content")
+    read = named.withColumn("text", F.when(F.col("route") != "midi", F.try_validate_utf8(F.col("content").cast("string"))))
+    reason = F.when(F.col("route").isNull(), "unsupported extension").when((F.col("route") != "midi") & F.col("text").isNull(), "not UTF-8")
+    told = read.withColumn("reason", reason)
+    good = F.col("reason").isNull()
+    return told.select("path", "name", "length", F.when(good, F.col("route")).alias("route"), F.when(good & (F.col("route") == "midi"), F.col("content")).alias("content"), F.when(good, F.col("text")).alias("text"), "reason")
+
+
+def accepted(files: DataFrame) -> DataFrame:
+    return files.where("reason IS NULL").drop("reason")
+
+
+def rejected(files: DataFrame) -> DataFrame:
+    return files.where("reason IS NOT NULL").select("path", "name", "length", "reason")
 
 
 def read_note_tables(spark: SparkSession, path: str, schema: StructType | str, kind: str = "parquet") -> DataFrame:
@@ -29,10 +50,14 @@ def read_note_tables(spark: SparkSession, path: str, schema: StructType | str, k
 
 
 def write_scores(scores: DataFrame, path: str, buckets: int = 64) -> None:
-    """Writes (score_id, text) without blank parts, partitioned by a bucket of score_id."""
+    """Writes (score_id, text) without blank parts, partitioned by a bucket of score_id.
+
+    The buckets that scores have are replaced, others stay: writing the same again changes nothing, and a
+    changed bucket can be written by itself, with all its scores. ``buckets`` must be as it was.
+    """
     body = F.regexp_replace(F.regexp_replace("text", r"^MML@|;$", ""), r"^,+|,+$", "")
     dense = F.concat(F.lit("MML@"), F.regexp_replace(body, ",{2,}", ","), F.lit(";"))
-    scores.select("score_id", dense.alias("text"), F.pmod(F.xxhash64("score_id"), F.lit(buckets)).cast("int").alias("bucket")).write.partitionBy("bucket").parquet(path)
+    scores.select("score_id", dense.alias("text"), F.pmod(F.xxhash64("score_id"), F.lit(buckets)).cast("int").alias("bucket")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
 
 
 def suggest_file_name(files: DataFrame) -> DataFrame:
