@@ -130,6 +130,29 @@ SELECT doc_id, domain, lang, source, n AS n_tokens, whole + CASE WHEN upto <= pa
 """
 
 
+#: Windows of 50 bytes, as 100 hexadecimal digits, by 128 bits of their hash; bytes that no window with a smaller first doc_id covers.
+OP3_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+win AS (SELECT doc_id, i, md5_number(substr(x, 2 * i - 1, 100)) AS h FROM (SELECT doc_id, x, unnest(range(1, len(x) // 2 - 48)) AS i FROM d WHERE len(x) >= 100)),
+first_ AS (SELECT h, min(doc_id) AS m, count(*) AS n FROM win GROUP BY h HAVING count(*) > 1),
+hit AS (SELECT doc_id, i, coalesce(i > max(i + 50) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS head FROM win JOIN first_ USING (h) WHERE m < doc_id),
+run AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS z FROM (SELECT *, sum(CASE WHEN head THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS r FROM hit) GROUP BY doc_id, r),
+gap AS (SELECT doc_id, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 1) AS b, a AS e, false AS tail FROM run UNION ALL SELECT doc_id, max(z), NULL, true FROM run GROUP BY doc_id),
+kept AS (SELECT g.doc_id, string_agg(CASE WHEN tail THEN substr(x, 2 * b - 1) ELSE substr(x, 2 * b - 1, 2 * (e - b)) END, '' ORDER BY b, tail) AS k FROM gap g JOIN d ON d.doc_id = g.doc_id GROUP BY g.doc_id),
+n AS (SELECT doc_id, CAST(sum(z - a) AS BIGINT) AS n_removed, count(*) AS n_spans FROM run GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(x) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(k, x))) AS kept_sha256
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN kept ON kept.doc_id = d.doc_id
+"""
+
+OP6_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, i, md5_number(array_to_string(w[i:i + 49], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)),
+first_ AS (SELECT h, min(doc_id) AS m FROM win GROUP BY h HAVING count(*) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS pos FROM win JOIN first_ USING (h) WHERE m < doc_id),
+kept AS (SELECT u.doc_id, string_agg(word, ' ' ORDER BY u.pos) AS k, count(*) AS n FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS pos FROM d) u ANTI JOIN gone g ON g.doc_id = u.doc_id AND g.pos = u.pos GROUP BY u.doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256 FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id
+"""
+
 #: Whole vectors of finite components, scaled.
 KEPT = """kept AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)"""
@@ -168,4 +191,4 @@ SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": OP1_SQL, "op2_decontamination": OP2_SQL, "op5_exact_dedup": OP5_SQL, "op12_vector_codes": OP12_SQL, "op13_hard_negatives": OP13_SQL}
+    return {"op1_mixing": OP1_SQL, "op2_decontamination": OP2_SQL, "op3_suffix_array_dedup": OP3_SQL, "op6_substring_dedup": OP6_SQL, "op5_exact_dedup": OP5_SQL, "op12_vector_codes": OP12_SQL, "op13_hard_negatives": OP13_SQL}
