@@ -30,9 +30,10 @@ def item_windows(benchmark: DataFrame, item_col: str = "item_id", text_col: str
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
     """One row per row of docs: doc_id, tag, n_words, n_hit, item_ids (sorted strings), n_items.
 
-    A document word is hit if an occurrence of a window covers it. Null texts have no words;
-    repeated rows each get their row; items with a null id hit words but are not listed;
-    an empty benchmark hits nothing. Other columns are not read.
+    A document word is hit if an occurrence of a window covers it. Null texts have no words; very long ones are
+    read whole, and a passage that they have often counts at each place; repeated rows each get their row; items
+    with a null id hit words but are not listed; items of equal windows are all listed. An empty benchmark hits
+    nothing, an empty table gives no rows. Other columns are not read.
     """
     windows = staged(item_windows(benchmark, window=window).select("item_id", F.array_join("words", " ").alias("wtext"), F.size("words").alias("len")).distinct())
     whole = windows.select("wtext", "len").distinct().withColumn("words", F.split("wtext", " "))
@@ -115,7 +116,12 @@ def is_contaminated() -> Column:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that are not contaminated, with all their columns."""
+    """The rows of docs that are not contaminated, with all their columns.
+
+    Null and empty texts stay; very long texts are judged whole; rows that repeat doc_id and text stay or
+    go together. Columns of other names than __gone_id and __gone_tag do not clash. An empty table stays empty, and
+    an empty benchmark removes nothing.
+    """
     gone = staged(contamination(docs, benchmark, id_col, text_col).where(is_contaminated()).select(F.col("doc_id").alias("__gone_id"), F.col("tag").alias("__gone_tag")).distinct())
     tag = F.xxhash64(F.coalesce(docs[text_col], F.lit("")))
     return docs.join(gone, same(docs[id_col], gone["__gone_id"]) & (tag == gone["__gone_tag"]), "left_anti")
