@@ -3,6 +3,10 @@
 A stage reads what its predecessor wrote. ``run`` writes each stage's result as Parquet in
 the folder that the cluster shares and reads it again, so a lost executor costs one stage
 at most.
+
+Every stage takes an empty table, and tables with more columns than those of documents, which all but the last hand on.
+Null texts count as empty ones; whole texts are read, however long; rows that repeat are rows like others: one of them
+stays in the exact stage, which knows equal texts, and those after it see no repeats.
 """
 
 from __future__ import annotations
@@ -14,7 +18,7 @@ from cantata.llm.common import staged
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go; it learns from the labels of the documents that it sees."""
+    """Documents that the classifier rejects go, empty ones by their score too; it learns from the labels of the documents that it sees (without labels all score one half, and go)."""
     return quality_crf.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
