@@ -37,10 +37,10 @@ NOISE_NAMES = set(
     "notifications banner banners alert alerts popup popups modal overlay lightbox interstitial paywall subscribe subscription newsletter signup signin login register nav navbar navigation navigations menu menus submenu "
     "breadcrumb breadcrumbs crumbs pagination pager toolbar topbar sidebar sidebars rail widget widgets aside footer foot colophon copyright masthead share sharing social socials related recommended recommendations "
     "recirculation trending outbrain taboola comment comments commentlist commenters disqus respond reply replies discussion discussions feedback guestbook search searchbox form skip sitemap toc disclaimer donate "
-    "donation hidden teaser teasers".split()
+    "donation hidden".split()
 )
 #: Names that are noise only where the name has no part of an article's.
-WEAK_NAMES = {"header", "head", "top", "bottom", "tools", "links", "meta"}
+WEAK_NAMES = {"header", "head", "top", "bottom", "side", "tools", "links", "teaser", "teasers"}
 WEAK_TAGS = {"div", "section", "ul", "ol", "table", "td"}
 #: Parts of names of what holds an article: they outweigh weak names.
 ARTICLE_NAMES = set("article post entry story content body main text page".split())
@@ -82,7 +82,7 @@ def evidence(tag: str, attributes: dict[str, str]) -> int:
         if any(p in NOISE_NAMES for p in parts) or (tag in WEAK_TAGS and any(p in WEAK_NAMES for p in parts) and not any(p in ARTICLE_NAMES for p in parts)):
             noisy = True
     if tag in ("article", "main"):
-        return NAME if noisy and any(p.startswith(("comment", "repl", "teaser", "promo", "sponsor", "ad")) and p in NOISE_NAMES for n in names for p in PARTS.findall(n)) else ARTICLE if tag == "article" else MAIN
+        return NAME if noisy and any(p.startswith(("comment", "repl", "promo", "sponsor", "ad", "related", "recommend")) and p in NOISE_NAMES for n in names for p in PARTS.findall(n)) else ARTICLE if tag == "article" else MAIN
     if role == "article":
         return ARTICLE
     if role == "main" or attributes.get("itemprop", "").lower() == "articlebody":
@@ -238,15 +238,19 @@ def read(text: str, site: str) -> Tree:
 
 
 def _outside(tree: Tree, forgiven: list[bool]) -> list[bool]:
-    """Of each node: whether it, or what it lies in, is no article by its role. An article in an article is a reader's comment."""
+    """Of each node: whether it, or what it lies in, is no article by its role.
+
+    An article in an article is a reader's comment; a header in an article or its main place is the article's own.
+    """
     n = len(tree.parent)
-    outside, in_article = [False] * n, [False] * n
+    outside, in_article, in_text = [False] * n, [False] * n, [False] * n
     for i in range(1, n):
         up, says = tree.parent[i], tree.evidence[i]
-        own = says in (TAG, NAME) and not forgiven[i] and not (tree.tag[i] == "header" and in_article[up])
+        own = says in (TAG, NAME) and not forgiven[i] and not (tree.tag[i] == "header" and in_text[up])
         own = own or (says == ARTICLE and in_article[up])
         outside[i] = outside[up] or own
         in_article[i] = in_article[up] or (says == ARTICLE and not outside[i])
+        in_text[i] = in_text[up] or (says in (ARTICLE, MAIN, CONTENT) and not outside[i])
     return outside
 
 
