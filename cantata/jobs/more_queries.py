@@ -9,6 +9,7 @@ from cantata.functions import music
 from cantata.jobs.fixtures import oracle, view
 from cantata.jobs.score_queries import CHOICES, STEPS, choices, grid
 from cantata.operators import imports, messages, pages, playback, voices
+from cantata.sources.shared import staged
 from cantata.streaming import events as streams
 
 QUERIES: dict = {}
@@ -99,17 +100,28 @@ ODD = [("high", "HALF"), (None, None), (None, "true"), ("solo", "all"), ("auto",
 VALID = [("high", "half"), ("auto", "all"), ("low", "all"), ("auto", "all"), ("auto", "all"), ("beat", "none")]
 
 
-def config(v) -> DataFrame:
+def known_choices(v) -> DataFrame:
+    """Choices as a table: a query of channels reads them more than once."""
+    return staged(choices(v), "choices")
+
+
+def config(known: DataFrame) -> DataFrame:
     """A row for each score and channel, with roles and overlaps to be made valid; each channel selects two of the score's choices."""
     rows = F.array(*[F.struct(F.lit(i).alias("channel_index"), F.lit(r).cast("string").alias("role"), F.lit(o).cast("string").alias("overlap")) for i,
         (r, o) in enumerate(ODD)])
-    ids = choices(v).groupBy("score_id").agg(F.array_sort(F.collect_set("choice_id")).alias("ids"))
+    ids = known.groupBy("score_id").agg(F.array_sort(F.collect_set("choice_id")).alias("ids"))
     return ids.select("score_id", F.explode(rows).alias("c"), "ids").select("score_id", "c.*", F.slice("ids", F.col("c.channel_index") + 1,
         2).alias("selected"))
 
 
-def channels(v) -> DataFrame:
-    return voices.export_channel_config(config(v), choices(v))
+def channels(v, known: DataFrame | None = None) -> DataFrame:
+    known = known_choices(v) if known is None else known
+    return voices.export_channel_config(config(known), known)
+
+
+def sound_presets(v) -> DataFrame:
+    known = known_choices(v)
+    return voices.channel_sound_preset(channels(v, known), known)
 
 
 def chosen_grid(v) -> DataFrame:
@@ -126,7 +138,7 @@ cf AS (SELECT score_id, CAST(c.i AS INT) AS channel_index, role_ AS role, c.over
 AS selected FROM ct)""" % ", ".join(f"{{'i': {i}, 'role': '{r}', 'overlap': '{o}'}}" for i, (r, o) in enumerate(VALID))
 register("export_channel_config", lambda v: channels(v).withColumn("selected", F.array_join("selected", ",")),
     f"WITH {CONFIG} SELECT score_id, channel_index, role, overlap, array_to_string(selected, ',') AS selected FROM cf")
-register("channel_sound_preset", lambda v: voices.channel_sound_preset(channels(v), choices(v)),
+register("channel_sound_preset", sound_presets,
     f"""WITH {CONFIG}, s AS (SELECT score_id, channel_index, unnest(selected) AS choice_id FROM cf), r AS (SELECT s.score_id, channel_index, program, \
 is_beat, row_number() OVER (PARTITION BY s.score_id, channel_index ORDER BY note_count DESC, s.choice_id) AS rn FROM s JOIN choices c ON c.score_id = \
 s.score_id AND c.choice_id = s.choice_id)
