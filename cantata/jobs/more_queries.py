@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cantata.functions import music
 from cantata.jobs.fixtures import oracle, view
 from cantata.jobs.score_queries import CHOICES, STEPS, choices, grid
-from cantata.operators import imports, messages, pages, playback, voices
+from cantata.operators import imports, messages, pages, playback, stats, voices
 from cantata.sources.shared import staged
 from cantata.streaming import events as streams
 
@@ -143,6 +143,18 @@ register("channel_sound_preset", sound_presets,
 is_beat, row_number() OVER (PARTITION BY s.score_id, channel_index ORDER BY note_count DESC, s.choice_id) AS rn FROM s JOIN choices c ON c.score_id = \
 s.score_id AND c.choice_id = s.choice_id)
   SELECT score_id, channel_index, CASE WHEN is_beat THEN '128:0' ELSE concat('0:', program) END AS preset_key FROM r WHERE rn = 1""")
+def voice_inputs(v) -> tuple[DataFrame, DataFrame]:
+    """Grid notes and the channels of their scores; notes are read for the choices and for the voices, so they are a table."""
+    notes = staged(chosen_grid(v), "grid")
+    known = staged(stats.instrument_choices(stats.source_groups(notes)), "choices")
+    return notes, channels(v, known)
+
+
+def summary(v) -> DataFrame:
+    notes, config_ = voice_inputs(v)
+    return voices.conversion_summary(notes, messages.merge_duplicates(notes), voices.assign_voices(notes, config_))
+
+
 DRUMS = "CASE " + " ".join(f"WHEN midi IN ({', '.join(map(str, ps))}) THEN {n}" for n,
     ps in voices.DRUM_PRIORITY.items()) + " WHEN midi BETWEEN 35 AND 81 THEN 60 ELSE 0 END"
 register("placement_scores", lambda v: voices.placement_scores(chosen_grid(v), channels(v)),
@@ -185,9 +197,8 @@ vo AS (SELECT n.score_id, n.note_key, coalesce(p.c, -1) AS voice, CASE WHEN p.i
 END AS status, n.sg AS start_grid, coalesce(k.at_, n.end_grid) AS end_grid
   FROM nn n LEFT JOIN (SELECT * FROM vw WHERE i IS NOT NULL) p ON p.score_id = n.score_id AND p.i = n.i LEFT JOIN (SELECT * FROM vw WHERE cut IS NOT \
 NULL) k ON k.score_id = n.score_id AND k.cut = n.i)"""
-register("assign_voices", lambda v: voices.assign_voices(chosen_grid(v), channels(v)), f"WITH {VOICES} SELECT * FROM vo")
-register("conversion_summary", lambda v: voices.conversion_summary(grid(v), messages.merge_duplicates(grid(v)), voices.assign_voices(chosen_grid(v),
-    channels(v))),
+register("assign_voices", lambda v: voices.assign_voices(*voice_inputs(v)), f"WITH {VOICES} SELECT * FROM vo")
+register("conversion_summary", summary,
     f"""WITH {VOICES}, dp AS (SELECT score_id, CAST(sum(n - 1) AS BIGINT) AS duplicates FROM cells GROUP BY score_id)
   SELECT g.score_id, count(*) AS input, any_value(coalesce(duplicates, 0)) AS duplicates, count(*) FILTER (WHERE status = 'placed') AS placed, \
 count(*) FILTER (WHERE status = 'merged') AS merged, count(*) FILTER (WHERE status = 'skipped') AS skipped,
