@@ -84,13 +84,26 @@ class Text:
         return (self.raw[i:j] for i, j in zip(a.tolist(), z.tolist(), strict=True))
 
 
+_up = _down = np.ones(1, np.uint64)
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, n at least; kept for the next text, some megabytes at most."""
+    global _up, _down
+    if len(_up) < n:
+        size = min(2 * n, _CHUNK + 64)
+        up, down = np.full(max(size, n), _BASE, np.uint64), np.full(max(size, n), _INVERSE, np.uint64)
+        up[0] = down[0] = 1
+        _up, _down = np.cumprod(up), np.cumprod(down)
+    return _up, _down
+
+
 def _grams(tokens: np.ndarray, k: int) -> np.ndarray:
     n = len(tokens)
-    up, down = np.full(n + 1, _BASE, np.uint64), np.full(n - k + 1, _INVERSE, np.uint64)
-    up[0] = down[0] = 1
-    up, down = np.cumprod(up), np.cumprod(down)
-    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(tokens * up[:-1])))
-    g = (total[k:] - total[:-k]) * down
+    up, down = _powers(n)
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum(tokens * up[:n], out=total[1:])
+    g = (total[k:] - total[:-k]) * down[: n - k + 1]
     g = (g ^ g >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9)
     return g ^ g >> np.uint64(29)
 
@@ -268,7 +281,8 @@ def repeated_windows(docs: DataFrame, shape: Shape, resolve: Resolve, bucket_byt
     python_batches(docs.sparkSession)
     keys = staged(docs.mapInArrow(_keys_of(shape), "key bigint, doc_id bigint"))
     shared = keys.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("key")
-    asked = staged(keys.join(staged(shared), "key").groupBy("doc_id").agg(F.collect_set("key").alias("keys")))  # of one document
+    # Repeated keys are few and distinct, so even: hashed, they spare a sort of all keys.
+    asked = staged(keys.join(staged(shared).hint("shuffle_hash"), "key").groupBy("doc_id").agg(F.collect_set("key").alias("keys")))  # of one document
     discard(keys)
     tagged = docs.select("doc_id", F.xxhash64("text").alias("tag"), "text")
     places = staged(tagged.join(asked, "doc_id").select("doc_id", "tag", "text", "keys").mapInArrow(_places_of(shape), _PLACE))
