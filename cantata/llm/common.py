@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import AbstractContextManager, contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -78,17 +78,25 @@ def python_batches(spark: SparkSession) -> None:
 
 
 @contextmanager
-def arrow_records(spark: SparkSession, records: int) -> Iterator[None]:
-    """Arrow batches of another size, for rows that are short."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+def _setting(spark: SparkSession, key: str, value: int) -> Iterator[None]:
     before = spark.conf.get(key)
-    spark.conf.set(key, str(records))
+    spark.conf.set(key, str(value))
     try:
         yield
     finally:
         spark.conf.set(key, before)
 
 
+def arrow_records(spark: SparkSession, records: int) -> AbstractContextManager[None]:
+    """Arrow batches of another size, for rows that are short."""
+    return _setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", records)
+
+
+def groups_in_memory(spark: SparkSession, groups: int = 1 << 14) -> AbstractContextManager[None]:
+    """Lists are collected by hash up to so many groups in a task (128 by default) before their rows are sorted."""
+    return _setting(spark, "spark.sql.objectHashAggregate.sortBased.fallbackThreshold", groups)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z and nothing else; the built-in ``lower`` does just that on ASCII texts, and faster."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

@@ -25,24 +25,26 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cantata.llm.common import arrow_records, discard, python_batches, staged
+from cantata.llm.common import arrow_records, discard, groups_in_memory, python_batches, staged
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_BYTES = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64)
-#: Windows that are worked on at once; positions fit the low bits of a code.
-_CHUNK, _LOW = 1 << 22, np.uint64((1 << 24) - 1)
+#: Windows that are worked on at once, within a core's cache; positions fit the low bits of a code.
+_CHUNK, _LOW = 1 << 15, np.uint64((1 << 16) - 1)
+#: Bytes of texts that are taken together; segments in an Arrow batch of theirs.
+_TEXTS = 1 << 20
+_SEGMENTS = 1 << 14
 #: Bytes of segments that are resolved at once.
 BUCKET_BYTES = 1 << 21
-#: Stands for the least doc_id of windows that are not told.
-_NONE = (1 << 63) - 1
 
 
 @dataclass(frozen=True)
@@ -61,107 +63,142 @@ class Shape:
     segment_bytes: int = 256
 
 
-class Text:
-    """A text's tokens: their hashes, and the bytes of any run of them."""
+class Texts:
+    """The tokens of a batch's texts, one after the other: their values, where each text begins, and the bytes of any run of them."""
 
-    def __init__(self, text: str | None, shape: Shape) -> None:
-        raw = (text or "").encode("utf-8", "surrogatepass")
-        self.raw, self.parts, self.starts = raw, None, None
+    def __init__(self, column: pa.Array, shape: Shape) -> None:
+        column = column.cast(pa.large_binary())
+        at, buffers = column.offset, column.buffers()
+        bounds = np.frombuffer(buffers[1], np.int64)[at : at + len(column) + 1]
+        data = buffers[2]
+        raw = data.slice(bounds[0], bounds[-1] - bounds[0]).to_pybytes() if data is not None else b""
+        self.bounds, self.starts = bounds - bounds[0], None
         if shape.words:
-            self.parts = raw.split()
-            self.raw = b" ".join(self.parts)
-            self.ends = np.cumsum(np.fromiter(map(len, self.parts), np.int64, len(self.parts)) + 1) - 1
-            self.starts = np.concatenate(([0], self.ends[:-1] + 1)) if len(self.ends) else self.ends
-
-    def tokens(self) -> np.ndarray:
-        if self.parts is None:
-            return _BYTES[np.frombuffer(self.raw, np.uint8)]
-        return np.fromiter(map(xxhash.xxh64_intdigest, self.parts), np.uint64, len(self.parts))
+            texts = [raw[i:j].split() for i, j in pairwise(self.bounds.tolist())]
+            parts = [word for words in texts for word in words]
+            raw = b" ".join(parts)
+            self.bounds = np.cumsum([0, *map(len, texts)])
+            self.ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
+            self.starts = np.concatenate(([0], self.ends[:-1] + 1)) if len(parts) else self.ends
+            self.tokens = np.fromiter(map(xxhash.xxh64_intdigest, parts), np.uint64, len(parts))
+        else:
+            self.tokens = np.frombuffer(raw, np.uint8)
+        self.raw = raw
 
-    def runs(self, first: np.ndarray, size: np.ndarray) -> Iterator[bytes]:
+    def runs(self, first: np.ndarray, size: np.ndarray) -> list[bytes]:
         """The bytes of the runs of ``size`` tokens from ``first`` on."""
         a, z = (first, first + size) if self.starts is None else (self.starts[first], self.ends[first + size - 1])
-        return (self.raw[i:j] for i, j in zip(a.tolist(), z.tolist(), strict=True))
+        raw = self.raw
+        return [raw[i:j] for i, j in zip(a.tolist(), z.tolist(), strict=True)]
 
 
-_up = _down = np.ones(1, np.uint64)
+def _slices(batches: Iterator[pa.RecordBatch], texts: int) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of _TEXTS bytes of texts, a longer text by itself; texts: their column."""
+    for b in batches:
+        upto = np.cumsum(pc.fill_null(pc.binary_length(b.column(texts)), 0).to_numpy(), dtype=np.int64)
+        first = 0
+        while first < len(b):
+            done = int(upto[first - 1]) if first else 0
+            end = max(first + 1, int(np.searchsorted(upto, done + _TEXTS, "right")))
+            yield b.slice(first, end - first)
+            first = end
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, n at least; kept for the next text, some megabytes at most."""
-    global _up, _down
-    if len(_up) < n:
-        size = min(2 * n, _CHUNK + 64)
-        up, down = np.full(max(size, n), _BASE, np.uint64), np.full(max(size, n), _INVERSE, np.uint64)
-        up[0] = down[0] = 1
-        _up, _down = np.cumprod(up), np.cumprod(down)
-    return _up, _down
+_UP, _DOWN = (np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(_CHUNK + 255, x, np.uint64)))) for x in (_BASE, _INVERSE))
 
 
 def _grams(tokens: np.ndarray, k: int) -> np.ndarray:
+    """64-bit hashes of the runs of k tokens, of a chunk at most."""
     n = len(tokens)
-    up, down = _powers(n)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(tokens * up[:n], out=total[1:])
-    g = (total[k:] - total[:-k]) * down[: n - k + 1]
-    g = (g ^ g >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9)
-    return g ^ g >> np.uint64(29)
+    if tokens.dtype == np.uint8:  # 8 bytes at once, from each position on
+        eight = np.ndarray(n - 7, "<u8", tokens, strides=(1,)).copy()
+        g = np.zeros(n - k + 1, np.uint64)
+        for j in (*range(0, k - 8, 8), k - 8):
+            g ^= g >> np.uint64(31)
+            g += eight[j : j + len(g)]
+            g *= np.uint64(_BASE)
+    else:
+        total = np.zeros(n + 1, np.uint64)
+        np.cumsum(tokens * _UP[:n], out=total[1:])
+        g = (total[k:] - total[:-k]) * _DOWN[: n - k + 1]
+    g ^= g >> np.uint64(31)
+    g *= np.uint64(0xBF58476D1CE4E5B9)
+    g ^= g >> np.uint64(29)
+    return g
 
 
-def segments(tokens: np.ndarray, shape: Shape) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """By segment: its first window, its number of windows, its anchor's position, its anchor's hash."""
+def segments(tokens: np.ndarray, bounds: np.ndarray, shape: Shape) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """By segment: its text's number, its first window, its number of windows, its anchor's position, its anchor's hash.
+
+    tokens are those of all texts, which begin at bounds; a window lies in one text.
+    """
     w, k = shape.window, shape.gram
-    if len(tokens) < w:
-        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.int64),)
-    out = []
-    for begin in range(0, len(tokens) - w + 1, _CHUNK):
+    n_windows = len(tokens) - w + 1
+    if n_windows <= 0:
+        return (np.zeros(0, np.int64),) * 5
+    out, last = [], -1
+    for begin in range(0, n_windows, _CHUNK):
         part = tokens[begin : begin + _CHUNK + w - 1]
         g = _grams(part, k)
         code = g & ~_LOW | np.arange(len(g), dtype=np.uint64)
         span, width, m = w - k + 1, 1, len(part) - w + 1
         while 2 * width <= span:
             code, width = np.minimum(code[:-width], code[width:]), 2 * width
-        at = (np.minimum(code[:m], code[span - width : span - width + m]) & _LOW).astype(np.int64)
-        first = np.concatenate(([0], np.flatnonzero(at[1:] != at[:-1]) + 1))
-        out.append((first + begin, np.diff(np.concatenate((first, [m]))), at[first] + begin, g[at[first]].view(np.int64)))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+        at = (np.minimum(code[:m], code[span - width : span - width + m]) & _LOW).view(np.int64)
+        text = int(np.searchsorted(bounds, begin, "right")) - 1
+        for a, z in pairwise(bounds[text : int(np.searchsorted(bounds, begin + m + w)) + 1].tolist()):
+            at[max(a, z - w + 1, begin) - begin : max(z - begin, 0)] = -1 - begin  # windows that leave their text
+        step = np.concatenate(([at[0] + begin != last], at[1:] != at[:-1]))
+        first = np.flatnonzero(step)
+        anchor = at[first]
+        last = int(at[-1]) + begin
+        out.append((first + begin, anchor + begin, g[np.maximum(anchor, 0)].view(np.int64)))
+    first, at, key = (np.concatenate(x) for x in zip(*out, strict=True))
+    n = np.diff(np.concatenate((first, [n_windows])))
+    inside = at >= 0
+    first, n, at, key = first[inside], n[inside], at[inside], key[inside]
+    return np.searchsorted(bounds, first, "right") - 1, first, n, at, key
+
+
+def _mixed(key: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """Hashes of a batch's pairs of key and text."""
+    return key.view(np.uint64) + (text.astype(np.uint64) + np.uint64(1)) * np.uint64(_BASE)
 
 
 def _keys_of(shape: Shape) -> Callable:
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [np.unique(segments(Text(t, shape).tokens(), shape)[3]) for t in b.column(1).to_pylist()]
-            ids = np.repeat(b.column(0).to_numpy(zero_copy_only=False), [len(f) for f in found])
-            key = np.concatenate(found) if found else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids.astype(np.int64))], names=["key", "doc_id"])
+        for b in _slices(batches, 1):
+            t = Texts(b.column(1), shape)
+            text, _, _, _, key = segments(t.tokens, t.bounds, shape)
+            order = np.argsort(_mixed(key, text))
+            k, x = key[order], text[order]
+            once = np.sort(order[np.concatenate((np.ones(min(len(k), 1), bool), (k[1:] != k[:-1]) | (x[1:] != x[:-1])))])
+            yield pa.RecordBatch.from_arrays([pa.array(key[once]), b.column(0).take(pa.array(text[once]))], names=["key", "doc_id"])
 
     return keys
 
 
-def _batch(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, y) for c, y in zip(zip(*rows, strict=True), types, strict=True)], names=names)
-
-
-_PLACE = "key bigint, h bigint, doc_id bigint, tag bigint, first int, n int, lead int"
+#: place: a segment's first window, its number of windows and its anchor's place in it, as 40, 12 and 12 bits.
+_PLACE = "key bigint, h bigint, doc_id bigint, tag bigint, place bigint"
 
 
 def _places_of(shape: Shape) -> Callable:
     """The segments of the anchors that a document was asked for: names and places, no text."""
     names = [x.split()[0] for x in _PLACE.split(", ")]
-    types = [*[pa.int64()] * 4, *[pa.int32()] * 3]
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = []
-            for doc, tag, text, keys in zip(*(b.column(i).to_pylist() for i in range(3)), b.column(3), strict=True):
-                t = Text(text, shape)
-                first, n, at, key = segments(t.tokens(), shape)
-                chosen = np.flatnonzero(np.isin(key, keys.values.to_numpy()))
-                first, n = first[chosen], n[chosen]
-                h = np.fromiter(map(xxhash.xxh64_intdigest, t.runs(first, n + shape.window - 1)), np.uint64, len(chosen))
-                found.append((key[chosen], h.view(np.int64), np.full(len(h), doc), np.full(len(h), tag), first, n, at[chosen] - first))
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(y.to_pandas_dtype())) for c, y in zip(zip(*found, strict=True), types, strict=True)], names=names)
+        for b in _slices(batches, 2):
+            t = Texts(b.column(2), shape)
+            text, first, n, at, key = segments(t.tokens, t.bounds, shape)
+            asked = b.column(3)
+            asked = np.sort(_mixed(asked.flatten().to_numpy(), np.repeat(np.arange(len(asked)), asked.value_lengths().to_numpy())))
+            mixed = _mixed(key, text)
+            chosen = np.flatnonzero(asked[np.minimum(np.searchsorted(asked, mixed), len(asked) - 1)] == mixed) if len(asked) else np.zeros(0, np.int64)
+            text, first, n, at, key = text[chosen], first[chosen], n[chosen], at[chosen], key[chosen]
+            h = np.fromiter(map(xxhash.xxh64_intdigest, t.runs(first, n + shape.window - 1)), np.uint64, len(chosen))
+            place = (first - t.bounds[text]) << 24 | n << 12 | at - first
+            of = pa.array(text)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(h.view(np.int64)), b.column(0).take(of), b.column(1).take(of), pa.array(place)], names=names)
 
     return places
 
@@ -172,28 +209,39 @@ _SEGMENT = "key bigint, h bigint, content binary, lead int, least bigint, large
 def _segments_of(shape: Shape) -> Callable:
     """The texts of the segments that a document stands for."""
     names = [x.split()[0] for x in _SEGMENT.split(", ")]
-    types = [pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.bool_()]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows: list[tuple] = []
-            size = 0
-            for doc, text, wanted in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                first, n = (np.array([w[c] for w in wanted], np.int64) for c in ("first", "n"))
-                for w, content in zip(wanted, Text(text, shape).runs(first, n + shape.window - 1), strict=True):
-                    rows.append((w["key"], w["h"], content, w["lead"], doc, w["large"]))
-                    size += len(content)
-                    if size > 1 << 22:
-                        yield _batch(rows, names, types)
-                        rows, size = [], 0
-            if rows:
-                yield _batch(rows, names, types)
+        for b in _slices(batches, 1):
+            t = Texts(b.column(1), shape)
+            wanted = b.column(2)
+            text = np.repeat(np.arange(len(wanted)), wanted.value_lengths().to_numpy())
+            wanted = wanted.flatten()
+            key, h, place, large = (wanted.field(x) for x in ("key", "h", "place", "large"))
+            place = place.to_numpy()
+            first, n, lead = (place >> 24) + t.bounds[text], place >> 12 & 4095, pa.array((place & 4095).astype(np.int32))
+            for i in range(0, len(text), _SEGMENTS):
+                part = slice(i, i + _SEGMENTS)
+                content = pa.array(t.runs(first[part], n[part] + shape.window - 1), pa.binary())
+                of = b.column(0).take(pa.array(text[part]))
+                yield pa.RecordBatch.from_arrays([key[part], h[part], content, lead[part], of, large[part]], names=names)
 
     return cut
 
 
-#: Takes segments (content, least doc_id) in order and gives their windows' least doc_ids, one after the other.
-Resolve = Callable[[list[bytes], list[int]], np.ndarray]
+@dataclass(frozen=True)
+class Segments:
+    """Neighbours in the order of segments: keys of anchors, contents, and the anchors' places in them, in tokens."""
+
+    keys: np.ndarray
+    contents: list[bytes]
+    leads: np.ndarray
+
+    def __len__(self) -> int:
+        return len(self.contents)
+
+
+#: Takes segments in order, with their least doc_ids, and gives their windows' least doc_ids, one after the other.
+Resolve = Callable[[Segments, np.ndarray], np.ndarray]
 
 
 def window_marks(content: bytes, shape: Shape) -> np.ndarray:
@@ -207,53 +255,69 @@ def window_marks(content: bytes, shape: Shape) -> np.ndarray:
     return np.frombuffer(b"".join(xxhash.xxh3_128_digest(content[a:z]) for a, z in spans), np.int64).reshape(-1, 2)
 
 
-_SOLVED = "key bigint, h bigint, upto array<int>, least array<bigint>, edge array<bigint>, w1 array<bigint>, w2 array<bigint>"
+#: One row for each run of a segment's windows that have the same least doc_id, or with the marks of a segment at a bucket's end.
+_SOLVED = "key bigint, h bigint, a int, z int, least bigint, edge array<bigint>, w1 array<bigint>, w2 array<bigint>"
 
 
 def _resolved(resolve: Resolve, shape: Shape, bucket_bytes: int) -> Callable:
     """Answers sorted segments bucket by bucket; those of large anchors at a bucket's ends also bring their windows' marks and answers."""
     names = [x.split()[0] for x in _SOLVED.split(", ")]
-    longs = pa.list_(pa.int64())
+    types = [*[pa.int64()] * 2, *[pa.int32()] * 2, pa.int64(), *[pa.list_(pa.int64())] * 3]
 
-    def bucket(rows: list[tuple]) -> pa.RecordBatch:
-        keys, hashes, contents, own, large = zip(*rows, strict=True)
-        keys, own = np.array(keys, np.int64), np.array(own, np.int64)
+    def bucket(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(held)
+        keys, hashes, leads, own, large = (rows.column(x).to_numpy() for x in ("key", "h", "lead", "least", "large"))
+        contents = rows.column("content").to_pylist()
         counts = np.array([c.count(b" ") + 2 - shape.window for c in contents] if shape.words else [len(c) - shape.window + 1 for c in contents])
         same_as_next = np.concatenate((keys[1:] == keys[:-1], [False]))
         several = same_as_next | np.concatenate(([False], same_as_next[:-1]))
         best = np.repeat(own, counts)
         if several.any():
-            at = np.flatnonzero(several).tolist()
-            best[np.repeat(several, counts)] = resolve([contents[i] for i in at], own[at].tolist())
+            at = np.flatnonzero(several)
+            best[np.repeat(several, counts)] = resolve(Segments(keys[at], [contents[i] for i in at.tolist()], leads[at]), own[at])
         ends = np.cumsum(counts)
         turn = np.concatenate((best[1:] != best[:-1], [True]))
         turn[ends - 1] = True
         last = np.flatnonzero(turn)
-        segment = np.repeat(np.arange(len(rows)), counts)[last]
-        offsets = pa.array(np.concatenate(([0], np.cumsum(np.bincount(segment, minlength=len(rows))))).astype(np.int32))
-        upto = pa.ListArray.from_arrays(offsets, pa.array((last + 1 - (ends - counts)[segment]).astype(np.int32)))
-        least = pa.ListArray.from_arrays(offsets, pa.array(best[last]))
-        edges = np.isin(keys, keys[[0, -1]]) & np.array(large, bool)
-        told: list = [[None] * len(rows) for _ in range(3)]
-        for i in np.flatnonzero(edges).tolist():
-            marks = window_marks(contents[i], shape)
-            told[0][i], told[1][i], told[2][i] = best[ends[i] - counts[i] : ends[i]], marks[:, 0], marks[:, 1]
-        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(hashes, pa.int64()), upto, least, *(pa.array(t, longs) for t in told)], names=names)
+        segment = np.repeat(np.arange(len(keys)), counts)[last]
+        start = (ends - counts)[segment]
+        z = last + 1 - start
+        a = np.concatenate(([0], (last + 1)[:-1]))
+        a = np.maximum(a - start, 0)
+        told = [keys[segment], hashes[segment], a, z, best[last]]
+        nothing = [pa.nulls(len(last), types[-1])] * 3
+        yield pa.RecordBatch.from_arrays([*(pa.array(c, y, safe=False) for c, y in zip(told, types, strict=False)), *nothing], names=names)
+        edges = np.flatnonzero(np.isin(keys, keys[[0, -1]]) & large)
+        if len(edges):
+            marks = [window_marks(contents[i], shape) for i in edges.tolist()]
+            lists = [best[ends[i] - counts[i] : ends[i]] for i in edges.tolist()], [m[:, 0] for m in marks], [m[:, 1] for m in marks]
+            nothing = [pa.nulls(len(edges), y) for y in types[2:5]]
+            yield pa.RecordBatch.from_arrays([pa.array(keys[edges]), pa.array(hashes[edges]), *nothing, *(pa.array(x, types[-1]) for x in lists)], names=names)
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
-        size = 0
+        held: list[pa.RecordBatch] = []
+        size, last = 0, None
         for b in batches:
-            for row in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
-                if rows and row == rows[-1]:  # of a row of the table that is there several times
-                    continue
-                if size > bucket_bytes and (row[4] or row[0] != rows[-1][0]):
-                    yield bucket(rows)
-                    rows, size = [], 0
-                rows.append(row)
-                size += len(row[2])
-        if rows:
-            yield bucket(rows)
+            key, h = b.column(0).to_numpy(), b.column(1).to_numpy()
+            if not len(key):
+                continue
+            new_key = np.concatenate(([last is None or key[0] != last[0]], key[1:] != key[:-1]))
+            fresh = new_key | np.concatenate(([last is None or h[0] != last[1]], h[1:] != h[:-1]))  # others: of a row of the table that is there several times
+            last = key[-1], h[-1]
+            if not fresh.all():
+                b, new_key = b.filter(pa.array(fresh)), new_key[fresh]
+            length = pc.binary_length(b.column(2)).to_numpy().astype(np.int64)
+            before = size + np.cumsum(length) - length
+            may_begin = new_key | b.column(5).to_numpy(zero_copy_only=False)
+            begin = 0
+            while len(i := np.flatnonzero(may_begin & (before > bucket_bytes))):
+                held.append(b.slice(begin, i[0] - begin))
+                yield from bucket(held)
+                held, begin, before = [], i[0], before - before[i[0]]
+            held.append(b.slice(begin))
+            size = int(before[-1] + length[-1]) if len(length) else size
+        if held and any(len(b) for b in held):
+            yield from bucket(held)
 
     return solve
 
@@ -265,61 +329,67 @@ def dealt(cut: DataFrame, shape: Shape) -> DataFrame:
 
 
 def _across_boundaries(solved: DataFrame) -> DataFrame:
-    """Answers (key, h, upto, least) for windows at the ends of buckets that another bucket has with a smaller doc_id."""
-    windows = solved.where("edge IS NOT NULL").select("key", "h", F.posexplode(F.arrays_zip("edge", "w1", "w2")).alias("i", "w")).select("key", "h", "i", "w.edge", "w.w1", "w.w2")
-    shared = staged(windows.groupBy("w1", "w2").agg(F.min("edge").alias("a"), F.max("edge").alias("b")).where("a < b").select("w1", "w2", "a"))
-    told = windows.join(shared, ["w1", "w2"]).where("a < edge").groupBy("key", "h").agg(F.array_sort(F.collect_list(F.struct("i", "a"))).alias("told"))  # of one segment
-    upto, least = "flatten(transform(told, r -> array(r.i, r.i + 1)))", f"flatten(transform(told, r -> array({_NONE}, r.a)))"
-    return told.select("key", "h", F.expr(upto).alias("upto"), F.expr(least).alias("least"))
+    """Answers (key, h, a, z, least) for windows at the ends of buckets that another bucket has with a smaller doc_id."""
+    windows = solved.where("edge IS NOT NULL").select("key", "h", F.posexplode(F.arrays_zip("edge", "w1", "w2")).alias("a", "w")).select("key", "h", "a", "w.edge", "w.w1", "w.w2")
+    shared = staged(windows.groupBy("w1", "w2").agg(F.min("edge").alias("least"), F.max("edge").alias("most")).where("least < most").select("w1", "w2", "least"))
+    return windows.join(shared, ["w1", "w2"]).where("least < edge").select("key", "h", "a", F.expr("a + 1").alias("z"), "least")
 
 
 def repeated_windows(docs: DataFrame, shape: Shape, resolve: Resolve, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """(doc_id, tag, runs): runs of window starts (a, b; end exclusive) that a smaller doc_id has too.
+    """(doc_id, tag, runs): runs of window starts that a smaller doc_id has too, each as its start << 24 | its length.
 
     docs: doc_id bigint, not null, and text. tag tells apart rows that repeat a doc_id.
     """
-    python_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    python_batches(spark)
     keys = staged(docs.mapInArrow(_keys_of(shape), "key bigint, doc_id bigint"))
     shared = keys.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("key")
+    shared = staged(shared)
     # Repeated keys are few and distinct, so even: hashed, they spare a sort of all keys.
-    asked = staged(keys.join(staged(shared).hint("shuffle_hash"), "key").groupBy("doc_id").agg(F.collect_set("key").alias("keys")))  # of one document
-    discard(keys)
+    asked = keys.join(shared.hint("shuffle_hash"), "key").repartition("doc_id")
+    with groups_in_memory(spark):  # documents of a partition
+        asked = staged(asked.groupBy("doc_id").agg(F.collect_list("key").alias("keys")))  # of one document
+    for used in (keys, shared):
+        discard(used)
     tagged = docs.select("doc_id", F.xxhash64("text").alias("tag"), "text")
     places = staged(tagged.join(asked, "doc_id").select("doc_id", "tag", "text", "keys").mapInArrow(_places_of(shape), _PLACE))
     discard(asked)
 
-    named = staged(places.groupBy("key", "h").agg(F.min(F.struct("doc_id", "tag", "first", "n", "lead")).alias("of")).select("key", "h", "of.*"))
+    # min_by keeps the first row of the least doc_id in each column, so tag and place are of one row.
+    named = staged(places.groupBy("key", "h").agg(F.min("doc_id").alias("doc_id"), F.min_by("tag", "doc_id").alias("tag"), F.min_by("place", "doc_id").alias("place")))
     several = named.groupBy("key").agg(F.count("*").alias("kinds")).where("kinds > 1")
     several = staged(several.select("key", (F.col("kinds") > bucket_bytes // shape.segment_bytes).alias("large")))
-    alone = named.join(several, "key", "left_anti").select("key", "h", F.array("n").alias("upto"), F.array("doc_id").alias("least"))
-    owned = named.join(several, "key").groupBy(F.col("doc_id").alias("o_doc"), F.col("tag").alias("o_tag")).agg(F.collect_list(F.struct("key", "h", "first", "n", "lead", "large")).alias("wanted"))  # of one document
-    owned = staged(owned)
+    alone = named.join(several, "key", "left_anti").select("key", "h", F.lit(0).alias("a"), F.expr("int(place >> 12 & 4095)").alias("z"), F.col("doc_id").alias("least"))
+    alone = staged(alone)
+    owned = named.join(several, "key").select(F.col("doc_id").alias("o_doc"), F.col("tag").alias("o_tag"), F.struct("key", "h", "place", "large").alias("of")).repartition("o_doc", "o_tag")
+    with groups_in_memory(spark):
+        owned = staged(owned.groupBy("o_doc", "o_tag").agg(F.collect_list("of").alias("wanted")))  # of one document
+    for used in (named, several):
+        discard(used)
     cut = tagged.join(owned, (F.col("doc_id") == F.col("o_doc")) & (F.col("tag") == F.col("o_tag"))).select("doc_id", "text", "wanted").mapInArrow(_segments_of(shape), _SEGMENT)
     cut = staged(cut)
     discard(owned)
-    with arrow_records(docs.sparkSession, 4096):  # segments are short
-        solved = staged(dealt(cut, shape).select("key", "h", "content", "least", "large").mapInArrow(_resolved(resolve, shape, bucket_bytes), _SOLVED))
+    with arrow_records(spark, 4096):  # segments are short
+        solved = staged(dealt(cut, shape).select("key", "h", "content", "lead", "least", "large").mapInArrow(_resolved(resolve, shape, bucket_bytes), _SOLVED))
     discard(cut)
-    answers = solved.select("key", "h", "upto", "least").unionByName(staged(_across_boundaries(solved))).unionByName(alone)
-    told = places.select("key", "h", "doc_id", "tag", "first").join(answers, ["key", "h"])
-    runs = F.expr("transform(filter(transform(upto, (e, i) -> named_struct('a', first + if(i = 0, 0, upto[i - 1]), 'b', first + e, 'd', least[i])), r -> r.d < doc_id), r -> named_struct('a', r.a, 'b', r.b))")
-    told = told.select("doc_id", "tag", F.explode(runs).alias("run"))
-    found = staged(told.groupBy("doc_id", "tag").agg(F.array_sort(F.collect_set("run")).alias("runs")))  # of one document
-    for used in (places, named, solved):
+    answers = solved.where("edge IS NULL").select("key", "h", "a", "z", "least").unionByName(staged(_across_boundaries(solved))).unionByName(alone)
+    told = places.join(answers, ["key", "h"]).where("least < doc_id").select("doc_id", "tag", F.expr("(place >> 24) + a << 24 | z - a").alias("run")).repartition("doc_id", "tag")
+    with groups_in_memory(spark):
+        found = staged(told.groupBy("doc_id", "tag").agg(F.array_sort(F.collect_list("run")).alias("runs")))  # of one document
+    for used in (places, alone, solved):
         discard(used)
     return found
 
 
-def removed_tokens(runs: list[dict] | None, window: int) -> list[tuple[int, int]]:
+def removed_tokens(runs: list[int] | None, window: int) -> list[tuple[int, int]]:
     """Disjoint sorted runs of tokens that windows starting in runs cover."""
-    out: list[tuple[int, int]] = []
-    for r in runs or []:
-        a, b = r["a"], r["b"] + window - 1
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
-        else:
-            out.append((a, b))
-    return out
+    if not runs:
+        return []
+    packed = np.array(runs, np.int64)
+    first = packed >> 24
+    end = np.maximum.accumulate(first + (packed & (1 << 24) - 1) + window - 1)
+    begins = np.concatenate(([True], first[1:] > end[:-1]))
+    return list(zip(first[begins].tolist(), end[np.concatenate((begins[1:], [True]))].tolist(), strict=True))
 
 
 def with_runs(docs: DataFrame, shape: Shape, resolve: Resolve, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:

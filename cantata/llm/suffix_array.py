@@ -3,10 +3,11 @@
 Suffixes are sparse: those that begin at a repeated anchor, and those at the starts of its windows (see
 repeats). Sampled splitters range-partition them by their leading bytes (the anchor; for anchors of many
 segments also the bytes that follow it); a task sorts its range and cuts it into buckets of bounded
-size. In a bucket, the suffixes at all window starts are sorted by multikey quicksort over 8-byte
-characters: only suffixes equal so far are compared on the next character. Neighbours that agree on the
-whole window are one group, whose least doc_id keeps the bytes. Suffixes of large anchors at a bucket's
-ends are compared across the boundaries.
+size. In a bucket, the suffixes at the anchors and the reversed prefixes before them are sorted, each with
+the length that neighbours share. All windows that begin o bytes before an anchor are equal where their
+prefixes share o bytes and their suffixes the rest of the window: runs of neighbours, found by the shared
+lengths. The least doc_id of a group of equal windows keeps the bytes. Windows of large anchors at a
+bucket's ends are compared across the boundaries.
 """
 
 from __future__ import annotations
@@ -19,47 +20,46 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from cantata.llm.common import python_batches
-from cantata.llm.repeats import BUCKET_BYTES, Shape, removed_tokens, with_runs
+from cantata.llm.repeats import BUCKET_BYTES, Segments, Shape, removed_tokens, with_runs
 
 #: Anchors of 16 bytes: fewer and longer segments than with longer anchors, and still rarely equal by chance. Those of a large
 #: anchor are dealt by what follows it, then by what precedes it: at either edge of a notice only one of the two differs.
 BYTES = Shape(window=50, gram=16, words=False, leading="substr(content, lead + 1, 16)", further="concat(substr(content, lead + 17, 34), substr(content, 1, lead))", segment_bytes=128)
 
 
-def sort_suffixes(rows: np.ndarray) -> np.ndarray:
-    """Group number of each row of a 2-d byte array, equal rows alike; multikey over 8-byte characters."""
-    n, width = rows.shape
-    padded = np.zeros((n, -(-width // 8) * 8), np.uint8)
-    padded[:, :width] = rows
-    characters = padded.view(">u8").astype(np.uint64)
-    group = np.zeros(n, np.int64)
-    live = np.arange(n)
-    top = 1
-    for j in range(characters.shape[1]):
-        order = live[np.lexsort((characters[live, j], group[live]))]
-        g, c = group[order], characters[order, j]
-        step = np.concatenate(([True], (g[1:] != g[:-1]) | (c[1:] != c[:-1])))
-        number = np.cumsum(step) - 1 + top
-        group[order] = number
-        top = number[-1] + 1
-        size = np.bincount(number - number[0])
-        live = order[size[number - number[0]] > 1]
-        if not len(live):
-            break
-    return group
+def _sorted(keys: np.ndarray, texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The place of each text in the order of (key, text), and by place the length that it shares with the one before; -1 at a new key."""
+    rows = np.frombuffer(b"".join([t.ljust(width, b"\0") for t in texts]), np.uint8).reshape(-1, width)
+    order = np.lexsort((*(rows.view(">u8").astype(np.uint64).T[::-1]), keys))
+    rows, keys = rows[order], keys[order]
+    differ = np.ones((len(rows) - 1, width + 1), bool)
+    np.not_equal(rows[1:], rows[:-1], out=differ[:, :width])
+    shared = np.concatenate(([-1], np.where(keys[1:] == keys[:-1], differ.argmax(1), -1)))
+    place = np.empty_like(order)
+    place[order] = np.arange(len(order))
+    return place, shared
 
 
-def resolve(contents: list[bytes], least: list[int], window: int = BYTES.window) -> np.ndarray:
+def resolve(segments: Segments, least: np.ndarray, window: int = BYTES.window) -> np.ndarray:
     """The least doc_id of each window of a bucket's segments."""
-    counts = np.array([len(c) - window + 1 for c in contents])
-    data = np.frombuffer(b"".join(contents), np.uint8)
-    first = np.cumsum([0] + [len(c) for c in contents[:-1]])
-    starts = np.repeat(first - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
-    group = sort_suffixes(np.lib.stride_tricks.sliding_window_view(data, window)[starts])
-    doc = np.repeat(np.array(least, np.int64), counts)
-    best = np.full(group.max() + 1, np.iinfo(np.int64).max)
-    np.minimum.at(best, group, doc)
-    return best[group]
+    keys, leads = segments.keys, segments.leads.astype(np.int64)
+    width = -(-window // 8) * 8
+    after, after_shared = _sorted(keys, [c[a : a + window] for c, a in zip(segments.contents, leads.tolist(), strict=True)], width)
+    before, before_shared = _sorted(keys, [c[a - 1 :: -1] if a else b"" for c, a in zip(segments.contents, leads.tolist(), strict=True)], width)
+    counts = np.array([len(c) for c in segments.contents]) - window + 1
+    first = np.cumsum(counts) - counts
+    best = np.empty(counts.sum(), np.int64)
+    for o in range(int((leads - counts + 1).min()), int(leads.max()) + 1):  # windows that begin so many bytes before their anchor
+        has = np.flatnonzero((o <= leads) & (leads < o + counts))
+        if not len(has):
+            continue
+        # Windows are equal where neither the suffixes nor the reversed prefixes part within the window.
+        same = np.cumsum(after_shared < window - o)[after[has]] * (len(keys) + 1) + np.cumsum(before_shared < o)[before[has]]
+        order = np.argsort(same)
+        begins = np.flatnonzero(np.concatenate(([True], np.diff(same[order]) != 0)))
+        lowest = np.minimum.reduceat(least[has][order], begins)
+        best[(first + leads - o)[has][order]] = np.repeat(lowest, np.diff(np.concatenate((begins, [len(has)]))))
+    return best
 
 
 def _trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from cantata.llm.common import python_batches
-from cantata.llm.repeats import Shape, removed_tokens, with_runs
+from cantata.llm.repeats import Segments, Shape, removed_tokens, with_runs
 
 WORDS = Shape(window=50, gram=25, words=True)
 #: Text of a shard; its automaton takes some hundred times as much memory.
@@ -92,10 +92,10 @@ class Automaton:
             yield self.least[state] if match >= window else None
 
 
-def resolve(contents: list[bytes], least: list[int], window: int = WORDS.window) -> np.ndarray:
+def resolve(segments: Segments, least: np.ndarray, window: int = WORDS.window) -> np.ndarray:
     """The least doc_id of each window of a shard's segments."""
-    automaton, texts = Automaton(), [c.split(b" ") for c in contents]
-    for words, owner in zip(texts, least, strict=True):
+    automaton, texts = Automaton(), [c.split(b" ") for c in segments.contents]
+    for words, owner in zip(texts, least.tolist(), strict=True):
         automaton.add(words, owner)
     automaton.close()
     return np.fromiter((x for words in texts for x in islice(automaton.stream(words, window), window - 1, None)), np.int64)
