@@ -27,24 +27,25 @@ def expand_preset_zones(phdr: DataFrame, pbag: DataFrame, pgen: DataFrame, inst:
 
     phdr: idx, bank, preset, bag; inst: idx, bag; pbag, ibag: idx, gen; pgen, igen: idx, op, amount.
     Attenuation and tunes add up; key and velocity ranges narrow; other values of the instrument win.
+    Records are exploded, which the planner's estimates don't see: joins are merged, so that none is broadcast through the driver.
     """
 
     def zones(owner: DataFrame, bags: DataFrame, gens: DataFrame, last: str) -> DataFrame:
         def spans(df: DataFrame, column: str) -> DataFrame:
             """Each record with the numbers from its ``column`` on, up to that of the record after it (records are numbered without gaps)."""
             after = df.select((F.col("idx") - 1).alias("a_idx"), F.col(column).alias("upto"))
-            both = df.join(after, df["idx"] == after["a_idx"]).where(F.col("upto") > F.col(column))
+            both = df.join(after.hint("merge"), df["idx"] == after["a_idx"]).where(F.col("upto") > F.col(column))
             return both.select("idx", F.col(column).alias("begin"), F.explode(F.sequence(F.col(column), F.col("upto") - 1)).alias("item"))
 
         o = spans(owner, "bag").select(F.col("idx").alias("owner"), F.col("begin").alias("b0"), F.col("item").alias("zone"))
         b = spans(bags, "gen").select(F.col("idx").alias("z"), F.col("item").alias("g"))
         g = gens.select(F.col("idx").alias("gi"), "op", "amount")
-        own = o.join(bags.select(F.col("idx").alias("zi")), F.col("zone") == F.col("zi"))
-        full = own.join(b.join(g, F.col("g") == F.col("gi")), F.col("zone") == F.col("z"), "left")
+        own = o.join(bags.select(F.col("idx").alias("zi")).hint("merge"), F.col("zone") == F.col("zi"))
+        full = own.join(b.join(g.hint("merge"), F.col("g") == F.col("gi")).hint("merge"), F.col("zone") == F.col("z"), "left")
         ops = [last, "key_lo", "key_hi", "vel_lo", "vel_hi", "attenuation", "coarse_tune", "fine_tune", "root_key", "sample_modes"]
         wide = full.groupBy("owner", "zone", "b0").agg(*[F.max(F.when(F.col("op") == x, F.col("amount"))).alias(x) for x in ops])
         shared = wide.where(F.col(last).isNull() & (F.col("zone") == F.col("b0"))).select("owner", *[F.col(x).alias(f"d_{x}") for x in ops[1:]])
-        return wide.where(F.col(last).isNotNull()).join(shared, "owner", "left").select("owner", "zone", last, *[F.coalesce(x, f"d_{x}").alias(x) for x in ops[1:]])
+        return wide.where(F.col(last).isNotNull()).join(shared.hint("merge"), "owner", "left").select("owner", "zone", last, *[F.coalesce(x, f"d_{x}").alias(x) for x in ops[1:]])
 
     p = zones(phdr, pbag, pgen, "instrument")
     i = zones(inst, ibag, igen, "sample_id")
@@ -52,7 +53,7 @@ def expand_preset_zones(phdr: DataFrame, pbag: DataFrame, pgen: DataFrame, inst:
     low = lambda c: F.greatest(F.coalesce(p[c], z), F.coalesce(i[c], z)).alias(c)
     high = lambda c: F.least(F.coalesce(p[c], F.lit(127)), F.coalesce(i[c], F.lit(127))).alias(c)
     added = lambda c: (F.coalesce(p[c], z) + F.coalesce(i[c], z)).alias(c)
-    both = p.join(i, p["instrument"] == i["owner"]).join(phdr.select(F.col("idx").alias("h"), "bank", "preset"), p["owner"] == F.col("h"))
+    both = p.join(i.hint("merge"), p["instrument"] == i["owner"]).join(phdr.select(F.col("idx").alias("h"), "bank", "preset").hint("merge"), p["owner"] == F.col("h"))
     rank = F.row_number().over(Window.partitionBy("bank", "preset").orderBy(p["zone"], i["zone"])) - 1
     picked = both.select("bank", "preset", rank.alias("region_idx"), low("key_lo"), high("key_hi"), low("vel_lo"), high("vel_hi"), added("attenuation"), added("coarse_tune"), added("fine_tune"), F.coalesce(i["root_key"], p["root_key"]).alias("root_key"), F.coalesce(i["sample_modes"], p["sample_modes"], z).alias("sample_modes"), i["sample_id"].alias("sample_id"))
     return picked.where("key_lo <= key_hi AND vel_lo <= vel_hi")
