@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cantata.functions import music
 from cantata.operators.tempo import as_of, position_to_seconds
+from cantata.sources.shared import staged
 
 
 #: What a note takes from its region.
@@ -87,15 +88,20 @@ def resolve_preset(part_keys: DataFrame, presets: DataFrame) -> DataFrame:
 def velocity_bands(regions: DataFrame) -> DataFrame:
     """(bank, preset, key, from, below, region's values): for each key the velocities cut at all edges of its regions, each band with its best region.
 
-    Narrow regions are better (12 keys count two, 32 velocities one), then the first.
+    Narrow regions are better (12 keys count two, 32 velocities one), then the first. Of regions with the same keys and
+    velocities only the first counts, so before they are exploded, and again for each key, one is left of them: what bands meet is as
+    many ranges as a key has, whatever the number of regions. The planner's estimates don't see what is exploded: merged, not broadcast.
     """
     score = F.when(F.col("key_hi") - F.col("key_lo") <= 12, 2).otherwise(0) + F.when(F.col("vel_hi") - F.col("vel_lo") <= 32, 1).otherwise(0)
     valid = regions.where("key_lo <= key_hi AND vel_lo <= vel_hi")
-    keyed = valid.select("bank", "preset", F.explode(F.sequence("key_lo", "key_hi")).alias("key"), "vel_lo", "vel_hi", F.struct((-score).alias("s"), *REGION).alias("r"))
+    first = F.min(F.struct((-score).alias("s"), *REGION)).alias("r")
+    ranges = valid.groupBy("bank", "preset", "key_lo", "key_hi", "vel_lo", "vel_hi").agg(first)
+    exploded = ranges.select("bank", "preset", F.explode(F.sequence("key_lo", "key_hi")).alias("key"), "vel_lo", "vel_hi", "r")
+    keyed = staged(exploded.groupBy("bank", "preset", "key", "vel_lo", "vel_hi").agg(F.min("r").alias("r")), "ranges")
     edges = keyed.select("bank", "preset", "key", F.explode(F.array("vel_lo", F.col("vel_hi") + 1)).alias("from")).distinct()
     order = Window.partitionBy("bank", "preset", "key").orderBy("from")
     bands = edges.withColumn("below", F.lead("from").over(order)).where("below IS NOT NULL")
-    met = bands.join(keyed, ["bank", "preset", "key"]).where("from >= vel_lo AND from <= vel_hi")
+    met = bands.join(keyed.hint("merge"), ["bank", "preset", "key"]).where("from >= vel_lo AND from <= vel_hi")
     return met.groupBy("bank", "preset", "key", "from", "below").agg(F.min("r").alias("r")).select("bank", "preset", "key", "from", "below", *[f"r.{c}" for c in REGION])
 
 
@@ -106,7 +112,7 @@ def match_region(notes: DataFrame, regions: DataFrame) -> DataFrame:
     with a condition on the band finds it and nothing is ranked by note.
     """
     own = [F.col(c).alias(f"b_{c}") for c in ("bank", "preset", "key", "from", "below")]
-    bands = velocity_bands(regions).select(*own, *REGION)
+    bands = staged(velocity_bands(regions).select(*own, *REGION), "bands")  # written, so that the planner knows its size
     on = (notes["bank"] == bands["b_bank"]) & (notes["preset"] == bands["b_preset"]) & (notes["midi"] == bands["b_key"]) & (notes["velocity"] >= bands["b_from"]) & (notes["velocity"] < bands["b_below"])
     return notes.join(bands, on).select(*notes.columns, *REGION)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import __spark_entry__
+from cantata.operators import playback
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -13,3 +14,13 @@ def plan_of(df) -> str:
 
 def test_zones_are_not_broadcast(spark):
     assert "Broadcast" not in plan_of(__spark_entry__.queries()["expand_preset_zones"](spark, SMALL))
+
+
+def test_ranges_are_not_broadcast_and_equal_ones_meet_once(spark):
+    rows = [(0, 1, i, 10, 21, 0, 31 + 32 * (i % 2), i, 0, 0, 60) for i in range(500)]
+    regions = spark.createDataFrame(rows, "bank int, preset int, region_idx int, key_lo int, key_hi int, vel_lo int, vel_hi int, attenuation int, coarse_tune int, fine_tune int, root_key int")
+    bands = playback.velocity_bands(regions)
+    assert "Broadcast" not in plan_of(bands)
+    joined = bands._jdf.queryExecution().optimizedPlan().toString()
+    assert "parquet" in joined  # what bands meet was cut down and written first
+    assert {(x["key"], x["from"], x["below"], x["region_idx"]) for x in bands.collect()} == {(k, *b) for k in range(10, 22) for b in ((0, 32, 0), (32, 64, 1))}
