@@ -119,26 +119,37 @@ def _pieces(length: int) -> list[str]:
     return out
 
 
+#: An L command whose number an int holds; what is longer leaves the carried length as it is.
+CARRYING = r"[lL]0*(?:[0-9]{1,9}|1[0-9]{9}|20[0-9]{8}|21[0-3][0-9]{7}|214[0-6][0-9]{6}|2147[0-3][0-9]{5}|21474[0-7][0-9]{4}|214748[0-2][0-9]{3}|2147483[0-5][0-9]{2}|21474836[0-3][0-9]|214748364[0-7])(?![0-9])"
+
+
 def legacy_lengths(parts: DataFrame) -> DataFrame:
-    """Notes and rests of lengths that are no power of two become sums of legal ones, tied for notes; a legacy L is carried."""
+    """Notes and rests of lengths that are no power of two become sums of legal ones, tied for notes; a legacy L is carried.
+
+    Texts are split in front of each L that carries a length, so each piece has one carried length, and a part is spelled
+    within its row: its codes are neither shuffled nor gathered.
+    """
     odd = {n: _pieces(n) for n in range(1, 65) if n not in LEGAL}
     table = F.create_map(*[x for n, p in odd.items() for x in (F.lit(n), F.array(*map(F.lit, p)))])
-    pattern = r"[a-gA-GrR][+#-]?[0-9]*\.*|[lL][0-9]+\.*|[nN][0-9]+\.*|[^a-gA-GrRlLnN]+|."
-    tokens = parts.select("score_id", "part", F.posexplode(F.regexp_extract_all("part_text", F.lit("(?s)" + pattern), F.lit(0))).alias("i", "raw"))
-    order = Window.partitionBy("score_id", "part").orderBy("i")
-    head = F.regexp_extract("raw", r"^[a-gA-GrR][+#-]?", 0)
-    number = F.expr("try_cast(nullif(regexp_extract(raw, '[0-9]+', 0), '') AS int)")
-    carried = F.last(F.when(F.col("raw").rlike("^[lL]"), number), ignorenulls=True).over(order)
-    length = F.when(number.isNull(), carried).otherwise(number)
-    split = F.element_at(table, length)
-    text = (
-        F.when(F.col("raw").rlike("^[lL]") & F.element_at(table, number).isNotNull(), "")
-        .when((head != "") & split.isNotNull() & head.rlike("^[rR]"), F.array_join(F.transform(split, lambda p: F.concat(head, p)), ""))
-        .when((head != "") & split.isNotNull(), F.array_join(F.transform(split, lambda p: F.concat(head, p)), "&"))
-        .otherwise(F.col("raw"))
-    )
-    spelled = tokens.select("score_id", "part", "i", text.alias("s"))
-    return spelled.groupBy("score_id", "part").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "s"))), lambda x: x["s"]), "").alias("part_text"))
+    pattern = r"(?s)[a-gA-GrR][+#-]?[0-9]*\.*|[lL][0-9]+\.*|[nN][0-9]+\.*|[^a-gA-GrRlLnN]+|."
+    number = lambda raw: F.nullif(F.regexp_extract(raw, "[0-9]+", 0), F.lit("")).try_cast("int")
+
+    def spelled(code: Column, carried: Column) -> Column:
+        raw, head, own = code["raw"], code["head"], code["own"]
+        split = F.element_at(table, F.coalesce(own, carried))
+        joined = lambda by: F.array_join(F.transform(split, lambda p: F.concat(head, p)), by)
+        return (
+            F.when(raw.rlike("^[lL]") & F.element_at(table, own).isNotNull(), "")
+            .when((head == "") | split.isNull(), raw).when(head.rlike("^[rR]"), joined("")).otherwise(joined("&"))
+        )
+
+    def piece(text: Column) -> Column:
+        codes = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda raw: F.struct(raw.alias("raw"), F.regexp_extract(raw, r"^[a-gA-GrR][+#-]?", 0).alias("head"), number(raw).alias("own")))
+        carried = number(F.regexp_extract(text, "^[lL][0-9]+", 0))
+        return F.array_join(F.transform(codes, lambda code: spelled(code, carried)), "")
+
+    pieces = F.split("part_text", f"(?={CARRYING})")
+    return parts.where("part_text <> ''").select("score_id", "part", F.array_join(F.transform(pieces, piece), "").alias("part_text"))
 
 
 def parts_topk(candidates: DataFrame, k: int) -> DataFrame:
