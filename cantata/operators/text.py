@@ -15,6 +15,11 @@ TOKEN = r"[a-gA-GrR][+#-]?[0-9]*\.*|[nN][0-9]*\.*|[tToOlLvV][0-9]*\.*|[<>&]|[^\s
 CODE = r"[a-grR][+#-]*[0-9]*\.*|[A-Za-z][0-9]*\.*|[0-9]+|\s+|[^A-Za-z0-9\s]"
 
 
+def dealt(parts: DataFrame) -> DataFrame:
+    """Parts dealt by score and part while they are texts: windows over what is cut from them then shuffle nothing more."""
+    return parts.repartition("score_id", "part")
+
+
 def normalize_command_case(parts: DataFrame, col: str = "part_text") -> DataFrame:
     """T, O, L and V in upper case; r, n and a to g in lower; other letters as they are."""
     return parts.withColumn(col, F.translate(col, "tolvRNABCDEFG", "TOLVrnabcdefg"))
@@ -79,7 +84,7 @@ def invalid_code_spans(parts: DataFrame) -> DataFrame:
     A code is valid if it is a note or rest with a valid length and dots, N 0-127, T 32-255, O 0-9,
     L or V with a valid number, < or >, white space, or & before a note or rest.
     """
-    pieces = parts.select("score_id", "part", F.posexplode(F.regexp_extract_all("part_text", F.lit(CODE), F.lit(0))).alias("i", "code"))
+    pieces = dealt(parts.select("score_id", "part", "part_text")).select("score_id", "part", F.posexplode(F.regexp_extract_all("part_text", F.lit(CODE), F.lit(0))).alias("i", "code"))
     order = Window.partitionBy("score_id", "part").orderBy("i")
     placed = pieces.select("*", (F.sum(F.length("code")).over(order) - F.length("code")).cast("int").alias("offset"))
     following = F.lead("code").over(order)  # white space comes in maximal runs: what follows one is solid
@@ -126,7 +131,11 @@ def over_limit_parts(parts: DataFrame, max_chars: int = 2400) -> DataFrame:
     return parts.select("score_id", "part", F.length("part_text").alias("chars")).where(F.col("chars") > max(200, max_chars))
 
 
+def shaped(candidates: DataFrame) -> DataFrame:
+    """Candidates of the MML alphabet with a command: only these need to be parsed."""
+    return candidates.where(F.col("part_text").rlike(r"^[A-GNOLRTVa-gnolrtv0-9+#.&<>\s-]+$") & F.col("part_text").rlike(r"(?i)[a-grnt]"))
+
+
 def looks_like_part(candidates: DataFrame, errors: DataFrame) -> DataFrame:
-    """Candidates of the MML alphabet with a command, whose parts have no parse error."""
-    shaped = candidates.where(F.col("part_text").rlike(r"^[A-GNOLRTVa-gnolrtv0-9+#.&<>\s-]+$") & F.col("part_text").rlike(r"(?i)[a-grnt]"))
-    return shaped.join(errors.select("score_id", "part"), ["score_id", "part"], "left_anti")
+    """Shaped candidates whose parts have no parse error."""
+    return shaped(candidates).join(errors.select("score_id", "part"), ["score_id", "part"], "left_anti")
