@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import __spark_entry__
-from cantata.operators import playback
+from cantata.operators import imports, playback
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -12,6 +12,19 @@ def plan_of(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def shuffles_of(plan: str, what: str) -> int:
+    """Exchanges that carry what a node ``what`` below them has made."""
+    lines, n = plan.splitlines(), 0
+    depth = lambda line: len(line) - len(line.lstrip(" :+-*"))
+    for i, line in enumerate(lines):
+        if "Exchange hashpartitioning" in line:
+            for below in lines[i + 1 :]:
+                if depth(below) <= depth(line) or "Exchange" in below:
+                    break
+                n += what in below
+    return n
+
+
 def test_zones_are_not_broadcast(spark):
     assert "Broadcast" not in plan_of(__spark_entry__.queries()["expand_preset_zones"](spark, SMALL))
 
@@ -24,3 +37,16 @@ def test_ranges_are_not_broadcast_and_equal_ones_meet_once(spark):
     joined = bands._jdf.queryExecution().optimizedPlan().toString()
     assert "parquet" in joined  # what bands meet was cut down and written first
     assert {(x["key"], x["from"], x["below"], x["region_idx"]) for x in bands.collect()} == {(k, *b) for k in range(10, 22) for b in ((0, 32, 0), (32, 64, 1))}
+
+
+def test_lengths_are_spelled_within_their_row(spark):
+    rows = [(1, 0, "l12cL2147483648d"), (1, 1, "L4c"), (2, 0, "r12L6R"), (2, 1, ""), (3, 0, None)]
+    got = imports.legacy_lengths(spark.createDataFrame(rows, "score_id bigint, part int, part_text string"))
+    assert "Exchange" not in plan_of(got)
+    assert {(x["score_id"], x["part"]): x["part_text"] for x in got.collect()} == {(1, 0): "c16&c64L2147483648d16&d64", (1, 1): "L4c", (2, 0): "r16r64R8R32R64"}
+
+
+def test_texts_are_shuffled_and_not_their_codes(spark):
+    for name in ("parse_errors", "looks_like_part", "invalid_code_spans"):
+        plan = plan_of(__spark_entry__.queries()[name](spark, SMALL))
+        assert "Generate posexplode(regexp_extract_all" in plan and shuffles_of(plan, "Generate posexplode(regexp_extract_all") == 0, name
