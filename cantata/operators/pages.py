@@ -20,12 +20,25 @@ from cantata.sources.shared import staged
 NOTE, GAP, BASE = 135, 240, 1000
 
 
-def _rows(events: DataFrame) -> DataFrame:
-    """Sounding notes with start s, end e, gap flag g, and w, the running sum of their part in hundredths."""
-    order = Window.partitionBy("score_id", "part").orderBy("s")
-    notes = events.where("type = 'note' AND duration > 0").select("score_id", "part", F.col("start").alias("s"), (F.col("start") + F.col("duration")).alias("e"))
+def _rows(events: DataFrame, most: int, floor: int) -> DataFrame:
+    """Sounding notes with start s, end e, w, the running sum of their part in hundredths, and what pages that begin with them hold.
+
+    over: starts of the first note that such a page cannot hold, without and with a gap before it; full: of that with which
+    it reaches ``floor``. They depend on the note alone, so they are looked up once a note and not for each position in front of it.
+    """
+    part = Window.partitionBy("score_id", "part")
+    order = part.orderBy("s")
+    notes = events.where("type = 'note' AND duration > 0").select("score_id", F.col("part").cast("int").alias("part"), F.col("start").alias("s"), (F.col("start") + F.col("duration")).alias("e"))
     gap = F.coalesce((F.col("s") > F.lag("e").over(order)).cast("int"), F.lit(0))
-    return notes.withColumn("g", gap).withColumn("w", F.sum(NOTE + GAP * F.col("g")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    summed = notes.withColumn("g", gap).withColumn("w", F.sum(NOTE + GAP * F.col("g")).over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("g")
+    # A sum is asked for as many times as a note has thresholds: rows of one sort of the part, gathered by note again.
+    thresholds = [(most, 0), (most, 1), (floor - 1, 0), (floor - 1, 1)]
+    asked = [F.struct(F.lit(k).alias("k"), F.greatest(F.col("w") - 1, F.col("w") - NOTE - GAP * gapped + t - BASE).alias("v")) for k, (t, gapped) in enumerate(thresholds)]
+    rows = summed.withColumn("at", F.explode(F.array(F.struct(F.lit(-1).alias("k"), F.col("w").alias("v")), *asked))).select("score_id", "part", "s", "e", "w", "at.*")
+    falling = part.orderBy(F.desc("v"), F.desc(F.col("k") >= 0)).rowsBetween(Window.unboundedPreceding, 0)
+    found = rows.withColumn("to", F.last(F.when(F.col("k") < 0, F.col("s")), ignorenulls=True).over(falling))
+    of = lambda *ks: F.array(*[F.max(F.when(F.col("k") == k, F.col("to"))) for k in ks])
+    return found.groupBy("score_id", "part", "w").agg(F.max("s").alias("s"), F.max("e").alias("e"), of(0, 1).alias("over"), of(2, 3).alias("full"))
 
 
 def page_positions(notes: DataFrame, part_count: int, min_silence: int) -> DataFrame:
@@ -34,16 +47,18 @@ def page_positions(notes: DataFrame, part_count: int, min_silence: int) -> DataF
     before, after: arrays by part of the last note that starts before the position, and the first from it on;
     then: the next position; clean: whether no note is sounding across; safe: parts without such a note; silence:
     whether a common silence begins here, until b; n0, n1: silences (n1: of min_silence) so far; s0, s1: the last of them;
-    cut: the last clean position so far.
+    cut: the last clean position so far; over, full: of the page from here, the least of its parts'.
     """
     points = notes.select("score_id", F.explode(F.array("s", "e", F.lit(0).cast("long"))).alias("pos")).distinct()
     none = F.lit(None)
-    rows = notes.select("score_id", F.col("s").alias("pos"), F.lit(1).alias("o"), "part", F.struct("s", "e", "w").alias("note"))
-    asked = points.select("score_id", "pos", F.lit(0).alias("o"), none.cast("int").alias("part"), none.cast(rows.schema["note"].dataType).alias("note"))
-    both = rows.withColumn("part", F.col("part").cast("int")).unionByName(asked)
+    rows = notes.select("score_id", F.col("s").alias("pos"), F.lit(1).alias("o"), "part", F.struct("s", "e", "w").alias("note"), F.struct("s", "w", "over", "full").alias("next"))
+    asked = points.select("score_id", "pos", F.lit(0).alias("o"), none.cast("int").alias("part"), none.cast(rows.schema["note"].dataType).alias("note"), none.cast(rows.schema["next"].dataType).alias("next"))
+    both = rows.unionByName(asked)
     so_far = Window.partitionBy("score_id").rowsBetween(Window.unboundedPreceding, 0)
-    by_part = lambda window: F.array(*[F.last(F.when(F.col("part") == p, F.col("note")), ignorenulls=True).over(window) for p in range(part_count)])
-    seen = both.withColumns({"before": by_part(so_far.orderBy("pos", "o")), "after": by_part(so_far.orderBy(F.desc("pos"), F.desc("o")))}).where("o = 0").drop("o", "part", "note")
+    by_part = lambda of, window: F.array(*[F.last(F.when(F.col("part") == p, F.col(of)), ignorenulls=True).over(window) for p in range(part_count)])
+    seen = both.withColumns({"before": by_part("note", so_far.orderBy("pos", "o")), "after": by_part("next", so_far.orderBy(F.desc("pos"), F.desc("o")))}).where("o = 0").drop("o", "part", "note", "next")
+    bound = lambda of: F.expr(f"array_min(transform(after, x -> get(x.{of}, int(x.s > pos))))")
+    seen = seen.withColumns({"over": bound("over"), "full": bound("full")})
     reach, b = F.expr("array_max(transform(before, x -> x.e))"), F.expr("array_min(transform(after, x -> x.s))")
     parts = F.expr("size(filter(arrays_zip(before, after), x -> x.before IS NOT NULL OR x.after IS NOT NULL))")
     crossed = F.expr("size(filter(before, x -> x.e > pos))")
@@ -58,19 +73,6 @@ def page_positions(notes: DataFrame, part_count: int, min_silence: int) -> DataF
     })
 
 
-def _bounds(positions: DataFrame, notes: DataFrame, most: int, floor: int) -> DataFrame:
-    """(score_id, pos, over, full): the start of the first note that a page from pos cannot hold, and of that with which it reaches ``floor``; hundredths."""
-    one = positions.select("score_id", "pos", F.posexplode("after").alias("part", "n")).where("n IS NOT NULL")
-    base = F.col("n.w") - NOTE - GAP * (F.col("n.s") > F.col("pos")).cast("int")
-    asked = one.withColumn("at", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.greatest(F.col("n.w") - 1, base + t - BASE).alias("v")) for k, t in ((0, most), (1, floor - 1))])))
-    none = F.lit(None).cast("long")
-    queries = asked.select("score_id", "part", F.col("at.v").alias("v"), F.lit(1).alias("o"), "pos", F.col("at.k").alias("k"), none.alias("s"))
-    sums = notes.select("score_id", F.col("part").cast("int").alias("part"), F.col("w").alias("v"), F.lit(0).alias("o"), none.alias("pos"), F.lit(None).cast("int").alias("k"), "s")
-    falling = Window.partitionBy("score_id", "part").orderBy(F.desc("v"), F.desc("o")).rowsBetween(Window.unboundedPreceding, 0)
-    found = queries.unionByName(sums).withColumn("s", F.last("s", ignorenulls=True).over(falling)).where("o = 1")
-    return found.groupBy("score_id", "pos").agg(F.min(F.when(F.col("k") == 0, F.col("s"))).alias("over"), F.min(F.when(F.col("k") == 1, F.col("s"))).alias("full"))
-
-
 def _best_silences(positions: DataFrame, levels: int) -> DataFrame:
     """(score_id, c, i, best): silences of class c (0: all, 1: long ones) numbered from 1; best[k] the longest, then latest, of 2 ** k from i on."""
     each = positions.where("silence").select("score_id", F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(f"n{c}").alias("i"), F.col(f"s{c}.pos").alias("at")) for c in (0, 1)])).alias("x"), "pos", "b")
@@ -86,11 +88,12 @@ def _at(positions: DataFrame, name: str, columns: list[str]) -> DataFrame:
     return positions.select("score_id", F.col("pos").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in columns])
 
 
-def successors(positions: DataFrame, notes: DataFrame, max_chars: int, slack: int) -> DataFrame:
-    """(score_id, pos, end, next, reason) of a page that begins at pos, for every position but a score's last."""
-    most, floor = 100 * max_chars, 100 * (max_chars - slack)
-    bounds = _bounds(positions, notes, most, floor)
-    begin = positions.where("then IS NOT NULL").select("score_id", "pos", "then", "after", F.col("n0").alias("h0"), F.col("n1").alias("h1")).join(bounds, ["score_id", "pos"], "left")
+def successors(positions: DataFrame, floor: int) -> DataFrame:
+    """(score_id, pos, end, next, reason) of a page that begins at pos, for every position but a score's last.
+
+    The notes around a position are wide, so they are joined only where a page ends in a silence, and let go at once.
+    """
+    begin = positions.where("then IS NOT NULL").select("score_id", "pos", "then", "over", "full")
     ends = positions.groupBy("score_id").agg(F.max("pos").alias("total"))
     fits = F.col("over") > F.col("pos")
     rows = begin.join(ends, "score_id").withColumns({"fits": fits, "best": F.when(fits, F.col("over")).otherwise(F.col("then"))})
@@ -101,11 +104,13 @@ def successors(positions: DataFrame, notes: DataFrame, max_chars: int, slack: in
     c = F.when(F.col("best_n1") > F.col("full_n1"), 1).when(F.col("best_n0") > F.col("full_n0"), 0)
     of = lambda x: F.when(F.col("c") == 1, F.col(f"{x}1")).otherwise(F.col(f"{x}0"))
     rows = rows.withColumn("c", F.when(F.col("fits"), c)).withColumns({"hi": of("best_n"), "lo": of("full_n") + 1, "quiet": of("best_s")})
-    rows = rows.withColumn("calm", F.col("quiet.pos")).join(_at(positions, "calm", ["before"]), ["score_id", "calm"], "left")
+    rows = rows.select("score_id", "pos", F.col("quiet.pos").alias("calm"), "c", "hi", "lo", "fits", "best", "best_cut", "best_safe", "full_then")
+    ends_so = rows.where("calm IS NOT NULL").select("score_id", "pos", "calm").join(_at(positions.where("silence"), "calm", ["before"]), ["score_id", "calm"])
+    ends_so = ends_so.select("score_id", "pos", F.expr("transform(calm_before, x -> CASE WHEN x.s >= pos THEN struct(x.s AS s, x.w AS w) END)").alias("calm_before")).join(positions.select("score_id", "pos", "after"), ["score_id", "pos"])
     # Parts whose sum up to that silence is the page's; silences after the last note of one of them are as full.
     sums = F.expr(f"filter(transform(after, (n, p) -> named_struct('m', CASE WHEN get(calm_before, p).s >= pos THEN {BASE} + get(calm_before, p).w - n.w + {NOTE} + {GAP} * int(n.s > pos) END, 's', get(calm_before, p).s)), x -> x.m IS NOT NULL)")
-    rows = rows.withColumn("sums", sums).withColumn("since", F.expr("array_min(transform(filter(sums, x -> x.m = array_max(transform(sums, y -> y.m))), x -> x.s))"))
-    rows = rows.withColumn("since", F.coalesce("since", "pos")).drop("sums", "after", "quiet", "calm", "calm_before")
+    since = ends_so.withColumn("sums", sums).select("score_id", "pos", F.expr("array_min(transform(filter(sums, x -> x.m = array_max(transform(sums, y -> y.m))), x -> x.s))").alias("since"))
+    rows = rows.join(since, ["score_id", "pos"], "left").withColumn("since", F.coalesce("since", "pos")).drop("calm")
     rows = rows.join(_at(positions, "since", ["n0", "n1"]), ["score_id", "since"])
     rows = rows.withColumn("lo", F.greatest("lo", of("since_n") + 1)).withColumn("k", F.floor(F.log2(F.col("hi") - F.col("lo") + 1)).cast("int"))
     levels = max(0, int(math.log2(max(1, positions.agg(F.max("n0")).first()[0] or 1))))
@@ -148,9 +153,10 @@ def split_pages(events: DataFrame, max_chars: int = 2400, slack: int | None = No
     truncated; a score without notes is one empty page.
     """
     slack = max_chars // 2 if slack is None else slack
-    notes = staged(_rows(events), "notes")
+    most, floor = 100 * max_chars, 100 * (max_chars - slack)
+    notes = staged(_rows(events, most, floor), "notes")
     positions = staged(page_positions(notes, part_count, min_silence), "positions")
-    step = staged(successors(positions, notes, max_chars, slack), "steps")
+    step = staged(successors(positions, floor), "steps")
     pages = _walk(step, max_pages).join(step, ["score_id", "pos"])
     over = F.col("page") >= max_pages
     total = positions.groupBy("score_id").agg(F.max("pos").alias("total"))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import random
+
 import __spark_entry__
-from cantata.operators import imports, playback
+from cantata.operators import imports, pages, playback
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -50,3 +52,20 @@ def test_texts_are_shuffled_and_not_their_codes(spark):
     for name in ("parse_errors", "looks_like_part", "invalid_code_spans"):
         plan = plan_of(__spark_entry__.queries()[name](spark, SMALL))
         assert "Generate posexplode(regexp_extract_all" in plan and shuffles_of(plan, "Generate posexplode(regexp_extract_all") == 0, name
+
+
+def test_bounds_of_pages_are_looked_up_once_a_note(spark):
+    """Each note knows what a page that begins with it holds, so positions carry no look-ups: a row for each note, against a scan."""
+    r, rows, at = random.Random(4), [], 0
+    for _ in range(60):
+        at += r.choice([0, 0, 40])
+        rows.append((1, 0, "note", at, 10))
+        at += 10
+    got = pages._rows(spark.createDataFrame(rows, "score_id bigint, part int, type string, start bigint, duration bigint"), 4000, 2000).orderBy("w").collect()
+    assert len(got) == len(rows)
+    for i, x in enumerate(got):
+        for gap in (0, 1):
+            def first(passes, i=i, gap=gap):
+                return next((n["s"] for n in got[i:] if passes(1000 + n["w"] - got[i]["w"] + 135 + 240 * gap)), None)
+
+            assert x["over"][gap] == first(lambda h: h > 4000) and x["full"][gap] == first(lambda h: h >= 2000)
