@@ -150,23 +150,29 @@ def stream_pair_notes(messages: DataFrame, watermark: str = "1 day", idle_ms: in
         ticks, loud = (list(map(list, state.get)) if state.exists else ([], []))
         if state.hasTimedOut:
             state.remove()
-            yield pd.DataFrame([(*key, t, None, v) for t, v in zip(ticks, loud, strict=True)], columns=columns)
+            if ticks:
+                yield pd.DataFrame([(*key, t, None, v) for t, v in zip(ticks, loud, strict=True)], columns=columns)
             return
         rows = []
-        df = pd.concat(list(batches)).sort_values("seq")
-        for cmd, tick, velocity in zip(df["cmd"], df["tick"], df["d2"], strict=True):
-            if cmd == "on" and velocity > 0:
-                ticks.append(int(tick))
-                loud.append(int(velocity))
-            elif ticks:
-                t, v = ticks.pop(0), loud.pop(0)
-                if tick > t:
-                    rows.append((*key, t, int(tick), v))
-        state.update((ticks, loud))
-        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), int(df["ms"].max())) + idle_ms)
-        yield pd.DataFrame(rows, columns=columns)
-
-    keyed = messages.where(F.col("cmd").isin("on", "off")).withWatermark("ts", watermark).withColumn("ms", F.unix_millis("ts"))
+        # Most keys have few messages: plain lists, and a frame only where there are pairs, cost a key least.
+        messages_ = [m for df in batches for m in zip(*(df[c].tolist() for c in ("seq", "on", "tick", "d2", "ms")), strict=True)]
+        messages_.sort(key=lambda m: m[0])
+        done = 0
+        for _, on, tick, velocity, _ in messages_:
+            if on:
+                ticks.append(tick)
+                loud.append(velocity)
+            elif done < len(ticks):
+                if tick > ticks[done]:
+                    rows.append((*key, ticks[done], tick, loud[done]))
+                done += 1
+        state.update((ticks[done:], loud[done:]))
+        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), max(m[4] for m in messages_)) + idle_ms)
+        if rows:
+            yield pd.DataFrame(rows, columns=columns)
+
+    keyed = messages.where(F.col("cmd").isin("on", "off")).withWatermark("ts", watermark).withColumns({"ms": F.unix_millis("ts"), "on": (F.col("cmd") == "on") & (F.col("d2") > 0)})
+    keyed = keyed.select("ts", "score_id", "track", "channel", "d1", "seq", "on", "tick", F.when(F.col("on"), F.col("d2")).otherwise(0).alias("d2"), "ms")
     return keyed.groupBy("score_id", "track", "channel", "d1").applyInPandasWithState(pair, PAIRED, "ticks array<bigint>, loud array<int>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
